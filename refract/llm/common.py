@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of packed keys that a reducer holds before it folds them into its state.
 FOLD_ROWS = 1 << 21
@@ -34,6 +35,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
+    # Shuffle files of what has just been written go once nothing on the driver refers to them.
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,11 +53,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id, text, and tkey, which tells rows of one doc_id apart by their text."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra
-    ).withColumn("tkey", F.xxhash64("text"))
+def squeezed(docs: DataFrame, *keys: str) -> DataFrame:
+    """The keys and ``ztext``, the UTF-8 bytes of text compressed, for a text that must be shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = [tool.compress(x.as_buffer() if x.is_valid else b"") for x in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(texts, pa.binary())], [*keys, "ztext"])
+
+    kinds = dict(docs.dtypes)
+    return docs.select(*keys, "text").mapInArrow(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["ztext binary"]))
+
+
+def unsqueeze(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) for runs of rows of about ``limit`` bytes of text."""
+    tool, row, held, size = zstandard.ZstdDecompressor(), 0, [], 0
+    for i, x in enumerate(column):
+        held.append(tool.decompress(x.as_buffer()))
+        size += len(held[-1])
+        if size >= limit:
+            yield row, pa.array(held, pa.binary())
+            row, held, size = i + 1, [], 0
+    if held:
+        yield row, pa.array(held, pa.binary())
 
 
 PACKED = "bucket int, payload binary"
@@ -174,3 +197,26 @@ def shared_keys(docs: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple
         .sortWithinPartitions("bucket")
         .mapInArrow(_shared, "doc_id long, key long")
     )
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key as a table, from batches that are sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            key = tuple(c[lo] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)

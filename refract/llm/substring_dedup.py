@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import keyed, materialise, shared_keys
+from .common import materialise, shared_keys, squeezed, unsqueeze
 
 WINDOW = 50
 
@@ -99,11 +99,9 @@ def _join_words(s: T.Slice, w: T.Words, keep: np.ndarray) -> tuple[bytes, np.nda
     return out.tobytes(), at[np.searchsorted(doc, np.arange(len(s.offsets)))]
 
 
-DIGEST = "doc_id long, tkey long, n_words long, n_removed long, kept_text string, kept_sha256 string"
-
-
-def _digest(texts: pa.Array, positions: pa.Array | None, window: int, with_text: bool, row: int = 0) -> Iterator[tuple[int, int, int, str | None, str]]:
-    for s, w, _ in ((s, T.words(s), None) for s in T.slices(texts)):
+def _digest(texts: pa.Array, positions: pa.Array | None, window: int, with_text: bool) -> Iterator[tuple[int, int, int, str | None, str]]:
+    for s in T.slices(texts):
+        w = T.words(s)
         n = len(w.start)
         keep = np.ones(n, bool)
         if positions is not None:
@@ -126,7 +124,9 @@ def _digest(texts: pa.Array, positions: pa.Array | None, window: int, with_text:
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """Remove every word covered by a window of ``window`` words that also starts in a smaller doc_id.
 
-    Rows: one per input row, with doc_id, tkey (hash of the text), n_words, n_removed, kept_text (kept
+    Exact copies are folded into their smallest doc_id first.
+
+    Rows: one per input row, with doc_id, cls (digest of the text), n_words, n_removed, kept_text (kept
     words joined by one space; null when with_text is false) and kept_sha256 of kept_text.
 
     * null text counts as no words; texts shorter than a window are kept whole;
@@ -135,61 +135,79 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Tr
     * equal texts under different ids: the smallest id keeps them;
     * other columns of ``docs`` are not read; an empty table gives an empty result.
     """
-    base = keyed(docs)
-    owned = base.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    spark = docs.sparkSession
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = base.withColumn("cls", F.unhex(F.md5("text")))
+    owned = base.where("doc_id IS NOT NULL")
+    classes = owned.groupBy("cls").agg(F.min("doc_id").alias("owner")).withColumn("tkey", F.xxhash64("cls"))
 
     def emit(batch: pa.RecordBatch):
-        ids = batch.column("doc_id").to_numpy()
+        ids = batch.column("tkey").to_numpy()
         for s, w, h in _scan(batch.column("text")):
             keys, _, doc = _anchors(w, h, window)
             yield keys, ids[s.row + doc]
 
-    shared = shared_keys(owned.select("doc_id", "text"), emit).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    shared = materialise(shared_keys(owned.select(F.xxhash64("cls").alias("tkey"), "text"), emit).withColumnRenamed("doc_id", "tkey"), "anchors")
+    lists = shared.join(classes, "tkey").groupBy("cls", "owner").agg(F.collect_set("key").alias("keys"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("keys")
-            for s, w, h in _scan(batch.column("text")):
-                n = len(s.offsets) - 1
-                keys, at, doc = _anchors(w, h, window)
-                part = lists[s.row : s.row + n]
-                sizes = part.value_lengths().to_numpy(zero_copy_only=False)
-                known = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                hit = at[_pair_in(keys, doc, known, np.repeat(np.arange(n), sizes))]
-                start = _candidates(h, w.first, hit, window)
-                of = np.searchsorted(w.first, start, side="right") - 1
-                offsets = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
-                one, two = (T.window_hashes(h, window, b)[start].view(np.int64) if len(start) else np.zeros(0, np.int64) for b in (T.WORD_BASE, T.WORD_BASE_2))
-                lists_of = lambda x, kind: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x, kind))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(s.row, n) for c in ("doc_id", "tkey", "text")), lists_of((start - w.first[of]).astype(np.int32), pa.int32()), lists_of(one, pa.int64()), lists_of(two, pa.int64())],
-                    ["doc_id", "tkey", "text", "at", "one", "two"],
-                )
-
-    near = materialise(
-        owned.join(shared, "doc_id").mapInArrow(extend, "doc_id long, tkey long, text string, at array<int>, one array<long>, two array<long>").where("size(at) > 0"),
-        "windows",
-    )
-    each = near.select("doc_id", "tkey", F.explode(F.arrays_zip("at", "one", "two")).alias("w")).select("doc_id", "tkey", "w.*")
-    owner = each.groupBy("one", "two").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
-    removed = each.join(owner, ["one", "two"]).where("owner < doc_id").groupBy("doc_id", "tkey").agg(F.collect_set("at").alias("at"))
+            for row, texts in unsqueeze(batch.column("ztext")):
+                for s, w, h in _scan(texts):
+                    n = len(s.offsets) - 1
+                    rows = batch.slice(row + s.row, n)
+                    lists = rows.column("keys")
+                    keys, at, doc = _anchors(w, h, window)
+                    known = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                    hit = at[_pair_in(keys, doc, known, np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False)))]
+                    start = _candidates(h, w.first, hit, window)
+                    of = np.searchsorted(w.first, start, side="right") - 1
+                    offsets = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
+                    one, two = (T.window_hashes(h, window, b)[start].view(np.int64) if len(start) else np.zeros(0, np.int64) for b in (T.WORD_BASE, T.WORD_BASE_2))
+                    lists_of = lambda x, kind: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x, kind))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays(
+                        [*(rows.column(c) for c in ("cls", "owner", "ztext")), lists_of((start - w.first[of]).astype(np.int32), pa.int32()), lists_of(one, pa.int64()), lists_of(two, pa.int64())],
+                        ["cls", "owner", "ztext", "at", "one", "two"],
+                    )
+
+    packed = squeezed(owned.select("doc_id", "cls", "text"), "doc_id", "cls")
+    near = packed.join(lists, "cls").where("doc_id = owner").mapInArrow(extend, "cls binary, owner long, ztext binary, at array<int>, one array<long>, two array<long>")
+    near = materialise(near.where("size(at) > 0"), "windows")
+    each = near.select("cls", "owner", F.explode(F.arrays_zip("at", "one", "two")).alias("w")).select("cls", "owner", "w.*")
+    least = each.groupBy("one", "two").agg(F.min("owner").alias("least"), F.max("owner").alias("last")).where("least < last").drop("last")
+    removed = each.join(least, ["one", "two"]).where("least < owner")
+    removed = materialise(removed.groupBy("cls").agg(F.collect_set("at").alias("at")), "removed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            positions = batch.column("at") if "at" in batch.schema.names else None
-            rows = list(zip(*_digest(batch.column("text"), positions, window, with_text))) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tkey"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())],
-                ["doc_id", "tkey", "n_words", "n_removed", "kept_text", "kept_sha256"],
-            )
-
-    kinds = DIGEST
-    texts = near.select("doc_id", "tkey", "text")
-    changed = texts.join(removed, ["doc_id", "tkey"]).mapInArrow(cut, kinds).dropDuplicates(["doc_id", "tkey"])
-    changed = changed.select("doc_id", "tkey", *(F.col(c).alias(f"new_{c}") for c in ("n_removed", "kept_text", "kept_sha256")))
-    whole = base.mapInArrow(cut, kinds)
-    pick = lambda c: F.when(F.col("new_n_removed").isNull(), F.col(c)).otherwise(F.col(f"new_{c}")).alias(c)
-    return whole.join(changed, ["doc_id", "tkey"], "left").select("doc_id", "tkey", "n_words", pick("n_removed"), pick("kept_text"), pick("kept_sha256"))
+            if "ztext" in batch.schema.names:
+                out, parts = [], list(unsqueeze(batch.column("ztext")))
+                for row, texts in parts:
+                    out += _digest(texts, batch.column("at").slice(row, len(texts)), window, with_text)
+                keys = ["cls"]
+            else:
+                out, keys = list(_digest(batch.column("text"), None, window, with_text)), ["doc_id", "cls"]
+            columns = list(zip(*out)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(c, k) for c, k in zip(columns, kinds))], [*keys, "n_words", "n_removed", "kept_text", "kept_sha256"])
+
+    digest = "n_words long, n_removed long, kept_text string, kept_sha256 string"
+    changed = near.select("cls", "ztext").join(removed, "cls")
+    changed = changed.mapInArrow(cut, f"cls binary, {digest}").dropDuplicates(["cls"])
+    changed = changed.select("cls", *(F.col(c).alias(f"new_{c}") for c in ("n_removed", "kept_text", "kept_sha256")))
+    whole = base.select("doc_id", "cls", "text").mapInArrow(cut, f"doc_id long, cls binary, {digest}")
+    rows = whole.join(classes.select("cls", "owner"), "cls", "left").join(changed, "cls", "left")
+    copy = F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False)) & (F.col("n_words") >= window)
+    cut_here = F.col("new_n_removed").isNotNull() & F.col("doc_id").isNotNull()
+    pick = lambda name, gone: F.when(copy, gone).when(cut_here, F.col(f"new_{name}")).otherwise(F.col(name)).alias(name)
+    return rows.select(
+        "doc_id",
+        "cls",
+        "n_words",
+        pick("n_removed", F.col("n_words")),
+        pick("kept_text", F.lit("" if with_text else None).cast("string")),
+        pick("kept_sha256", F.lit(hashlib.sha256(b"").hexdigest())),
+    )
 
 
 def _pair_in(keys: np.ndarray, doc: np.ndarray, known: np.ndarray, known_doc: np.ndarray) -> np.ndarray:

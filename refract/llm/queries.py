@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat_format
+from .chat_format import rotate_perspectives
+from .fingerprint import fingerprint_edits
+from .mixing import mix_sources
 from .substring_dedup import dedup_substrings
+from .suffix_dedup import dedup_bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,10 +17,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False).drop("tkey", "kept_text")
+    return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False).drop("cls", "kept_text")
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op3_mixing": op3_mixing,
+    "op6_fingerprint": op6_fingerprint,
+    "op10_chat_format": op10_chat_format,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_chat_format": chat_format.ORACLE}

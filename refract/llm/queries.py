@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format
+from . import chat_format, decontaminate
 from .chat_format import rotate_perspectives
+from .decontaminate import contaminated
 from .fingerprint import fingerprint_edits
+from .html_wrapper import extract_main_text
+from .jaccard_join import near_duplicates
+from .language_id import identify
+from .lm_score import score_documents
 from .mixing import mix_sources
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_bytes
@@ -24,23 +29,53 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what the labels call good and not toxic."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return score_documents(table(spark, sf_dir, "documents"), good)
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
-    "op5_suffix_dedup": op5_suffix_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
+    "op4_lm_score": op4_lm_score,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_fingerprint": op6_fingerprint,
+    "op7_language_id": op7_language_id,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_html_text": op9_html_text,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES: dict[str, str] = {"op10_chat_format": chat_format.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": decontaminate.ORACLE,
+    "op10_chat_format": chat_format.ORACLE,
+}

@@ -1,12 +1,8 @@
-"""Registered queries of the engine and their DuckDB forms."""
+"""All registered queries of the engine; importing the plan modules fills the registry."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from .plans import relational, rules, scalars, signal, text  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-QUERIES = {
-    "file_fingerprint": lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select(
-        "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("n_bytes")
-    )
-}
-ORACLES = {"file_fingerprint": "SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents"}
+__all__ = ["ORACLES", "QUERIES"]

@@ -39,9 +39,9 @@ def interval_gaps(spark, d):
     return R.gaps(s, "o_custkey", "lo", "hi")
 
 
-@query("""WITH p AS (SELECT event_id, CAST(floor(epoch(ts) - (SELECT min(epoch(ts)) FROM events)) AS BIGINT) AS at FROM events),
+@query("""WITH p AS (SELECT event_id, CAST(floor(epoch(ts) - (SELECT min(epoch(ts)) FROM events)) AS BIGINT) AS spot FROM events),
 s AS (SELECT o_orderkey, (o_orderkey * 7919) % 600000 AS lo, (o_orderkey * 7919) % 600000 + 100 AS hi FROM orders)
-SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(count(*) AS BIGINT) AS n FROM p JOIN s ON at BETWEEN lo AND hi GROUP BY o_orderkey""")
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(count(*) AS BIGINT) AS n FROM p JOIN s ON spot BETWEEN lo AND hi GROUP BY o_orderkey""")
 def range_cover(spark, d):
     e = table(spark, d, "events")
     start = e.agg(F.min(F.col("ts").cast("timestamp").cast("double")).alias("t0"))  # one row

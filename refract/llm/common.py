@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,15 +30,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here."""
+def materialise(df: DataFrame, name: str, free: bool = True) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends here.
+
+    free: have Spark's cleaner delete the shuffle files that nothing refers to any more.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
-    # Shuffle files of what has just been written go once nothing on the driver refers to them.
-    gc.collect()
-    spark._jvm.System.gc()
+    if free:
+        # The cleaner acts on collected references; those that Python held are let go a moment later.
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,7 +102,8 @@ def pack(keys: np.ndarray, owner: np.ndarray, buckets: int) -> Iterator[pa.Recor
     for lo, hi in zip(edge, [*edge[1:], len(keys)]):
         ids, index = np.unique(owner[lo:hi], return_inverse=True)
         head = np.array([len(ids), hi - lo], dtype=np.int64)
-        payloads.append(b"".join(x.tobytes() for x in (head, ids.astype(np.int64), keys[lo:hi], index.astype(np.uint32))))
+        small = np.uint16 if len(ids) <= 1 << 16 else np.uint32
+        payloads.append(b"".join(x.tobytes() for x in (head, ids.astype(np.int64), keys[lo:hi], index.astype(small))))
         names.append(int(bucket[lo]))
     if names:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
@@ -105,7 +113,7 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     n_ids, n = np.frombuffer(payload, np.int64, 2)
     ids = np.frombuffer(payload, np.int64, n_ids, 16)
     keys = np.frombuffer(payload, np.uint64, n, 16 + 8 * n_ids)
-    index = np.frombuffer(payload, np.uint32, n, 16 + 8 * n_ids + 8 * n)
+    index = np.frombuffer(payload, np.uint16 if n_ids <= 1 << 16 else np.uint32, n, 16 + 8 * n_ids + 8 * n)
     return keys, ids[index]
 
 

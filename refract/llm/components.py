@@ -25,7 +25,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # Small star: a node's smaller neighbours, and itself, go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = materialise(small.where("u <> v").distinct(), "edges")
+        e = materialise(small.where("u <> v").distinct(), "edges", free=False)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break

@@ -72,6 +72,18 @@ def designated(at: np.ndarray, rank: np.ndarray, least: np.ndarray) -> tuple[np.
     return start, index
 
 
+def digests(context: np.ndarray, near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each tuple: its context and the windows it stands for."""
+    bounds = T.mix((near.astype(np.int64) * 64 + far).astype(np.uint64) + np.uint64(77))
+    out = []
+    for base in (T.BYTE_BASE, SECOND_BASE):
+        total = np.zeros(len(context), np.uint64)
+        for column, power in zip(context.T, T.powers(base, context.shape[1])[0]):
+            total += T._BYTE[column] * power
+        out.append(T.mix(total + bounds).view(np.int64))
+    return out[0], out[1]
+
+
 def tuples(s: T.Slice, shared: np.ndarray, shared_doc: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray] | None:
     """Sampled positions whose gram another text holds: windows they stand for, and their context bytes."""
     at, rank, least = sample(s, window, gram)
@@ -94,11 +106,6 @@ def tuples(s: T.Slice, shared: np.ndarray, shared_doc: np.ndarray, window: int,
     context = np.where((place >= left[:, None]) & (place < right[:, None]), s.data[np.clip(place, 0, len(s.data) - 1)], 0).astype(np.uint8)
     bounds = (near * 64 + far).astype(np.uint64)
     out = {"doc": doc, "at": at - s.offsets[doc], "near": near, "far": far, "gram": rank[at], "context": context}
-    for name, base in (("one", T.BYTE_BASE), ("two", SECOND_BASE)):
-        up, down = T.powers(base, len(s.data))
-        total = np.zeros(len(s.data) + 1, np.uint64)
-        np.cumsum(T._BYTE[s.data] * up, out=total[1:])
-        out[name] = T.mix((total[right] - total[left]) * down[left] + T.mix(bounds + np.uint64(77)))
     return out
 
 
@@ -155,10 +162,12 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator
     def solve(held: list[pa.RecordBatch]):
         t = pa.Table.from_batches(held)
         context = np.frombuffer(t["context"].combine_chunks().cast(pa.binary(width)).buffers()[1], np.uint8)[: width * len(t)].reshape(-1, width)
-        grams, near, far, owner = (t[c].to_numpy() for c in ("gram", "near", "far", "owner"))
+        grams, near, far, owner, last = (t[c].to_numpy() for c in ("gram", "near", "far", "owner", "last"))
         group = np.unique(grams, return_inverse=True)[1]
         mask = induce(group, context, near, far, owner, window)
-        return pa.RecordBatch.from_arrays([t["one"].combine_chunks(), t["two"].combine_chunks(), t["owner"].combine_chunks(), pa.array(mask)], ["one", "two", "owner", "mask"])
+        told = np.flatnonzero((mask != 0) | (last > owner))
+        one, two = digests(context[told], near[told], far[told])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, owner[told], mask[told])], ["one", "two", "least", "mask"])
 
     held, size = [], 0
     for batch in batches:
@@ -218,21 +227,19 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_te
                     doc, context = pa.array(found["doc"]), found["context"]
                     m, width = context.shape
                     bytes_ = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(np.arange(0, (m + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(context))])
+                    one, two = digests(context, found["near"], found["far"])
                     number = lambda c, kind: pa.array(found[c].astype(kind))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("cls").take(doc), part.column("owner").take(doc), number("at", np.int32), number("near", np.int32), number("far", np.int32), *(pa.array(found[c].view(np.int64)) for c in ("gram", "one", "two")), bytes_],
+                        [part.column("cls").take(doc), part.column("owner").take(doc), number("at", np.int32), number("near", np.int32), number("far", np.int32), pa.array(found["gram"].view(np.int64)), pa.array(one), pa.array(two), bytes_],
                         ["cls", "owner", "at", "near", "far", "gram", "one", "two", "context"],
                     )
 
     spots = materialise(
         packed.join(lists, "cls").where("doc_id = owner").mapInArrow(extend, "cls binary, owner long, at int, near int, far int, gram long, one long, two long, context binary"), "spots"
     )
-    queue = spots.groupBy("gram", "one", "two", "near", "far", "context").agg(F.min("owner").alias("owner"))
-    solved = (
-        queue.repartition(partitions(spark), "gram").sortWithinPartitions("gram").select("gram", "one", "two", "near", "far", "context", "owner")
-        .mapInArrow(lambda it: _runs(it, window, gram), "one long, two long, owner long, mask long")
-        .withColumnRenamed("owner", "least")
-    )
+    queue = spots.groupBy("gram", "near", "far", "context").agg(F.min("owner").alias("owner"), F.max("owner").alias("last"))
+    queue = queue.repartition(partitions(spark), "gram").sortWithinPartitions("gram")
+    solved = materialise(queue.mapInArrow(lambda it: _runs(it, window, gram), "one long, two long, least long, mask long"), "solved")
     full = (1 << (reach + 1)) - 1
     hits = (
         spots.select("cls", "owner", "at", "near", "far", "one", "two").join(solved, ["one", "two"])

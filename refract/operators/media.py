@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,22 @@ def latin(payload: Column) -> Column:
     return F.trim(F.substring_index(F.decode(payload, "ISO-8859-1"), "\0", 1))
 
 
+def utf8(data: Column) -> Column:
+    """Text of UTF-8 bytes; what isn't valid becomes the replacement character instead of an error."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
+def utf16(data: Column) -> Column:
+    """Text of UTF-16 bytes, big-endian without a mark; damaged pairs become the replacement character."""
+
+    @F.pandas_udf("string")
+    def decode(values: pd.Series) -> pd.Series:
+        name = lambda b: "utf-16" if b[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-16-be"
+        return values.map(lambda b: None if b is None else bytes(b).decode(name(bytes(b)), "replace"))
+
+    return decode(data)
+
+
 def wav_streams(boxes: DataFrame) -> DataFrame:
     """path, codec, channels, sample_rate, bits, duration of RIFF/WAVE files."""
     b = boxes.where("format = 'wav' AND box IN ('fmt ', 'data')")
@@ -84,19 +101,54 @@ def tags(boxes: DataFrame) -> DataFrame:
     frame = F.try_element_at(pairs(ID3_TAGS), box)
     row = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
     body = F.expr("substring(payload, 2)")
-    id3_text = F.when(be(x, 0, 1) == 1, F.decode(F.expr("substring(payload, 2)"), "UTF-16")).when(be(x, 0, 1) == 3, F.decode(body, "UTF-8")).otherwise(F.decode(body, "ISO-8859-1"))
+    id3_text = F.when(be(x, 0, 1) == 1, utf16(body)).when(be(x, 0, 1) == 3, utf8(body)).otherwise(F.decode(body, "ISO-8859-1"))
     found = (
         F.when((kind == "wav") & info.isNotNull(), row(info, latin(x)))
         .when((kind == "wav") & (box == "bext"), row(F.lit("bext_originator"), latin(F.substring(x, 257, 32))))
         .when((kind == "png") & box.isin("tEXt", "zTXt"), row(F.substring_index(text, "\0", 1), F.expr("substring(decode(payload, 'ISO-8859-1'), instr(decode(payload, 'ISO-8859-1'), char(0)) + 1)")))
         .when((kind == "mp3") & frame.isNotNull(), row(frame, F.trim(F.replace(id3_text, F.lit("\0"), F.lit("")))))
         .when((kind == "jpeg") & (box == "FE"), row(F.lit("Comment"), latin(x)))
-        .when((kind == "jpeg") & (box == "E1") & text.contains("http://ns.adobe.com/xap/1.0/"), row(F.lit("xmp"), F.decode(x, "UTF-8")))
+        .when((kind == "jpeg") & (box == "E1") & text.contains("http://ns.adobe.com/xap/1.0/"), row(F.lit("xmp"), utf8(x)))
     )
     t = boxes.select("path", "ordinal", found.alias("t")).where("t IS NOT NULL AND t.value <> ''")
     return t.select("path", "ordinal", "t.key", "t.value")
 
 
+# Names of EXIF entries by directory and tag.
+EXIF_TAGS = {
+    "0000.010F": "Make", "0000.0110": "Model", "0000.0131": "Software", "0000.0132": "ModifyDate", "0000.013B": "Artist", "0000.8298": "Copyright", "0000.010E": "ImageDescription", "0000.0112": "Orientation",
+    "8769.829A": "ExposureTime", "8769.829D": "FNumber", "8769.8827": "ISO", "8769.9003": "DateTimeOriginal", "8769.9209": "Flash", "8769.920A": "FocalLength", "8769.A002": "ExifImageWidth", "8769.A003": "ExifImageHeight",
+    "8769.A434": "LensModel", "8769.A431": "BodySerialNumber",
+}
+
+
+def exif_tags(boxes: DataFrame) -> DataFrame:
+    """path, ordinal, key, value of known EXIF entries; exposure as 1/n s, aperture as f/x, focal length in mm."""
+    name = F.try_element_at(F.create_map(*(F.lit(x) for kv in EXIF_TAGS.items() for x in kv)), F.substring("box", 6, 9))
+    rows = boxes.where("box LIKE 'exif.%'").select("path", "ordinal", name.alias("key"), F.trim(utf8(F.col("payload"))).alias("t")).where("key IS NOT NULL AND t <> ''")
+    n, d = (F.try_element_at(F.split("t", "/"), F.lit(i)).cast("double") for i in (1, 2))
+    fraction = F.when(F.col("key").isin("ExposureTime", "FNumber", "FocalLength"), F.when(d == 0, 0.0).otherwise(n / d))
+    speed = F.when((fraction > 0) & (fraction < 1), F.concat(F.lit("1/"), F.floor(1 / fraction + 0.5).cast("string"), F.lit(" s"))).otherwise(F.concat(fraction.cast("string"), F.lit(" s")))
+    value = (
+        F.when(F.col("key") == "ExposureTime", speed).when(F.col("key") == "FNumber", F.format_string("f/%.1f", fraction)).when(F.col("key") == "FocalLength", F.format_string("%.1f mm", fraction))
+        .when(F.col("key") == "Flash", F.when(F.col("t").cast("int").bitwiseAND(F.lit(1)) == 1, "Fired").otherwise("Did not fire")).otherwise(F.col("t"))
+    )
+    return rows.select("path", "ordinal", "key", value.alias("value"))
+
+
+def exif_places(boxes: DataFrame) -> DataFrame:
+    """path, latitude, longitude, altitude in degrees and metres; south, west and below the sea are negative."""
+    tag = lambda t: F.min(F.when(F.col("box") == f"exif.8825.{t}", utf8(F.col("payload"))))
+    g = boxes.where("box LIKE 'exif.8825.%'").groupBy("path").agg(*(tag(t).alias(n) for t, n in (("0001", "ns"), ("0002", "lat"), ("0003", "ew"), ("0004", "lon"), ("0005", "below"), ("0006", "alt"))))
+
+    def degrees(c: str, ref: str) -> Column:
+        value = lambda x: F.coalesce(F.try_divide(F.get(F.split(x, "/"), 0).cast("double"), F.get(F.split(x, "/"), 1).cast("double")), F.lit(0.0))
+        return F.aggregate(F.reverse(F.split(c, " ")), F.lit(0.0), lambda acc, x: acc / 60 + value(x)) * F.when(F.col(ref).isin("S", "W"), -1.0).otherwise(1.0)
+
+    height = F.try_divide(F.get(F.split("alt", "/"), 0).cast("double"), F.get(F.split("alt", "/"), 1).cast("double")) * F.when(F.col("below") == "1", -1.0).otherwise(1.0)
+    return g.select("path", degrees("lat", "ns").alias("latitude"), degrees("lon", "ew").alias("longitude"), height.alias("altitude")).where("latitude IS NOT NULL AND longitude IS NOT NULL")
+
+
 XMP_FIELDS = {"Make": "tiff:Make", "Model": "tiff:Model", "CreateDate": "xmp:CreateDate", "ModifyDate": "xmp:ModifyDate", "CreatorTool": "xmp:CreatorTool", "DigitalSourceType": "Iptc4xmpExt:DigitalSourceType"}
 
 
@@ -124,6 +176,6 @@ def pdf_text(raw: Column) -> Column:
     """Text of a PDF string: hex strings (UTF-16 with a mark, else Latin-1) and literals with simple escapes."""
     digits = F.regexp_replace(raw, r"[<>\s]", "")
     data = F.unhex(F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits))
-    hexed = F.when(F.upper(digits).startswith("FEFF"), F.decode(F.substring(data, 3, 1 << 20), "UTF-16BE")).otherwise(F.decode(data, "ISO-8859-1"))
+    hexed = F.when(F.upper(digits).startswith("FEFF"), utf16(data)).otherwise(F.decode(data, "ISO-8859-1"))
     plain = F.regexp_replace(F.substring(raw, F.lit(2), F.length(raw) - 2), r"\\([()\\])", "$1")
     return F.when(raw.startswith("<"), hexed).otherwise(plain)

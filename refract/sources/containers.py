@@ -29,6 +29,9 @@ def riff(b: bytes) -> Iterator[Box]:
         size = int.from_bytes(b[at + 4 : at + 8], "little")
         name = b[at : at + 4].decode("latin-1")
         yield name, at, size + 8, b[at + 8 : at + 8 + min(size, PAYLOAD_BYTES)]
+        if name == "EXIF":
+            data = b[at + 8 : at + 8 + min(size, PAYLOAD_BYTES)]
+            yield from exif(data.removeprefix(b"Exif\0\0"), at + 8)
         if name == "LIST" and b[at + 8 : at + 12] == b"INFO":
             inner = at + 12
             while inner + 8 <= min(len(b), at + 8 + size):
@@ -38,6 +41,45 @@ def riff(b: bytes) -> Iterator[Box]:
         at += 8 + size + size % 2
 
 
+def exif(b: bytes, base: int) -> Iterator[Box]:
+    """Entries of the image, camera and place directories of a TIFF block, values as text.
+
+    Names are ``exif.`` and the directory's pointer tag (0000 for the first) and the tag in hex; several
+    numbers are joined by spaces, a fraction is written n/d.
+    """
+    order = {b"II": "<", b"MM": ">"}.get(b[:2])
+    if not order or len(b) < 8 or struct.unpack_from(order + "H", b, 2)[0] != 42:
+        return
+    todo, seen = [(0, struct.unpack_from(order + "I", b, 4)[0])], set()
+    while todo:
+        directory, at = todo.pop(0)
+        if at in seen or at + 2 > len(b) or len(seen) > 8:
+            continue
+        seen.add(at)
+        for i in range(min(512, struct.unpack_from(order + "H", b, at)[0])):
+            entry = at + 2 + 12 * i
+            if entry + 12 > len(b):
+                break
+            tag, kind, n = struct.unpack_from(order + "HHI", b, entry)
+            code = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 7: "s", 9: "i", 10: "ii"}.get(kind)
+            if not code:
+                continue
+            width = struct.calcsize("<" + code) * n
+            place = entry + 8 if width <= 4 else struct.unpack_from(order + "I", b, entry + 8)[0]
+            raw = b[place : place + width]
+            if len(raw) < width or n > PAYLOAD_BYTES:
+                continue
+            if code == "s":
+                text = raw if kind == 7 else raw.split(b"\0")[0]
+            else:
+                numbers = [v for v in struct.iter_unpack(order + code, raw)]
+                text = " ".join("/".join(map(str, v)) for v in numbers).encode()
+            if tag in (0x8769, 0x8825) and text.isdigit():
+                todo.append((tag, int(text)))
+            else:
+                yield f"exif.{directory:04X}.{tag:04X}", base + entry, 12, text
+
+
 def png(b: bytes) -> Iterator[Box]:
     at = 8
     while at + 12 <= len(b):
@@ -47,6 +89,8 @@ def png(b: bytes) -> Iterator[Box]:
             key, _, rest = data.partition(b"\0")
             data = key + b"\0" + inflate(rest[1:])
         yield name, at, size + 12, data
+        if name == "eXIf":
+            yield from exif(data, at + 8)
         if name == "IEND":
             return
         at += size + 12
@@ -66,7 +110,10 @@ def jpeg(b: bytes) -> Iterator[Box]:
             at += 2
             continue
         size = int.from_bytes(b[at + 2 : at + 4], "big")
-        yield f"{marker:02X}", at, size + 2, b[at + 4 : at + 2 + size]
+        data = b[at + 4 : at + 2 + size]
+        yield f"{marker:02X}", at, size + 2, data
+        if marker == 0xE1 and data[:6] == b"Exif\0\0":
+            yield from exif(data[6:], at + 10)
         at += size + 2
 
 

@@ -52,6 +52,35 @@ def docx():
     return out.getvalue()
 
 
+def tiff(order="<"):
+    """Image, camera and place directories."""
+    heap, base = b"", 8 + 3 * 150
+
+    def entry(tag, kind, n, data):
+        nonlocal heap
+        if len(data) <= 4:
+            return struct.pack(order + "HHI", tag, kind, n) + data.ljust(4, b"\0")
+        at = base + len(heap)
+        heap += data
+        return struct.pack(order + "HHII", tag, kind, n, at)
+
+    text = lambda tag, t: entry(tag, 2, len(t) + 1, t.encode() + b"\0")
+    ratio = lambda tag, *v: entry(tag, 5, len(v) // 2, struct.pack(order + f"{len(v)}I", *v))
+    link = lambda tag, at: entry(tag, 4, 1, struct.pack(order + "I", at))
+    dirs = [
+        [text(0x10F, "Apple"), text(0x110, "iPhone 14 Pro"), link(0x8769, 8 + 150), link(0x8825, 8 + 300)],
+        [ratio(0x829A, 1, 120), ratio(0x829D, 18, 10), entry(0x9209, 3, 1, struct.pack(order + "H", 1)), link(0x8769, 8 + 150)],
+        [text(1, "N"), ratio(2, 37, 1, 46, 1, 2964, 100), text(3, "W"), ratio(4, 122, 1, 25, 1, 984, 100), ratio(6, 125, 10)],
+    ]
+    body = b"".join((struct.pack(order + "H", len(d)) + b"".join(d)).ljust(150, b"\0") for d in dirs)
+    return (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8) + body + heap
+
+
+def photo(order):
+    data = b"Exif\0\0" + tiff(order)
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(data) + 2) + data + b"\xff\xd9"
+
+
 FILES = {
     "a.png": png(chunk(b"tEXt", b"Software\0Stable Diffusion"), chunk(b"zTXt", b"Comment\0\0" + zlib.compress(b"made with ComfyUI"))),
     "b.mp3": id3(4, (b"TIT2", "Ça".encode()), (b"COMM", b"made with suno")) + b"\xff\xfb\x90\x00",
@@ -61,7 +90,7 @@ FILES = {
     "f.jpg": b"\xff\xd8" + b"\xff\xe1" + struct.pack(">H", 2 + 29 + 60) + b"http://ns.adobe.com/xap/1.0/\0" + b'<x tiff:Make="Apple" tiff:Model="iPhone15,2"/>'.ljust(60) + b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, 1080, 1920, 3) + bytes(3) + b"\xff\xd9",
     "g.gif": b"GIF89a" + struct.pack("<HH", 320, 200) + bytes(3),
     "h.docx": docx(),
-    "i.pdf": b"%PDF-1.7\n/Producer (Old)\n/Producer <feff004c006900620072006500>\n/Title (A \\(b\\))\n/CreationDate (D:20260511092633Z)\n",
+    "i.pdf": b"%PDF-1.7\n/Producer (Old)\n/Producer <feff004c0069006200720065>\n/Title (A \\(b\\))\n/CreationDate (D:20260511092633Z)\n",
     "j.txt": b"plain text",
     "k.png": b"\x89PNG\r\n\x1a\n\0\0",
     "l.mp4": b"",
@@ -104,6 +133,15 @@ def test_tags_lead_to_products_and_devices(spark, files):
     assert (model.product, model.maker) == ("iPhone 14 Pro", "Apple")
 
 
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_exif(spark, order):
+    b = boxes(with_format(spark.createDataFrame([("p.jpg", bytearray(photo(order))), ("broken.jpg", bytearray(photo(order)[:90]))], "path string, content binary")))
+    got = {r.key: r.value for r in media.exif_tags(b).where("path = 'p.jpg'").collect()}
+    assert got == {"Make": "Apple", "Model": "iPhone 14 Pro", "ExposureTime": "1/120 s", "FNumber": "f/1.8", "Flash": "Fired"}
+    place = media.exif_places(b).where("path = 'p.jpg'").first()
+    assert (place.latitude, place.longitude, place.altitude) == (pytest.approx(37.7749), pytest.approx(-122.4194), 12.5)
+
+
 def test_archives_and_pdf(files):
     entries = boxes(files).where("format = 'zip'")
     assert rows(entries, "box", "size") == [("docProps/app.xml", len("<Properties><Application>Gamma</Application><Pages>3</Pages></Properties>")), ("word/media/a.png", 1)]

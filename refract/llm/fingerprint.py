@@ -37,8 +37,8 @@ def with_values(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(d, F.struct(F.transform(c, _bin).alias("bin"), F.transform(c, lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")).alias("low")))
     df = df.withColumn(a, _dense(d))
     tries = lambda i: [F.get(a, F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(PROBES)]
-    later = lambda i: F.get(F.filter(F.col(d)["bin"], lambda x: x > i), F.lit(0))
-    around = lambda i: F.get(a, F.coalesce(later(i), F.get(F.col(d)["bin"], F.lit(0))))
+    later = lambda i: F.array_min(F.filter(F.col(d)["bin"], lambda x: x > i))
+    around = lambda i: F.get(a, F.coalesce(later(i), F.array_min(F.col(d)["bin"])))
     full = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(F.get(a, i), *tries(i), around(i)))
     return df.withColumn(out, F.when(F.size(F.col(d)["bin"]) > 0, full)).drop(a, b, c, d)
 

@@ -18,7 +18,7 @@ from refract.llm.html_wrapper import align, extract_main_text, fold
 from refract.llm.language_id import UNDETERMINED, identify
 from refract.llm.mixing import mix_sources, split, targets
 
-from .conftest import SCHEMA, shingles, words
+from .conftest import shingles, words
 
 
 def test_contained_items_equal_brute_force(spark, corpus):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.audio import HOP, SEGMENT_FRAMES, WINDOW, wav_bytes
@@ -200,6 +200,38 @@ def analyse(segments: DataFrame, most: int = 600) -> DataFrame:
     )
 
 
+# Mains frequencies, how many quiet windows are heard, and the least dB of a hum.
+MAINS, QUIET, HUM_SCORE, HUM_FIRST = (50, 60), 6, 7.0, 5.0
+
+
+def hum(windows: DataFrame) -> DataFrame:
+    """path, hum_hz (0: none), hum_db: a steady mains tone in the quietest windows of a recording.
+
+    A tone's prominence is its power against the mean of those 5 Hz below and above, the median over the
+    windows (the upper one of two); the tone and two of its first three harmonics must stand out.
+    """
+    energy = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v)
+    rank = F.row_number().over(Window.partitionBy("path").orderBy("energy", "window"))
+    quiet = windows.withColumn("energy", energy).withColumn("n", rank).where(F.col("n") <= QUIET)
+
+    def listen(batches):
+        for part in batches:
+            rows = []
+            for r in part.itertuples():
+                n = len(r.x)
+                x = np.asarray(r.x, float) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1)))
+                power = lambda hz: abs(np.exp(-2j * np.pi * hz / r.rate * np.arange(n)) @ x) ** 2 + 1e-20  # noqa: B023, E731
+                rows += [(r.path, f0, h, 10 * np.log10(power(f0 * h) / (0.5 * (power(f0 * h - 5) + power(f0 * h + 5))))) for f0 in MAINS for h in (1, 2, 3)]
+            yield pd.DataFrame(rows, columns=["path", "f0", "h", "db"])
+
+    heard = quiet.select("path", "rate", "x").mapInPandas(listen, "path string, f0 int, h int, db double")
+    middle = heard.groupBy("path", "f0", "h").agg(F.sort_array(F.collect_list("db")).alias("s")).select("path", "f0", "h", F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("db"))
+    score = middle.groupBy("path", "f0").agg(F.avg("db").alias("score"), F.max(F.when(F.col("h") == 1, F.col("db"))).alias("first"), F.count_if(F.col("db") >= HUM_FIRST).alias("strong"))
+    found = (F.col("score") >= HUM_SCORE) & (F.col("first") >= HUM_FIRST) & (F.col("strong") >= 2)
+    best = score.groupBy("path").agg(F.max_by(F.struct("f0", "score"), F.when(found, F.col("score"))).alias("b"), F.bool_or(found).alias("any"))
+    return best.select("path", F.when(F.col("any"), F.col("b.f0")).otherwise(0).alias("hum_hz"), F.when(F.col("any"), F.col("b.score")).otherwise(0.0).alias("hum_db"))
+
+
 def to_wav(mixed: DataFrame, bits: int = 16, top: float = 0.989) -> DataFrame:
     """path, seg, content: each segment as a WAV file, all scaled alike where the recording's peak is above ``top``."""
     peak = mixed.groupBy("path").agg(F.max(F.array_max(F.transform("samples", F.abs))).alias("peak"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import gain
 from ..operators import audio, media, mixer
 from ..registry import query, table
-from ..sources.audio import segments, wav_bytes
+from ..sources.audio import segments, slow_windows, wav_bytes
 from ..sources.containers import boxes
 
 RATE, SECONDS = 16_000, 3
@@ -67,3 +67,9 @@ def clean_mix(spark, d):
     gains = {r.stem: r.gain for r in spark.createDataFrame(list(db.items()), "stem string, db double").select("stem", gain(F.col("db")).alias("gain")).collect()}
     out = audio.to_wav(audio.mix(s, audio.noise_floor(s), gains))
     return out.select("path", "seg", F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+@query()
+def mains_hum(spark, d):
+    """Recordings are made short; they are told without hum unless they last two windows."""
+    return audio.hum(slow_windows(recordings(spark, d), 1.0))

@@ -97,6 +97,36 @@ def segments(files: DataFrame, frames: int = SEGMENT_FRAMES) -> DataFrame:
     return files.select("path", "content").mapInArrow(cut, SEGMENTS)
 
 
+WINDOWS = "path string, rate double, window int, x array<float>"
+
+
+def slow_windows(files: DataFrame, seconds: float = 4) -> DataFrame:
+    """Whole windows of each recording, mixed to one channel and thinned to about 1 kHz by averages.
+
+    Every second sample of a group is averaged.  Recordings under two windows have no rows.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                b = content.as_buffer().to_pybytes() if content.is_valid else b""
+                layout = pcm_layout(b)
+                if not layout or layout[2] not in (8, 16, 24, 32, 64) or not layout[1] or not layout[0]:
+                    continue
+                rate, channels, bits, is_float, order, at, size = layout
+                width = channels * bits // 8
+                group = max(1, rate // 1000)
+                length = int(rate / group * seconds)
+                count = size // width // group // length
+                for i in range(count if count >= 2 else 0):
+                    lo = at + i * length * group * width
+                    x = unpack(b[lo : lo + length * group * width], bits, is_float, order, b[:4] == b"RIFF").reshape(-1, channels)[:, :2].mean(axis=1)
+                    x = x.reshape(length, group)[:, ::2].mean(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rate / group]), pa.array([i], pa.int32()), pa.array([x], pa.list_(pa.float32()))], ["path", "rate", "window", "x"])
+
+    return files.select("path", "content").mapInArrow(cut, WINDOWS)
+
+
 def wav_bytes(x: np.ndarray, rate: int, bits: int = 16) -> bytes:
     """A WAV file of samples (n, channels): clamped, negatives scaled by 2**(bits - 1), positives by one less.
 

@@ -234,3 +234,14 @@ def test_analysis_and_energy(recording):
     assert -44 < a.noise_db < -41 and -17 < a.speech_db < -12 and a.snr_db > 20 and a.rumble_db < -8
     e = {r.stem: r.share for r in audio.stem_energy(s, audio.noise_floor(s)).collect()}
     assert sum(e.values()) == pytest.approx(100) and set(e) == set(mixer.STEMS)
+
+
+@pytest.mark.parametrize("hz", [0, 50, 60])
+def test_hum(spark, hz):
+    rate = 16_000
+    t = np.arange(20 * rate) / rate
+    x = np.random.default_rng(1).normal(0, 0.01, len(t)) + 0.2 * np.sin(2 * np.pi * 220 * t) * (np.sin(2 * np.pi * 0.05 * t) > 0)
+    x += sum(0.01 * np.sin(2 * np.pi * hz * h * t) for h in (1, 2, 3)) if hz else 0
+    files = spark.createDataFrame([("x.wav", bytearray(pcm.wav_bytes(x, rate))), ("short.wav", bytearray(pcm.wav_bytes(x[:rate], rate)))], "path string, content binary")
+    got = [(r.path, r.hum_hz) for r in audio.hum(pcm.slow_windows(files)).collect()]
+    assert got == [("x.wav", hz)]

@@ -8,12 +8,13 @@ from ..functions.scalars import xml_text
 from ..operators import forensics, relational
 from ..registry import query, table
 
-BYTES = F.col("text").cast("binary")
+def content():
+    return F.col("text").cast("binary")
 
 
 @query("""SELECT doc_id, sha256(text) AS sha256, sha256(text) AS sha256_head10m, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents""")
 def file_fingerprint(spark, d):
-    return table(spark, d, "documents").select("doc_id", *forensics.fingerprint(BYTES))
+    return table(spark, d, "documents").select("doc_id", *forensics.fingerprint(content()))
 
 
 @query("""WITH h AS (SELECT doc_id, substr(hex(encode(text)), 1, 131072) AS h FROM documents),
@@ -22,19 +23,19 @@ c AS (SELECT doc_id, byte, count(*) AS n FROM b GROUP BY doc_id, byte),
 p AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM c)
 SELECT doc_id, round(sum(-p * log2(p)), 6) AS entropy, CASE WHEN sum(-p * log2(p)) > 7.5 THEN 'high' ELSE 'low' END AS level FROM p GROUP BY doc_id""")
 def byte_entropy(spark, d):
-    e = table(spark, d, "documents").select("doc_id", forensics.byte_entropy(BYTES).alias("e"))
+    e = table(spark, d, "documents").select("doc_id", forensics.byte_entropy(content()).alias("e"))
     return e.select("doc_id", F.round("e", 6).alias("entropy"), F.when(F.col("e") > 7.5, "high").otherwise("low").alias("level"))
 
 
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(substr(hex(encode(text)), 1, 64), '(..)', '\\1 ', 'g'), '((?:.. ){8})', '\\1 ', 'g')) AS magic_hex FROM documents""")
 def head_hex(spark, d):
-    return table(spark, d, "documents").select("doc_id", forensics.head_hex(BYTES).alias("magic_hex"))
+    return table(spark, d, "documents").select("doc_id", forensics.head_hex(content()).alias("magic_hex"))
 
 
 @query("""WITH b AS (SELECT doc_id, unnest(regexp_extract_all(substr(hex(encode(text)), 1, 8192), '..')) AS byte FROM documents)
 SELECT byte, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs FROM b GROUP BY byte""")
 def byte_histogram(spark, d):
-    h = forensics.byte_histogram(table(spark, d, "documents"), "doc_id", BYTES, 4096)
+    h = forensics.byte_histogram(table(spark, d, "documents"), "doc_id", content(), 4096)
     return h.groupBy("byte").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,7 +101,13 @@ def test_elapsed_reads_both_date_forms(spark):
     assert one(spark, classify.elapsed(F.col("a"), F.col("b")), a="junk", b="2024-01-02 00:00:00") is None
 
 
-def test_llm_is_optional():
-    import __spark_entry__ as e
-
-    assert "file_fingerprint" in e.queries() and "file_fingerprint" in e.oracle_sql()
+def test_entry_needs_no_session_and_no_llm(tmp_path):
+    """Import in a process of its own, with and without the training-data folders."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "refract", tmp_path / "refract", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    for folder in (root, tmp_path):
+        said = subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": str(folder)})
+        assert said.returncode == 0, said.stderr
+        assert min(map(int, said.stdout.split())) > 50

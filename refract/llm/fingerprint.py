@@ -15,6 +15,8 @@ SHINGLE, BIN_BITS, BITS = 5, 7, 8
 BINS = 1 << BIN_BITS
 #: Rehashes tried for an empty bin before it takes the next occupied bin round the circle.
 PROBES = 16
+#: Ranges of doc_id that documents are dealt to, at most: their bounds are literals of the plan.
+MOST_RANGES = 4096
 
 
 def _bin(x: Column) -> Column:
@@ -100,7 +102,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("okey", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("h", F.xxhash64("text"))
-    dealt, order = with_next(rows, 4 * n)
+    dealt, order = with_next(rows, min(4 * n, MOST_RANGES))
     w = Window.partitionBy("bucket").orderBy(*order)
     dealt = dealt.repartition(n, "bucket").withColumn("next", F.coalesce(F.lead("text").over(w), F.lit("")))
     half = F.floor(F.char_length("text") / 2).cast("int")

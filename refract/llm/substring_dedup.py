@@ -99,15 +99,28 @@ def _join_words(s: T.Slice, w: T.Words, keep: np.ndarray) -> tuple[bytes, np.nda
     return out.tobytes(), at[np.searchsorted(doc, np.arange(len(s.offsets)))]
 
 
-def _digest(texts: pa.Array, positions: pa.Array | None, window: int, with_text: bool) -> Iterator[tuple[int, int, int, str | None, str]]:
+def _windows(h: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both 64-bit hashes of the windows at the given starts."""
+    return tuple(T.window_hashes(h, window, b)[start].view(np.int64) if len(start) else np.zeros(0, np.int64) for b in (T.WORD_BASE, T.WORD_BASE_2))
+
+
+def _one_key(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return T.mix(one.view(np.uint64) ^ T.mix(two.view(np.uint64)))
+
+
+def _digest(texts: pa.Array, removed: pa.Array | None, window: int, with_text: bool) -> Iterator[tuple[int, int, str | None, str]]:
+    """Words, removed words, kept text and its digest; removed: lists of (one, two) of the windows that go."""
     for s in T.slices(texts):
         w = T.words(s)
         n = len(w.start)
         keep = np.ones(n, bool)
-        if positions is not None:
-            part = positions[s.row : s.row + len(s.offsets) - 1]
-            doc = np.repeat(np.arange(len(part)), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            starts = w.first[doc] + part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        if removed is not None:
+            h = T.word_hashes(s, w)
+            part = removed[s.row : s.row + len(s.offsets) - 1]
+            of = np.repeat(np.arange(len(part)), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            gone = [part.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2)]
+            at, doc = T.whole_windows(w.first, window)
+            starts = at[_pair_in(_one_key(*_windows(h, at, window)), doc, _one_key(*gone), of)]
             step = np.zeros(n + 1, np.int64)
             np.add.at(step, starts, 1)
             np.add.at(step, starts + window, -1)
@@ -162,28 +175,33 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Tr
                     hit = at[_pair_in(keys, doc, known, np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False)))]
                     start = _candidates(h, w.first, hit, window)
                     of = np.searchsorted(w.first, start, side="right") - 1
-                    offsets = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
-                    one, two = (T.window_hashes(h, window, b)[start].view(np.int64) if len(start) else np.zeros(0, np.int64) for b in (T.WORD_BASE, T.WORD_BASE_2))
-                    lists_of = lambda x, kind: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x, kind))  # noqa: E731, B023
+                    one, two = _windows(h, start, window)
+                    # A window that a document repeats is told once, so periodic texts don't make hot keys.
+                    order = np.lexsort((two, one, of))
+                    of, one, two = of[order], one[order], two[order]
+                    new = np.ones(len(of), bool)
+                    new[1:] = (of[1:] != of[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+                    of, one, two = of[new], one[new], two[new]
+                    offsets = pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [*(rows.column(c) for c in ("cls", "owner", "ztext")), lists_of((start - w.first[of]).astype(np.int32), pa.int32()), lists_of(one, pa.int64()), lists_of(two, pa.int64())],
-                        ["cls", "owner", "ztext", "at", "one", "two"],
+                        [*(rows.column(c) for c in ("cls", "owner", "ztext")), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (one, two))],
+                        ["cls", "owner", "ztext", "one", "two"],
                     )
 
     packed = squeezed(owned.select("doc_id", "cls", "text"), "doc_id", "cls")
-    near = packed.join(lists, "cls").where("doc_id = owner").mapInArrow(extend, "cls binary, owner long, ztext binary, at array<int>, one array<long>, two array<long>")
-    near = materialise(near.where("size(at) > 0"), "windows")
-    each = near.select("cls", "owner", F.explode(F.arrays_zip("at", "one", "two")).alias("w")).select("cls", "owner", "w.*")
+    near = packed.join(lists, "cls").where("doc_id = owner").mapInArrow(extend, "cls binary, owner long, ztext binary, one array<long>, two array<long>")
+    near = materialise(near.where("size(one) > 0"), "windows")
+    each = near.select("cls", "owner", F.explode(F.arrays_zip("one", "two")).alias("w")).select("cls", "owner", "w.*")
     least = each.groupBy("one", "two").agg(F.min("owner").alias("least"), F.max("owner").alias("last")).where("least < last").drop("last")
     removed = each.join(least, ["one", "two"]).where("least < owner")
-    removed = materialise(removed.groupBy("cls").agg(F.collect_set("at").alias("at")), "removed")
+    removed = materialise(removed.groupBy("cls").agg(F.collect_list(F.struct("one", "two")).alias("gone")), "removed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if "ztext" in batch.schema.names:
                 out, parts = [], list(unsqueeze(batch.column("ztext")))
                 for row, texts in parts:
-                    out += _digest(texts, batch.column("at").slice(row, len(texts)), window, with_text)
+                    out += _digest(texts, batch.column("gone").slice(row, len(texts)), window, with_text)
                 keys = ["cls"]
             else:
                 out, keys = list(_digest(batch.column("text"), None, window, with_text)), ["doc_id", "cls"]

@@ -1,38 +1,42 @@
 """Cross-entropy difference scores from matched target and background bigram models.
 
-Both models share one vocabulary, the most frequent words of all documents and one class for the rest, and
-one smoothing.  The background model counts every document, the target model those of a given set of ids.
-A document's score is the mean over its words of target loss minus background loss: the lower, the more it
-is like the target.
+Both models share one vocabulary, every word of all documents, and one smoothing.  The background model counts
+every document, the target model those of a given set of ids.  A document's score is the mean over its words of
+target loss minus background loss: the lower, the more it is like the target.
 
-Counting is a shuffle: words are counted in the tasks, packed by hash, summed by bucket; bigram counts are
-summed in slices of the matrix.  What moves grows with the corpus; the model has a fixed size.
+Counts of words and of bigrams are tables that grow with the corpus.  Bigrams of two frequent words, whose counts
+every task holds, travel packed by hash to the task that counts and scores them; those with a rarer word are rows
+that are counted, joined to the counts of their words and joined back.  How many words are held changes no result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import partitions, sorted_groups, squeezed, unsqueeze
+from .common import materialise, partitions, sorted_groups
 
-#: Words of the vocabulary; one more class, 0, stands for all others.
-VOCABULARY = 2047
+#: Frequent words whose counts every task holds (48 bytes each); the counts of all others are joined.
+HELD_WORDS = 1 << 19
+#: Target ids up to which they are broadcast; beyond, texts are shuffled to them.
+BROADCAST_IDS = 1 << 20
 #: Weights of bigram, unigram and uniform estimate.
 SMOOTHING = (0.6, 0.35, 0.05)
-#: Entries of the bigram matrix that travel as one row.
-SLICE = 1 << 16
 #: Distinct words that a task counts before it packs them.
 PACK_WORDS = 1 << 18
+#: Words that a task counts or packs at a time.
+BUNDLE = 1 << 21
+#: Stand for the start of a document and, under a given vocabulary, for all words outside of it.
+START, OTHER = np.uint64(0x5AA5C33C0FF01EE1), np.uint64(0xC33C5AA51EE10FF0)
 
 
-def top_words(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
+def top_words(docs: DataFrame, size: int) -> np.ndarray:
     """Hashes of the most frequent words of all documents, sorted; ties go to the smaller hash."""
     n = partitions(docs.sparkSession)
     buckets = 4 * n
@@ -88,117 +92,212 @@ def top_words(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
     return np.sort(np.array([r.word for r in rows], np.int64).view(np.uint64))
 
 
-def _classes(s: T.Slice, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary class of every word, and first word of each document (n + 1)."""
-    w = T.words(s)
-    h = T.word_hashes(s, w)
-    if not len(vocabulary):
-        return np.zeros(len(h), np.int64), w.first
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at + 1, 0).astype(np.int64), w.first
+def _tokens(batch: pa.RecordBatch, vocabulary: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice: words, the word before each (or START), document of each; key and hit of the documents."""
+    keys, hits = batch.column("key").to_numpy(), batch.column("hit").to_numpy()
+    for s in T.slices(batch.column("text")):
+        w = T.words(s)
+        h = T.word_hashes(s, w)
+        if vocabulary is not None:
+            at = np.minimum(np.searchsorted(vocabulary, h), max(0, len(vocabulary) - 1))
+            h = np.where(vocabulary[at] == h, h, OTHER) if len(vocabulary) else np.full(len(h), OTHER)
+        n = np.diff(w.first)
+        before = np.concatenate(([START], h[:-1])) if len(h) else h
+        before[w.first[:-1][n > 0]] = START
+        rows = slice(s.row, s.row + len(n))
+        yield h, before, np.repeat(np.arange(len(n)), n), keys[rows], hits[rows]
 
 
-def _pairs(c: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell (previous class, class) of every word, the start of a document being class ``size``; its document."""
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    before = np.concatenate(([size], c[:-1])) if len(c) else c
-    before[first[:-1][np.diff(first) > 0]] = size
-    return before * size + c, doc
+def _count_words(docs: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
+    """word, b, t (how often it occurs in all and in target documents), cb, ct (and before another word); START has a row."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
 
-def bigram_counts(docs: DataFrame, target: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """Counts (2, size + 1, size): of all documents, and of those whose doc_id is in target."""
-    size = len(vocabulary) + 1
-    cells = (size + 1) * size
-    wanted = target.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("of")).distinct().withColumn("hit", F.lit(1))
-    packed = squeezed(docs, "doc_id")
-    # One strategy at every size: a sort-merge join splits a skewed side and spills.
-    rows = packed.join(wanted.hint("merge"), packed.doc_id == wanted.of, "left").select("ztext", F.coalesce("hit", F.lit(0)).alias("hit"))
+        def emit():
+            word, before, hit = (np.concatenate(x) for x in zip(*held))
+            all_, at = np.unique(np.concatenate((word, before)), return_inverse=True)
+            w, c = at[: len(word)], at[len(word) :]
+            counts = [np.bincount(i, weights=x, minlength=len(all_)).astype(np.int64) for i in (w, c) for x in (None, hit)]
+            return pa.RecordBatch.from_arrays([pa.array(all_.view(np.int64)), *map(pa.array, counts)], ["word", "b", "t", "cb", "ct"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, cells), np.int64)
-        for batch in batches:
-            hit = batch.column("hit").to_numpy()
-            for row, texts in unsqueeze(batch.column("ztext")):
-                for s in T.slices(texts):
-                    pair, doc = _pairs(*_classes(s, vocabulary), size)
-                    mine = hit[row + s.row : row + s.row + len(s.offsets) - 1] == 1
-                    np.add.at(total[0], pair, 1)
-                    np.add.at(total[1], pair[mine[doc]], 1)
-        for lo in range(0, cells, SLICE):
-            part = total[:, lo : lo + SLICE]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([lo // SLICE], pa.int32()), pa.array([zlib.compress(part.astype(np.uint32).tobytes(), 1)], pa.binary())], ["part", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
         for batch in batches:
-            for part, data in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
-                if part != now:
-                    if total is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "counts"])
-                    now, total = part, 0
-                total = total + np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "counts"])
-
-    kinds = "part int, counts binary"
-    summed = rows.mapInArrow(count, kinds).repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(add, kinds)
-    out = np.zeros((2, cells), np.int64)
-    for r in summed.toLocalIterator():
-        part = np.frombuffer(zlib.decompress(r.counts), np.int64).reshape(2, -1)
-        out[:, r.part * SLICE : r.part * SLICE + part.shape[1]] = part
-    return out.reshape(2, size + 1, size)
-
-
-def losses(counts: np.ndarray, smoothing: tuple[float, float, float] = SMOOTHING) -> np.ndarray:
-    """Loss in nats of every class after every class (and after the start), in the same shape as counts."""
-    two, one, zero = smoothing
-    context, word = counts.sum(axis=1, keepdims=True), counts.sum(axis=0)
-    unigram = word / max(1, word.sum())
-    bigram = counts / np.maximum(context, 1)
-    flat = 1 / counts.shape[1]
+            for h, before, doc, _, hits in _tokens(batch, vocabulary):
+                if len(h):
+                    held.append((h, before, hits[doc]))
+                    rows += len(h)
+                if rows > BUNDLE:
+                    yield emit()
+                    held, rows = [], 0
+        if held:
+            yield emit()
+
+    parts = docs.mapInArrow(count, "word long, b long, t long, cb long, ct long")
+    return parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("b", "t", "cb", "ct")))
+
+
+def _probability(two, context, one, total: int, size: int, where):
+    """Smoothed chance of a word: two of context bigrams, one of total words, one of size words; numbers or columns."""
+    a, b, c = SMOOTHING
+    if not total:
+        return two * 0 + 1.0 / size
     # Contexts that were never seen leave the bigram's weight to the unigram.
-    p = np.where(context > 0, two * bigram, two * unigram) + one * unigram + zero * flat
-    if not word.sum():
-        p = np.full(counts.shape, flat)
-    return -np.log(p)
+    return where(context > 0, a * two / where(context > 0, context, 1), a * one / total) + b * one / total + c / size
+
+
+def _held_losses(docs: DataFrame, vocabulary: np.ndarray | None, shared, totals: tuple[int, int], size: int) -> DataFrame:
+    """key, n, target, background: words and summed losses of the documents' bigrams of held words.
+
+    A task holds the packed bigrams of one bucket and the counts of its distinct bigrams.
+    """
+    n = partitions(docs.sparkSession)
+    buckets = 4 * n
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=1)
+        words = shared.value[0]
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = docs = 0
+
+        def emit():
+            pair, doc, keys, hits = (np.concatenate(x) for x in zip(*held))
+            bucket = (T.mix(pair) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((pair, bucket))
+            pair, doc, bucket = pair[order], doc[order], bucket[order]
+            edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist()
+            for lo, hi in zip(edge, [*edge[1:], len(pair)]):
+                ids, index = np.unique(doc[lo:hi], return_inverse=True)
+                parts = (np.array([len(ids), hi - lo]), keys[ids], hits[ids].astype(np.uint8), (pair[lo:hi] >> np.uint64(32)).astype(np.uint32), pair[lo:hi].astype(np.uint32), index.astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[lo])], pa.int32()), pa.array([tool.compress(b"".join(x.tobytes() for x in parts))], pa.binary())], ["bucket", "payload"])
+
+        for batch in batches:
+            for h, before, doc, keys, hits in _tokens(batch, vocabulary):
+                i, j = (np.minimum(np.searchsorted(words, x), len(words) - 1) for x in (before, h))
+                known = (words[i] == before) & (words[j] == h)
+                if known.any():
+                    held.append(((i[known].astype(np.uint64) << np.uint64(32)) | j[known].astype(np.uint64), doc[known] + docs, keys, hits))
+                    rows, docs = rows + int(known.sum()), docs + len(keys)
+                if rows > BUNDLE:
+                    yield from emit()
+                    held, rows, docs = [], 0, 0
+        if held:
+            yield from emit()
+
+    def open_(tool, payload):
+        data = tool.decompress(payload)
+        m, k = np.frombuffer(data, np.int64, 2)
+        at = 16 + 9 * m
+        high, low, index = (np.frombuffer(data, np.uint32, k, at + x * 4 * k) for x in range(3))
+        return (high.astype(np.uint64) << np.uint64(32)) | low, index, np.frombuffer(data, np.int64, m, 16), np.frombuffer(data, np.uint8, m, 16 + 8 * m)
+
+    def count(pairs, counts):
+        pairs, at = np.unique(np.concatenate(pairs), return_inverse=True)
+        return pairs, np.stack([np.bincount(at, weights=np.concatenate(x), minlength=len(pairs)) for x in zip(*counts)])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdDecompressor()
+        _, b, t, cb, ct = shared.value
+        sums: list[tuple[np.ndarray, ...]] = []
+        rows = 0
 
+        def emit():
+            keys, at = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+            n_, target, background = (np.bincount(at, weights=np.concatenate(x)) for x in list(zip(*sums))[1:])
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n_.astype(np.int64)), pa.array(target), pa.array(background)], ["key", "n", "target", "background"])
+
+        for group in sorted_groups(batches, ["bucket"]):
+            payloads = group["payload"]
+            pairs, counts, size_ = [], [], 0
+            for x in payloads:
+                pair, index, _, hits = open_(tool, x.as_buffer())
+                edge = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+                pairs.append(pair[edge])
+                counts.append((np.diff(np.concatenate((edge, [len(pair)]))), np.add.reduceat(hits[index].astype(np.int64), edge)))
+                size_ += len(edge)
+                if size_ > BUNDLE:
+                    pairs, counts = ([x] for x in count(pairs, counts))
+                    size_ = 0
+            pairs, counts = count(pairs, counts)
+            i, j = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            target = -np.log(_probability(counts[1], ct[i], t[j], totals[1], size, np.where))
+            background = -np.log(_probability(counts[0], cb[i], b[j], totals[0], size, np.where))
+            for x in payloads:
+                pair, index, keys, _ = open_(tool, x.as_buffer())
+                at = np.searchsorted(pairs, pair)
+                sums.append((keys, *(np.bincount(index, weights=y, minlength=len(keys)) for y in (None, target[at], background[at]))))
+                rows += len(keys)
+                if rows > BUNDLE:
+                    yield emit()
+                    sums, rows = [], 0
+        if sums:
+            yield emit()
+
+    packed = docs.mapInArrow(pack, "bucket int, payload binary")
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(score, "key long, n long, target double, background double")
+
+
+def _rare_losses(docs: DataFrame, vocabulary: np.ndarray | None, shared, words: DataFrame, totals: tuple[int, int], size: int) -> DataFrame:
+    """The same of the bigrams with a word that isn't held, by joins with the counts of words and bigrams."""
 
-def score_documents(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value[0]
+        for batch in batches:
+            for h, before, doc, keys, hits in _tokens(batch, vocabulary):
+                i, j = (np.minimum(np.searchsorted(held, x), len(held) - 1) for x in (before, h))
+                rare = np.flatnonzero((held[i] != before) | (held[j] != h))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[doc[rare]]), pa.array(before[rare].view(np.int64)), pa.array(h[rare].view(np.int64)), pa.array(hits[doc[rare]])], ["key", "before", "word", "hit"]
+                )
+
+    rows = materialise(docs.mapInArrow(emit, "key long, before long, word long, hit int"), "bigrams")
+    pairs = rows.groupBy("before", "word").agg(F.count(F.lit(1)).alias("n2"), F.sum("hit").alias("t2"))
+    pairs = pairs.join(words.select("word", "b", "t").hint("merge"), "word").join(words.select(F.col("word").alias("before"), "cb", "ct").hint("merge"), "before")
+    where = lambda c, x, y: F.when(c, x).otherwise(y)
+    loss = [(-F.log(_probability(F.col(two), F.col(context), F.col(one), total, size, where))).alias(name) for two, context, one, total, name in (("t2", "ct", "t", totals[1], "target"), ("n2", "cb", "b", totals[0], "background"))]
+    scored = rows.join(pairs.select("before", "word", *loss).hint("merge"), ["before", "word"])
+    return scored.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def score_documents(docs: DataFrame, target: DataFrame, vocabulary: int | None = None, held: int = HELD_WORDS) -> DataFrame:
     """Cross-entropy difference of every document.
 
     Rows: one per input row, with doc_id, n_words, target_loss and background_loss (mean nats a word) and
     score (their difference).
 
+    * vocabulary: where given, only so many most frequent words count by themselves and all others as one;
     * null text or a text without words: n_words 0, losses and score null;
     * null doc_id: scored, never a target; ids of ``target`` that aren't documents count for nothing; an empty
       target gives a uniform target model; rows that repeat a doc_id are counted and scored each;
     * other columns are not read; an empty table gives an empty result.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = top_words(own, vocabulary)
-    counts = bigram_counts(own, target, words)
-    size = len(words) + 1
-    tables = np.stack([losses(counts[1]).ravel(), losses(counts[0]).ravel()]).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((words, tables))  # (vocabulary + 2) ** 2 * 8 bytes
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tables = shared.value
+    spark = docs.sparkSession
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # Losses depend on the text only: equal texts share a key.
+    own = own.withColumn("key", F.xxhash64("text"))
+    top = None if vocabulary is None else top_words(own, vocabulary)
+    wanted = target.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("of")).distinct().withColumn("mark", F.lit(1))
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = own.join(F.broadcast(wanted) if few else wanted.hint("merge"), F.col("doc_id") == F.col("of"), "left").select("key", "text", F.coalesce("mark", F.lit(0)).alias("hit"))
+    words = materialise(_count_words(rows, top), "words")
+    sums = words.agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum(F.when(F.col("b") > 0, 1)).alias("n")).first()
+    totals, size = (sums.b or 0, sums.t or 0), max(1, sums.n or 0) if top is None else len(top) + 1
+    start = int(START.view(np.int64))
+    common = words.where(F.col("word") != start).orderBy(F.desc("b"), "word").limit(held).union(words.where(F.col("word") == start)).toPandas().astype("int64")
+    if not len(common):
+        common.loc[0] = [start, 0, 0, 0, 0]
+    order = np.argsort(common.word.to_numpy().view(np.uint64))
+    shared = spark.sparkContext.broadcast((common.word.to_numpy().view(np.uint64)[order], *(common[c].to_numpy()[order] for c in ("b", "t", "cb", "ct"))))
+    whole = [F.sum(c).alias(c) for c in ("n", "target", "background")]
+    # Written one after the other, so their shuffle files don't lie on disk together.
+    common_ = materialise(_held_losses(rows, top, shared, totals, size).groupBy("key").agg(*whole), "held")
+    rare = _rare_losses(rows, top, shared, words, totals, size)
+    losses = materialise(common_.union(rare).groupBy("key").agg(*whole), "losses")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, means = [], []
-            for s in T.slices(batch.column("text")):
-                c, first = _classes(s, words)
-                pair, doc = _pairs(c, first, size)
-                n = np.diff(first)
-                n_words.append(n)
-                means.append([np.bincount(doc, weights=t[pair], minlength=len(n)) / np.maximum(n, 1) for t in tables])
-            n = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-            mean = np.concatenate(means, axis=1) if means else np.zeros((2, 0))
-            none = n == 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(x, mask=none) for x in (mean[0], mean[1], mean[0] - mean[1]))],
-                ["doc_id", "n_words", "target_loss", "background_loss", "score"],
-            )
-
-    return own.mapInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+            n = [np.diff(T.words(s).first) for s in T.slices(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["doc_id", "key", "n_words"])
+
+    found = own.mapInArrow(measure, "doc_id long, key long, n_words long").join(losses.hint("merge"), "key", "left")
+    return found.select("doc_id", "n_words", (F.col("target") / F.col("n")).alias("target_loss"), (F.col("background") / F.col("n")).alias("background_loss"), ((F.col("target") - F.col("background")) / F.col("n")).alias("score"))

@@ -141,6 +141,39 @@ def test_scores_equal_brute_force(spark, corpus):
         assert row.score == pytest.approx(loss[0] - loss[1], abs=1e-4)
 
 
+@pytest.mark.parametrize("held", [0, 30, 1 << 19])
+def test_scores_tell_all_words_apart(spark, held):
+    """More words than any fixed vocabulary would hold, each with its own counts, however many words a task holds."""
+    r = random.Random(4)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.3)) % 6000}" for _ in range(r.choice([0, 1, 30, 200])))) for i in range(120)]
+    rows += [(None, rows[5][1]), (5, "another text of 5"), (7, rows[7][1]), (200, None), *((i, f"seldom{i} common seldom{i}") for i in range(300, 3000))]
+    target = {i for i, _ in rows if i is not None and i % 3 == 0}
+    got = lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in target], "doc_id long"), held=held).collect()
+    size = len({w for _, t in rows for w in words(t)})
+    assert size > 2047
+    tables = []
+    for inside in (lambda i: i in target, lambda i: True):
+        two, context, one = Counter(), Counter(), Counter()
+        for i, t in rows:
+            if inside(i):
+                w = ["<s>", *words(t)]
+                two.update(zip(w, w[1:]))
+                context.update(w[:-1])
+                one.update(w[1:])
+        tables.append((two, context, one, sum(one.values())))
+    a, b, c = lm_score.SMOOTHING
+    want = Counter()
+    for i, t in rows:
+        w = ["<s>", *words(t)]
+        loss = [0.0, 0.0]
+        for k, (two, context, one, n) in enumerate(tables):
+            for u, v in zip(w, w[1:]):
+                loss[k] -= math.log((a * two[u, v] / context[u] if context[u] else a * one[v] / n) + b * one[v] / n + c / size)
+        m = len(w) - 1
+        want[i, m, *((round(x / m, 6) if m else None) for x in (*loss, loss[0] - loss[1]))] += 1
+    assert Counter((x.doc_id, x.n_words, *(None if v is None else round(v, 6) for v in (x.target_loss, x.background_loss, x.score))) for x in got) == want
+
+
 def test_scores_of_empty_tables(spark, empty):
     none = spark.createDataFrame([], "doc_id long")
     assert lm_score.score_documents(empty, none).count() == 0

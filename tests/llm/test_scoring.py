@@ -242,6 +242,19 @@ def test_main_text(spark):
     assert got == {1: "One & two A bold word here Next", 2: "Other Text line", 3: "Third Body", 4: "No article here é", 5: "", 6: "plain < text & more", 7: "Cut of"}
 
 
+def test_main_text_of_a_host_with_mixed_templates(spark):
+    bodies = {
+        "<article><p>A post</p></article><div><p>Below the post</p></div>": "A post",
+        "<main><p>A main page</p></main><div><p>Below main</p></div>": "A main page",
+        '<div><p>A plain page</p></div><ul><li><a href="/x">Just a link</a></li></ul>': "A plain page",
+        '<section class="comments"><p>Reader says</p></section><div><p>A plain page too</p></div>': "A plain page too",
+    }
+    rows = [(100 * k + i, url, page(body)) for k, url in enumerate(["http://m.example/x", None]) for i, body in enumerate([*bodies] * 2)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = [*bodies.values()] * 2
+    assert got == {i: want[i % 100] for i, *_ in rows}
+
+
 def test_pages_equal_their_articles(spark):
     import re
 

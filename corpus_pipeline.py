@@ -11,9 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refract.llm.common import release, shared_folder
+from refract.llm.common import materialise, release, shared_folder
 from refract.llm.decontaminate import contaminated
-from refract.llm.jaccard_join import near_duplicates
+from refract.llm.jaccard_join import near_duplicates, text_key
 from refract.llm.language_id import UNDETERMINED, identify
 from refract.llm.mixing import mix_sources
 from refract.llm.substring_dedup import dedup_substrings
@@ -29,11 +29,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each connected group of near copies; rows without an id stay."""
+    """One row of each connected group of near copies, of the smallest doc_id and text; rows without an id or words stay."""
     release(spark)
-    classes = near_duplicates(docs.select("doc_id", "text"))
-    dropped = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    rest = docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    keys = ["doc_id", "text_key"]
+    found = near_duplicates(docs.select("doc_id", "text")).where("doc_id IS NOT NULL AND n_shingles > 0")
+    counted = materialise(found.groupBy(*keys).agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n")).where("NOT first OR n > 1"), "copies")
+    keyed = docs.select(*COLUMNS).withColumn("text_key", text_key("text"))
+    rest = keyed.join(counted, keys, "left_anti")
+    repeated = counted.where("first")
+    if not repeated.isEmpty():
+        rest = rest.unionByName(keyed.join(repeated, keys, "left_semi").dropDuplicates(keys))
     return rest.select(*COLUMNS)
 
 

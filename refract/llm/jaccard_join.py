@@ -115,22 +115,27 @@ def _roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> n
         root = new
 
 
+def text_key(text: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Connected groups of texts whose shingle sets have a Jaccard similarity of 4/5 at least.
 
     Rows: one per input row, with doc_id, n_shingles (distinct), copy_of (smallest doc_id with the same
     shingles), class_id (smallest doc_id of the connected group), n_links (other documents linked to it,
-    copies included), n_text_links (different shingle sets linked to it).
+    copies included), n_text_links (different shingle sets linked to it), text_key (hash of the text), first
+    (whether doc_id and text_key are the smallest of the connected group).
 
     * null text and texts without words have no shingles and no links, each is its own class; a text of one
       to four words has one shingle, all its words;
     * rows with a null doc_id are returned without class and links nothing; rows that repeat a doc_id are
-      documents of that id each: a class counts rows;
+      documents of that id each, with the links of their own text: a class counts rows;
     * other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     depth = prefix_depth(threshold[0] / threshold[1])
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", text_key("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,28 +145,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
                 n = len(keys)
                 one, two = (_per_document(T.mix(h ^ np.uint64(x)), first, np.add, 0).view(np.int64) for x in (0x1F3D5B79, 0x2468ACE1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, TREES * n + 1, TREES, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.row, n), pa.array(np.diff(first).astype(np.int64)), pa.array(one), pa.array(two), lists], ["doc_id", "n", "one", "two", "keys"])
-
-    rows = materialise(base.mapInArrow(sketch, "doc_id long, n long, one long, two long, keys array<long>"), "signatures")
-    sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("one", "two", "n").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("docs"))
-    firsts = rows.join(sets.select("one", "two", "n", "owner"), ["one", "two", "n"]).where("doc_id = owner").select("owner", F.explode(F.array_distinct("keys")).alias("key"))
-    hubs = firsts.groupBy("key").agg(F.min("owner").alias("hub"), F.max("owner").alias("last")).where("hub < last").drop("last")
-    stars = firsts.join(hubs, "key").where("hub < owner").select("owner", "hub").distinct()
-    cells = components(stars, "owner", "hub")  # node, root
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.row, n), batch.column("text_key").slice(s.row, n), pa.array(np.diff(first).astype(np.int64)), pa.array(one), pa.array(two), lists], ["doc_id", "text_key", "n", "one", "two", "keys"])
+
+    rows = materialise(base.mapInArrow(sketch, "doc_id long, text_key long, n long, one long, two long, keys array<long>"), "signatures")
+    # A class is a shingle set, known by its digest: a doc_id can be the smallest of several.
+    rows = rows.withColumn("class", F.xxhash64("one", "two", "n"))
+    owner = F.min(F.struct("doc_id", "text_key"))
+    sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(owner.alias("least"), F.count(F.lit(1)).alias("docs"))
+    sets = sets.select("class", F.col("least.doc_id").alias("owner"), F.col("least.text_key").alias("owner_key"), "docs")
+    firsts = rows.join(sets.drop("docs"), "class").where("doc_id = owner AND text_key = owner_key").select("class", F.explode(F.array_distinct("keys")).alias("key"))
+    hubs = firsts.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").drop("last")
+    stars = firsts.join(hubs, "key").where("hub < class").select("class", "hub").distinct()
+    cells = components(stars, "class", "hub")  # node, root
     sizes = cells.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    members = materialise(cells.join(sizes, "root").select(F.col("node").alias("owner"), "root", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "cells")
-    members = members.join(sets.groupBy("owner").agg(F.max("docs").alias("docs")), "owner")
-    packed = squeezed(base.where("doc_id IS NOT NULL"), "doc_id")
-    block = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("blocks")).cast("int")
-    dealt = packed.join(members, packed.doc_id == members.owner).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("owner", "docs", "ztext", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    members = materialise(cells.join(sizes, "root").select(F.col("node").alias("class"), "root", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "cells")
+    members = members.join(sets, "class")
+    packed = squeezed(base.where("doc_id IS NOT NULL"), "doc_id", "text_key")
+    block = F.pmod(F.xxhash64("class", F.lit(9)), F.col("blocks")).cast("int")
+    dealt = packed.join(members, (packed.doc_id == members.owner) & (packed.text_key == members.owner_key)).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("class", "docs", "ztext", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, ["root", "lo", "hi"]):
-            ids, docs_, block_ = (t[c].to_numpy() for c in ("owner", "docs", "block"))
+            ids, docs_, block_ = (t[c].to_numpy() for c in ("class", "docs", "block"))
             lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
             texts = [x for _, part in unsqueeze(t["ztext"].combine_chunks()) for x in part]
-            ids, at = np.unique(ids, return_index=True)  # repeated rows of an id: any of its texts will do, see below
+            ids, at = np.unique(ids, return_index=True)  # repeated rows have the same doc_id and text
             docs_, block_ = docs_[at], block_[at]
             h, first = _sets(next(T.slices(pa.array([texts[i].as_py() for i in at], pa.binary()), 1 << 40)), shingle)
             found = [h[first[i] : first[i + 1]] for i in range(len(ids))]
@@ -179,23 +188,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
                 n_texts[right] += hit.sum(axis=0)
             root = _roots(hit, left, right, len(ids))
             some = np.flatnonzero(n_texts)
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ids, n_links, n_texts, ids[root])], ["owner", "n_links", "n_text_links", "hub"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ids, n_links, n_texts, ids[root])], ["class", "n_links", "n_text_links", "hub"])
 
     n = partitions(spark)
     verified = materialise(
-        dealt.repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(verify, "owner long, n_links long, n_text_links long, hub long"), "links"
+        dealt.repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(verify, "class long, n_links long, n_text_links long, hub long"), "links"
     )
-    groups = components(verified.where("hub < owner").select("owner", "hub").distinct(), "owner", "hub")
-    counts = verified.groupBy("owner").agg(F.sum("n_links").alias("n_links"), F.sum("n_text_links").alias("n_text_links"))
-    classes = sets.join(counts, "owner", "left").join(groups.withColumnRenamed("node", "owner"), "owner", "left")
-    found = rows.select("doc_id", "n", "one", "two").join(classes, ["one", "two", "n"], "left")
+    groups = components(verified.where("hub < class").select("class", "hub").distinct(), "class", "hub")
+    counts = verified.groupBy("class").agg(F.sum("n_links").alias("n_links"), F.sum("n_text_links").alias("n_text_links"))
+    joined = groups.withColumnRenamed("node", "class").join(sets, "class")
+    heads = joined.groupBy("root").agg(F.min(F.struct("owner", "owner_key")).alias("head"))
+    heads = joined.join(heads, "root").select("class", "head")
+    classes = sets.join(counts, "class", "left").join(heads, "class", "left").withColumn("head", F.coalesce("head", F.struct("owner", "owner_key")))
+    found = rows.select("doc_id", "text_key", "n", "class").join(classes, "class", "left")
     known = F.col("doc_id").isNotNull()
     zero = F.lit(0).cast("long")
     return found.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(known, F.coalesce("owner", "doc_id")).alias("copy_of"),
-        F.when(known, F.coalesce("root", "owner", "doc_id")).alias("class_id"),
+        F.when(known, F.coalesce("head.owner", "doc_id")).alias("class_id"),
         F.when(known, F.coalesce("n_links", zero) + F.coalesce(F.col("docs") - 1, zero)).otherwise(zero).alias("n_links"),
         F.when(known, F.coalesce("n_text_links", zero)).otherwise(zero).alias("n_text_links"),
+        "text_key",
+        F.coalesce((F.col("doc_id") == F.col("head.owner")) & (F.col("text_key") == F.col("head.owner_key")), F.lit(True)).alias("first"),
     )

@@ -168,6 +168,42 @@ def test_a_large_group_of_near_copies(spark):
     assert got == brute_links(rows)
 
 
+def repeated_rows():
+    """Ids that several texts share: near copies, clean texts, exactly repeated rows, and rows without an id or words."""
+    r = random.Random(3)
+    text = lambda mark: " ".join(f"{mark}{r.randrange(900)}" for _ in range(60))
+    near = lambda t: t + " edited"
+    a, b, c, d, e = (text(x) for x in "abcde")
+    return [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, c), (4, c), (5, d), (2, e), (6, near(e)), (6, near(a) + " twice"), (None, a), (7, ""), (7, None), (5, near(d)), (8, near(c)), (8, near(c)), (9, " ".join(c.split()))]
+
+
+def test_jaccard_of_repeated_ids_equals_brute_force(spark):
+    rows = repeated_rows()
+    by_row = {i: t for i, (k, t) in enumerate(rows) if k is not None}
+    want = Counter({(None, len(shingles(t)), None, 0): 1 for k, t in rows if k is None})
+    brute = {i: (n, root, links) for i, n, root, links in brute_links(by_row.items())}
+    for i, (n, root, links) in brute.items():
+        group = [rows[j][0] for j in brute if brute[j][1] == root]
+        want[rows[i][0], n, min(group), links] += 1
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.class_id, r.n_links) for r in got) == want
+
+
+def test_near_copies_keep_one_row_of_each_group(spark):
+    from corpus_pipeline import near_copies
+
+    rows = repeated_rows()
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in near_copies(spark, docs, "").collect())
+    brute = {i: root for i, _, root, _ in brute_links([(i, t) for i, (k, t) in enumerate(rows) if k is not None and words(t)])}
+    assert sum(got.values()) == len(set(brute.values())) + 3
+    for root in set(brute.values()):
+        group = [rows[i] for i in brute if brute[i] == root]
+        kept = [x for x in set(group) if got[x]]
+        assert len(kept) == 1 and got[kept[0]] == 1 and kept[0][0] == min(i for i, _ in group)
+    assert got[None, rows[0][1]] == got[7, ""] == got[7, None] == 1
+
+
 def test_prefix_depth_meets_its_recall():
     d = prefix_depth(0.8)
     assert 1 - (1 - 0.8**d) ** 24 >= 0.99999

@@ -1,36 +1,71 @@
 """A training-data pipeline over documents: each stage keeps or changes rows, the last weighs them.
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.
-Between stages the result is written as Parquet and read again.
+Between stages the result is written as Parquet and read again, so when a stage starts, the scratch tables of
+the pipeline's stage before it are no longer needed and go; those of other queries aren't touched.
+
+Every stage: an empty table gives an empty result; columns other than those of documents are dropped; rows that
+repeat others are documents of their own unless the stage says otherwise.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refract.llm.common import materialise, release, shared_folder
+from refract.llm.common import Scratch, delete, materialise, shared_folder
 from refract.llm.decontaminate import contaminated
 from refract.llm.jaccard_join import near_duplicates, text_key
-from refract.llm.language_id import UNDETERMINED, identify
+from refract.llm.language_id import UNDETERMINED, fit, identify
 from refract.llm.mixing import mix_sources
 from refract.llm.substring_dedup import dedup_substrings
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of the least score of a learned document below which a language isn't told.
+LEAST_SCORE = 0.5
 
+_scratch = Scratch()
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told from their text; null or letterless texts go."""
-    release(spark)
-    kept = identify(docs.select(*COLUMNS), ("text", "lang", "source", "n_chars"))
-    return kept.where(F.col("lang_pred") != UNDETERMINED).select(*COLUMNS)
+
+def _stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _scratch.delete(spark)
+        with _scratch:
+            return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@_stage
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told from their text.
+
+    Rejected: null and letterless texts, and texts that score under half of what the least certain document
+    scores that the model was learned from: they share next to no n-grams with any learned language.
+    * where nothing can be learned (no lang, no lettered text) all lettered texts stay;
+    * null doc_id, lang or source: judged by the text like others; repeated rows are judged alike.
+    """
+    own = docs.select(*COLUMNS)
+    model = fit(own)
+    if model is None:
+        return own.where(F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
+    told = identify(own, ("text", "lang", "source", "n_chars"), model)
+    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE * model.least)).select(*COLUMNS)
+
+
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each connected group of near copies, of the smallest doc_id and text; rows without an id or words stay."""
-    release(spark)
+    """One row of each connected group of near copies, of the smallest doc_id and text.
+
+    * rows without an id or words stay;
+    * of exactly repeated rows one stays; rows that repeat an id with other texts are judged by their own text;
+    * ties of doc_id go to the smaller text key.
+    """
     keys = ["doc_id", "text_key"]
     found = near_duplicates(docs.select("doc_id", "text")).where("doc_id IS NOT NULL AND n_shingles > 0")
     counted = materialise(found.groupBy(*keys).agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n")).where("NOT first OR n > 1"), "copies")
@@ -42,9 +77,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rest.select(*COLUMNS)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 50-word passages that a smaller doc_id has; a document that loses all words goes."""
-    release(spark)
+    """Texts without the 50-word passages that a smaller doc_id has; a document that loses all words goes.
+
+    * rows that lose nothing keep their text as it is, null texts too; others get their kept words, joined by
+      one space, and the new n_chars;
+    * null doc_id: kept whole; rows that repeat an id are judged against smaller ids only.
+    """
     cut = dedup_substrings(docs.select("doc_id", "text")).where("n_removed > 0").select(F.col("doc_id").alias("of"), F.col("cls").alias("of_cls"), "kept_text").dropDuplicates(["of", "of_cls"])
     cls = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = docs.select(*COLUMNS).withColumn("cls", cls).join(cut, (F.col("doc_id") == F.col("of")) & (F.col("cls") == F.col("of_cls")), "left")
@@ -53,16 +93,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return joined.where("of IS NULL OR kept_text <> ''").select("doc_id", text.alias("text"), "lang", "source", n.alias("n_chars"))
 
 
+@_stage
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    release(spark)
+    """Documents that contain no benchmark item.
+
+    * null doc_id or text: kept; of rows that repeat an id, all go when the text of one contains an item.
+    """
     leaks = contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.select(*COLUMNS).join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document."""
-    release(spark)
+    """Words that the mix takes of each document; null source is a source, null text has size 0."""
     return mix_sources(docs.select("doc_id", "source", "text"))
 
 
@@ -76,13 +119,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
+    """All stages over the table documents; only the last stage's table is left when it returns."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
+    _scratch.delete(spark)
     return docs
 
 

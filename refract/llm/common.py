@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,44 +18,78 @@ FOLD_ROWS = 1 << 21
 #: Keys that a mapper packs before it hands them to the shuffle.
 PACK_ROWS = 1 << 19
 
-_written: list[str] = []
+#: Has Spark delete the shuffle files of a write when it ends; a session that doesn't know the setting keeps them longer.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_owner: ContextVar[Scratch | None] = ContextVar("owner", default=None)
+
+
+class Scratch:
+    """Owns the scratch tables that are written while it is entered, and only those; ``delete`` removes them.
+
+    Results are lazy, so delete after they are written.  Tables written without an owner go when the driver ends.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self._tokens: list = []
+
+    def __enter__(self) -> Scratch:
+        self._tokens.append(_owner.set(self))
+        return self
+
+    def __exit__(self, *_) -> None:
+        _owner.reset(self._tokens.pop())
+
+    def delete(self, spark: SparkSession) -> None:
+        while self.paths:
+            delete(spark, self.paths.pop())
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, system = _file_system(spark, path)
+    system.delete(at, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests), a temporary one of this driver."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where it is unset, a local run (tests) gets a temporary folder of its own, and a cluster an error: a
+    folder of one machine would lose what the executors of others write.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, free: bool = True) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here.
-
-    free: have Spark's cleaner delete the shuffle files that nothing refers to any more.
-    """
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends here, and shuffle files go."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    if free:
-        # The cleaner acts on collected references; those that Python held are let go a moment later.
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-        spark._jvm.System.gc()
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
+    if (owner := _owner.get()) is not None:
+        owner.paths.append(path)
+    at, system = _file_system(spark, path)
+    system.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables written so far; call it when results that read them are written."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(hadoop).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -58,10 +58,10 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Landmark presence bits, weights on landmark kernels, languages."""
+    """Landmark presence bits, weights on landmark kernels, languages; least: the least score of a learned row."""
 
-    def __init__(self, bits: np.ndarray, weights: np.ndarray, languages: list[str]):
-        self.bits, self.weights, self.languages = bits, weights, languages
+    def __init__(self, bits: np.ndarray, weights: np.ndarray, languages: list[str], least: float = 0.0):
+        self.bits, self.weights, self.languages, self.least = bits, weights, languages, least
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         marks = unit(np.unpackbits(self.bits, axis=1, count=DIM))
@@ -70,7 +70,7 @@ class Model:
 
 def fit(docs: DataFrame) -> Model | None:
     """Learn from the text and lang of documents that aren't held out: at most PER_LANGUAGE rows of a
-    language and TRAIN_ROWS in all, those whose ids have the least hashes."""
+    language and TRAIN_ROWS in all, those whose ids have the least hashes; of an id that is repeated one row."""
     usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     rank = F.xxhash64(F.col("doc_id"), F.lit(5)).alias("rank")
     ids = usable.select("doc_id", "lang", rank).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id")))
@@ -85,10 +85,11 @@ def fit(docs: DataFrame) -> Model | None:
                 rows = batch.slice(s.row, len(bits))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())], ["doc_id", "lang", "bits"])
 
-    sample = usable.where(F.col("doc_id").isin(chosen)).select("doc_id", "lang", "text").mapInArrow(features, "doc_id long, lang string, bits binary").collect()
+    # An id that many rows repeat gives one of them.
+    found = usable.where(F.col("doc_id").isin(chosen)).select("doc_id", "lang", "text").mapInArrow(features, "doc_id long, lang string, bits binary")
+    sample = found.groupBy("doc_id").agg(F.min(F.struct("lang", "bits")).alias("x")).select("doc_id", "x.*").collect()
     place = {d: i for i, d in enumerate(chosen)}
-    sample.sort(key=lambda r: (place[r.doc_id], r.lang, r.bits))
-    sample = sample[:TRAIN_ROWS]
+    sample.sort(key=lambda r: place[r.doc_id])
     languages = sorted({r.lang for r in sample})
     bits = np.stack([np.frombuffer(r.bits, np.uint8) for r in sample])
     x = unit(np.unpackbits(bits, axis=1, count=DIM))
@@ -105,10 +106,11 @@ def fit(docs: DataFrame) -> Model | None:
     goal = (y[:, None] == np.arange(len(languages))).astype(float)
     left = phi.T @ (phi * weight[:, None]) + RIDGE * len(y) * np.eye(phi.shape[1])
     right = phi.T @ (goal * weight[:, None])
-    return Model(bits[:marks], (root @ np.linalg.solve(left, right)).astype(np.float32), languages)
+    solved = np.linalg.solve(left, right)
+    return Model(bits[:marks], (root @ solved).astype(np.float32), languages, float((phi @ solved).max(axis=1).min()))
 
 
-def identify(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, keep: tuple[str, ...] = (), model: Model | None = None) -> DataFrame:
     """Predict the language of every document from its text alone.
 
     Rows: one per input row, with doc_id, held_out, lang_pred, score (0 to 1) and the columns in ``keep``.
@@ -116,8 +118,10 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     * null text or a text without a letter: ``und``, score 0; so too for every row if nothing can be learned;
     * null doc_id: not held out and not learned from; null lang: not learned from; ties go to the first language;
     * repeated rows are predicted alike; an empty table gives an empty result; other columns are not read.
+
+    model: one that was fitted before; else it is fitted here.
     """
-    model = fit(docs)
+    model = model or fit(docs)
     kept = [c for c in keep if c != "doc_id"]
     kinds = dict(docs.dtypes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").alias("__text"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("__letters"), *kept)

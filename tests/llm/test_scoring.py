@@ -6,6 +6,7 @@ import hashlib
 import html as html_
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from refract.llm import chat_format, decontaminate, lm_score
 from refract.llm.fingerprint import fingerprint_edits
-from refract.llm.html_wrapper import align, extract_main_text, fold
+from refract.llm.html_wrapper import combine, extract_main_text, infer_wrappers, parse
 from refract.llm.language_id import UNDETERMINED, identify
 from refract.llm.mixing import mix_sources, split, targets
 
@@ -256,8 +257,6 @@ def test_main_text_of_a_host_with_mixed_templates(spark):
 
 
 def test_pages_equal_their_articles(spark):
-    import re
-
     p = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: (r.text, r.n_chars) for r in extract_main_text(p).collect()}
     for r in p.collect():
@@ -268,9 +267,61 @@ def test_pages_equal_their_articles(spark):
     assert extract_main_text(p.limit(0)).count() == 0
 
 
+def wrapper(*bodies):
+    out = None
+    for b in bodies:
+        out = combine(out, parse(b))
+    return re.sub(r"'[0-9a-f]+'", "''", out.pattern()).removeprefix("<page>").removesuffix("</>")
+
+
 def test_wrapper_algebra():
-    assert fold(["a", "a", "a", "b", "c", "b", "c"]) == ["a+", "(b c)+"]
-    assert align(["h", "p+", "x"], ["h", "p", "q", "x"]) == ["h", "p+", "q?", "x"]
+    assert wrapper("<p>a</p>", "<p>b</p>") == "<p>#</>"  # a text slot
+    assert wrapper("<p>a</p>", "<p>a</p>") == "<p>''</>"  # fixed text
+    assert wrapper("<p>a</p>", "<p>b</p><p>c</p><p>d</p>") == "<p>#</>+"  # repeated
+    assert wrapper("<h1>a</h1><p>b</p>", "<h1>c</h1><ul><li>x</ul><p>d</p>") == "<h1>#</> <ul><li>''</></>? <p>#</>"  # optional
+    assert wrapper("<dl><dt>a<dd>b</dl>".replace("<dd>", "</dt><dd>"), "<dl><dt>c</dt><dd>d</dd><dt>e</dt><dd>f</dd></dl>") == "<dl>(<dt>#</> <dd>#</>)+</>"
+    assert wrapper("<p>Welcome</p><p>a</p>", "<p>Welcome</p><p>b</p><p>c</p>") == "<p>''</> <p>#</>+"  # a fixed text beside slots of its path
+    assert wrapper("<p>Hello</p><div>1</div>", "<div>2</div><p>Hello</p>", "<p>Hello</p>") == "<div>''</>? <p>''</> <div>''</>?"  # anchored by the fixed text
+
+
+def test_wrappers_of_wrappers_are_wrappers():
+    r = random.Random(8)
+    body = lambda: "<h1>T" + str(r.random()) + "</h1>" + "".join(r.choice(["<p>{}</p>", "<p>{}</p>", "<ul><li>{}</li></ul>"]).format(r.random()) for _ in range(r.randint(1, 6))) + "<div>Fixed</div>"
+    trees = [parse(body()) for _ in range(24)]
+    one = two = None
+    for x in trees:
+        one = combine(one, x)
+    for k in range(0, 24, 6):
+        part = None
+        for x in trees[k : k + 6]:
+            part = combine(part, x)
+        two = combine(two, part)
+    for w in (one, two):
+        assert w.pages == 24 and w.items[-1].pages == 24 and w.items[-1].sig == trees[0].items[-1].sig and len(w.items) < 25
+
+
+def test_alignment_tells_template_from_text_of_the_same_path(spark):
+    """Welcome strings, link lists and texts lie in the same elements: a set of paths couldn't tell them apart."""
+    r = random.Random(9)
+    prose = lambda: " ".join(f"w{r.randrange(500)}" for _ in range(30))
+    texts = [[prose() for _ in range(r.randint(1, 4))] for _ in range(12)]
+    rows = [(i, "http://plain.example/x", f'<body><div><p>Welcome to our shop</p>{"".join(f"<p>{t}</p>" for t in x)}<p>All prices in euro</p><p><a href="/{i}">Next {i}</a></p></div></body>') for i, x in enumerate(texts)]
+    rows += [(100 + i, "http://few.example/x", f"<div><p>Welcome</p><p>{i}</p></div>") for i in range(2)]  # too few pages for a template
+    rows += [(200, "http://copies.example/x", "<p>Same text</p>")] * 5 + [(201 + i, "http://copies.example/y", f"<p>Other {i}</p>") for i in range(3)]  # copies are one page
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("host", F.lit("x")).withColumn("wrapper", F.lit(2)).repartition(3)
+    got = Counter((x.page_id, x.text) for x in extract_main_text(df).collect())
+    want = Counter({(i, " ".join(x)): 1 for i, x in enumerate(texts)})
+    want += Counter({(100 + i, f"Welcome {i}"): 1 for i in range(2)}) + Counter({(200, "Same text"): 5}) + Counter({(201 + i, f"Other {i}"): 1 for i in range(3)})
+    assert got == want
+    assert infer_wrappers(df.selectExpr("'a' AS host", "html")).count() == 1
+
+
+def test_odd_pages(spark):
+    long = "<body>" + "".join(f"<p>line {i % 7}</p>" for i in range(20_000)) + "<div>" * 20_000 + "deep" + "<b>" * 5000 + "end"
+    rows = [(1, "http://h/", long), (None, "http://h/", "<p>no id"), (2, None, None), (3, "::", "<"), (4, "http://h/", "<!-- <p>gone"), (5, "http://h/", "<p>a" + "\U0001f600" + "&#x1F600;&bogus;")]
+    got = {x.page_id: (x.text, x.n_chars) for x in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got[1][0].split()) == 40_001 and got[1][0].endswith("line 0 deepend")
+    assert got[None][0] == "no id" and got[2] == ("", 0) and got[3][0] == "<" and got[4] == ("", 0) and got[5] == ("a\U0001f600\U0001f600&bogus;", 10)
 
 
 def test_rotation(spark):

@@ -1,11 +1,21 @@
 """N-gram Jaccard join by a MinHash LSH forest, verified exactly.
 
-Texts with the same set of five-word shingles are one class.  Each class has a signature of TREES prefix
-tries of DEPTH minima.  Two classes match in a trie if they share a prefix; the prefix starts at full depth
-and is shortened until the chance that a pair at the threshold shares none falls below 1 - RECALL.
-Classes that match, directly or over others, form a cell.  Within a cell every pair is verified on its
-shingles: cells are cut into blocks by a hash, and a task counts the links of one pair of blocks by matrix
-products, so a group of thousands of near copies costs counts, not rows for all its pairs.
+Texts with the same set of five-word shingles are one class.  Each class has a place in TREES tries: its key
+there is DEPTH minima of 16 bits, so keys in sorted order are the leaves of the trie in order.
+
+* Matches are looked for from the deepest prefix upwards.  A node at which the chance that a pair at the
+  threshold shares no such node falls to 1 - RECALL is the floor: nobody goes above it.  The classes below a
+  floor node that share its most frequent full key are matched first, with one of them, the hub.
+* The prefix of a class that is close to the hub isn't shortened any further.  The others below the node are
+  read in the order of the trie, each is compared with the leaders so far and is close to one or a leader.
+* Close is by all minima of both, so classes that merely share a frequent phrase don't meet.  If two classes
+  are linked, the later of them in any shared node is at most one link further from the leader of the earlier
+  than that one, and the wider radius joins them: nothing that shares a node is lost but by sampling error.
+
+Classes so joined form cells.  A cell is verified on its shingles: every set is written as its difference to
+that of the cell's hub, and for the differences A and B of two sets, whose sizes aren't in question,
+|a & b| = |hub| - |a lost| - |b lost| + |A & B|.  Differences of near copies are short; they meet in blocks,
+where links are counted by matrix products, so a group of thousands costs counts and not rows for its pairs.
 """
 
 from __future__ import annotations
@@ -23,13 +33,15 @@ from .components import components
 
 SHINGLE, THRESHOLD = 5, (4, 5)
 TREES, DEPTH, RECALL = 24, 8, 0.99999
-#: Classes that a block has about.
-BLOCK = 192
+#: Estimated similarities from which a class is close to a leader, or joined with it.
+CLOSE, JOINED = 0.75, 0.4
+#: Classes and compressed text bytes that a block has about.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Shingles that one matrix product covers.
 COLUMNS = 4096
 
 
-def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+def floor_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
     """The longest prefix at which a pair of the given similarity shares one with the wanted chance."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
@@ -56,47 +68,75 @@ def _per_document(values: np.ndarray, first: np.ndarray, f, empty) -> np.ndarray
     return out
 
 
-def signatures(h: np.ndarray, first: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
-    """Documents x trees: hash of the depth-long prefix of each trie."""
-    out = np.empty((len(first) - 1, trees), np.uint64)
+def signatures(h: np.ndarray, first: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> np.ndarray:
+    """Documents x trees x depth: 16 bits of each minimum, big-endian, so that keys sort as bytes."""
+    out = np.empty((len(first) - 1, trees * depth), ">u2")
     seeds = T.mix(np.arange(1, trees * depth + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)) | np.uint64(1)
-    for t in range(trees):
-        key = np.full(len(first) - 1, t + 1, np.uint64)
-        for d in range(depth):
-            seed = seeds[t * depth + d]
-            x = h * seed
-            x ^= x >> np.uint64(31)
-            x *= np.uint64(0x9FB21C651E98DF25)
-            key = T.mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + _per_document(x, first, np.minimum, 0))
-        out[:, t] = key
-    return out
+    some = np.flatnonzero(np.diff(first))
+    low = np.zeros(len(first) - 1, np.uint64)
+    for k, seed in enumerate(seeds):
+        x = h * seed
+        x ^= x >> np.uint64(31)
+        if len(some):
+            low[some] = np.minimum.reduceat(x, first[some])
+        out[:, k] = (T.mix(low) >> np.uint64(48)).astype(np.uint16)
+    return out.reshape(-1, trees, depth)
+
+
+def _minima(column) -> np.ndarray:
+    """Rows x minima from a binary column of signatures."""
+    return np.frombuffer(b"".join(x.as_py() for x in column), ">u2").astype(np.uint16).reshape(len(column), -1)
+
 
+def lead(keys: np.ndarray, classes: np.ndarray, minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class, leader) for the classes below one node: each with the leaders before it in trie order that it joins.
 
-def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
-    """Whether sets left[i] and right[j] have a Jaccard similarity of threshold[0] / threshold[1] at least."""
-    size = np.array([len(x) for x in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), size)
-    column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    The state of a node is one row for each leader, however many classes are close to it.
+    """
+    order = np.lexsort((classes, keys))
+    leaders: list[int] = []
+    marks = np.empty((16, minima.shape[1]), np.uint16)
+    found: list[tuple[int, int]] = []
+    for i in order:
+        like = (marks[: len(leaders)] == minima[i]).mean(axis=1) if leaders else np.zeros(0)
+        found += [(i, leaders[k]) for k in np.flatnonzero(like >= JOINED)]
+        if not (like >= CLOSE).any():
+            if len(leaders) == len(marks):
+                marks = np.concatenate((marks, np.empty_like(marks)))
+            marks[len(leaders)] = minima[i]
+            leaders.append(i)
+    pair = np.array(found, np.int64).reshape(-1, 2)
+    return classes[pair[:, 0]], classes[pair[:, 1]]
+
+
+def links(diffs: list[np.ndarray], size: np.ndarray, lost: np.ndarray, hub: int, left: np.ndarray, right: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """Whether sets left[i] and right[j] have a Jaccard similarity of threshold[0] / threshold[1] at least.
+
+    diffs: shingles that a set and the hub's don't share; lost: how many of them are the hub's; hub: its size.
+    """
+    n = np.array([len(x) for x in diffs], np.int64)
+    owner = np.repeat(np.arange(len(diffs)), n)
+    column = np.unique(np.concatenate(diffs), return_inverse=True)[1] if n.sum() else np.zeros(0, np.int64)
     common = np.bincount(column)[column] > 1
     column, owner = np.unique(column[common], return_inverse=True)[1], owner[common]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     both = np.zeros((len(left), len(right)), np.float32)
-    place = [np.full(len(sets), -1) for _ in range(2)]
+    place = [np.full(len(diffs), -1) for _ in range(2)]
     place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
     last = int(column[-1]) + 1 if len(column) else 0
     for lo in range(0, last, COLUMNS):
         a, b = np.searchsorted(column, (lo, lo + COLUMNS))
         m = []
-        for at, n in zip(place, (len(left), len(right))):
-            part = np.zeros((n, min(COLUMNS, last - lo)), np.float32)
+        for at, k in zip(place, (len(left), len(right))):
+            part = np.zeros((k, min(COLUMNS, last - lo)), np.float32)
             row = at[owner[a:b]]
             part[row[row >= 0], column[a:b][row >= 0] - lo] = 1
             m.append(part)
         both += m[0] @ m[1].T
-    both = np.rint(both).astype(np.int64)
-    union = size[left][:, None] + size[right][None, :] - both
-    return (threshold[1] * both >= threshold[0] * union) & (union > 0)
+    same = hub - lost[left][:, None] - lost[right][None, :] + np.rint(both).astype(np.int64)
+    union = size[left][:, None] + size[right][None, :] - same
+    return (threshold[1] * same >= threshold[0] * union) & (union > 0)
 
 
 def _roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -119,6 +159,43 @@ def text_key(text: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
+def _cells(firsts: DataFrame) -> DataFrame:
+    """node, root: cells of the classes (class, sig) that the forest joins."""
+    depth = floor_depth(THRESHOLD[0] / THRESHOLD[1])
+    n = partitions(firsts.sparkSession)
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    leaf = F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})")
+    rows = firsts.select("class", "sig", tree).select("class", "tree", leaf.alias("key")).withColumn("node", F.xxhash64("tree", F.substring("key", 1, 2 * depth)))
+    # Map-side sums: full keys first, then the nodes above them.
+    leaves = rows.groupBy("node", "key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("least"))
+    nodes = leaves.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", F.struct("least"))).alias("most")).where("n > 1").select("node", F.col("most.col2.least").alias("hub"))
+    met = materialise(rows.join(nodes, "node").where("class <> hub").select("node", "key", "class", "hub"), "matches")
+    sigs = firsts.select(F.col("class").alias("of"), "sig")
+    pairs = met.select("class", "hub").distinct()
+    pairs = pairs.join(sigs.withColumnRenamed("sig", "a"), F.col("class") == F.col("of")).drop("of").join(sigs.withColumnRenamed("sig", "b"), F.col("hub") == F.col("of")).drop("of")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                like = (_minima(batch.column("a")) == _minima(batch.column("b"))).mean(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("hub"), pa.array(like)], ["class", "hub", "likeness"])
+
+    known = materialise(pairs.mapInArrow(compare, "class long, hub long, likeness double"), "hubs")
+    far = met.join(known.where(f"likeness < {CLOSE}").select("class", "hub"), ["class", "hub"])
+    # A node with one class left has no other pair.
+    more = far.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    far = far.join(more, "node").select("node", "key", "class").join(sigs, F.col("class") == F.col("of")).drop("of")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, ["node"]):
+            a, b = lead(np.array(t["key"].to_pylist()), t["class"].to_numpy(), _minima(t["sig"]))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["class", "hub"])
+
+    rest = far.repartition(n, "node").sortWithinPartitions("node", "key").mapInArrow(walk, "class long, hub long")
+    edges = known.where(f"likeness >= {JOINED}").select("class", "hub").union(rest).distinct()
+    return components(edges, "class", "hub")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Connected groups of texts whose shingle sets have a Jaccard similarity of 4/5 at least.
 
@@ -134,50 +211,83 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
     * other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    depth = prefix_depth(threshold[0] / threshold[1])
+    n = partitions(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", text_key("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in T.slices(batch.column("text")):
                 h, first = _sets(s, shingle)
-                keys = signatures(h, first, depth)
-                n = len(keys)
+                keys = signatures(h, first)
+                m = len(keys)
                 one, two = (_per_document(T.mix(h ^ np.uint64(x)), first, np.add, 0).view(np.int64) for x in (0x1F3D5B79, 0x2468ACE1))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, TREES * n + 1, TREES, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.row, n), batch.column("text_key").slice(s.row, n), pa.array(np.diff(first).astype(np.int64)), pa.array(one), pa.array(two), lists], ["doc_id", "text_key", "n", "one", "two", "keys"])
+                sig = pa.array([k.tobytes() for k in keys], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.row, m), batch.column("text_key").slice(s.row, m), pa.array(np.diff(first).astype(np.int64)), pa.array(one), pa.array(two), sig], ["doc_id", "text_key", "n", "one", "two", "sig"])
 
-    rows = materialise(base.mapInArrow(sketch, "doc_id long, text_key long, n long, one long, two long, keys array<long>"), "signatures")
+    rows = materialise(base.mapInArrow(sketch, "doc_id long, text_key long, n long, one long, two long, sig binary"), "signatures")
     # A class is a shingle set, known by its digest: a doc_id can be the smallest of several.
     rows = rows.withColumn("class", F.xxhash64("one", "two", "n"))
     owner = F.min(F.struct("doc_id", "text_key"))
-    sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(owner.alias("least"), F.count(F.lit(1)).alias("docs"))
-    sets = sets.select("class", F.col("least.doc_id").alias("owner"), F.col("least.text_key").alias("owner_key"), "docs")
-    firsts = rows.join(sets.drop("docs"), "class").where("doc_id = owner AND text_key = owner_key").select("class", F.explode(F.array_distinct("keys")).alias("key"))
-    hubs = firsts.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").drop("last")
-    stars = firsts.join(hubs, "key").where("hub < class").select("class", "hub").distinct()
-    cells = components(stars, "class", "hub")  # node, root
-    sizes = cells.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    members = materialise(cells.join(sizes, "root").select(F.col("node").alias("class"), "root", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "cells")
-    members = members.join(sets, "class")
+    sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(owner.alias("least"), F.count(F.lit(1)).alias("docs"), F.first("sig").alias("sig"))
+    sets = materialise(sets.select("class", F.col("least.doc_id").alias("owner"), F.col("least.text_key").alias("owner_key"), "docs", "sig"), "classes")
+    cells = materialise(_cells(sets.select("class", "sig")), "cells")  # node, root
+    sets = sets.drop("sig")
+
+    # The texts of the cells, once; a cell's root, its hub here, goes to all parts of the cell.
+    members = cells.withColumnRenamed("node", "class").join(sets, "class")
     packed = squeezed(base.where("doc_id IS NOT NULL"), "doc_id", "text_key")
-    block = F.pmod(F.xxhash64("class", F.lit(9)), F.col("blocks")).cast("int")
-    dealt = packed.join(members, (packed.doc_id == members.owner) & (packed.text_key == members.owner_key)).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("class", "docs", "ztext", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    texts = packed.join(members, (packed.doc_id == members.owner) & (packed.text_key == members.owner_key)).dropDuplicates(["class"]).select("class", "docs", "root", "ztext")
+    texts = materialise(texts, "texts")
+    sizes = texts.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("ztext")).alias("bytes"))
+    sizes = sizes.select("root", F.greatest(F.ceil(F.col("m") / BLOCK), F.least("m", F.ceil(F.col("bytes") / BLOCK_BYTES))).cast("int").alias("blocks"))
+    texts = texts.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("class", F.lit(9)), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    hubs = texts.where("class = root").drop("block").withColumn("block", every).withColumn("hub", F.lit(1))
+    parts = texts.withColumn("hub", F.lit(0)).unionByName(hubs)
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: tuple[int, int] | None = None
+        hub = np.zeros(0, np.uint64)
+        for batch in batches:
+            at, names = 0, [batch.column(c).to_pylist() for c in ("root", "block", "hub")]
+            for row, unpacked in unsqueeze(batch.column("ztext")):
+                for s in T.slices(unpacked):
+                    h, first = _sets(s, shingle)
+                    out: list[tuple] = []
+                    for i in range(len(first) - 1):
+                        at = row + s.row + i
+                        own = h[first[i] : first[i + 1]]
+                        if names[2][at]:
+                            root, hub = (names[0][at], names[1][at]), own
+                            continue
+                        assert root == (names[0][at], names[1][at]), "the hub comes first in its block"
+                        diff = np.setxor1d(own, hub, assume_unique=True)
+                        out.append((at, len(own), (len(diff) + len(hub) - len(own)) // 2, len(hub), diff.view(np.int64)))
+                    if out:
+                        pick, size, lost, hub_size, diffs = zip(*out)
+                        offsets = pa.array(np.concatenate(([0], np.cumsum([len(d) for d in diffs]))).astype(np.int32))
+                        kept = batch.take(pa.array(pick))
+                        yield pa.RecordBatch.from_arrays(
+                            [*(kept.column(c) for c in ("class", "docs", "root", "blocks", "block")), *(pa.array(x, pa.int64()) for x in (size, lost, hub_size)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(diffs)))],
+                            ["class", "docs", "root", "blocks", "block", "size", "lost", "hub_size", "diff"],
+                        )
+
+    kinds = "class long, docs long, root long, blocks int, block int, size long, lost long, hub_size long, diff array<long>"
+    parts = parts.repartition(n, "root", "block").sortWithinPartitions("root", "block", F.desc("hub"))
+    diffs = materialise(parts.select("class", "docs", "root", "blocks", "block", "hub", "ztext").mapInArrow(differ, kinds), "differences")
+    dealt = diffs.withColumn("other", every).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, ["root", "lo", "hi"]):
-            ids, docs_, block_ = (t[c].to_numpy() for c in ("class", "docs", "block"))
+            ids, docs_, block_, size, lost = (t[c].to_numpy() for c in ("class", "docs", "block", "size", "lost"))
             lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-            texts = [x for _, part in unsqueeze(t["ztext"].combine_chunks()) for x in part]
-            ids, at = np.unique(ids, return_index=True)  # repeated rows have the same doc_id and text
-            docs_, block_ = docs_[at], block_[at]
-            h, first = _sets(next(T.slices(pa.array([texts[i].as_py() for i in at], pa.binary()), 1 << 40)), shingle)
-            found = [h[first[i] : first[i + 1]] for i in range(len(ids))]
+            lists = t["diff"].combine_chunks()
+            values, first = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            found = [values[first[i] : first[i + 1]] for i in range(len(ids))]
             left, right = np.flatnonzero(block_ == lo), np.flatnonzero(block_ == hi)
             if not len(left) or not len(right):
                 continue
-            hit = links(found, left, right, threshold)
+            hit = links(found, size, lost, int(t["hub_size"][0].as_py()), left, right, threshold)
             if lo == hi:
                 np.fill_diagonal(hit, False)
             n_links, n_texts = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
@@ -190,7 +300,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
             some = np.flatnonzero(n_texts)
             yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ids, n_links, n_texts, ids[root])], ["class", "n_links", "n_text_links", "hub"])
 
-    n = partitions(spark)
     verified = materialise(
         dealt.repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(verify, "class long, n_links long, n_text_links long, hub long"), "links"
     )

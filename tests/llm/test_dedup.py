@@ -12,7 +12,7 @@ import pytest
 
 from refract.llm.common import shared_keys
 from refract.llm.components import components
-from refract.llm.jaccard_join import near_duplicates, prefix_depth
+from refract.llm.jaccard_join import floor_depth, lead, near_duplicates, signatures
 from refract.llm.substring_dedup import cover_for, dedup_substrings, difference_cover
 from refract.llm.suffix_dedup import dedup_bytes, induce
 
@@ -204,9 +204,63 @@ def test_near_copies_keep_one_row_of_each_group(spark):
     assert got[None, rows[0][1]] == got[7, ""] == got[7, None] == 1
 
 
-def test_prefix_depth_meets_its_recall():
-    d = prefix_depth(0.8)
-    assert 1 - (1 - 0.8**d) ** 24 >= 0.99999
+def test_floor_depth_meets_its_recall():
+    d = floor_depth(0.8)
+    assert 1 - (1 - 0.8**d) ** 24 >= 0.99999 > 1 - (1 - 0.8 ** (d + 1)) ** 24
+
+
+def test_leaders_join_whatever_is_linked():
+    """Chains of sets, each at 0.8 to the next: any two linked sets below a node end in one group, unlike sets don't."""
+    r = np.random.default_rng(5)
+    sets, chain = [], []
+    for c in range(6):
+        pool = list(r.integers(1, 1 << 62, 300, dtype=np.uint64))
+        for k in range(12):
+            sets.append(np.sort(np.array(pool[12 * k : 12 * k + 120], np.uint64)))
+            chain.append(c)
+    first = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    minima = signatures(np.concatenate(sets), first).reshape(len(sets), -1).astype(np.uint16)
+    keys = np.array([x.tobytes() for x in minima[:, :8].astype(">u2")])
+    a, b = lead(keys, np.arange(len(sets)), minima)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in zip(a, b):
+        assert chain[x] == chain[y]
+        root[find(x)] = find(y)
+    for c in range(6):
+        assert len({find(i) for i in range(len(sets)) if chain[i] == c}) == 1
+
+
+def test_a_shared_phrase_makes_no_cell(spark):
+    """Texts that are half boilerplate share nodes, but links are only between the near copies among them."""
+    r = random.Random(11)
+    phrase = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([*phrase, *(f"t{r.randrange(10**6)}" for _ in range(60))])) for i in range(150)]
+    rows += [(500 + i, rows[i][1] + " more") for i in range(0, 150, 3)]
+    got = {(x.doc_id, x.n_shingles, x.class_id, x.n_links) for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_links(rows)
+
+
+def test_cells_of_many_blocks(spark, monkeypatch):
+    """A group over several blocks: links within and between blocks are all counted."""
+    from refract.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.randrange(3)):
+            w[r.randrange(90)] = f"x{r.randrange(30)}"
+        rows.append((i, " ".join(w)))
+    got = {(x.doc_id, x.n_shingles, x.class_id, x.n_links) for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_links(rows)
 
 
 def test_components_of_chains_and_stars(spark):

@@ -1,8 +1,8 @@
 """Document fingerprints by one-permutation MinHash, in DataFrame functions only.
 
 Every shingle of five words is hashed once.  The top bits of the hash choose one of ``bins`` bins and the
-least hash of a bin is its value; an empty bin borrows from an occupied one, found by rehashing its own
-number (optimal densification).  The low ``BITS`` bits of each value are kept as two hex digits, and
+least hash of a bin is its value; an empty bin borrows from the first occupied one in a random order of bins
+that belongs to its own number (optimal densification).  The low ``BITS`` bits of each value are kept as two hex digits, and
 likeness takes out the share of agreements that low bits have by chance.
 """
 
@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 SHINGLE, BIN_BITS, BITS = 5, 7, 8
 BINS = 1 << BIN_BITS
-#: Rehashes tried for an empty bin before it takes the next occupied bin round the circle.
+#: Bins that an empty bin probes by number; then the rest of its probing order is taken at once.
 PROBES = 16
-#: Ranges of doc_id that documents are dealt to, at most: their bounds are literals of the plan.
-MOST_RANGES = 4096
+#: Parts, by the hash of the text, of the rows of a doc_id that many rows repeat (null among them).
+PARTS_BITS = 8
 
 
 def _bin(x: Column) -> Column:
@@ -38,10 +40,12 @@ def with_values(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(c, first)
     df = df.withColumn(d, F.struct(F.transform(c, _bin).alias("bin"), F.transform(c, lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")).alias("low")))
     df = df.withColumn(a, _dense(d))
+    # The probing order of bin i: PROBES rehashes of i, then all bins by the hash of i and the bin; both are
+    # the same for every text, and one of the latter is always occupied.
     tries = lambda i: [F.get(a, F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(PROBES)]
-    later = lambda i: F.array_min(F.filter(F.col(d)["bin"], lambda x: x > i))
-    around = lambda i: F.get(a, F.coalesce(later(i), F.array_min(F.col(d)["bin"])))
-    full = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(F.get(a, i), *tries(i), around(i)))
+    order = lambda i: F.transform(F.arrays_zip(F.col(d)["bin"].alias("bin"), F.col(d)["low"].alias("low")), lambda x: F.struct(F.xxhash64(i, F.lit(PROBES), x["bin"]).alias("rank"), x["low"].alias("low")))
+    rest = lambda i: F.array_min(order(i))["low"]
+    full = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(F.get(a, i), *tries(i), rest(i)))
     return df.withColumn(out, F.when(F.size(F.col(d)["bin"]) > 0, full)).drop(a, b, c, d)
 
 
@@ -64,24 +68,33 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a).isNull() & F.col(b).isNull(), 1.0).when(F.col(a).isNull() | F.col(b).isNull(), 0.0).otherwise(score)
 
 
-def with_next(docs: DataFrame, buckets: int) -> tuple[DataFrame, list[str]]:
+def with_next(docs: DataFrame, ranges: int) -> tuple[DataFrame, list[str]]:
     """Rows dealt to ranges of doc_id, each range closed by a copy (ghost) of the first row that follows it.
 
-    One shuffle of the texts; the driver sees one id for each range.
+    One shuffle of the texts.  The driver sees the bounds, an id for each range; a row finds its range among
+    them in two steps of the square root of their number.  An id that holds more than a range's share of the
+    rows repeats among the bounds; its rows are parted further by their hash, which is their order as well.
     """
-    ids = docs.select("okey", "h")
-    cuts = ids.agg(F.percentile_approx("okey", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else []
-    cuts = sorted(set(cuts or []))
-    array = F.array(*map(F.lit, cuts)).cast("array<bigint>")
-    bucket = F.size(F.filter(array, lambda c: c < F.col("okey")))
-    firsts = sorted((r.bucket, r.least.okey, r.least.h) for r in ids.groupBy(bucket.alias("bucket")).agg(F.min(F.struct("okey", "h")).alias("least")).collect())
-    own = docs.withColumn("bucket", bucket).withColumn("ghost", F.lit(0))
-    if not firsts:
-        return own, ["ghost", "okey", "h"]
-    before = {(okey, h): firsts[i - 1][0] for i, (_, okey, h) in enumerate(firsts)}
-    keys = F.create_map(*(x for (okey, h), b in before.items() for x in (F.lit(f"{okey} {h}"), F.lit(b))))
-    ghosts = docs.where(F.col("okey").isin([k for k, _ in before])).withColumn("bucket", F.try_element_at(keys, F.concat_ws(" ", F.col("okey").cast("string"), F.col("h").cast("string"))))
-    return own.unionByName(ghosts.where("bucket IS NOT NULL").withColumn("ghost", F.lit(1))), ["ghost", "okey", "h"]
+    bounds = docs.agg(F.percentile_approx("okey", [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges))).first()[0] if ranges > 1 else []
+    bounds = bounds or []
+    cuts = sorted(set(bounds))
+    heavy = sorted({a for a, b in zip(bounds, bounds[1:]) if a == b})
+    step = max(1, int(len(cuts) ** 0.5))
+    literal = lambda xs: F.lit(list(xs)) if xs else F.array().cast("array<bigint>")
+    below = lambda xs: F.size(F.filter(xs, lambda c: c < F.col("okey")))
+    coarse = below(literal(cuts[step - 1 :: step])) * step
+    range_ = F.col("coarse") + below(F.slice(literal(cuts), F.col("coarse") + 1, step))
+    part = F.when(F.array_contains(literal(heavy), F.col("okey")), 1 + (1 << PARTS_BITS - 1) + F.shiftright("h", 64 - PARTS_BITS)).otherwise(0)
+    number = (F.col("range") * ((1 << PARTS_BITS) + 1) + part).alias("bucket")
+    own = docs.withColumn("coarse", coarse).withColumn("range", range_).withColumn("bucket", number).drop("coarse", "range")
+    # A row for each range: small however many documents there are.
+    firsts = materialise(own.groupBy("bucket").agg(F.min(F.struct("okey", "h")).alias("least")), "ranges")
+    last = firsts.agg(F.max("bucket")).first()[0]
+    before = F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.lit(last))
+    to = firsts.select(before.alias("to"), F.col("least.okey").alias("first_okey"), F.col("least.h").alias("first_h"))
+    ghosts = docs.join(F.broadcast(to), (F.col("okey") == F.col("first_okey")) & (F.col("h") == F.col("first_h")))
+    ghosts = ghosts.withColumn("bucket", F.col("to").cast("int")).drop("to", "first_okey", "first_h")
+    return own.withColumn("bucket", F.col("bucket").cast("int")).withColumn("ghost", F.lit(0)).unionByName(ghosts.withColumn("ghost", F.lit(1))), ["ghost", "okey", "h"]
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -102,7 +115,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("okey", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("h", F.xxhash64("text"))
-    dealt, order = with_next(rows, min(4 * n, MOST_RANGES))
+    dealt, order = with_next(rows, 4 * n)
     w = Window.partitionBy("bucket").orderBy(*order)
     dealt = dealt.repartition(n, "bucket").withColumn("next", F.coalesce(F.lead("text").over(w), F.lit("")))
     half = F.floor(F.char_length("text") / 2).cast("int")

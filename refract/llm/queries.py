@@ -34,7 +34,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from refract.llm import chat_format, decontaminate, lm_score
+from refract.llm import chat_format, decontaminate, fingerprint, lm_score, mixing
 from refract.llm.fingerprint import fingerprint_edits
 from refract.llm.html_wrapper import combine, extract_main_text, infer_wrappers, parse
 from refract.llm.language_id import UNDETERMINED, identify
@@ -75,8 +75,22 @@ def test_mix_meets_targets(spark, corpus):
         left -= sum(want[s] for s in full)
         open_ -= set(full or open_)
     assert all(target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= 1 for s in names)
-    again = {(r.doc_id, r.size, r.taken) for r in mix_sources(df.repartition(2)).collect()}
-    assert again == {(r.doc_id, r.size, r.taken) for r in got}
+    again = {(r.doc_id, r.size, r.taken, r.shard, r.position) for r in mix_sources(df.repartition(2)).collect()}
+    assert again == {(r.doc_id, r.size, r.taken, r.shard, r.position) for r in got}
+    assert {r.position for r in got} == set(range(1, len(rows) + 1))
+
+
+def test_mix_of_many_shards_and_branches(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 8)
+    monkeypatch.setattr(mixing, "BRANCH", 4)
+    r = random.Random(6)
+    rows = [(i, "w " * r.choice([0, 1, 7, 60]), "abc"[r.randrange(3)]) for i in range(300)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken = defaultdict(int)
+    for x in got:
+        taken[x.source] += x.taken
+        assert 0 <= x.taken <= 2 * x.size
+    assert len(got) == 300 and len({x.shard for x in got}) > 16 and all(abs(taken[x.source] - x.target) <= 1 for x in got)
 
 
 def test_mix_of_nothing(spark, empty):
@@ -86,10 +100,35 @@ def test_mix_of_nothing(spark, empty):
 
 
 def test_splitting_tree_is_exact():
-    sizes = [10, 0, 500, 3, 10**10, 77]
-    for quota in (0, 1, 300, sum(sizes)):
-        out = split(quota, sizes, b"x")
+    ids, sizes = [0, 1, 2, 5, 6, 7], [10, 0, 500, 3, 10**13, 77]
+    for quota in (0, 1, 300, 5 * 10**12, sum(sizes)):
+        out = split(quota, ids, sizes, 0, 8, b"x")
         assert sum(out) == quota and all(0 <= a <= b for a, b in zip(out, sizes))
+        # The tree can be split in two parts.
+        tops = split(quota, [0, 1], [sum(sizes[:3]), sum(sizes[3:])], 0, 2, b"x", 4)
+        assert split(tops[0], ids[:3], sizes[:3], 0, 4, b"x") + split(tops[1], ids[3:], sizes[3:], 4, 8, b"x") == out
+
+
+@pytest.mark.parametrize("good, bad, n", [(600, 400, 300), (5, 2000, 40), (1000, 1000, 1), (3000, 17, 2900)])
+def test_rejection_draws_the_exact_law(monkeypatch, good, bad, n):
+    monkeypatch.setattr(mixing, "NUMPY_POPULATION", 0)
+    rng = np.random.default_rng(1)
+    draws = Counter(mixing.hypergeometric(rng, good, bad, n) for _ in range(20_000))
+    chi = cells = 0.0
+    for k in range(max(0, n - bad), min(good, n) + 1):
+        want = 20_000 * math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n)
+        if want >= 5:
+            chi, cells = chi + (draws[k] - want) ** 2 / want, cells + 1
+    assert chi < cells + 5 * math.sqrt(2 * cells) + 10
+
+
+def test_huge_draws_have_the_right_spread():
+    rng = np.random.default_rng(2)
+    good, bad, n = 3 * 10**12, 10**13, 4 * 10**11
+    total = good + bad
+    spread = math.sqrt(n * good / total * bad / total * (total - n) / (total - 1))
+    z = np.array([(mixing.hypergeometric(rng, good, bad, n) - n * good / total) / spread for _ in range(4000)])
+    assert abs(z.mean()) < 0.08 and abs(z.std() - 1) < 0.06 and abs((np.abs(z) > 1.96).mean() - 0.05) < 0.015
 
 
 def test_level_of_capped_sources(spark):
@@ -202,6 +241,50 @@ def test_fingerprints_estimate_similarity(spark, corpus):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_fingerprints_equal_brute_force(spark, corpus):
+    """Bins, probing order and low bits by plain Python over Spark's own hashes."""
+    rows, _ = corpus
+    texts = sorted({r[1] for r in rows if r[1] and len(words(r[1])) < 300}) + ["a b c d e f", "one", "a b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in fingerprint_edits(df).collect()}
+    grams = [(i, *g) for i, t in enumerate(texts) if len(w := words(t)) >= 5 for g in zip(*(w[k:] for k in range(5)))]
+    whole = [(i, words(t)) for i, t in enumerate(texts) if 0 < len(words(t)) < 5]
+    hashes = defaultdict(set)
+    g = spark.createDataFrame(grams, "i long, a string, b string, c string, d string, e string")
+    for r in g.select("i", F.xxhash64(*(F.xxhash64(x) for x in "abcde")).alias("h")).collect():
+        hashes[r.i].add(r.h)
+    g = spark.createDataFrame(whole, "i long, w array<string>")
+    for r in g.select("i", F.xxhash64(F.lit(5), F.transform("w", lambda x: F.xxhash64(x))).alias("h")).collect():
+        hashes[r.i].add(r.h)
+    bins = spark.range(fingerprint.BINS).select(F.col("id").cast("int").alias("i"))
+    probes = {r[0]: r[1:] for r in bins.select("i", *(F.pmod(F.xxhash64("i", F.lit(t)), F.lit(fingerprint.BINS)) for t in range(fingerprint.PROBES))).collect()}
+    rank = {(r.i, r.j): r.h for r in bins.join(bins.withColumnRenamed("i", "j")).select("i", "j", F.xxhash64("i", F.lit(fingerprint.PROBES), "j").alias("h")).collect()}
+    for k, h in hashes.items():
+        least = {}
+        for x in h:
+            b = (x % (1 << 64)) >> (64 - fingerprint.BIN_BITS)
+            least[b] = min(x, least.get(b, x))
+        out = []
+        for i in range(fingerprint.BINS):
+            donor = next((b for b in (i, *probes[i]) if b in least), None)
+            out.append(least[min(least, key=lambda b: rank[i, b]) if donor is None else donor] % 256)  # noqa: B023
+        assert got[k] == bytes(out).hex()
+
+
+def test_fingerprints_over_many_ranges_and_repeated_ids(spark):
+    r = random.Random(13)
+    text = lambda: " ".join(f"w{r.randrange(300)}" for _ in range(r.randrange(12)))
+    rows = [(r.choice([None, 7, 7, i]), text()) for i in range(400)] + [(5, "same text")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    h = {x.text: x.h for x in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, h[x[1]]))
+    want = Counter()
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        want[i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert Counter((x.doc_id, x.n_chars, x.edited_sha256) for x in fingerprint_edits(df).collect()) == want
+
+
 def test_fingerprints_of_one_row_and_of_null_ids(spark, empty):
     assert fingerprint_edits(empty).count() == 0
     r = fingerprint_edits(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first()

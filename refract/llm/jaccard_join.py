@@ -89,21 +89,38 @@ def _minima(column) -> np.ndarray:
 
 
 def lead(keys: np.ndarray, classes: np.ndarray, minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class, leader) for the classes below one node: each with the leaders before it in trie order that it joins.
+    """(class, leader) edges that join the classes below one node, each with the leaders before it that it joins.
 
-    The state of a node is one row for each leader, however many classes are close to it.
+    Classes come in the order of the trie.  The state of a node is one row for each leader, however many classes
+    are close to it, and leaders that are joined already aren't told again: a class gives one edge at most, and
+    so does a leader.
     """
     order = np.lexsort((classes, keys))
     leaders: list[int] = []
+    root: list[int] = []
     marks = np.empty((16, minima.shape[1]), np.uint16)
     found: list[tuple[int, int]] = []
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
     for i in order:
         like = (marks[: len(leaders)] == minima[i]).mean(axis=1) if leaders else np.zeros(0)
-        found += [(i, leaders[k]) for k in np.flatnonzero(like >= JOINED)]
+        near = np.flatnonzero(like >= JOINED)
+        apart = sorted({find(k) for k in near})
+        if apart:
+            found.append((i, leaders[apart[0]]))
+            for k in apart[1:]:
+                found.append((leaders[k], leaders[apart[0]]))
+                root[k] = apart[0]
         if not (like >= CLOSE).any():
             if len(leaders) == len(marks):
                 marks = np.concatenate((marks, np.empty_like(marks)))
             marks[len(leaders)] = minima[i]
+            root.append(apart[0] if apart else len(leaders))
             leaders.append(i)
     pair = np.array(found, np.int64).reshape(-1, 2)
     return classes[pair[:, 0]], classes[pair[:, 1]]

@@ -4,9 +4,10 @@ Both models share one vocabulary, every word of all documents, and one smoothing
 every document, the target model those of a given set of ids.  A document's score is the mean over its words of
 target loss minus background loss: the lower, the more it is like the target.
 
-Counts of words and of bigrams are tables that grow with the corpus.  Bigrams of two frequent words, whose counts
-every task holds, travel packed by hash to the task that counts and scores them; those with a rarer word are rows
-that are counted, joined to the counts of their words and joined back.  How many words are held changes no result.
+Documents are dealt to bundles.  A bundle asks for the counts of its distinct words and bigrams, and says how
+often it has each; the question is dealt to buckets by hash, summed there over all bundles, and the sums go back
+in the order they were asked in.  So each distinct word or bigram of a bundle travels once each way, nothing
+is held by every task, and what travels grows with the corpus.
 """
 
 from __future__ import annotations
@@ -15,25 +16,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import materialise, partitions, sorted_groups
+from .common import materialise, partitions, sorted_groups, squeezed, unsqueeze
 
-#: Frequent words whose counts every task holds (48 bytes each); the counts of all others are joined.
-HELD_WORDS = 1 << 19
+#: Bytes of text that a bundle has about.
+BUNDLE_BYTES = 12 << 20
 #: Target ids up to which they are broadcast; beyond, texts are shuffled to them.
 BROADCAST_IDS = 1 << 20
 #: Weights of bigram, unigram and uniform estimate.
 SMOOTHING = (0.6, 0.35, 0.05)
 #: Distinct words that a task counts before it packs them.
 PACK_WORDS = 1 << 18
-#: Words that a task counts or packs at a time.
-BUNDLE = 1 << 21
 #: Stand for the start of a document and, under a given vocabulary, for all words outside of it.
 START, OTHER = np.uint64(0x5AA5C33C0FF01EE1), np.uint64(0xC33C5AA51EE10FF0)
+#: Kinds of rows of a bundle.
+PAIRS, WORDS, DOCS = 0, 1, 2
 
 
 def top_words(docs: DataFrame, size: int) -> np.ndarray:
@@ -92,49 +94,35 @@ def top_words(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([r.word for r in rows], np.int64).view(np.uint64))
 
 
-def _tokens(batch: pa.RecordBatch, vocabulary: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice: words, the word before each (or START), document of each; key and hit of the documents."""
-    keys, hits = batch.column("key").to_numpy(), batch.column("hit").to_numpy()
-    for s in T.slices(batch.column("text")):
-        w = T.words(s)
-        h = T.word_hashes(s, w)
-        if vocabulary is not None:
-            at = np.minimum(np.searchsorted(vocabulary, h), max(0, len(vocabulary) - 1))
-            h = np.where(vocabulary[at] == h, h, OTHER) if len(vocabulary) else np.full(len(h), OTHER)
-        n = np.diff(w.first)
-        before = np.concatenate(([START], h[:-1])) if len(h) else h
-        before[w.first[:-1][n > 0]] = START
-        rows = slice(s.row, s.row + len(n))
-        yield h, before, np.repeat(np.arange(len(n)), n), keys[rows], hits[rows]
+def _tokens(t: pa.Table, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the documents of a bundle: words, the word before each (or START), document of each, words of each."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for row, texts in unsqueeze(t["ztext"].combine_chunks()):
+        for s in T.slices(texts):
+            w = T.words(s)
+            h = T.word_hashes(s, w)
+            if vocabulary is not None:
+                at = np.minimum(np.searchsorted(vocabulary, h), max(0, len(vocabulary) - 1))
+                h = np.where(vocabulary[at] == h, h, OTHER) if len(vocabulary) else np.full(len(h), OTHER)
+            n = np.diff(w.first)
+            before = np.concatenate(([START], h[:-1])) if len(h) else h
+            before[w.first[:-1][n > 0]] = START
+            held.append((h, before, row + s.row + np.repeat(np.arange(len(n)), n), n))
+    return tuple(np.concatenate(x) for x in zip(*held))
 
 
-def _count_words(docs: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
-    """word, b, t (how often it occurs in all and in target documents), cb, ct (and before another word); START has a row."""
+def _bigrams(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return T.mix(before * np.uint64(0x9FB21C651E98DF25) + word)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
 
-        def emit():
-            word, before, hit = (np.concatenate(x) for x in zip(*held))
-            all_, at = np.unique(np.concatenate((word, before)), return_inverse=True)
-            w, c = at[: len(word)], at[len(word) :]
-            counts = [np.bincount(i, weights=x, minlength=len(all_)).astype(np.int64) for i in (w, c) for x in (None, hit)]
-            return pa.RecordBatch.from_arrays([pa.array(all_.view(np.int64)), *map(pa.array, counts)], ["word", "b", "t", "cb", "ct"])
+def _pack(tool: zstandard.ZstdCompressor, *columns: np.ndarray) -> bytes:
+    """64-bit columns, byte by byte, so that small numbers are small."""
+    return tool.compress(b"".join(c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns))
 
-        for batch in batches:
-            for h, before, doc, _, hits in _tokens(batch, vocabulary):
-                if len(h):
-                    held.append((h, before, hits[doc]))
-                    rows += len(h)
-                if rows > BUNDLE:
-                    yield emit()
-                    held, rows = [], 0
-        if held:
-            yield emit()
 
-    parts = docs.mapInArrow(count, "word long, b long, t long, cb long, ct long")
-    return parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("b", "t", "cb", "ct")))
+def _unpack(tool: zstandard.ZstdDecompressor, payload, columns: int) -> np.ndarray:
+    data = np.frombuffer(tool.decompress(payload), np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(data.transpose(0, 2, 1)).view(np.uint64)[:, :, 0]
 
 
 def _probability(two, context, one, total: int, size: int, where):
@@ -146,120 +134,81 @@ def _probability(two, context, one, total: int, size: int, where):
     return where(context > 0, a * two / where(context > 0, context, 1), a * one / total) + b * one / total + c / size
 
 
-def _held_losses(docs: DataFrame, vocabulary: np.ndarray | None, shared, totals: tuple[int, int], size: int) -> DataFrame:
-    """key, n, target, background: words and summed losses of the documents' bigrams of held words.
+def _questions(vocabulary: np.ndarray | None, buckets: int):
+    """From documents by bundle: (kind, bucket, bundle, payload), the keys of a bucket in order and their counts."""
 
-    A task holds the packed bigrams of one bucket and the counts of its distinct bigrams.
-    """
-    n = partitions(docs.sparkSession)
-    buckets = 4 * n
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=1)
-        words = shared.value[0]
-        held: list[tuple[np.ndarray, ...]] = []
-        rows = docs = 0
-
-        def emit():
-            pair, doc, keys, hits = (np.concatenate(x) for x in zip(*held))
-            bucket = (T.mix(pair) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((pair, bucket))
-            pair, doc, bucket = pair[order], doc[order], bucket[order]
-            edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist()
-            for lo, hi in zip(edge, [*edge[1:], len(pair)]):
-                ids, index = np.unique(doc[lo:hi], return_inverse=True)
-                parts = (np.array([len(ids), hi - lo]), keys[ids], hits[ids].astype(np.uint8), (pair[lo:hi] >> np.uint64(32)).astype(np.uint32), pair[lo:hi].astype(np.uint32), index.astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[lo])], pa.int32()), pa.array([tool.compress(b"".join(x.tobytes() for x in parts))], pa.binary())], ["bucket", "payload"])
-
-        for batch in batches:
-            for h, before, doc, keys, hits in _tokens(batch, vocabulary):
-                i, j = (np.minimum(np.searchsorted(words, x), len(words) - 1) for x in (before, h))
-                known = (words[i] == before) & (words[j] == h)
-                if known.any():
-                    held.append(((i[known].astype(np.uint64) << np.uint64(32)) | j[known].astype(np.uint64), doc[known] + docs, keys, hits))
-                    rows, docs = rows + int(known.sum()), docs + len(keys)
-                if rows > BUNDLE:
-                    yield from emit()
-                    held, rows, docs = [], 0, 0
-        if held:
-            yield from emit()
-
-    def open_(tool, payload):
-        data = tool.decompress(payload)
-        m, k = np.frombuffer(data, np.int64, 2)
-        at = 16 + 9 * m
-        high, low, index = (np.frombuffer(data, np.uint32, k, at + x * 4 * k) for x in range(3))
-        return (high.astype(np.uint64) << np.uint64(32)) | low, index, np.frombuffer(data, np.int64, m, 16), np.frombuffer(data, np.uint8, m, 16 + 8 * m)
-
-    def count(pairs, counts):
-        pairs, at = np.unique(np.concatenate(pairs), return_inverse=True)
-        return pairs, np.stack([np.bincount(at, weights=np.concatenate(x), minlength=len(pairs)) for x in zip(*counts)])
+        for t in sorted_groups(batches, ["bundle"]):
+            word, before, doc, _ = _tokens(t, vocabulary)
+            if not len(word):
+                continue
+            hit = t["hit"].to_numpy()[doc]
+            count = lambda at, n: [np.bincount(at, minlength=n), np.bincount(at, weights=hit, minlength=n)]  # noqa: B023, E731
+            pair, at = np.unique(_bigrams(before, word), return_inverse=True)
+            all_, both = np.unique(np.concatenate((word, before)), return_inverse=True)
+            asked = (PAIRS, pair, count(at, len(pair))), (WORDS, all_, [*count(both[: len(word)], len(all_)), *count(both[len(word) :], len(all_))])
+            out: list[tuple] = []
+            for kind, keys, counts in asked:
+                # High bits choose the bucket, so the order of keys is that of buckets.
+                bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist()
+                for lo, hi in zip(edge, [*edge[1:], len(keys)]):
+                    out.append((kind, int(bucket[lo]), t["bundle"][0].as_py(), _pack(tool, np.diff(keys[lo:hi], prepend=np.uint64(0)), *(c[lo:hi] for c in counts))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["kind", "bucket", "bundle", "payload"])
+
+    return ask
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums over all bundles for each question; a row of bundle -1 has a bucket's distinct words and their sums."""
+    tool, out = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    names = ["bundle", "kind", "bucket", "payload", "distinct", "b", "t"]
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    for t in sorted_groups(batches, ["kind", "bucket"]):
+        kind, bucket = t["kind"][0].as_py(), t["bucket"][0].as_py()
+        width = 3 if kind == PAIRS else 5
+        asked = [_unpack(tool, x.as_buffer(), width) for x in t["payload"]]
+        questions = [np.cumsum(x[0]) for x in asked]
+        keys, at = np.unique(np.concatenate(questions), return_inverse=True)
+        sums = [np.bincount(at, weights=np.concatenate([x[c] for x in asked]), minlength=len(keys)) for c in range(1, width)]
+        rows = [(bundle, kind, bucket, _pack(out, *(c[np.searchsorted(keys, q)] for c in sums)), 0, 0, 0) for bundle, q in zip(t["bundle"].to_pylist(), questions)]
+        if kind == WORDS:
+            rows.append((-1, kind, bucket, b"", int(np.count_nonzero(sums[0])), int(sums[0].sum()), int(sums[1].sum())))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+def _scores(vocabulary: np.ndarray | None, totals: tuple[int, int], size: int):
+    """From answers and documents by bundle: the scored documents."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
-        _, b, t, cb, ct = shared.value
-        sums: list[tuple[np.ndarray, ...]] = []
-        rows = 0
-
-        def emit():
-            keys, at = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
-            n_, target, background = (np.bincount(at, weights=np.concatenate(x)) for x in list(zip(*sums))[1:])
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n_.astype(np.int64)), pa.array(target), pa.array(background)], ["key", "n", "target", "background"])
-
-        for group in sorted_groups(batches, ["bucket"]):
-            payloads = group["payload"]
-            pairs, counts, size_ = [], [], 0
-            for x in payloads:
-                pair, index, _, hits = open_(tool, x.as_buffer())
-                edge = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-                pairs.append(pair[edge])
-                counts.append((np.diff(np.concatenate((edge, [len(pair)]))), np.add.reduceat(hits[index].astype(np.int64), edge)))
-                size_ += len(edge)
-                if size_ > BUNDLE:
-                    pairs, counts = ([x] for x in count(pairs, counts))
-                    size_ = 0
-            pairs, counts = count(pairs, counts)
-            i, j = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            target = -np.log(_probability(counts[1], ct[i], t[j], totals[1], size, np.where))
-            background = -np.log(_probability(counts[0], cb[i], b[j], totals[0], size, np.where))
-            for x in payloads:
-                pair, index, keys, _ = open_(tool, x.as_buffer())
-                at = np.searchsorted(pairs, pair)
-                sums.append((keys, *(np.bincount(index, weights=y, minlength=len(keys)) for y in (None, target[at], background[at]))))
-                rows += len(keys)
-                if rows > BUNDLE:
-                    yield emit()
-                    sums, rows = [], 0
-        if sums:
-            yield emit()
-
-    packed = docs.mapInArrow(pack, "bucket int, payload binary")
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(score, "key long, n long, target double, background double")
-
-
-def _rare_losses(docs: DataFrame, vocabulary: np.ndarray | None, shared, words: DataFrame, totals: tuple[int, int], size: int) -> DataFrame:
-    """The same of the bigrams with a word that isn't held, by joins with the counts of words and bigrams."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value[0]
-        for batch in batches:
-            for h, before, doc, keys, hits in _tokens(batch, vocabulary):
-                i, j = (np.minimum(np.searchsorted(held, x), len(held) - 1) for x in (before, h))
-                rare = np.flatnonzero((held[i] != before) | (held[j] != h))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[doc[rare]]), pa.array(before[rare].view(np.int64)), pa.array(h[rare].view(np.int64)), pa.array(hits[doc[rare]])], ["key", "before", "word", "hit"]
-                )
-
-    rows = materialise(docs.mapInArrow(emit, "key long, before long, word long, hit int"), "bigrams")
-    pairs = rows.groupBy("before", "word").agg(F.count(F.lit(1)).alias("n2"), F.sum("hit").alias("t2"))
-    pairs = pairs.join(words.select("word", "b", "t").hint("merge"), "word").join(words.select(F.col("word").alias("before"), "cb", "ct").hint("merge"), "before")
-    where = lambda c, x, y: F.when(c, x).otherwise(y)
-    loss = [(-F.log(_probability(F.col(two), F.col(context), F.col(one), total, size, where))).alias(name) for two, context, one, total, name in (("t2", "ct", "t", totals[1], "target"), ("n2", "cb", "b", totals[0], "background"))]
-    scored = rows.join(pairs.select("before", "word", *loss).hint("merge"), ["before", "word"])
-    return scored.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def score_documents(docs: DataFrame, target: DataFrame, vocabulary: int | None = None, held: int = HELD_WORDS) -> DataFrame:
+        for t in sorted_groups(batches, ["bundle"]):
+            docs = t.filter(pc.equal(t["kind"], DOCS))
+            if not len(docs):
+                continue
+            word, before, doc, n = _tokens(docs, vocabulary)
+            loss = [np.zeros(len(n)), np.zeros(len(n))]
+            if len(word):
+                # Rows come by kind and bucket, so answers are in the order of the keys.
+                told = [np.concatenate([_unpack(tool, x.as_buffer(), c) for x in t.filter(pc.equal(t["kind"], k))["payload"]], axis=1).astype(np.float64) for k, c in ((PAIRS, 2), (WORDS, 4))]
+                _, first, at = np.unique(_bigrams(before, word), return_index=True, return_inverse=True)
+                words = np.unique(np.concatenate((word, before)))
+                assert told[0].shape[1] == len(first) and told[1].shape[1] == len(words), "an answer to each question"
+                i, j = np.searchsorted(words, before[first]), np.searchsorted(words, word[first])
+                two, one = told[0], told[1][:2]
+                context = told[1][2:]
+                for k, model in ((0, 1), (1, 0)):  # target, background
+                    each = -np.log(_probability(two[model], context[model][i], one[model][j], totals[model], size, np.where))
+                    loss[k] = np.bincount(doc, weights=each[at], minlength=len(n))
+            empty = n == 0
+            mean = [pa.array(x / np.maximum(n, 1), mask=empty) for x in (*loss, loss[0] - loss[1])]
+            yield pa.RecordBatch.from_arrays([docs["doc_id"].combine_chunks(), pa.array(n.astype(np.int64)), *mean], ["doc_id", "n_words", "target_loss", "background_loss", "score"])
+
+    return score
+
+
+def score_documents(docs: DataFrame, target: DataFrame, vocabulary: int | None = None, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Cross-entropy difference of every document.
 
     Rows: one per input row, with doc_id, n_words, target_loss and background_loss (mean nats a word) and
@@ -272,32 +221,22 @@ def score_documents(docs: DataFrame, target: DataFrame, vocabulary: int | None =
     * other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    n = partitions(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # Losses depend on the text only: equal texts share a key.
-    own = own.withColumn("key", F.xxhash64("text"))
     top = None if vocabulary is None else top_words(own, vocabulary)
     wanted = target.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("of")).distinct().withColumn("mark", F.lit(1))
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = own.join(F.broadcast(wanted) if few else wanted.hint("merge"), F.col("doc_id") == F.col("of"), "left").select("key", "text", F.coalesce("mark", F.lit(0)).alias("hit"))
-    words = materialise(_count_words(rows, top), "words")
-    sums = words.agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum(F.when(F.col("b") > 0, 1)).alias("n")).first()
-    totals, size = (sums.b or 0, sums.t or 0), max(1, sums.n or 0) if top is None else len(top) + 1
-    start = int(START.view(np.int64))
-    common = words.where(F.col("word") != start).orderBy(F.desc("b"), "word").limit(held).union(words.where(F.col("word") == start)).toPandas().astype("int64")
-    if not len(common):
-        common.loc[0] = [start, 0, 0, 0, 0]
-    order = np.argsort(common.word.to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast((common.word.to_numpy().view(np.uint64)[order], *(common[c].to_numpy()[order] for c in ("b", "t", "cb", "ct"))))
-    whole = [F.sum(c).alias(c) for c in ("n", "target", "background")]
-    # Written one after the other, so their shuffle files don't lie on disk together.
-    common_ = materialise(_held_losses(rows, top, shared, totals, size).groupBy("key").agg(*whole), "held")
-    rare = _rare_losses(rows, top, shared, words, totals, size)
-    losses = materialise(common_.union(rare).groupBy("key").agg(*whole), "losses")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [np.diff(T.words(s).first) for s in T.slices(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["doc_id", "key", "n_words"])
-
-    found = own.mapInArrow(measure, "doc_id long, key long, n_words long").join(losses.hint("merge"), "key", "left")
-    return found.select("doc_id", "n_words", (F.col("target") / F.col("n")).alias("target_loss"), (F.col("background") / F.col("n")).alias("background_loss"), ((F.col("target") - F.col("background")) / F.col("n")).alias("score"))
+    marked = own.join(F.broadcast(wanted) if few else wanted.hint("merge"), F.col("doc_id") == F.col("of"), "left").withColumn("hit", F.coalesce("mark", F.lit(0)))
+    bundles = max(1, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bundle_bytes))
+    marked = marked.withColumn("bundle", F.pmod(F.xxhash64("doc_id", "text"), F.lit(bundles)).cast("int"))
+    packed = squeezed(marked, "doc_id", "hit", "bundle")
+    dealt = packed.repartition(n, "bundle").sortWithinPartitions("bundle")
+    asked = dealt.mapInArrow(_questions(top, n), "kind int, bucket int, bundle int, payload binary")
+    told = asked.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket")
+    told = materialise(told.mapInArrow(_answer, "bundle int, kind int, bucket int, payload binary, distinct long, b long, t long"), "answers")
+    sums = told.where("bundle < 0").agg(*(F.sum(c).alias(c) for c in ("distinct", "b", "t"))).first()
+    totals, size = (sums.b or 0, sums.t or 0), max(1, sums.distinct or 0) if top is None else len(top) + 1
+    answers = told.where("bundle >= 0").select("bundle", "kind", "bucket", "payload")
+    rows = answers.unionByName(packed.withColumn("kind", F.lit(DOCS)), allowMissingColumns=True)
+    rows = rows.repartition(n, "bundle").sortWithinPartitions("bundle", "kind", "bucket")
+    return rows.mapInArrow(_scores(top, totals, size), "doc_id long, n_words long, target_loss double, background_loss double, score double")

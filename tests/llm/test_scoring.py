@@ -181,14 +181,14 @@ def test_scores_equal_brute_force(spark, corpus):
         assert row.score == pytest.approx(loss[0] - loss[1], abs=1e-4)
 
 
-@pytest.mark.parametrize("held", [0, 30, 1 << 19])
-def test_scores_tell_all_words_apart(spark, held):
-    """More words than any fixed vocabulary would hold, each with its own counts, however many words a task holds."""
+@pytest.mark.parametrize("bundle", [1, 5000, 1 << 30])
+def test_scores_tell_all_words_apart(spark, bundle):
+    """More words than any fixed vocabulary would hold, each with its own counts, however documents are bundled."""
     r = random.Random(4)
     rows = [(i, " ".join(f"w{int(r.paretovariate(0.3)) % 6000}" for _ in range(r.choice([0, 1, 30, 200])))) for i in range(120)]
     rows += [(None, rows[5][1]), (5, "another text of 5"), (7, rows[7][1]), (200, None), *((i, f"seldom{i} common seldom{i}") for i in range(300, 3000))]
     target = {i for i, _ in rows if i is not None and i % 3 == 0}
-    got = lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in target], "doc_id long"), held=held).collect()
+    got = lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in target], "doc_id long"), bundle_bytes=bundle).collect()
     size = len({w for _, t in rows for w in words(t)})
     assert size > 2047
     tables = []

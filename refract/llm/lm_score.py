@@ -25,7 +25,7 @@ from . import textscan as T
 from .common import materialise, partitions, sorted_groups, squeezed, unsqueeze
 
 #: Bytes of text that a bundle has about.
-BUNDLE_BYTES = 12 << 20
+BUNDLE_BYTES = 4 << 20
 #: Target ids up to which they are broadcast; beyond, texts are shuffled to them.
 BROADCAST_IDS = 1 << 20
 #: Weights of bigram, unigram and uniform estimate.

@@ -1,14 +1,18 @@
-"""Rule catalogs matched against tag values: a theta join with a small broadcast table, then first hits."""
+"""Rule catalogs matched against tag values: every pattern is a literal of one projection, then first hits.
+
+A pattern that comes from a column is compiled anew whenever it differs from the last row's; literals are
+compiled once in a task, and no pairs of values and rules are made but the hits.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog
 
-#: Rule tables are broadcast; a larger catalog than this is refused rather than sent to every executor.
-MAX_RULES = 10_000
+#: Patterns are part of the plan; a larger catalog than this is refused.
+MAX_RULES = 1000
 STRENGTH = {"strong": 3, "medium": 2, "info": 1}
 
 
@@ -17,21 +21,23 @@ def portable(pattern: str) -> str:
     return "(?i)" + pattern.replace("\\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
 
 
-def rules(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    """rule, pattern and ordinal of a catalog of (name, pattern)."""
+def match(values: DataFrame, value: str, rows: list[tuple[str, str]]) -> DataFrame:
+    """Every pair of a value and a rule (name, pattern) that its pattern finds, with ordinal and rule."""
     if len(rows) > MAX_RULES:
-        raise ValueError(f"{len(rows)} rules; at most {MAX_RULES} are broadcast")
-    return spark.createDataFrame([(i, n, portable(p)) for i, (n, p) in enumerate(rows)], "ordinal int, rule string, pattern string")
+        raise ValueError(f"{len(rows)} rules; at most {MAX_RULES} fit a plan")
+    found = [F.when(F.col(value).rlike(portable(p)), F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("rule"))) for i, (n, p) in enumerate(rows)]
+    return values.withColumn("__hit", F.explode(F.array_compact(F.array(*found)))).select(*values.columns, "__hit.ordinal", "__hit.rule")
 
 
-def products(spark: SparkSession) -> DataFrame:
-    rows = [(i, n, v, k, portable(p) if p else None, portable(r), portable(w) if w else None) for i, (n, v, k, p, r, w) in enumerate(catalog.PRODUCTS)]
-    return spark.createDataFrame(rows, "ordinal int, product string, vendor string, kind string, program string, pattern string, raw string")
+def _product(i: int) -> Column:
+    name, vendor, kind, *_ = catalog.PRODUCTS[i]
+    return F.struct(F.lit(i).alias("rank"), F.lit(name).alias("product"), F.lit(vendor).alias("vendor"), F.lit(kind).alias("kind"))
 
 
-def match(values: DataFrame, value: str, catalog_: DataFrame) -> DataFrame:
-    """Every pair of a value and a rule that its pattern finds."""
-    return values.join(F.broadcast(catalog_), F.expr(f"{value} rlike pattern"))
+def raw_products(files: DataFrame, raw: str = "raw", file: str = "path") -> DataFrame:
+    """Products that the text of a file's bytes names, as medium evidence: file, rank, product, vendor, kind."""
+    found = [F.when(F.col(raw).rlike(portable(w)), _product(i)) for i, (*_, w) in enumerate(catalog.PRODUCTS) if w]
+    return files.select(file, F.explode(F.array_compact(F.array(*found))).alias("p")).select(file, "p.*", F.lit("medium").alias("strength"))
 
 
 def first_hits(hits: DataFrame, per: list[str], order: list[Column]) -> DataFrame:
@@ -45,10 +51,12 @@ def product_hits(tags: DataFrame, file: str = "path") -> DataFrame:
 
     A name in a key that records the creating tool is strong evidence, in a free-text key medium.
     """
-    p = products(tags.sparkSession)
     usable = tags.where(~F.col("key").isin("xmp_history", "ai_parameters"))
-    program = F.expr("program IS NOT NULL AND value rlike program") & F.col("key").rlike(f"(?i)^(?:{catalog.PROGRAM_KEYS})$")
-    hits = usable.join(F.broadcast(p.withColumnRenamed("ordinal", "rank")), F.expr("value rlike pattern") | program)
+    program = F.col("key").rlike(f"(?i)^(?:{catalog.PROGRAM_KEYS})$")
+    value = F.col("value")
+    named = [value.rlike(portable(r)) | (program & value.rlike(portable(p)) if p else F.lit(False)) for _, _, _, p, r, _ in catalog.PRODUCTS]
+    found = F.explode(F.array_compact(F.array(*(F.when(n, _product(i)) for i, n in enumerate(named)))))
+    hits = usable.select(file, "ordinal", "key", found.alias("p")).select(file, "ordinal", "key", "p.*")
     hits = first_hits(hits, [file, "product"], [F.col("ordinal")])
     strong = F.col("key").rlike(f"(?i)^(?:{catalog.TOOL_KEYS})$")
     return hits.select(file, "product", "vendor", "kind", "key", F.when(strong, "strong").otherwise("medium").alias("strength"), "rank")

@@ -1,4 +1,4 @@
-"""Rule catalogs and classifiers, over documents and over literal tag rows."""
+"""Rule catalogs and classifiers, over documents, over tags that are dealt to them, and over literal rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog
-from ..operators import classify, forensics, rules
+from ..operators import ai_origin, classify, forensics, rules
 from ..registry import inline_sql, literal, query, table
 
 TEXT_RULES = [("license", r"\blicen[sc]ed?\b"), ("email", r"[a-z0-9._-]+@[a-z0-9-]+\.[a-z]{2,}"), ("ip_address", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"), ("secret", r"\b(?:token|password|api_key)\b"), ("card", r"\b\d{16}\b")]
@@ -15,7 +15,7 @@ _HITS = f"SELECT doc_id, ordinal, rule FROM documents, (SELECT * FROM {_RULE_SQL
 
 
 def _hits(spark, d):
-    return rules.match(table(spark, d, "documents").select("doc_id", "source", "text"), "text", rules.rules(spark, TEXT_RULES))
+    return rules.match(table(spark, d, "documents").select("doc_id", "source", "text"), "text", TEXT_RULES)
 
 
 @query(f"SELECT doc_id, rule FROM ({_HITS}) h")
@@ -40,28 +40,74 @@ def evidence_distinct(spark, d):
     return _hits(spark, d).dropDuplicates(["source", "rule"]).select("source", "rule")
 
 
-_TAGS = [
-    "('a.png', 1, 'Software', 'Stable Diffusion XL base')", "('a.png', 2, 'Comment', 'made with ComfyUI')", "('b.mp3', 1, 'comment', 'made with suno')", "('b.mp3', 2, 'title', 'Suno and Udio.com mix')",
-    "('c.pdf', 1, 'Producer', 'LibreOffice 24.2')", "('c.pdf', 2, 'Creator', 'Claude')", "('d.jpg', 1, 'Make', 'Canon')", "('d.jpg', 2, 'keywords', 'midjourney style')", "('e.mov', 1, 'encoder', 'Lavf58.29')",
-    "('e.mov', 2, 'description', 'Runway Gen-3 clip')", "('f.wav', 1, 'ISFT', 'ElevenLabs')", "('g.docx', 1, 'Application', 'Gamma')", "('h.png', 1, 'xmp_history', 'midjourney')", "('i.png', 1, 'note', 'gamma correction by claude monet')",
+# Three of these are the tags of each document, dealt by its id.
+_SAMPLES = [
+    ("Software", "Stable Diffusion XL base"), ("Comment", "made with ComfyUI"), ("comment", "made with suno"), ("title", "Suno and Udio.com mix"), ("Producer", "LibreOffice 24.2"), ("Creator", "Claude"),
+    ("Make", "Canon"), ("keywords", "midjourney style"), ("encoder", "Lavf58.29"), ("description", "Runway Gen-3 clip"), ("ISFT", "ElevenLabs"), ("Application", "Gamma"), ("xmp_history", "midjourney"),
+    ("note", "gamma correction by claude monet"), ("Model", "EOS R5"), ("artist", "A. Person"), ("title", "Untitled"),
+]
+# One of these follows the text of each document where its bytes are searched.
+_MARKS = [
+    "", "", "", "trainedAlgorithmicMedia", "compositeWithTrainedAlgorithmicMedia", "algorithmicMedia", "Made with Google AI", "imagined with AI", "Job ID: 0f8fad5b-d9cb-469f-a165-70867728950e",
+    "Steps: 28, Sampler: Euler a, Seed: 7", "c2pa.actions by ChatGPT 2024-05-01T10:00:00Z", "urn:c2pa Adobe_Firefly: trainedAlgorithmicMedia", "automatic1111", "", "novelai",
 ]
 _COLS = "path, ordinal, key, value"
 _Q = lambda s: "'" + s.replace("'", "''") + "'" if s is not None else "NULL"
 _PRODUCT_SQL = inline_sql("rank, product, vendor, program, pattern", [f"({i}, {_Q(n)}, {_Q(v)}, {_Q('(?i)' + p if p else None)}, {_Q('(?i)' + r)})" for i, (n, v, k, p, r, w) in enumerate(catalog.PRODUCTS)])
+_TAG_SQL = f"""(SELECT CAST(d.doc_id AS VARCHAR) AS path, o.ordinal, s.key, s.value FROM documents d, (SELECT unnest([1, 2, 3]) AS ordinal) o, (SELECT * FROM {inline_sql("i, key, value", [f"({i}, {_Q(k)}, {_Q(v)})" for i, (k, v) in enumerate(_SAMPLES)])}) s
+  WHERE s.i = (d.doc_id * 7 + o.ordinal * 3) % {len(_SAMPLES)})"""
+_RAW_SQL = f"""(SELECT CAST(d.doc_id AS VARCHAR) AS path, coalesce(d.text, '') || ' ' || m.mark AS raw FROM documents d, (SELECT * FROM {inline_sql("i, mark", [f"({i}, {_Q(m)})" for i, m in enumerate(_MARKS)])}) m WHERE m.i = d.doc_id % {len(_MARKS)})"""
+
+
+def _tags(spark, d):
+    samples = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in _SAMPLES))
+    t = table(spark, d, "documents").select("doc_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("ordinal"))
+    t = t.withColumn("s", F.get(samples, ((F.col("doc_id") * 7 + F.col("ordinal") * 3) % len(_SAMPLES)).cast("int")))
+    return t.select(F.col("doc_id").cast("string").alias("path"), "ordinal", "s.key", "s.value")
+
+
+def _raw(spark, d):
+    mark = F.get(F.array(*map(F.lit, _MARKS)), (F.col("doc_id") % len(_MARKS)).cast("int"))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), mark).alias("raw"))
+
+
 _PRODUCT_HITS = f"""SELECT path, product, vendor, key, rank, CASE WHEN regexp_matches(key, '(?i)^(?:{catalog.TOOL_KEYS})$') THEN 'strong' ELSE 'medium' END AS strength FROM (
-  SELECT *, row_number() OVER (PARTITION BY path, product ORDER BY ordinal) AS n FROM (SELECT * FROM {inline_sql(_COLS, _TAGS)}) tg, (SELECT * FROM {_PRODUCT_SQL}) pr
+  SELECT *, row_number() OVER (PARTITION BY path, product ORDER BY ordinal) AS n FROM {_TAG_SQL} tg, (SELECT * FROM {_PRODUCT_SQL}) pr
   WHERE key NOT IN ('xmp_history', 'ai_parameters') AND (regexp_matches(value, pattern)
      OR (program IS NOT NULL AND regexp_matches(value, program) AND regexp_matches(key, '(?i)^(?:{catalog.PROGRAM_KEYS})$')))) x WHERE n = 1"""
 
 
 @query(f"SELECT path, product, vendor, key, strength FROM ({_PRODUCT_HITS}) h")
 def product_catalog_match(spark, d):
-    return rules.product_hits(literal(spark, _COLS, _TAGS)).select("path", "product", "vendor", "key", "strength")
+    return rules.product_hits(_tags(spark, d)).select("path", "product", "vendor", "key", "strength")
 
 
 @query(f"""SELECT path, product AS tool, vendor FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN strength = 'strong' THEN 0 ELSE 1 END, rank) AS m FROM ({_PRODUCT_HITS}) h) y WHERE m = 1""")
 def product_headline(spark, d):
-    return rules.headline(rules.product_hits(literal(spark, _COLS, _TAGS)))
+    return rules.headline(rules.product_hits(_tags(spark, d)))
+
+
+_RAW_PRODUCTS = inline_sql("rank, product, vendor, raw_pattern", [f"({i}, {_Q(n)}, {_Q(v)}, {_Q('(?i)' + w)})" for i, (n, v, _, _, _, w) in enumerate(catalog.PRODUCTS) if w])
+_REGION = "regexp_extract(raw, '(?is)(?:c2pa\\.(?:actions|hash|claim|assertions|created|opened|signature)|urn:c2pa|contentauth).*', 0)"
+_AI_SQL = f"""WITH raw AS {_RAW_SQL}, hits AS ({_PRODUCT_HITS}),
+named AS (SELECT path, product, vendor, rank, 'medium' AS strength, 'file data' AS source FROM raw, (SELECT * FROM {_RAW_PRODUCTS}) p WHERE regexp_matches(raw, raw_pattern) AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.path = raw.path AND h.product = p.product)),
+both_ AS (SELECT path, product, vendor, rank, strength, 'tag "' || key || '"' AS source FROM hits UNION ALL SELECT * FROM named),
+facts AS (SELECT path, regexp_extract(raw, '\\b(compositeWithTrainedAlgorithmicMedia|trainedAlgorithmicMedia|compositeSynthetic)\\b', 1) AS st, regexp_matches(raw, '\\balgorithmicMedia\\b') AS sw, regexp_matches(raw, '(?i)Made with Google AI|SynthID') AS g,
+  regexp_matches(raw, '(?i)Imagined with AI') AS m, {_REGION} <> '' AS cr, regexp_matches({_REGION}, 'trainedAlgorithmicMedia|compositeWithTrainedAlgorithmicMedia|compositeSynthetic') AS mk, regexp_matches(raw, 'Steps:\\s*\\d+,\\s*Sampler:') AS sd, regexp_matches(raw, 'Job ID:\\s*[0-9a-f]{{8}}-') AS job FROM raw),
+ev AS (SELECT path, CASE WHEN starts_with(st, 'composite') THEN 'edited' ELSE 'made' END AS kind, 'strong' AS strength FROM facts WHERE st <> '' UNION ALL SELECT path, '', 'info' FROM facts WHERE st = '' AND sw UNION ALL SELECT path, '', 'strong' FROM facts WHERE g
+  UNION ALL SELECT path, '', 'strong' FROM facts WHERE m UNION ALL SELECT path, '', CASE WHEN mk THEN 'medium' ELSE 'info' END FROM facts WHERE cr UNION ALL SELECT path, '', 'strong' FROM facts WHERE sd UNION ALL SELECT path, '', 'strong' FROM facts WHERE job
+  UNION ALL SELECT path, '', strength FROM (SELECT DISTINCT path, source, product, strength FROM both_) z),
+v AS (SELECT path, CASE WHEN bool_or(strength = 'strong') THEN 'confirmed' WHEN bool_or(strength = 'medium') THEN 'likely' ELSE 'none' END AS confidence, bool_or(kind = 'edited') AND NOT bool_or(kind = 'made') AS edited, count(*) AS n FROM ev GROUP BY path),
+top AS (SELECT path, product, vendor FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN strength = 'strong' THEN 0 ELSE 1 END, rank) AS k FROM both_) y WHERE k = 1)
+SELECT path, coalesce(confidence, 'none') AS confidence, coalesce(confidence, 'none') <> 'none' AS is_ai,
+  CASE coalesce(confidence, 'none') WHEN 'none' THEN 'No AI marks found' WHEN 'likely' THEN 'Probably AI-generated' ELSE CASE WHEN edited THEN 'AI-assisted / AI-edited' ELSE 'AI-generated' END END AS label,
+  CASE WHEN sd THEN 'Stable Diffusion WebUI (AUTOMATIC1111-style)' WHEN job THEN 'Midjourney' ELSE product END AS tool, CASE WHEN job THEN 'Midjourney' WHEN sd THEN 'Stable Diffusion (open-source toolchain)' ELSE vendor END AS vendor, CAST(coalesce(n, 0) AS BIGINT) AS n_evidence
+FROM facts LEFT JOIN v USING (path) LEFT JOIN top USING (path)"""
+
+
+@query(_AI_SQL)
+def ai_verdict(spark, d):
+    return ai_origin.analyse(_raw(spark, d), _tags(spark, d)).drop("model", "prompt")
 
 
 _SETTINGS = ["(1, 'a castle, oil painting Negative prompt: blurry Steps: 28, Sampler: DPM++ 2M, CFG scale: 7, Seed: 1234567890, Size: 768x768, Model: sd_xl_base_1.0, Version: v1.6')", "(2, 'Steps: 30, Sampler: Euler a, Seed: 99, Model: dreamshaper_8')", "(3, 'no settings here')"]

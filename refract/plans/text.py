@@ -32,10 +32,10 @@ def head_hex(spark, d):
     return table(spark, d, "documents").select("doc_id", forensics.head_hex(content()).alias("magic_hex"))
 
 
-@query("""WITH b AS (SELECT doc_id, unnest(regexp_extract_all(substr(hex(encode(text)), 1, 8192), '..')) AS byte FROM documents)
+@query("""WITH b AS (SELECT doc_id, unnest(regexp_extract_all(substr(hex(encode(text)), 1, 131072), '..')) AS byte FROM documents)
 SELECT byte, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs FROM b GROUP BY byte""")
 def byte_histogram(spark, d):
-    h = forensics.byte_histogram(table(spark, d, "documents"), "doc_id", content(), 4096)
+    h = forensics.byte_histogram(table(spark, d, "documents"), "doc_id", content())
     return h.groupBy("byte").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 

@@ -111,3 +111,30 @@ def test_entry_needs_no_session_and_no_llm(tmp_path):
         said = subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": str(folder)})
         assert said.returncode == 0, said.stderr
         assert min(map(int, said.stdout.split())) > 50
+
+
+def test_ai_verdict_of_the_known_cases(spark):
+    """Settings, graphs, labels, credentials and products, each in a file of its own; cameras and noise aren't AI."""
+    from refract.operators import ai_origin
+
+    graph = '{"x9": {"class_type": "KSampler", "inputs": {"seed": 7, "steps": 20}}, "y1": {"class_type": "Loader", "inputs": {"unet_name": "flux1-dev.gguf"}}, "z": {"class_type": "CLIPTextEncode", "inputs": {"text": "a castle"}}}'
+    tags = [
+        ("a.png", 1, "parameters", "a castle, oil\nNegative prompt: blurry\nSteps: 28, Sampler: DPM++ 2M, CFG scale: 7, Seed: 1234567890, Model: sd_xl_base_1.0, Version: f2.0"), ("b.png", 1, "prompt", graph),
+        ("c.png", 1, "Comment", '{"prompt": "a cat", "steps": 28, "uc": "bad"}'), ("d.png", 1, "invokeai_metadata", '{"model": {"name": "inv"}, "positive_prompt": "p"}'),
+        ("e.mp3", 1, "comment", "made with suno"), ("f.jpg", 1, "Make", "Canon"), ("g.png", 1, "keywords", "midjourney v6"), ("x", 1, "Software", "ComfyUI"),
+    ]
+    raw = {
+        "h.jpg": "..c2pa.actions 2024-05-01T10:00:00Z trainedAlgorithmicMedia ChatGPT", "i.jpg": "compositeWithTrainedAlgorithmicMedia", "j.jpg": "algorithmicMedia", "k.png": "Job ID: 0f8fad5b-d9cb-469f-a165-70867728950e a fox in snow --ar 3:2",
+        "l.bin": "automatic1111", "m.bin": None, "n.jpg": "contentauth only",
+    }
+    files = [(p, raw.get(p, "")) for p in sorted({*(t[0] for t in tags if t[0] != "x"), *raw})]
+    got = {r.path: r for r in ai_origin.analyse(spark.createDataFrame(files, "path string, raw string"), spark.createDataFrame(tags, "path string, ordinal int, key string, value string")).collect()}
+    assert set(got) == {p for p, _ in files}
+    assert (got["a.png"].confidence, got["a.png"].model, got["a.png"].prompt, got["a.png"].tool) == ("confirmed", "sd_xl_base_1.0", "a castle, oil", "Stable Diffusion WebUI Forge")
+    assert (got["b.png"].tool, got["b.png"].model, got["b.png"].prompt) == ("ComfyUI", "flux1-dev", "a castle")
+    assert got["c.png"].tool == "NovelAI" and (got["d.png"].tool, got["d.png"].model) == ("InvokeAI", "inv")
+    assert got["e.mp3"].label == "AI-generated" and got["g.png"].confidence == "likely" and got["g.png"].model.lower().startswith("midjourney v")
+    assert got["h.jpg"].confidence == "confirmed" and got["h.jpg"].tool == "ChatGPT / GPT Image"
+    assert got["i.jpg"].label == "AI-assisted / AI-edited" and got["k.png"].tool == "Midjourney" and got["k.png"].prompt.endswith("--ar 3:2")
+    assert got["l.bin"].confidence == "likely"
+    assert all(not got[p].is_ai for p in ("f.jpg", "j.jpg", "m.bin", "n.jpg"))

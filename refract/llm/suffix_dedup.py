@@ -9,7 +9,9 @@ their followers, so suffix tuples carry their common-prefix values along and not
 
 The queues between the steps are Spark's: sampled positions travel to a reducer by gram (packed), tuples
 (gram, context, owner) are pre-aggregated and sorted on disk by Spark's external sort, and a task only
-holds one run of gram groups at a time.  Exact copies are folded into their smallest doc_id before.
+holds one run of gram groups at a time.  A gram with very many different contexts would be a run without a bound;
+its windows are compared by their hashes in a grouped minimum and a join instead, which hold no group.  Exact
+copies are folded into their smallest doc_id before.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .common import materialise, partitions, shared_keys, squeezed, unsqueeze
 WINDOW, GRAM = 50, 24
 #: Tuples that an induction step holds before the next gram group starts a new run.
 RUN_ROWS = 1 << 17
+#: Different contexts of a gram from which they aren't brought to one task, and the most grams that are broadcast.
+HEAVY_ROWS, BROADCAST_GRAMS = 1 << 17, 1 << 20
 SECOND_BASE = 0xD1B54A32D192ED03
 
 
@@ -184,7 +188,31 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator
         yield solve(held)
 
 
-def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+def _heavy(queue: DataFrame, window: int, gram: int) -> DataFrame:
+    """What _runs gives, for tuples of grams with very many contexts: every window is a row."""
+    reach, width = window - gram, 2 * window - gram
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                batch = whole.slice(lo, 4096)
+                context = np.frombuffer(b"".join(x.as_py() for x in batch.column("context")), np.uint8).reshape(-1, width)
+                grams, near, far, owner = (batch.column(c).to_numpy() for c in ("gram", "near", "far", "owner"))
+                mine = digests(context, near, far)
+                for level in range(reach + 1):
+                    on = np.flatnonzero((near <= level) & (level <= far))
+                    one, two = digests(context[on, reach - level : reach - level + window], np.full(len(on), level), grams[on])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, owner[on], np.full(len(on), level), mine[0][on], mine[1][on])], ["w1", "w2", "owner", "level", "one", "two"])
+
+    windows = materialise(queue.mapInArrow(expand, "w1 long, w2 long, owner long, level long, one long, two long"), "heavy")
+    least = windows.groupBy("w1", "w2").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low < high").select("w1", "w2", "low")
+    hit = windows.join(least, ["w1", "w2"]).where("low < owner").select("one", "two", F.expr("shiftleft(1L, CAST(level AS INT))").alias("bit"))
+    masks = hit.groupBy("one", "two").agg(F.bit_or("bit").alias("mask"))
+    told = windows.groupBy("one", "two").agg(F.min("owner").alias("least"))
+    return told.join(masks, ["one", "two"], "left").select("one", "two", "least", F.coalesce("mask", F.lit(0)).cast("long").alias("mask"))
+
+
+def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Remove every byte covered by a ``window``-byte string that also starts in a smaller doc_id.
 
     Rows: one per input row, with doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the
@@ -238,8 +266,16 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_te
         packed.join(lists, "cls").where("doc_id = owner").mapInArrow(extend, "cls binary, owner long, at int, near int, far int, gram long, one long, two long, context binary"), "spots"
     )
     queue = spots.groupBy("gram", "near", "far", "context").agg(F.min("owner").alias("owner"), F.max("owner").alias("last"))
-    queue = queue.repartition(partitions(spark), "gram").sortWithinPartitions("gram")
-    solved = materialise(queue.mapInArrow(lambda it: _runs(it, window, gram), "one long, two long, least long, mask long"), "solved")
+    queue = materialise(queue, "queue")
+    heavy = materialise(queue.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy_rows).select("gram"), "grams")
+    n_heavy = heavy.count()
+    some = F.broadcast(heavy) if n_heavy <= BROADCAST_GRAMS else heavy
+    rest = queue.join(some, "gram", "left_anti") if n_heavy else queue
+    rest = rest.repartition(partitions(spark), "gram").sortWithinPartitions("gram")
+    solved = rest.mapInArrow(lambda it: _runs(it, window, gram), "one long, two long, least long, mask long")
+    if n_heavy:
+        solved = solved.unionByName(_heavy(queue.join(some, "gram", "left_semi"), window, gram))
+    solved = materialise(solved, "solved")
     full = (1 << (reach + 1)) - 1
     hits = (
         spots.select("cls", "owner", "at", "near", "far", "one", "two").join(solved, ["one", "two"])

@@ -88,6 +88,22 @@ def test_bytes_equal_brute_force(corpus):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
 
+@pytest.mark.parametrize("heavy", [0, 3])
+def test_bytes_of_heavy_grams_equal_brute_force(corpus, heavy):
+    """Grams with more contexts than a task should hold are judged window by window, with the same result."""
+    rows, df = corpus
+    got = dedup_bytes(df, with_text=False, heavy_rows=heavy).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes([r[:2] for r in rows])
+
+
+def test_one_string_in_many_contexts(spark):
+    """A 24-byte string in 3,000 different contexts, of which a task may hold 100."""
+    r = random.Random(14)
+    rows = [(i, f"{r.random()} the very same short phrase {r.random()} " + ("and a longer passage that only some of the texts have in common" if i % 5 == 0 else "")) for i in range(3000)]
+    got = dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False, heavy_rows=100).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes(rows)
+
+
 def test_repeated_ids_and_null_ids(spark):
     long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
     rows = [(None, long), (1, long), (1, long), (1, other), (2, other), (2, "short"), (None, None)]

@@ -87,7 +87,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         owner.paths.append(path)
     at, system = _file_system(spark, path)
     system.deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that later steps, all written themselves, no longer read."""
+    for t in tables:
+        delete(t.sparkSession, t.scratch_path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import materialise, shared_keys, squeezed, unsqueeze
+from .common import discard, materialise, shared_keys, squeezed, unsqueeze
 
 WINDOW = 50
 
@@ -191,6 +191,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Tr
     packed = squeezed(owned.select("doc_id", "cls", "text"), "doc_id", "cls")
     near = packed.join(lists, "cls").where("doc_id = owner").mapInArrow(extend, "cls binary, owner long, ztext binary, one array<long>, two array<long>")
     near = materialise(near.where("size(one) > 0"), "windows")
+    discard(shared)
     each = near.select("cls", "owner", F.explode(F.arrays_zip("one", "two")).alias("w")).select("cls", "owner", "w.*")
     least = each.groupBy("one", "two").agg(F.min("owner").alias("least"), F.max("owner").alias("last")).where("least < last").drop("last")
     removed = each.join(least, ["one", "two"]).where("least < owner")

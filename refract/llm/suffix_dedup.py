@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import materialise, partitions, shared_keys, squeezed, unsqueeze
+from .common import discard, materialise, partitions, shared_keys, squeezed, unsqueeze
 
 WINDOW, GRAM = 50, 24
 #: Tuples that an induction step holds before the next gram group starts a new run.
@@ -237,7 +237,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_te
             at, rank, _ = sample(s, window, gram)
             yield rank[at], ids[s.row + np.searchsorted(s.offsets, at, side="right") - 1]
 
-    shared = materialise(shared_keys(long.select(F.xxhash64("cls").alias("tkey"), "text"), emit).withColumnRenamed("doc_id", "tkey"), "grams")
+    shared = materialise(shared_keys(long.select(F.xxhash64("cls").alias("tkey"), "text"), emit).withColumnRenamed("doc_id", "tkey"), "shared")
     lists = shared.join(classes, "tkey").groupBy("cls", "owner").agg(F.collect_set("key").alias("keys"))
     packed = squeezed(long.select("doc_id", "cls", "text"), "doc_id", "cls")
 
@@ -265,6 +265,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_te
     spots = materialise(
         packed.join(lists, "cls").where("doc_id = owner").mapInArrow(extend, "cls binary, owner long, at int, near int, far int, gram long, one long, two long, context binary"), "spots"
     )
+    discard(shared)
     queue = spots.groupBy("gram", "near", "far", "context").agg(F.min("owner").alias("owner"), F.max("owner").alias("last"))
     queue = materialise(queue, "queue")
     heavy = materialise(queue.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy_rows).select("gram"), "grams")
@@ -276,6 +277,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_te
     if n_heavy:
         solved = solved.unionByName(_heavy(queue.join(some, "gram", "left_semi"), window, gram))
     solved = materialise(solved, "solved")
+    discard(queue, heavy)
     full = (1 << (reach + 1)) - 1
     hits = (
         spots.select("cls", "owner", "at", "near", "far", "one", "two").join(solved, ["one", "two"])
@@ -284,6 +286,8 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_te
     )
     spans = materialise(hits.groupBy("cls").agg(F.collect_set(F.struct("at", "near", "far", "bits")).alias("hits")), "spans")
 
+    discard(spots, solved)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []

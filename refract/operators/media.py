@@ -9,6 +9,24 @@ from pyspark.sql import functions as F
 # Names of RIFF INFO, ID3 and iTunes entries.
 INFO_TAGS = {"INAM": "title", "IART": "artist", "IPRD": "album", "ICRD": "date", "IGNR": "genre", "ICMT": "comment", "ISFT": "software", "IENG": "engineer"}
 ID3_TAGS = {"TIT2": "title", "TPE1": "artist", "TALB": "album", "TYER": "date", "TDRC": "date", "TCON": "genre", "TSSE": "encoder", "TENC": "encoded_by", "COMM": "comment", "TCOM": "composer", "TRCK": "track", "TCOP": "copyright"}
+ITUNES_TAGS = {
+    "\u00a9nam": "title", "\u00a9ART": "artist", "\u00a9alb": "album", "\u00a9day": "date", "\u00a9gen": "genre", "\u00a9too": "encoder", "\u00a9wrt": "composer", "desc": "description", "cprt": "copyright",
+    "\u00a9mak": "Make", "\u00a9mod": "Model", "\u00a9swr": "Software", "\u00a9xyz": "Location", "\u00a9cmt": "comment", "\u00a9des": "description", "ldes": "long_description", "aART": "album_artist",
+    "\u00a9grp": "grouping", "titl": "title", "auth": "author", "dscp": "description", "mak ": "Make", "mod ": "Model", "swr ": "Software",
+}
+DOTTED_TAGS = {
+    "com.apple.quicktime.make": "Make", "com.apple.quicktime.model": "Model", "com.apple.quicktime.software": "Software", "com.apple.quicktime.creationdate": "creation_time",
+    "com.apple.quicktime.location.ISO6709": "Location", "com.apple.quicktime.author": "author", "com.apple.quicktime.title": "title", "com.apple.quicktime.description": "description",
+    "com.apple.quicktime.comment": "comment", "com.android.manufacturer": "Make", "com.android.model": "Model", "com.android.version": "Software",
+}
+PNG_TAGS = {
+    "parameters": "ai_prompt", "prompt": "ai_prompt", "creation time": "creation_time", "software": "Software", "make": "Make", "model": "Model", "device": "Model", "camera": "Model", "lens": "LensModel",
+    "lensmodel": "LensModel", "host computer": "HostComputer", "hostcomputer": "HostComputer",
+}
+IPTC_TAGS = {
+    "5": "IPTC Title", "25": "IPTC Keywords", "40": "IPTC Instructions", "55": "IPTC Date Created", "80": "IPTC Creator", "90": "IPTC City", "101": "IPTC Country", "105": "IPTC Headline",
+    "110": "IPTC Credit", "115": "IPTC Source", "116": "IPTC Copyright", "120": "IPTC Caption",
+}
 
 
 def le(payload: Column, at: int, n: int) -> Column:
@@ -67,13 +85,16 @@ def flac_streams(boxes: DataFrame) -> DataFrame:
 def pictures(boxes: DataFrame) -> DataFrame:
     """path, width, height of PNG, JPEG, GIF and WebP files; null where a file doesn't say."""
     x, box, kind = F.col("payload"), F.col("box"), F.col("format")
+    lossless = le(x, 1, 4)
     frame = (kind == "jpeg") & box.isin("C0", "C1", "C2", "C3")
     rows = boxes.select(
         "path", "ordinal",
         F.when((kind == "png") & (box == "IHDR"), F.struct(be(x, 0, 4).alias("w"), be(x, 4, 4).alias("h")))
         .when(frame, F.struct(be(x, 3, 2).alias("w"), be(x, 1, 2).alias("h")))
         .when((kind == "gif") & (box == "file"), F.struct(le(x, 6, 2).alias("w"), le(x, 8, 2).alias("h")))
-        .when((kind == "webp") & (box == "VP8X"), F.struct((le(x, 4, 3) + 1).alias("w"), (le(x, 7, 3) + 1).alias("h"))).alias("size"),
+        .when((kind == "webp") & (box == "VP8X"), F.struct((le(x, 4, 3) + 1).alias("w"), (le(x, 7, 3) + 1).alias("h")))
+        .when((kind == "webp") & (box == "VP8 "), F.struct(le(x, 6, 2).bitwiseAND(F.lit(16383)).alias("w"), le(x, 8, 2).bitwiseAND(F.lit(16383)).alias("h")))
+        .when((kind == "webp") & (box == "VP8L"), F.struct((lossless.bitwiseAND(F.lit(16383)) + 1).alias("w"), (F.shiftright(lossless, 14).bitwiseAND(F.lit(16383)) + 1).alias("h"))).alias("size"),
     )
     first = rows.where("size IS NOT NULL").groupBy("path").agg(F.min_by("size", "ordinal").alias("size"))
     return first.select("path", F.col("size.w").alias("width"), F.col("size.h").alias("height"))
@@ -93,7 +114,7 @@ def movies(boxes: DataFrame) -> DataFrame:
 
 
 def tags(boxes: DataFrame) -> DataFrame:
-    """path, ordinal, key, value of textual entries: RIFF INFO and bext, PNG text, ID3 frames, JPEG comments, XMP."""
+    """path, ordinal, key, value of textual entries: RIFF INFO and bext, PNG text and time, ID3 frames, JPEG comments, XMP, Vorbis comments, ISO media user data."""
     x, box, kind = F.col("payload"), F.col("box"), F.col("format")
     text = F.decode(x, "ISO-8859-1")
     pairs = lambda names: F.create_map(*(F.lit(v) for kv in names.items() for v in kv))
@@ -102,10 +123,21 @@ def tags(boxes: DataFrame) -> DataFrame:
     row = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
     body = F.expr("substring(payload, 2)")
     id3_text = F.when(be(x, 0, 1) == 1, utf16(body)).when(be(x, 0, 1) == 3, utf8(body)).otherwise(F.decode(body, "ISO-8859-1"))
+    named = F.substring_index(text, "\0", 1)
+    routed = F.try_element_at(pairs(PNG_TAGS), F.lower(F.trim(named)))
+    png_key = F.when(F.lower(named).contains("xmp"), "xmp").otherwise(F.coalesce(routed, named))
+    after = F.expr("substring(payload, instr(decode(payload, 'ISO-8859-1'), char(0)) + 1)")
+    png_value = F.when(box == "iTXt", utf8(after)).otherwise(F.decode(after, "ISO-8859-1"))
+    atom = F.try_element_at(pairs(ITUNES_TAGS), F.substring_index(F.substring_index(box, ".", -2), ".", 1))
+    user = F.try_element_at(pairs(ITUNES_TAGS), F.substring_index(box, ".", -1))
     found = (
         F.when((kind == "wav") & info.isNotNull(), row(info, latin(x)))
         .when((kind == "wav") & (box == "bext"), row(F.lit("bext_originator"), latin(F.substring(x, 257, 32))))
-        .when((kind == "png") & box.isin("tEXt", "zTXt"), row(F.substring_index(text, "\0", 1), F.expr("substring(decode(payload, 'ISO-8859-1'), instr(decode(payload, 'ISO-8859-1'), char(0)) + 1)")))
+        .when((kind == "png") & box.isin("tEXt", "zTXt", "iTXt"), row(png_key, png_value))
+        .when((kind == "png") & (box == "tIME"), row(F.lit("modification_time"), F.format_string("%04d-%02d-%02dT%02d:%02d:%02dZ", be(x, 0, 2), *(be(x, i, 1) for i in range(2, 7)))))
+        .when(kind.isin("flac", "ogg") & box.startswith("comment."), row(F.substring(box, 9, 1000), utf8(x)))
+        .when((kind == "mp4") & F.endswith(box, F.lit(".data")) & atom.isNotNull(), row(atom, F.trim(utf8(F.expr("substring(payload, 9)")))))
+        .when((kind == "mp4") & box.startswith("moov.udta.") & user.isNotNull(), row(user, F.trim(utf8(F.expr("substring(payload, 5)")))))
         .when((kind == "mp3") & frame.isNotNull(), row(frame, F.trim(F.replace(id3_text, F.lit("\0"), F.lit("")))))
         .when((kind == "jpeg") & (box == "FE"), row(F.lit("Comment"), latin(x)))
         .when((kind == "jpeg") & (box == "E1") & text.contains("http://ns.adobe.com/xap/1.0/"), row(F.lit("xmp"), utf8(x)))
@@ -114,6 +146,36 @@ def tags(boxes: DataFrame) -> DataFrame:
     return t.select("path", "ordinal", "t.key", "t.value")
 
 
+def dotted_tags(boxes: DataFrame) -> DataFrame:
+    """path, ordinal, key, value of reverse-domain metadata: the n-th name of a ``keys`` box goes with the values of item n."""
+    b = boxes.where("format = 'mp4'")
+    listed = F.expr("substring(payload, 9)")
+    # The names of a list are cut at their own sizes by a fold over its bytes.
+    step = lambda acc, _: F.when(be(acc["rest"], 0, 4) >= 8, F.struct(
+        F.concat(acc["names"], F.array(utf8(F.substring(acc["rest"], F.lit(9), be(acc["rest"], 0, 4).cast("int") - 8)))).alias("names"),
+        F.substring(acc["rest"], be(acc["rest"], 0, 4).cast("int") + 1, F.octet_length(acc["rest"])).alias("rest"),
+    )).otherwise(acc)
+    start = F.struct(F.array().cast("array<string>").alias("names"), listed.alias("rest"))
+    many = F.least(be(F.col("payload"), 4, 4), F.floor(F.octet_length("payload") / 8)).cast("int")
+    names = F.aggregate(F.when(many > 0, F.sequence(F.lit(1), many)).otherwise(F.array().cast("array<int>")), start, step)["names"]
+    keys = b.where(F.col("box").endswith(".keys")).select("path", F.posexplode(names).alias("i", "name"))
+    key = F.try_element_at(F.create_map(*(F.lit(v) for kv in DOTTED_TAGS.items() for v in kv)), F.col("name"))
+    keys = keys.select("path", (F.col("i") + 1).cast("bigint").alias("item"), key.alias("key")).where("key IS NOT NULL")
+    item = F.substring_index(F.substring_index("box", ".", -2), ".", 1)
+    item = F.when(F.length(item) == 4, be(F.encode(item, "ISO-8859-1"), 0, 4))
+    values = b.where(F.col("box").contains(".ilst.") & F.col("box").endswith(".data")).select("path", "ordinal", item.alias("item"), F.trim(utf8(F.expr("substring(payload, 9)"))).alias("value"))
+    return values.join(keys, ["path", "item"]).where("value <> ''").select("path", "ordinal", "key", "value")
+
+
+def iptc_tags(boxes: DataFrame) -> DataFrame:
+    """path, key, value of the press record: the first value of a data set, all keywords joined by a comma and a space."""
+    name = F.try_element_at(F.create_map(*(F.lit(v) for kv in IPTC_TAGS.items() for v in kv)), F.substring("box", 8, 3))
+    rows = boxes.where("box LIKE 'iptc.2.%'").select("path", "ordinal", name.alias("key"), F.trim(utf8(F.col("payload"))).alias("value")).where("key IS NOT NULL AND value <> ''")
+    all_values = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "value"))), lambda v: v["value"])
+    g = rows.groupBy("path", "key").agg(all_values.alias("v"))
+    return g.select("path", "key", F.when(F.col("key") == "IPTC Keywords", F.array_join("v", ", ")).otherwise(F.get("v", 0)).alias("value"))
+
+
 # Names of EXIF entries by directory and tag.
 EXIF_TAGS = {
     "0000.010F": "Make", "0000.0110": "Model", "0000.0131": "Software", "0000.0132": "ModifyDate", "0000.013B": "Artist", "0000.8298": "Copyright", "0000.010E": "ImageDescription", "0000.0112": "Orientation",
@@ -149,16 +211,24 @@ def exif_places(boxes: DataFrame) -> DataFrame:
     return g.select("path", degrees("lat", "ns").alias("latitude"), degrees("lon", "ew").alias("longitude"), height.alias("altitude")).where("latitude IS NOT NULL AND longitude IS NOT NULL")
 
 
-XMP_FIELDS = {"Make": "tiff:Make", "Model": "tiff:Model", "CreateDate": "xmp:CreateDate", "ModifyDate": "xmp:ModifyDate", "CreatorTool": "xmp:CreatorTool", "DigitalSourceType": "Iptc4xmpExt:DigitalSourceType"}
+XMP_FIELDS = {"Make": "tiff:Make", "Model": "tiff:Model", "CreateDate": "xmp:CreateDate", "ModifyDate": "xmp:ModifyDate", "CreatorTool": "xmp:CreatorTool", "DigitalSourceType": "Iptc4xmpExt:DigitalSourceType", "Credit": "photoshop:Credit", "DocumentID": "xmpMM:DocumentID", "InstanceID": "xmpMM:InstanceID", "OriginalDocumentID": "xmpMM:OriginalDocumentID", "LensModel": "aux:Lens"}
 
 
 def xmp_tags(rows: DataFrame) -> DataFrame:
-    """path, ordinal, key, value of the fields of XMP texts, written as elements or as attributes."""
+    """path, ordinal, key, value of the fields of XMP texts (dates, camera, rights, ids, prompt), written as elements or as attributes."""
     field = lambda n: F.coalesce(F.nullif(F.regexp_extract("value", f"(?i)<{n}>\\s*([^<]+?)\\s*</{n}>", 1), F.lit("")), F.nullif(F.regexp_extract("value", f'(?i){n}="([^"]+)"', 1), F.lit("")))
     entries = F.create_map(*(x for k, n in XMP_FIELDS.items() for x in (F.lit(k), field(n))))
     return rows.where("key = 'xmp'").select("path", "ordinal", F.explode(entries).alias("key", "value")).where("value IS NOT NULL")
 
 
+def xmp_history(rows: DataFrame) -> DataFrame:
+    """path, ordinal, place, action, agent, at of the edit history of XMP texts."""
+    steps = F.regexp_extract_all("value", F.lit(r"(?is)(<rdf:li\b[^>]*stEvt:action.*?(?:/>|</rdf:li>)|<rdf:li\b[^>]*>\s*<stEvt:.*?</rdf:li>)"), F.lit(1))
+    field = lambda n: F.coalesce(F.nullif(F.regexp_extract("step", f'stEvt:{n}="([^"]*)"', 1), F.lit("")), F.nullif(F.regexp_extract("step", f"<stEvt:{n}>\\s*([^<]*?)\\s*</stEvt:{n}>", 1), F.lit("")))
+    h = rows.where("key = 'xmp'").select("path", "ordinal", F.posexplode(steps).alias("place", "step"))
+    return h.select("path", "ordinal", "place", field("action").alias("action"), field("softwareAgent").alias("agent"), field("when").alias("at")).where("action IS NOT NULL")
+
+
 # Entries of a PDF's information dictionary.
 PDF_KEYS = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import media, origin, relational, rules, scalars, signal, text  # noqa: F401
+from .plans import files, media, origin, relational, rules, scalars, signal, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

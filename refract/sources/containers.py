@@ -13,24 +13,36 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Payload bytes that travel with a box; what is longer (samples, pixels) stays in the file.
-PAYLOAD_BYTES = 256 * 1024
-#: Bytes that a compressed text may grow to.
-INFLATE_BYTES = 16 * 1024 * 1024
+#: Boxes of pixels, samples and pictures, of which only a head travels; every other payload is whole.
+BULK = frozenset(("data", "IDAT", "fdAT", "mdat", "VP8 ", "VP8L", "ALPH", "ANMF", "PICTURE", "APIC", "moov.udta.meta.ilst.covr.data"))
+HEAD_BYTES = 4096
+#: Bytes that a compressed text may grow to before it counts as a bomb; its row then isn't ``whole``.
+INFLATE_BYTES = 256 * 1024 * 1024
 
-BOXES = "path string, format string, ordinal int, box string, offset bigint, size bigint, payload binary, parse_error string"
+BOXES = "path string, format string, ordinal int, box string, offset bigint, size bigint, payload binary, parse_error string, whole boolean"
 
 Box = tuple[str, int, int, bytes]
 
 
+class Head(bytes):
+    """Bytes whose rest stays in the file."""
+
+
+def cut(name: str, b: bytes, lo: int, hi: int) -> bytes:
+    """The payload of a box between two offsets."""
+    if name in BULK and min(hi, len(b)) - lo > HEAD_BYTES:
+        return Head(b[lo : lo + HEAD_BYTES])
+    return b[lo:hi]
+
+
 def riff(b: bytes) -> Iterator[Box]:
     at = 12
     while at + 8 <= len(b):
         size = int.from_bytes(b[at + 4 : at + 8], "little")
         name = b[at : at + 4].decode("latin-1")
-        yield name, at, size + 8, b[at + 8 : at + 8 + min(size, PAYLOAD_BYTES)]
+        data = cut(name, b, at + 8, at + 8 + size)
+        yield name, at, size + 8, data
         if name == "EXIF":
-            data = b[at + 8 : at + 8 + min(size, PAYLOAD_BYTES)]
             yield from exif(data.removeprefix(b"Exif\0\0"), at + 8)
         if name == "LIST" and b[at + 8 : at + 12] == b"INFO":
             inner = at + 12
@@ -53,10 +65,10 @@ def exif(b: bytes, base: int) -> Iterator[Box]:
     todo, seen = [(0, struct.unpack_from(order + "I", b, 4)[0])], set()
     while todo:
         directory, at = todo.pop(0)
-        if at in seen or at + 2 > len(b) or len(seen) > 8:
+        if at in seen or at + 2 > len(b):
             continue
         seen.add(at)
-        for i in range(min(512, struct.unpack_from(order + "H", b, at)[0])):
+        for i in range(struct.unpack_from(order + "H", b, at)[0]):
             entry = at + 2 + 12 * i
             if entry + 12 > len(b):
                 break
@@ -67,7 +79,7 @@ def exif(b: bytes, base: int) -> Iterator[Box]:
             width = struct.calcsize("<" + code) * n
             place = entry + 8 if width <= 4 else struct.unpack_from(order + "I", b, entry + 8)[0]
             raw = b[place : place + width]
-            if len(raw) < width or n > PAYLOAD_BYTES:
+            if len(raw) < width:
                 continue
             if code == "s":
                 text = raw if kind == 7 else raw.split(b"\0")[0]
@@ -84,10 +96,10 @@ def png(b: bytes) -> Iterator[Box]:
     at = 8
     while at + 12 <= len(b):
         size = int.from_bytes(b[at : at + 4], "big")
-        name, data = b[at + 4 : at + 8].decode("latin-1"), b[at + 8 : at + 8 + min(size, PAYLOAD_BYTES)]
-        if name == "zTXt" and b"\0" in data:
-            key, _, rest = data.partition(b"\0")
-            data = key + b"\0" + inflate(rest[1:])
+        name = b[at + 4 : at + 8].decode("latin-1")
+        data = cut(name, b, at + 8, at + 8 + size)
+        if name in ("zTXt", "iTXt") and b"\0" in data:
+            data = png_text(data, name == "iTXt")
         yield name, at, size + 12, data
         if name == "eXIf":
             yield from exif(data, at + 8)
@@ -96,6 +108,16 @@ def png(b: bytes) -> Iterator[Box]:
         at += size + 12
 
 
+def png_text(data: bytes, international: bool) -> bytes:
+    """Keyword, NUL and the text of a compressed or international chunk; the language and its keyword go."""
+    key, _, rest = data.partition(b"\0")
+    packed = True
+    if international:
+        packed, rest = rest[:1] == b"\1", b"\0" + rest[2:].split(b"\0", 2)[-1]
+    text = inflate(rest[1:]) if packed else rest[1:]
+    return type(text)(key + b"\0" + text)
+
+
 def jpeg(b: bytes) -> Iterator[Box]:
     """Segments up to the start of scan."""
     at = 2
@@ -114,9 +136,28 @@ def jpeg(b: bytes) -> Iterator[Box]:
         yield f"{marker:02X}", at, size + 2, data
         if marker == 0xE1 and data[:6] == b"Exif\0\0":
             yield from exif(data[6:], at + 10)
+        if marker == 0xED and data[:14] == b"Photoshop 3.0\0":
+            yield from iptc(data, at + 4)
         at += size + 2
 
 
+def iptc(b: bytes, base: int) -> Iterator[Box]:
+    """Data sets of the press record of a Photoshop segment, named ``iptc.record.number``."""
+    at = 14
+    while b[at : at + 4] == b"8BIM":
+        # The name of a resource takes an even number of bytes with its length, its data too.
+        size_at = at + 6 + (b[at + 6] + 2) // 2 * 2
+        start = size_at + 4
+        size = int.from_bytes(b[size_at:start], "big")
+        if b[at + 4 : at + 6] == b"\4\4":
+            entry = start
+            while entry + 5 <= min(start + size, len(b)) and b[entry] == 0x1C:
+                n = int.from_bytes(b[entry + 3 : entry + 5], "big")
+                yield f"iptc.{b[entry + 1]}.{b[entry + 2]}", base + entry, 5 + n, b[entry + 5 : entry + 5 + n]
+                entry += 5 + n
+        at = start + size + size % 2
+
+
 # Boxes that hold boxes.
 BMFF_CONTAINERS = frozenset("moov trak mdia minf stbl udta ilst edts dinf mvex moof traf meta".split())
 
@@ -133,8 +174,9 @@ def bmff(b: bytes, lo: int = 0, hi: int | None = None, prefix: str = "", depth:
         if size < head:
             return
         end = min(hi, lo + size)
-        yield prefix + kind, lo, size, b[lo + head : min(end, lo + head + PAYLOAD_BYTES)]
-        if (kind in BMFF_CONTAINERS or prefix.endswith("ilst.")) and depth < 12:
+        inner = (kind in BMFF_CONTAINERS or prefix.endswith("ilst.")) and depth < 12
+        yield prefix + kind, lo, size, b"" if inner else cut(prefix + kind, b, lo + head, end)
+        if inner:
             yield from bmff(b, lo + head + 4 * (kind == "meta"), end, prefix + kind + ".", depth + 1)
         lo += size
 
@@ -144,32 +186,111 @@ def flac(b: bytes) -> Iterator[Box]:
     while not last and at + 4 <= len(b):
         last, kind, size = bool(b[at] & 0x80), b[at] & 0x7F, int.from_bytes(b[at + 1 : at + 4], "big")
         name = {0: "STREAMINFO", 4: "VORBIS_COMMENT", 6: "PICTURE"}.get(kind, f"BLOCK{kind}")
-        yield name, at, size + 4, b[at + 4 : at + 4 + min(size, PAYLOAD_BYTES)]
+        yield name, at, size + 4, cut(name, b, at + 4, at + 4 + size)
+        if kind == 4:
+            yield from comments(b[at + 4 : at + 4 + size], at + 4)
         at += 4 + size
 
 
+def comments(b: bytes, base: int) -> Iterator[Box]:
+    """Entries of a Vorbis comment block, named ``comment.`` and the key in lower case."""
+    if len(b) < 8:
+        return
+    at = 4 + int.from_bytes(b[:4], "little")
+    left, at = int.from_bytes(b[at : at + 4], "little"), at + 4
+    while left > 0 and at + 4 <= len(b):
+        n = int.from_bytes(b[at : at + 4], "little")
+        key, equals, value = b[at + 4 : at + 4 + n].partition(b"=")
+        if key and equals:
+            yield "comment." + key.decode("utf-8", "replace").lower(), base + at, 4 + n, value
+        at, left = at + 4 + n, left - 1
+
+
 def ogg(b: bytes) -> Iterator[Box]:
-    """Packets of the first two header pages and the last page's granule position."""
-    at, seen = 0, 0
-    while b[at : at + 4] == b"OggS" and seen < 2:
-        n = b[at + 26] if at + 27 <= len(b) else 0
-        size = sum(b[at + 27 : at + 27 + n])
-        yield ("ident", "comment")[seen], at, 27 + n + size, b[at + 27 + n : at + 27 + n + size]
-        at, seen = at + 27 + n + size, seen + 1
+    """The first two packets, whatever pages they lie on, their comments and the last page's granule position."""
+    at, start, packet, seen = 0, 0, b"", 0
+    while b[at : at + 4] == b"OggS" and at + 27 <= len(b) and seen < 2:
+        n = b[at + 26]
+        body = at + 27 + n
+        for lace in b[at + 27 : at + 27 + n]:
+            packet += b[body : body + lace]
+            body += lace
+            if lace < 255 and seen < 2:
+                yield ("ident", "comment")[seen], start, len(packet), packet
+                mark = next((m for m in (b"OpusTags", b"\x03vorbis") if packet.startswith(m)), None)
+                if seen and mark:
+                    yield from comments(packet[len(mark) :], start)
+                packet, start, seen = b"", body, seen + 1
+        at = body
     last = b.rfind(b"OggS", max(0, len(b) - 131_072))
     if last >= 0 and last + 14 <= len(b):
         yield "last", last, len(b) - last, b[last + 6 : last + 14]
 
 
+# kbit/s of MPEG audio by version and layer, samples a second by version bits.
+MPEG_BITRATES = {
+    (1, 1): (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448), (1, 2): (32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (1, 3): (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), (2, 1): (32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (2, 2): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160), (2, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+MPEG_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+
+
+def mpeg_header(b: bytes, at: int) -> dict | None:
+    """What the four bytes of an MPEG audio frame say, with the frame's length."""
+    word = int.from_bytes(b[at : at + 4], "big")
+    version, layer, rate_at, speed = word >> 19 & 3, 4 - (word >> 17 & 3), word >> 10 & 3, word >> 12 & 15
+    if at + 4 > len(b) or word >> 21 != 0x7FF or version == 1 or layer == 4 or rate_at == 3 or speed in (0, 15):
+        return None
+    first = version == 3
+    bitrate = 1000 * MPEG_BITRATES[2 - first, layer][speed - 1]
+    rate, padding = MPEG_RATES[version][rate_at], word >> 9 & 1
+    samples = 384 if layer == 1 else 576 if layer == 3 and not first else 1152
+    length = (12 * bitrate // rate + padding) * 4 if layer == 1 else samples // 8 * bitrate // rate + padding
+    return {"version": {3: "1", 2: "2", 0: "2.5"}[version], "layer": layer, "bitrate": bitrate, "sample_rate": rate, "channels": 1 if word >> 6 & 3 == 3 else 2, "samples": samples, "length": length, "crc": not word >> 16 & 1}
+
+
+def mpeg(b: bytes, start: int) -> Iterator[Box]:
+    """Facts of the first of two consecutive frames as ``frame.*`` texts; counts of a Xing or VBRI header where there is one."""
+    at = b.find(b"\xff", start)
+    while at >= 0:
+        head = mpeg_header(b, at)
+        after = mpeg_header(b, at + head["length"]) if head else None
+        if after and (after["sample_rate"], after["layer"]) == (head["sample_rate"], head["layer"]):
+            break
+        at = b.find(b"\xff", at + 1)
+    if at < 0:
+        return
+    mono = head["channels"] == 1
+    side = (17 if mono else 32) if head["version"] == "1" else (9 if mono else 17)
+    x = at + 4 + 2 * head["crc"] + side
+    number = lambda i: int.from_bytes(b[i : i + 4], "big")
+    facts = {k: head[k] for k in ("version", "layer", "bitrate", "sample_rate", "channels", "samples")}
+    if b[x : x + 4] in (b"Xing", b"Info"):
+        flags = number(x + 4)
+        facts |= {"count": number(x + 8)} if flags & 1 else {}
+        facts |= {"bytes": number(x + 8 + 4 * (flags & 1))} if flags & 2 else {}
+        facts["vbr"] = int(b[x : x + 4] == b"Xing")
+    elif b[at + 36 : at + 40] == b"VBRI":
+        facts |= {"count": number(at + 50), "bytes": number(at + 46), "vbr": 1}
+    end = len(b) - 128 * (b[-128:-125] == b"TAG")
+    for key, value in facts.items():
+        yield f"frame.{key}", at, end - at, str(value).encode()
+
+
 def id3(b: bytes) -> Iterator[Box]:
+    """Frames of an ID3v2 tag, then what the first audio frame says."""
+    end = 0
     if b[:3] == b"ID3" and len(b) >= 10:
         synchsafe = lambda x: x[0] << 21 | x[1] << 14 | x[2] << 7 | x[3]
         end, at, version = 10 + synchsafe(b[6:10]), 10, b[3]
         yield "ID3", 0, end, b[:10]
         while at + 10 <= min(end, len(b)) and b[at] != 0:
             size = synchsafe(b[at + 4 : at + 8]) if version == 4 else int.from_bytes(b[at + 4 : at + 8], "big")
-            yield b[at : at + 4].decode("latin-1"), at, size + 10, b[at + 10 : at + 10 + min(size, PAYLOAD_BYTES)]
+            name = b[at : at + 4].decode("latin-1")
+            yield name, at, size + 10, cut(name, b, at + 10, at + 10 + size)
             at += 10 + size
+    yield from mpeg(b, end)
 
 
 def zip_entries(b: bytes) -> Iterator[Box]:
@@ -188,7 +309,7 @@ def zip_entries(b: bytes) -> Iterator[Box]:
             a, c = struct.unpack_from("<HH", b, local + 26)
             raw = b[local + 30 + a + c : local + 30 + a + c + packed]
             data = inflate(raw, -15) if method == 8 else raw if method == 0 else b""
-        yield name, local, size, data[:PAYLOAD_BYTES]
+        yield name, local, size, data
         at += 46 + n + extra + note
 
 
@@ -208,19 +329,22 @@ def ebml(b: bytes, lo: int = 0, hi: int | None = None, prefix: str = "") -> Iter
         end = hi if size == (1 << 7 * m) - 1 else min(hi, start + size)
         if name == "1F43B675":
             return
-        yield prefix + name, lo, end - lo, b[start : min(end, start + PAYLOAD_BYTES)]
-        if name in ("18538067", "1549A966", "1654AE6B", "AE", "E0", "E1"):
+        inner = name in ("1A45DFA3", "18538067", "1549A966", "1654AE6B", "AE", "E0", "E1")
+        yield prefix + name, lo, end - lo, b"" if inner else b[start:end]
+        if inner:
             yield from ebml(b, start, end, prefix + name + ".")
         lo = end
 
 
 def whole(b: bytes) -> Iterator[Box]:
-    yield "file", 0, len(b), b[:PAYLOAD_BYTES]
+    yield "file", 0, len(b), b if len(b) <= HEAD_BYTES else Head(b[:HEAD_BYTES])
 
 
 def inflate(data: bytes, bits: int = 15) -> bytes:
+    z = zlib.decompressobj(bits)
     try:
-        return zlib.decompressobj(bits).decompress(data, INFLATE_BYTES)
+        out = z.decompress(data, INFLATE_BYTES)
+        return Head(out) if z.unconsumed_tail else out
     except zlib.error:
         return b""
 
@@ -229,8 +353,9 @@ WALKERS = {"wav": riff, "webp": riff, "png": png, "jpeg": jpeg, "mp4": bmff, "he
 
 
 def boxes(files: DataFrame) -> DataFrame:
-    """path, format, ordinal, box, offset, size, payload of every box; a file that breaks off keeps what was read.
+    """path, format, ordinal, box, offset, size, payload, whole of every box; a file that breaks off keeps what was read.
 
+    Payloads of boxes that hold boxes are empty; ``whole`` is false where only the head of a payload travels.
     files: path, format, content.  Null content has no boxes.
     """
 
@@ -239,13 +364,13 @@ def boxes(files: DataFrame) -> DataFrame:
             for path, kind, content in zip(*(batch.column(c).to_pylist() for c in ("path", "format", "content"))):
                 rows, error = [], None
                 try:
-                    rows.extend((path, kind, i, *box, None) for i, box in enumerate(WALKERS.get(kind, whole)(content or b"")) if content)
+                    rows.extend((path, kind, i, *box, None, not isinstance(box[3], Head)) for i, box in enumerate(WALKERS.get(kind, whole)(content or b"")) if content)
                 except (IndexError, struct.error, ValueError) as e:
                     error = f"{type(e).__name__}: {e}"
                 if error:
-                    rows.append((path, kind, len(rows), "error", None, None, None, error))
+                    rows.append((path, kind, len(rows), "error", None, None, None, error, None))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()))], BOX_NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.bool_()))], BOX_NAMES)
 
     return files.select("path", "format", "content").mapInArrow(walk, BOXES)
 

@@ -1,7 +1,7 @@
 """Whether signed provenance still matches: references, digests and content bindings compared by joins.
 
-Checks are three-valued, null meaning not checked.  Signatures and certificates aren't verified here, so the
-best status is ``partial``.
+Checks are three-valued, null meaning not checked.  Signatures and certificates are verified in
+operators.signatures; here the best status is ``partial``.
 """
 
 from __future__ import annotations

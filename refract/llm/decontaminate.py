@@ -39,16 +39,19 @@ class Index:
         w = T.words(s)
         long = np.diff(w.first) >= shingle
         h, doc = T.shingles(T.word_hashes(s, w), w.first, shingle)
+        first = np.searchsorted(doc, np.arange(len(ids) + 1))
         self.ids, self.sets, parts = [], [], {}
         for i in np.flatnonzero(long):
-            q = np.unique(h[doc == i])
+            q = np.unique(h[first[i] : first[i + 1]])
             stride = 1 << int(len(q) - 1).bit_length()
             parts.setdefault(stride, []).append(len(self.sets))
             self.ids.append(ids[i])
             self.sets.append(q)
         self.parts = {}
         for stride, items in sorted(parts.items()):
-            minima = np.array([[_minhash(self.sets[i], j).min() for j in range(HASHES)] for i in items], np.uint64)
+            together = np.concatenate([self.sets[i] for i in items])
+            start = np.cumsum([0] + [len(self.sets[i]) for i in items[:-1]])
+            minima = np.stack([np.minimum.reduceat(_minhash(together, j), start) for j in range(HASHES)], axis=1)
             order = np.argsort(minima, axis=0)
             self.parts[stride] = (np.take_along_axis(minima, order, axis=0), np.array(items)[order])
 

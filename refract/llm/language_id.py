@@ -21,6 +21,8 @@ ORDERS, DIM_BITS = (1, 2, 3), 13
 DIM = 1 << DIM_BITS
 #: Bounds of the training sample: rows of a language, rows in all, landmarks.
 PER_LANGUAGE, TRAIN_ROWS, LANDMARKS = 800, 4000, 256
+#: Parts that the ids of a language are ranked in before they meet.
+SALTS = 64
 RIDGE = 1e-3
 #: Bytes of text that one presence matrix covers.
 SCAN_BYTES = 1 << 20
@@ -73,8 +75,11 @@ def fit(docs: DataFrame) -> Model | None:
     language and TRAIN_ROWS in all, those whose ids have the least hashes; of an id that is repeated one row."""
     usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     rank = F.xxhash64(F.col("doc_id"), F.lit(5)).alias("rank")
-    ids = usable.select("doc_id", "lang", rank).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id")))
-    chosen = [r.doc_id for r in ids.where(F.col("n") <= PER_LANGUAGE).orderBy("n", "rank").limit(TRAIN_ROWS).select("doc_id").collect()]
+    ids = usable.select("doc_id", "lang", rank).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(SALTS)))
+    # First in each part of a language, so that the ids of one language needn't meet in one task.
+    for part in (["lang", "salt"], ["lang"]):
+        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*part).orderBy("rank", "doc_id"))).where(F.col("n") <= PER_LANGUAGE)
+    chosen = [r.doc_id for r in ids.orderBy("n", "rank").limit(TRAIN_ROWS).select("doc_id").collect()]
     if not chosen:
         return None
 

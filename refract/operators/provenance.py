@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.manifests import box_places
+
 # Source types that say a model made or edited the content.
 AI_SOURCES = ("trainedAlgorithmicMedia", "compositeWithTrainedAlgorithmicMedia", "compositeSynthetic")
 
@@ -67,14 +69,83 @@ def active(boxes: DataFrame) -> DataFrame:
     return boxes.where("manifest = manifests - 1")
 
 
+def digest(content: Column, alg: Column) -> Column:
+    """Hex digest by the name of its algorithm; null for others."""
+    out = F
+    for bits in (256, 384, 512):
+        out = out.when(F.coalesce(alg, F.lit("sha256")) == f"sha{bits}", F.sha2(content, bits))
+    return out
+
+
+_BOX_HASH = (
+    "exclusions array<struct<xpath:string,length:bigint,version:int,flags:string,exact:boolean,data:array<struct<offset:bigint,value:string>>,subset:array<struct<offset:bigint,length:bigint>>>>, "
+    "hash string, alg string, merkle string"
+)
+
+
+def _bits(hexa: Column) -> Column:
+    return F.conv(hexa, 16, 10).cast("bigint")
+
+
+def _left_out(content: Column, places: Column, exclusions: Column) -> Column:
+    """array of struct(start, stop, whole): the bytes of boxes that exclusions name, by path and by what the boxes hold."""
+    at = lambda p, lo, n: F.hex(F.substring(content, (p["start"] + lo + 1).cast("int"), n))
+
+    def meant(e):
+        flags = lambda p: _bits(at(p, p["head"] + 1, F.lit(3)))
+        want = _bits(F.substring(e["flags"], 1, 6))
+        same = lambda p: F.when(F.coalesce(e["exact"], F.lit(True)), flags(p) == want).otherwise(flags(p).bitwiseOR(want) == want)
+        held = lambda p: F.forall(F.coalesce(e["data"], F.array().cast("array<struct<offset:bigint,value:string>>")), lambda d: at(p, d["offset"], F.length(d["value"]) / 2) == F.upper(d["value"]))
+        return lambda p: (
+            (p["xpath"] == e["xpath"]) & (e["length"].isNull() | (e["length"] == p["size"])) & (e["version"].isNull() | (_bits(at(p, p["head"], F.lit(1))) == e["version"]))
+            & (e["flags"].isNull() | (F.length(e["flags"]) < 6) | same(p)) & held(p)
+        )
+
+    span = lambda lo, hi, whole: F.struct(lo.alias("start"), hi.alias("stop"), F.lit(whole).alias("whole"))
+    part = lambda p: lambda s: span(p["start"] + s["offset"], p["start"] + F.when(s["length"] == 0, p["size"]).otherwise(F.least(s["offset"] + s["length"], p["size"])), False)
+    spans = lambda e: lambda p: F.when(F.size(e["subset"]) > 0, F.transform(F.filter(e["subset"], lambda s: s["offset"] <= p["size"]), part(p))).otherwise(F.array(span(p["start"], p["start"] + p["size"], True)))
+    return F.flatten(F.transform(exclusions, lambda e: F.flatten(F.transform(F.filter(places, meant(e)), spans(e)))))
+
+
+def _box_stream(content: Column, places: Column, spans: Column, marked: Column) -> Column:
+    """What a box hash covers: the bytes outside of spans and, if ``marked``, the offset of each outer box that isn't
+    left out whole before its first byte; none before the first or after the last byte that is covered."""
+    n = F.octet_length(content).cast("bigint")
+    first = F.aggregate(F.array_sort(spans), F.lit(0).cast("bigint"), lambda at, s: F.when(s["start"] <= at, F.greatest(at, s["stop"])).otherwise(at))
+    back = F.reverse(F.array_sort(F.transform(spans, lambda s: F.struct(s["stop"].alias("stop"), s["start"].alias("start")))))
+    last = F.aggregate(back, n, lambda at, s: F.when(s["stop"] >= at, F.least(at, s["start"])).otherwise(at))
+    outer = F.filter(places, lambda p: p["outer"] & ~F.exists(spans, lambda s: s["whole"] & (s["start"] == p["start"])))
+    event = lambda lo, hi, mark: F.struct(lo.alias("start"), hi.alias("stop"), F.lit(mark).alias("mark"))
+    marks = F.transform(F.filter(outer, lambda p: marked & (p["start"] >= first) & (p["start"] < last)), lambda p: event(p["start"], p["start"], True))
+    events = F.array_sort(F.concat(marks, F.transform(spans, lambda s: event(s["start"], s["stop"], False))))
+
+    def step(acc, e):
+        gap = F.substring(content, (acc["at"] + 1).cast("int"), F.greatest(e["start"] - acc["at"], F.lit(0)).cast("int"))
+        mark = F.when(e["mark"], F.unhex(F.lpad(F.hex(e["start"]), 16, "0"))).otherwise(F.lit(b""))
+        return F.struct(F.greatest(acc["at"], e["stop"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(b"").alias("out"))
+    return F.aggregate(events, start, step, lambda acc: F.concat(acc["out"], F.substring(content, (acc["at"] + 1).cast("int"), F.greatest(n - acc["at"], F.lit(0)).cast("int"))))
+
+
 def content_checks(files: DataFrame, boxes: DataFrame) -> DataFrame:
-    """path, ok: whether the file outside of the excluded spans has the signed digest; null for other bindings."""
-    kind = "exclusions array<struct<start:bigint,length:bigint>>, hash string, alg string"
-    data = active(boxes).where("box = 'assertion' AND label LIKE 'c2pa.hash.data%'").select("path", F.from_json("content", kind).alias("h"))
+    """path, ok: whether the file outside of what is left out has the signed digest.
+
+    A digest of byte ranges comes before one of ISO media boxes, of those the newest form; digests of fragments
+    (merkle) and of single boxes and unknown algorithms give null.
+    """
+    rank = F.col("label").startswith("c2pa.hash.data").cast("int")
+    bound = active(boxes).where("box = 'assertion' AND (label LIKE 'c2pa.hash.data%' OR label LIKE 'c2pa.hash.bmff%' OR label LIKE 'c2pa.hash.boxes%')")
+    best = bound.groupBy("path").agg(F.max(F.struct(rank.alias("rank"), ~F.col("label").startswith("c2pa.hash.boxes"), "label", "content")).alias("b")).select("path", "b.label", F.col("b.content").alias("json"))
+    j = files.select("path", "content").join(best, "path")
+    ranges = F.from_json("json", "exclusions array<struct<start:bigint,length:bigint>>, hash string, alg string")
     spans = F.coalesce("h.exclusions", F.array().cast("array<struct<start:bigint,length:bigint>>"))
-    digest = F.sha2(without(F.col("content"), spans), 256)
-    ok = F.when(F.coalesce(F.col("h.alg"), F.lit("sha256")) == "sha256", digest == F.col("h.hash"))
-    return files.join(data, "path").select("path", ok.alias("ok"))
+    plain = j.where("label LIKE 'c2pa.hash.data%'").withColumn("h", ranges).select("path", (digest(without(F.col("content"), spans), F.col("h.alg")) == F.col("h.hash")).alias("ok"))
+    film = j.where("label LIKE 'c2pa.hash.bmff%'").withColumn("h", F.from_json("json", _BOX_HASH)).withColumn("places", box_places(F.col("content")))
+    film = film.withColumn("spans", _left_out(F.col("content"), F.col("places"), F.coalesce("h.exclusions", F.array().cast(_BOX_HASH.split("exclusions ")[1].split(", hash")[0]))))
+    stream = _box_stream(F.col("content"), F.col("places"), F.col("spans"), F.col("label").rlike("[.]v[23]"))
+    film = film.select("path", F.when(F.col("h.merkle").isNull(), digest(stream, F.col("h.alg")) == F.col("h.hash")).alias("ok"))
+    return plain.union(film).union(j.where("label LIKE 'c2pa.hash.boxes%'").select("path", F.lit(None).cast("boolean")))
 
 
 def actions(boxes: DataFrame) -> DataFrame:

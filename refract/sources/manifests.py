@@ -10,14 +10,19 @@ import json
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .containers import jpeg, png
 
 # Fixed value: the UUID of manifest boxes in ISO media files.
 MANIFEST_UUID = bytes.fromhex("d8fec3d61b0e483c92975828877ec481")
 
+# Boxes of ISO media files that hold boxes; meta has four bytes before them.
+HOLDERS = frozenset("moov trak mdia minf stbl edts dinf udta moof traf mfra mvex sinf schi meta".split())
+
 ROWS = "path string, container string, manifests int, manifest int, manifest_label string, box string, label string, start bigint, end bigint, body_sha256 string, whole_sha256 string, content string, error string"
 
 
@@ -184,3 +189,21 @@ def manifest_boxes(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], [c.split()[0] for c in ROWS.split(", ")])
 
     return files.select("path", "content").mapInArrow(walk, ROWS)
+
+
+def _places(b: bytes, lo: int, hi: int, above: str = "", depth: int = 0) -> Iterator[tuple[str, int, int, int, bool]]:
+    for kind, start, body, end in _boxes(b, lo, hi):
+        yield f"{above}/{kind}", start, end - start, body - start, not depth
+        if depth < 8 and kind in HOLDERS:
+            yield from _places(b, body + 4 * (kind == "meta"), end, f"{above}/{kind}", depth + 1)
+
+
+def box_places(content: Column) -> Column:
+    """Path, place, size and header length of every box of an ISO media file; ``outer`` are those in no other."""
+    names = ("xpath", "start", "size", "head", "outer")
+
+    @F.pandas_udf("array<struct<xpath:string,start:bigint,size:bigint,head:bigint,outer:boolean>>")
+    def walk(values: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else [dict(zip(names, p)) for p in _places(b, 0, len(b))] for b in values], dtype=object)
+
+    return walk(content)

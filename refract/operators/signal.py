@@ -41,11 +41,16 @@ def tone(x: Column, cycles: float, size: int) -> Column:
 
 
 def spectrum(x: Column, size: int) -> Column:
-    """Magnitudes of the lower half of the transform of the first ``size`` samples."""
+    """Magnitudes of the lower half of the transform of the first ``size`` samples; null where there are fewer."""
 
     @F.pandas_udf("array<double>")
     def transform(values: pd.Series) -> pd.Series:
-        return pd.Series(list(np.abs(np.fft.fft(np.stack([np.asarray(v, float)[:size] for v in values]), axis=1))[:, : size // 2])) if len(values) else values
+        known = [v is not None and len(v) >= size for v in values]
+        out = pd.Series([None] * len(values), index=values.index, dtype=object)
+        if any(known):
+            whole = np.stack([v[:size] for v, k in zip(values, known) if k]).astype(float)
+            out[known] = pd.Series(list(np.abs(np.fft.rfft(whole, axis=1))[:, : size // 2]), index=values.index[known], dtype=object)
+        return out
 
     return transform(x)
 
@@ -109,15 +114,20 @@ def overlap_add(parts: DataFrame, key: str, hop: int) -> DataFrame:
 
 
 def follow(values: Column, attack: float = 0.85, decay: float = 0.42) -> Column:
-    """Asymmetric exponential smoothing from 0: the state after each value."""
-    step = lambda s, x: s + F.when(x > s, attack).otherwise(decay) * (x - s)
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
+    """Asymmetric exponential smoothing from 0: the state after each value; null for a null array."""
 
-    def merge(acc, x):
-        new = step(acc["s"], x.cast("double"))
-        return F.struct(new.alias("s"), F.concat(acc["out"], F.array(new)).alias("out"))
+    @F.pandas_udf("array<double>")
+    def run(series: pd.Series) -> pd.Series:
+        def states(v):
+            s, out = 0.0, []
+            for x in v.tolist():
+                s += (attack if x > s else decay) * (x - s)
+                out.append(s)
+            return out
+
+        return pd.Series([None if v is None else states(v) for v in series], index=series.index, dtype=object)
 
-    return F.aggregate(values, start, merge, lambda acc: acc["out"])
+    return run(values.cast("array<double>"))
 
 
 def hum_bin(hz: Column) -> Column:

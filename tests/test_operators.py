@@ -74,6 +74,12 @@ def test_follow_attacks_fast_and_decays_slowly(spark):
     assert c == pytest.approx(0.9775 * 0.58)
 
 
+def test_series_that_are_null_or_short(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0, -1.0, 0.0]), (2, None), (3, [1.0]), (4, [])], "k int, v array<double>")
+    got = {r.k: (r.f, r.m) for r in df.select("k", signal.follow(F.col("v")).alias("f"), signal.spectrum(F.col("v"), 4).alias("m")).collect()}
+    assert got[1][1] == [0.0, 2.0] and got[2] == (None, None) and got[3] == ([0.85], None) and got[4] == ([], None)
+
+
 def test_tone_finds_its_frequency(spark):
     x = [math.cos(2 * math.pi * 5 * i / 64) for i in range(64)]
     df = spark.createDataFrame([(x,)], "x array<double>")

@@ -20,7 +20,7 @@ where links are counted by matrix products, so a group of thousands costs counts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -179,14 +179,22 @@ def text_key(text: str) -> F.Column:
 def _cells(firsts: DataFrame) -> DataFrame:
     """node, root: cells of the classes (class, sig) that the forest joins."""
     depth = floor_depth(THRESHOLD[0] / THRESHOLD[1])
-    n = partitions(firsts.sparkSession)
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     leaf = F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})")
     rows = firsts.select("class", "sig", tree).select("class", "tree", leaf.alias("key")).withColumn("node", F.xxhash64("tree", F.substring("key", 1, 2 * depth)))
     # Map-side sums: full keys first, then the nodes above them.
     leaves = rows.groupBy("node", "key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("least"))
     nodes = leaves.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", F.struct("least"))).alias("most")).where("n > 1").select("node", F.col("most.col2.least").alias("hub"))
-    met = materialise(rows.join(nodes, "node").where("class <> hub").select("node", "key", "class", "hub"), "matches")
+    return joined(rows.join(nodes, "node").where("class <> hub").select("node", "key", "class", "hub"), firsts)
+
+
+def joined(met: DataFrame, firsts: DataFrame) -> DataFrame:
+    """node, root: cells of the classes (class, sig) that meet their nodes' hubs in met (node, key, class, hub).
+
+    A class close to the hub is joined with it; the others below a node are led in the order of their keys.
+    """
+    n = partitions(firsts.sparkSession)
+    met = materialise(met, "matches")
     sigs = firsts.select(F.col("class").alias("of"), "sig")
     pairs = met.select("class", "hub").distinct()
     pairs = pairs.join(sigs.withColumnRenamed("sig", "a"), F.col("class") == F.col("of")).drop("of").join(sigs.withColumnRenamed("sig", "b"), F.col("hub") == F.col("of")).drop("of")
@@ -213,8 +221,17 @@ def _cells(firsts: DataFrame) -> DataFrame:
     return components(edges, "class", "hub")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """Connected groups of texts whose shingle sets have a Jaccard similarity of 4/5 at least.
+def near_duplicates(
+    docs: DataFrame,
+    shingle: int = SHINGLE,
+    threshold: tuple[int, int] = THRESHOLD,
+    minima: Callable[[np.ndarray, np.ndarray], np.ndarray] = signatures,
+    cells: Callable[[DataFrame], DataFrame] = _cells,
+) -> DataFrame:
+    """Connected groups of texts whose shingle sets have a Jaccard similarity of 4/5 (threshold) at least.
+
+    minima gives the signatures of sets, cells (node, root) the classes that their signatures bring together; the
+    default of both is the LSH forest.
 
     Rows: one per input row, with doc_id, n_shingles (distinct), copy_of (smallest doc_id with the same
     shingles), class_id (smallest doc_id of the connected group), n_links (other documents linked to it,
@@ -235,7 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
         for batch in batches:
             for s in T.slices(batch.column("text")):
                 h, first = _sets(s, shingle)
-                keys = signatures(h, first)
+                keys = minima(h, first)
                 m = len(keys)
                 one, two = (_per_document(T.mix(h ^ np.uint64(x)), first, np.add, 0).view(np.int64) for x in (0x1F3D5B79, 0x2468ACE1))
                 sig = pa.array([k.tobytes() for k in keys], pa.binary())
@@ -247,11 +264,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
     owner = F.min(F.struct("doc_id", "text_key"))
     sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(owner.alias("least"), F.count(F.lit(1)).alias("docs"), F.first("sig").alias("sig"))
     sets = materialise(sets.select("class", F.col("least.doc_id").alias("owner"), F.col("least.text_key").alias("owner_key"), "docs", "sig"), "classes")
-    cells = materialise(_cells(sets.select("class", "sig")), "cells")  # node, root
+    cell = materialise(cells(sets.select("class", "sig")), "cells")  # node, root
     sets = sets.drop("sig")
 
     # The texts of the cells, once; a cell's root, its hub here, goes to all parts of the cell.
-    members = cells.withColumnRenamed("node", "class").join(sets, "class")
+    members = cell.withColumnRenamed("node", "class").join(sets, "class")
     packed = squeezed(base.where("doc_id IS NOT NULL"), "doc_id", "text_key")
     texts = packed.join(members, (packed.doc_id == members.owner) & (packed.text_key == members.owner_key)).dropDuplicates(["class"]).select("class", "docs", "root", "ztext")
     texts = materialise(texts, "texts")

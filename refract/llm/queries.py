@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate
+from . import chat_format, conversation_trie, decontaminate, spelling, tensored_banding
 from .chat_format import rotate_perspectives
+from .conversation_trie import prefix_trie
 from .decontaminate import contaminated
 from .fingerprint import fingerprint_edits
 from .html_wrapper import extract_main_text
@@ -13,8 +14,10 @@ from .jaccard_join import near_duplicates
 from .language_id import identify
 from .lm_score import score_documents
 from .mixing import mix_sources
+from .spelling import spelling_variants
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_bytes
+from .tensored_banding import near_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +66,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), graft=True)
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -74,6 +89,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html_text": op9_html_text,
     "op10_chat_format": op10_chat_format,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_minhash_dedup": op12_minhash_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 #: DuckDB forms.  A window is a list of words or a run of hex digits that starts at i; a unit is removed if one of
 #: the windows that end with it or later, and start at most 49 before, starts in a smaller document as well.
@@ -120,4 +138,7 @@ ORACLES: dict[str, str] = {
     "op8_jaccard_join": OP8,
     "op2_decontamination": decontaminate.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
+    "op11_conversation_trie": conversation_trie.ORACLE,
+    "op12_minhash_dedup": tensored_banding.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }

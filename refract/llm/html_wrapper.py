@@ -12,7 +12,9 @@ another.  Where they differ,
 Two wrappers align like two streams, so the pages of a host are merged as a tree: within a task, then by host
 and salt, then by host.  A page is read by matching its stream to the wrapper: fixed strings that different
 pages of the host share are template and go, as do slots that consist of links; slots of prose are main text.
-Text under an article, or else under main, is always main text, as its page says so.
+Where a page marks its article, or else its main element, plain text in it is main text, as its page says so;
+what is in it under a class or id that may mean furniture is main text unless the wrapper tells template or links.
+Articles that the host's wrapper repeats, or that main has more prose around, are a list: main is read instead.
 """
 
 from __future__ import annotations
@@ -34,13 +36,17 @@ from .common import materialise, partitions
 
 # HTML element names by their role, and words that mark page furniture in class and id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp svg math".split())
-FURNITURE = frozenset("head nav header footer aside form button select menu dialog script style noscript template textarea iframe svg math object label fieldset".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp".split())
+FURNITURE = frozenset("head nav header footer aside form button select menu dialog script style noscript template textarea iframe fieldset".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 FURNITURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side rail widget menu nav navbar navigation breadcrumb breadcrumbs toolbar header masthead footer copyright legal comment comments discussion replies reply disqus respond social share sharing related recommended newsletter subscribe signup login search pagination pager toc skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal sidebar navbar navigation breadcrumb breadcrumbs pagination pager newsletter subscribe comment comments disqus share sharing social related recommended".split()
+)
+#: These words mean furniture only outside of an article, or where the wrapper agrees.
+DOUBTFUL_WORDS = frozenset(
+    "banner notice notices alert overlay side rail widget menu nav toolbar header masthead footer copyright legal discussion replies reply respond signup login search toc skip".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 CLOSED_BY_BLOCK = frozenset({"p"})
@@ -53,22 +59,32 @@ LONGEST_GROUP = 4
 LEAST_PAGES = 3
 #: From so many pages on, a fixed string that fewer than one in SELDOM of them has becomes a slot.
 SETTLED, SELDOM = 8, 4
+#: Share of a host's prose that a container of a page without article and main must have to be its main text.
+REGION = 0.8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: A whole attribute: values are consumed with their names, so nothing is found inside of them.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _WORD = re.compile(r"[a-z]+")
 
 
-def _describe(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is furniture, and its label: the tag and the first class without digits."""
-    furniture, label = tag in FURNITURE, tag
+SURE, DOUBTFUL = 2, 1
+
+
+def _describe(tag: str, attributes: str) -> tuple[int, str]:
+    """Whether an element is furniture (SURE, DOUBTFUL or 0), and its label: the tag and the first class without digits.
+
+    Words of class and id mark blocks only: an inline element is part of the text around it.
+    """
+    furniture, label = SURE if tag in FURNITURE else 0, tag
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "role" and value in FURNITURE_ROLES or name == "aria-hidden" and value == "true" or name == "hidden" and value != "until-found":
-            furniture = True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main", "h1") and FURNITURE_WORDS & set(_WORD.findall(value)):
-            furniture = True
+        if name == "role" and value in FURNITURE_ROLES or name == "aria-hidden" and value == "true" or name == "hidden" and value not in ("until-found", "false"):
+            furniture = SURE
+        if name in ("class", "id") and tag in BLOCK and tag not in ("html", "body", "article", "main", "h1"):
+            told = set(_WORD.findall(value))
+            furniture = max(furniture, SURE if told & FURNITURE_WORDS else DOUBTFUL if told & DOUBTFUL_WORDS else 0)
         if name == "class" and label == tag:
             first = next((w for w in value.split() if w.isalpha()), None)
             label = f"{tag}.{first}" if first else tag
@@ -169,7 +185,7 @@ def parse(page: str) -> Item:
             at = end.end() if end else size
             continue
         furniture, label = _describe(tag, attributes)
-        if edge or furniture:
+        if edge or furniture == SURE:
             flush()
         if edge and tag not in VOID and stack:
             # A block closes an open paragraph, and the inline elements that were left open in it.
@@ -177,13 +193,13 @@ def parse(page: str) -> Item:
             if depth is not None and stack[depth][0] in CLOSED_BY_BLOCK:
                 close(depth)
         if tag not in VOID and not attributes.endswith("/"):
-            told = (edge or furniture) and not hidden and len(holders) <= MOST_DEEP
+            told = (edge or furniture == SURE) and not hidden and len(holders) <= MOST_DEEP
             if told:
-                item = Item("!" + tag if furniture else label, items=[])
+                item = Item(("", "?", "!")[furniture] + (label if furniture != SURE else tag), items=[])
                 holders[-1].items.append(item)
                 holders.append(item)
-            stack.append((tag, furniture, told))
-            hidden += furniture
+            stack.append((tag, furniture == SURE, told))
+            hidden += furniture == SURE
             open_tags[tag] += 1
     flush()
     _sign(root)
@@ -422,21 +438,18 @@ def _tag(label: str) -> str:
     return label.partition(".")[0]
 
 
-def _inside(x: Item, tag: str) -> Iterator[Item]:
-    for y in x.items:
-        if _tag(y.label) == tag:
-            yield y
-        elif y.label != "#":
-            yield from _inside(y, tag)
+def _inside(x: Item, tag: str) -> list[Item]:
+    """The outermost elements of a tag."""
+    return [z for y in x.items if y.label != "#" for z in ([y] if _tag(y.label) == tag else _inside(y, tag))]
 
 
-def _texts(x: Item, around: int) -> Iterator[tuple[Item, int]]:
-    """Texts of a page, with the number of pages that have the element around them."""
+def _texts(x: Item, around: int, doubtful: bool = False) -> Iterator[tuple[Item, int, bool]]:
+    """Texts of a page, with the number of pages that have the element around them, and whether one around is doubtful."""
     for y in x.items:
         if y.label == "#":
-            yield y, around
+            yield y, around, doubtful
         else:
-            yield from _texts(y, y.place.pages if y.place is not None else 1)
+            yield from _texts(y, y.place.pages if y.place is not None else 1, doubtful or y.label[0] == "?")
 
 
 def _template(x: Item, around: int) -> bool:
@@ -449,15 +462,50 @@ def _links(x: Item) -> bool:
     return 2 * w.links > w.chars
 
 
+def _marked(page: Item) -> list[Item]:
+    """The elements by which a page marks its main text: its article, or else main."""
+    articles, mains = _inside(page, "article"), _inside(page, "main")
+    chars = lambda found: sum(len(t.text) for x in found for t, n, doubtful in _texts(x, 1) if not (doubtful or _links(t) or _template(t, n)))
+    listed = len(articles) > 1 and any(x.place is not None and x.place.repeat for x in articles)
+    within = [y for x in mains for y in _inside(x, "article")]
+    if mains and articles and (listed or chars(mains) > 2 * chars(within)):
+        return mains
+    found = articles or mains
+    return found if any(t.text for x in found for t, _, _ in _texts(x, 1)) else mains
+
+
+def _prose(w: Item) -> int:
+    """Code points of the slots of prose in a wrapper's item, over all pages of the host."""
+    if w.label == "#":
+        return 0 if _links(w) or len(w.seen) >= LEAST_PAGES else w.chars
+    return 0 if w.label[0] in "!?" else sum(map(_prose, w.items))
+
+
+def region(wrapper: Item) -> Item:
+    """The innermost container, once in every page that has it, with REGION of the prose of all around it."""
+    at = wrapper
+    while True:
+        whole, best = _prose(at), max((y for y in at.items if y.label != "#"), key=_prose, default=None)
+        if best is None or best.repeat or all(y.label == "#" for y in best.items) or _prose(best) < REGION * whole:
+            return at
+        at = best
+
+
+def _placed(x: Item, w: Item) -> list[Item]:
+    return [z for y in x.items if y.label != "#" for z in ([y] if y.place is w else _placed(y, w))]
+
+
 def main_text(page: Item, wrapper: Item | None) -> str:
-    """Texts of the page's article, else of its main element, else of its slots of prose."""
-    for tag in ("article", "main"):
-        found = [text.text for x in _inside(page, tag) for text, _ in _texts(x, 1)]
-        if found:
-            return " ".join(found)
+    """Texts of the page's article, else of its main element, else of the slots of prose in the wrapper's region."""
     if wrapper is not None:
         match(wrapper.items, page.items)
-    prose = [(x, n) for x, n in _texts(page, wrapper.pages if wrapper is not None else 1) if not _links(x)]
+    around = wrapper.pages if wrapper is not None else 1
+    # Doubtful furniture in an article is text unless the wrapper knows better.
+    found = [x.text for m in _marked(page) for x, n, doubtful in _texts(m, around) if not doubtful or not (_template(x, n) or _links(x))]
+    if found:
+        return " ".join(found)
+    parts = _placed(page, region(wrapper)) if wrapper is not None else []
+    prose = [(x, n) for part in parts or [page] for x, n, doubtful in _texts(part, around) if not doubtful and not _links(x)]
     # Where the host's template is all that a page has, it is the page's text.
     return " ".join([x.text for x, n in prose if not _template(x, n)] or [x.text for x, _ in prose])
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from refract.llm import chat_format, decontaminate, fingerprint, lm_score, mixing
 from refract.llm.fingerprint import fingerprint_edits
-from refract.llm.html_wrapper import combine, extract_main_text, infer_wrappers, parse
+from refract.llm.html_wrapper import combine, extract_main_text, infer_wrappers, main_text, parse
 from refract.llm.language_id import UNDETERMINED, identify
 from refract.llm.mixing import mix_sources, split, targets
 
@@ -350,6 +350,60 @@ def test_pages_equal_their_articles(spark):
     assert extract_main_text(p.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ('<div style="overflow:hidden"><p>Body one.</p></div><p>two</p>', "Body one. two"),
+        ('<p title="a hidden gem">Body</p><p>two</p>', "Body two"),
+        ('<p data-id="comment-1">Body</p><p data-hidden="false">more</p><p>two</p>', "Body more two"),
+        ('<p class="legal">Body</p><p class="side">more</p>', "Body more"),
+        ('<p>see <a href="/p?id=related">this link</a> now</p>', "see this link now"),
+        ("<p>a <label>b</label> <math><mi>x</mi></math> <object>o</object> <svg><text>s</text></svg> c</p>", "a b x o s c"),
+        ('<pre>x <span class="comment">// why</span></pre>', "x // why"),
+        ('<p hidden>gone</p><p hidden="">gone</p><p aria-hidden=true>gone</p><p hidden="false">stays</p>', "stays"),
+        ('<div class="ad">Buy</div><div id="comment-1">me too</div><p>stays</p>', "stays"),
+        ("<p data-x='class=\"ad\"'>stays</p>", "stays"),
+    ],
+)
+def test_attributes_are_read_by_name_and_value(body, want):
+    assert main_text(parse(f"<body><article>{body}</article></body>"), None) == want
+
+
+def test_teasers_do_not_silence_main():
+    text = "long main text " * 20
+    assert main_text(parse(f"<main><div>{text}</div><section><article>teaser</article></section></main>"), None) == f"{text.strip()} teaser"
+    assert main_text(parse(f"<main><article>{text}</article><p>small note</p></main>"), None) == text.strip()
+
+
+def test_wrapper_decides_on_doubtful_parts_of_articles(spark):
+    """A legal paragraph that pages share is template, one of their own is text."""
+    rows = [(i, f"http://a.example/{i}", f'<article><p>Text {i} of its own</p><p class="legal">All rights kept</p><p class="side">Aside {i} as well</p></article>') for i in range(9)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text {i} of its own Aside {i} as well" for i in range(9)}
+
+
+def test_pages_without_their_article_tags(spark):
+    """The wrapper alone finds the texts of the given pages; without it furniture stays."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
+    # The tags that say what is what become classes without a meaning.
+    names = dict(zip("article nav footer aside header form".split(), "qa qb qc qd qe qf".split()))
+    tags = "|".join(names)
+
+    def plain(page):
+        page = re.sub(rf"</(?:{tags})>", "</div>", re.sub('class="[^"]*"', 'class="qz"', page))
+        return re.sub(rf"<({tags})\b[^>]*>", lambda m: f'<div class="{names[m[1]]}">', page)
+
+    want = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows)).collect()}
+    bare = [(r.page_id, r.url, plain(r.html)) for r in rows]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()}
+    kept = lost = extra = loose = 0
+    for i, url, page in bare:
+        a, b, c = (Counter(t.split()) for t in (want[i], got[i], main_text(parse(page), None)))
+        kept, lost, extra, loose = kept + (a & b).total(), lost + (a - b).total(), extra + (b - a).total(), loose + (c - a).total()
+    assert kept >= 0.95 * (kept + lost), (kept, lost)
+    assert extra < loose, (extra, loose)
+
+
 def wrapper(*bodies):
     out = None
     for b in bodies:

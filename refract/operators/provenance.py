@@ -1,7 +1,8 @@
-"""Whether signed provenance still matches: references, digests and content bindings compared by joins.
+"""Whether signed provenance still matches: what claims want against what a walk over the file found (sources.walk).
 
-Checks are three-valued, null meaning not checked.  Signatures and certificates are verified in
-operators.signatures; here the best status is ``partial``.
+A walked file is one row, and a check is an expression over it, so any number of checks costs one scan.  Checks
+are three-valued, null meaning not checked.  Signatures and certificates are verified in operators.signatures;
+here the best status is ``partial``.
 """
 
 from __future__ import annotations
@@ -9,13 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.manifests import box_places
-
 # Source types that say a model made or edited the content.
 AI_SOURCES = ("trainedAlgorithmicMedia", "compositeWithTrainedAlgorithmicMedia", "compositeSynthetic")
 
-_REFS = "array<struct<url:string,hash:string,alg:string>>"
-
 
 def _field(kind: str, name: str, json: str = "content") -> Column:
     return F.from_json(F.get_json_object(json, f"$.{name}"), kind)
@@ -25,43 +22,37 @@ def _tail(url: Column) -> Column:
     return F.substring_index(url, "/", -1)
 
 
-def references(boxes: DataFrame) -> DataFrame:
-    """path, manifest, label, hash, alg of what each claim lists."""
-    lists = [F.coalesce(_field(_REFS, n), F.array().cast(_REFS)) for n in ("assertions", "created_assertions", "gathered_assertions")]
-    claims = boxes.where("box = 'claim'")
-    alg = F.coalesce(F.get_json_object("content", "$.alg"), F.lit("sha256"))
-    refs = claims.select("path", "manifest", alg.alias("claim_alg"), F.explode(F.concat(*lists)).alias("r"))
-    return refs.select("path", "manifest", _tail(F.col("r.url")).alias("label"), F.col("r.hash").alias("hash"), F.coalesce("r.alg", "claim_alg").alias("alg"))
+def fact_ok(f: Column) -> Column:
+    """Whether what a fact of a walked file wants was found; null if its digest wasn't computed."""
+    return F.when(~f["found"], False).when(f["got"].isNotNull(), (f["got"] == f["want"]) | F.coalesce(f["also"] == f["want"], F.lit(False)))
 
 
-def assertion_checks(boxes: DataFrame) -> DataFrame:
-    """path, manifest, label, ok: whether each listed assertion is there and has its digest."""
-    have = boxes.where("box = 'assertion'").select("path", "manifest", "label", "body_sha256")
-    j = references(boxes).join(have, ["path", "manifest", "label"], "left")
-    ok = F.when(F.col("body_sha256").isNull(), False).when(F.col("alg") == "sha256", F.col("body_sha256") == F.col("hash"))
-    return j.select("path", "manifest", "label", ok.alias("ok"))
+def _told(f: Column) -> Column:
+    return F.struct(f["kind"].alias("kind"), f["manifest"].alias("manifest"), f["label"].alias("label"), fact_ok(f).alias("ok"))
 
 
-def ingredient_checks(boxes: DataFrame) -> DataFrame:
-    """path, label, ok: whether each earlier manifest that an ingredient names has its digest, with or without header."""
-    ref = F.coalesce(_field("url string, hash string, alg string", "c2pa_manifest"), _field("url string, hash string, alg string", "activeManifest"))
-    named = boxes.where("box = 'assertion' AND label LIKE 'c2pa.ingredient%'").select("path", ref.alias("r")).where("r.url IS NOT NULL")
-    have = boxes.where("box = 'manifest'").select("path", "label", "body_sha256", "whole_sha256")
-    j = named.select("path", _tail(F.col("r.url")).alias("label"), F.col("r.hash").alias("hash")).join(have, ["path", "label"])
-    return j.select("path", "label", ((F.col("hash") == F.col("body_sha256")) | (F.col("hash") == F.col("whole_sha256"))).alias("ok"))
+def checks(walked: DataFrame, more: Column | None = None) -> DataFrame:
+    """path, kind (assertion, ingredient, content), manifest, label, ok of every comparison, of any manifest of a file.
 
+    more: further such structs of a file, from operators.signatures.
+    """
+    every = F.transform("facts", _told)
+    return walked.select("path", F.explode(every if more is None else F.concat(every, more)).alias("c")).select("path", "c.*")
 
-def without(content: Column, spans: Column) -> Column:
-    """Bytes outside of spans (array of struct(start, length)), which may touch or overlap."""
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.lit(b"").alias("out"))
 
-    def step(acc, s):
-        lo, hi = s["start"].cast("int"), (s["start"] + s["length"]).cast("int")
-        piece = F.when(lo > acc["at"], F.substring(content, acc["at"] + 1, lo - acc["at"])).otherwise(F.lit(b""))
-        return F.struct(F.greatest(acc["at"], hi).alias("at"), F.concat(acc["out"], piece).alias("out"))
+def assertion_checks(walked: DataFrame) -> DataFrame:
+    """path, manifest, label, ok: whether each assertion that a claim lists is there and has its digest."""
+    return checks(walked).where("kind = 'assertion'").drop("kind")
+
+
+def ingredient_checks(walked: DataFrame) -> DataFrame:
+    """path, label, ok: whether each earlier manifest that an ingredient names has its digest, with or without header."""
+    return checks(walked).where("kind = 'ingredient'").select("path", "label", "ok")
 
-    done = lambda acc: F.concat(acc["out"], F.substring(content, acc["at"] + 1, F.greatest(F.lit(0), F.octet_length(content) - acc["at"])))
-    return F.aggregate(F.array_sort(spans), start, step, done)
+
+def content_checks(walked: DataFrame) -> DataFrame:
+    """path, ok: whether the file outside of what is left out has the signed digest; null for digests that aren't computed."""
+    return checks(walked).where("kind = 'content'").select("path", "ok")
 
 
 def active(boxes: DataFrame) -> DataFrame:
@@ -77,77 +68,6 @@ def digest(content: Column, alg: Column) -> Column:
     return out
 
 
-_BOX_HASH = (
-    "exclusions array<struct<xpath:string,length:bigint,version:int,flags:string,exact:boolean,data:array<struct<offset:bigint,value:string>>,subset:array<struct<offset:bigint,length:bigint>>>>, "
-    "hash string, alg string, merkle string"
-)
-
-
-def _bits(hexa: Column) -> Column:
-    return F.conv(hexa, 16, 10).cast("bigint")
-
-
-def _left_out(content: Column, places: Column, exclusions: Column) -> Column:
-    """array of struct(start, stop, whole): the bytes of boxes that exclusions name, by path and by what the boxes hold."""
-    at = lambda p, lo, n: F.hex(F.substring(content, (p["start"] + lo + 1).cast("int"), n))
-
-    def meant(e):
-        flags = lambda p: _bits(at(p, p["head"] + 1, F.lit(3)))
-        want = _bits(F.substring(e["flags"], 1, 6))
-        same = lambda p: F.when(F.coalesce(e["exact"], F.lit(True)), flags(p) == want).otherwise(flags(p).bitwiseOR(want) == want)
-        held = lambda p: F.forall(F.coalesce(e["data"], F.array().cast("array<struct<offset:bigint,value:string>>")), lambda d: at(p, d["offset"], F.length(d["value"]) / 2) == F.upper(d["value"]))
-        return lambda p: (
-            (p["xpath"] == e["xpath"]) & (e["length"].isNull() | (e["length"] == p["size"])) & (e["version"].isNull() | (_bits(at(p, p["head"], F.lit(1))) == e["version"]))
-            & (e["flags"].isNull() | (F.length(e["flags"]) < 6) | same(p)) & held(p)
-        )
-
-    span = lambda lo, hi, whole: F.struct(lo.alias("start"), hi.alias("stop"), F.lit(whole).alias("whole"))
-    part = lambda p: lambda s: span(p["start"] + s["offset"], p["start"] + F.when(s["length"] == 0, p["size"]).otherwise(F.least(s["offset"] + s["length"], p["size"])), False)
-    spans = lambda e: lambda p: F.when(F.size(e["subset"]) > 0, F.transform(F.filter(e["subset"], lambda s: s["offset"] <= p["size"]), part(p))).otherwise(F.array(span(p["start"], p["start"] + p["size"], True)))
-    return F.flatten(F.transform(exclusions, lambda e: F.flatten(F.transform(F.filter(places, meant(e)), spans(e)))))
-
-
-def _box_stream(content: Column, places: Column, spans: Column, marked: Column) -> Column:
-    """What a box hash covers: the bytes outside of spans and, if ``marked``, the offset of each outer box that isn't
-    left out whole before its first byte; none before the first or after the last byte that is covered."""
-    n = F.octet_length(content).cast("bigint")
-    first = F.aggregate(F.array_sort(spans), F.lit(0).cast("bigint"), lambda at, s: F.when(s["start"] <= at, F.greatest(at, s["stop"])).otherwise(at))
-    back = F.reverse(F.array_sort(F.transform(spans, lambda s: F.struct(s["stop"].alias("stop"), s["start"].alias("start")))))
-    last = F.aggregate(back, n, lambda at, s: F.when(s["stop"] >= at, F.least(at, s["start"])).otherwise(at))
-    outer = F.filter(places, lambda p: p["outer"] & ~F.exists(spans, lambda s: s["whole"] & (s["start"] == p["start"])))
-    event = lambda lo, hi, mark: F.struct(lo.alias("start"), hi.alias("stop"), F.lit(mark).alias("mark"))
-    marks = F.transform(F.filter(outer, lambda p: marked & (p["start"] >= first) & (p["start"] < last)), lambda p: event(p["start"], p["start"], True))
-    events = F.array_sort(F.concat(marks, F.transform(spans, lambda s: event(s["start"], s["stop"], False))))
-
-    def step(acc, e):
-        gap = F.substring(content, (acc["at"] + 1).cast("int"), F.greatest(e["start"] - acc["at"], F.lit(0)).cast("int"))
-        mark = F.when(e["mark"], F.unhex(F.lpad(F.hex(e["start"]), 16, "0"))).otherwise(F.lit(b""))
-        return F.struct(F.greatest(acc["at"], e["stop"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(b"").alias("out"))
-    return F.aggregate(events, start, step, lambda acc: F.concat(acc["out"], F.substring(content, (acc["at"] + 1).cast("int"), F.greatest(n - acc["at"], F.lit(0)).cast("int"))))
-
-
-def content_checks(files: DataFrame, boxes: DataFrame) -> DataFrame:
-    """path, ok: whether the file outside of what is left out has the signed digest.
-
-    A digest of byte ranges comes before one of ISO media boxes, of those the newest form; digests of fragments
-    (merkle) and of single boxes and unknown algorithms give null.
-    """
-    rank = F.col("label").startswith("c2pa.hash.data").cast("int")
-    bound = active(boxes).where("box = 'assertion' AND (label LIKE 'c2pa.hash.data%' OR label LIKE 'c2pa.hash.bmff%' OR label LIKE 'c2pa.hash.boxes%')")
-    best = bound.groupBy("path").agg(F.max(F.struct(rank.alias("rank"), ~F.col("label").startswith("c2pa.hash.boxes"), "label", "content")).alias("b")).select("path", "b.label", F.col("b.content").alias("json"))
-    j = files.select("path", "content").join(best, "path")
-    ranges = F.from_json("json", "exclusions array<struct<start:bigint,length:bigint>>, hash string, alg string")
-    spans = F.coalesce("h.exclusions", F.array().cast("array<struct<start:bigint,length:bigint>>"))
-    plain = j.where("label LIKE 'c2pa.hash.data%'").withColumn("h", ranges).select("path", (digest(without(F.col("content"), spans), F.col("h.alg")) == F.col("h.hash")).alias("ok"))
-    film = j.where("label LIKE 'c2pa.hash.bmff%'").withColumn("h", F.from_json("json", _BOX_HASH)).withColumn("places", box_places(F.col("content")))
-    film = film.withColumn("spans", _left_out(F.col("content"), F.col("places"), F.coalesce("h.exclusions", F.array().cast(_BOX_HASH.split("exclusions ")[1].split(", hash")[0]))))
-    stream = _box_stream(F.col("content"), F.col("places"), F.col("spans"), F.col("label").rlike("[.]v[23]"))
-    film = film.select("path", F.when(F.col("h.merkle").isNull(), digest(stream, F.col("h.alg")) == F.col("h.hash")).alias("ok"))
-    return plain.union(film).union(j.where("label LIKE 'c2pa.hash.boxes%'").select("path", F.lit(None).cast("boolean")))
-
-
 def actions(boxes: DataFrame) -> DataFrame:
     """path, action, agent, when, source (last part of the source type), ai."""
     kind = "array<struct<action:string,softwareAgent:string,when:string,digitalSourceType:string>>"
@@ -157,13 +77,15 @@ def actions(boxes: DataFrame) -> DataFrame:
     return a.select("path", F.col("a.action").alias("action"), agent.alias("agent"), F.col("a.when").alias("when"), source.alias("source"), F.coalesce(source.isin(*AI_SOURCES), F.lit(False)).alias("ai"))
 
 
-def status(files: DataFrame, boxes: DataFrame) -> DataFrame:
+def broken() -> Column:
+    """Whether a walked file's store can't be judged: damaged, empty or without a newest claim."""
+    return F.col("error").isNotNull() | F.try_element_at("manifests", F.lit(-1))["claim"].isNull()
+
+
+def status(walked: DataFrame) -> DataFrame:
     """path, status (unreadable, invalid or partial), and counts of checks that held, failed and weren't made."""
-    every = (
-        assertion_checks(boxes).select("path", "ok").union(ingredient_checks(boxes).select("path", "ok")).union(content_checks(files, boxes))
-        .union(active(boxes).where("box = 'claim'").select("path", F.lit(None).cast("boolean")))
-    )
-    counted = every.groupBy("path").agg(F.count_if("ok").alias("held"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(F.col("ok").isNull()).alias("unchecked"))
-    bad = boxes.groupBy("path").agg((F.bool_or(F.col("box") == "error") | ~F.bool_or(F.col("box") == "claim")).alias("broken"))
-    out = bad.join(counted, "path", "left").na.fill(0, ["held", "failed", "unchecked"])
+    n = lambda keep: F.size(F.filter("facts", lambda f: F.coalesce(keep(fact_ok(f)), F.lit(False)))).cast("bigint")
+    # The signature is one more that isn't made here.
+    open_ = n(lambda ok: ok.isNull()) + F.when(F.size("manifests") > 0, 1).otherwise(0)
+    out = walked.select("path", broken().alias("broken"), n(lambda ok: ok).alias("held"), n(lambda ok: ~ok).alias("failed"), open_.alias("unchecked"))
     return out.select("path", F.when(F.col("broken"), "unreadable").when(F.col("failed") > 0, "invalid").otherwise("partial").alias("status"), "held", "failed", "unchecked")

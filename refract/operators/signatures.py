@@ -1,11 +1,11 @@
-"""Who signed a file's provenance, and the verdict on it: signatures, chains and trust as joins over certificate rows."""
+"""Who signed a file's provenance, and the verdict on it: expressions over walked files, and one join with the roots."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.crypto import signature_holds
+from ..functions.crypto import signatures_hold
 from ..sources.certificates import certificates
 from . import provenance
 
@@ -14,77 +14,110 @@ def label(name: Column, organisation: Column) -> Column:
     return F.coalesce(F.nullif(F.concat_ws(" · ", name, organisation), F.lit("")), F.lit("Unknown"))
 
 
-def chains(signatures: DataFrame) -> DataFrame:
-    """path, manifest, active, place, der, cert of every certificate; place 0 is the signer's."""
-    rows = signatures.select("path", "manifest", "active", F.posexplode("chain").alias("place", "der"))
-    return certificates(rows)
+_CHECK = ("kind", "digest", "salt", "key_kind", "key", "message", "signature")
 
 
-def _issued(cert: str, issuer: str) -> Column:
-    c, i = F.col(cert), F.col(issuer)
-    return signature_holds(c["kind"], c["digest"], c["salt"], i["key_kind"], i["key"], c["message"], c["signature"])
+def _check(signed: Column, by: Column) -> Column:
+    """What is needed to tell whether the key of ``by`` made the signature of ``signed``."""
+    return F.struct(*(signed[c].alias(c) for c in _CHECK[:3]), *(by[c].alias(c) for c in _CHECK[3:5]), *(signed[c].alias(c) for c in _CHECK[5:]))
 
 
-def signature_checks(signatures: DataFrame, chain: DataFrame) -> DataFrame:
-    """path, ok of each file's active manifest: whether the signer's key signed the claim; null for unknown algorithms."""
-    leaf = chain.where("active AND place = 0").select("path", "manifest", "cert")
-    s = signatures.where("active").join(leaf, ["path", "manifest"])
-    ok = signature_holds(F.col("kind"), F.col("digest"), F.col("salt"), F.col("cert.key_kind"), F.col("cert.key"), F.col("message"), F.col("signature"))
-    return s.select("path", ok.alias("ok"))
+def _last() -> Column:
+    return F.try_element_at("manifests", F.lit(-1))
 
 
-def chain_checks(chain: DataFrame) -> DataFrame:
-    """path, ok: false if a certificate wasn't signed by the next, null if that couldn't be checked for one."""
-    c = chain.where("active").select("path", "place", "cert")
-    above = c.select("path", (F.col("place") - 1).alias("place"), F.col("cert").alias("issuer"))
-    j = c.join(above, ["path", "place"]).select("path", _issued("cert", "issuer").alias("held"))
-    g = j.groupBy("path").agg(F.count_if(~F.col("held")).alias("bad"), F.count_if(F.col("held").isNull()).alias("open"))
-    ok = F.when(F.coalesce("bad", F.lit(0)) > 0, False).when(F.coalesce("open", F.lit(0)) == 0, True)
-    return c.select("path").distinct().join(g, "path", "left").select("path", ok.alias("ok"))
+def tested(walked: DataFrame) -> DataFrame:
+    """The walked files with ``own``, whether each manifest's key made its signature, and ``links``, whether each of the
+    newest one's certificates was signed by the next; null where an algorithm isn't known.
 
+    All of a file's signatures are checked in one pass; equal ones are checked once in a task.
+    """
+    own = F.transform("manifests", lambda m: _check(m["signature"], F.get(m["chain"], 0)))
+    chain = _last()["chain"]
+    n = F.greatest(F.size(chain) - 1, F.lit(0))
+    links = F.coalesce(F.zip_with(F.slice(chain, 1, n), F.slice(chain, 2, n), _check), F.slice(own, 1, 0))
+    held = walked.withColumn("held", signatures_hold(F.concat(own, links)))
+    m = F.size("manifests")
+    return held.withColumn("own", F.slice("held", 1, m)).withColumn("links", F.slice("held", m + 1, F.size("held"))).drop("held")
+
+
+def _all(column: Column | str) -> Column:
+    """False if one is false, else null if one is null, else true."""
+    no = F.coalesce(F.exists(column, lambda x: ~x), F.lit(False))
+    return F.when(no, False).when(~F.exists(column, lambda x: x.isNull()), True)
 
-def trusted(chain: DataFrame, anchors: DataFrame) -> DataFrame:
-    """path, anchor: the first trusted root (der binary) that is in a chain's ends or that signed its top."""
-    a = certificates(anchors.select("der").where("der IS NOT NULL").distinct()).select(F.col("der").alias("root"), F.col("cert").alias("anchor"))
-    c = chain.where("active")
-    top = c.groupBy("path").agg(F.max_by(F.struct("der", "cert"), "place").alias("top"), F.min_by("der", "place").alias("leaf"))
-    same = top.select("path", F.explode(F.array("top.der", "leaf")).alias("root")).join(a, "root").select("path", "anchor")
-    signed = top.select("path", F.col("top.cert").alias("cert"), F.col("top.cert.issuer_der").alias("subject")).join(a.withColumn("subject", F.col("anchor.subject_der")), "subject")
-    signed = signed.withColumn("held", _issued("cert", "anchor")).where("held").select("path", "anchor")
-    name = label(F.col("anchor.subject_name"), F.col("anchor.subject_org"))
-    return same.unionByName(signed).groupBy("path").agg(F.min(name).alias("anchor"))
 
+def checks(walked: DataFrame) -> DataFrame:
+    """path, kind, manifest, label, ok of every check: those of digests, of signatures (by manifests with a certificate)
+    and of the newest manifest's chain."""
+    place = F.size("manifests") - 1
+    row = lambda kind, i, label, ok: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("manifest"), label.alias("label"), ok.alias("ok"))
+    signed = F.filter(F.transform("manifests", lambda m, i: F.when(F.size(m["chain"]) > 0, row("signature", i, m["label"], F.get("own", i)))), lambda x: x.isNotNull())
+    chain = F.when(F.size(_last()["chain"]) > 0, F.array(row("chain", place, _last()["label"], _all("links"))))
+    return provenance.checks(tested(walked), F.concat(signed, F.coalesce(chain, F.slice(signed, 1, 0))))
 
-def verdict(files: DataFrame, boxes: DataFrame, signatures: DataFrame, anchors: DataFrame, now: Column | None = None) -> DataFrame:
-    """path, status, signer, organization, issuer, signed_at, trusted_by, headline of every file with provenance.
 
-    status: unreadable (damaged, or without a certificate), invalid (a check failed), partial (content or signature couldn't
-    be checked), valid_untrusted or valid.  Without a time stamp the certificate must be valid ``now`` (the current time).
+def history(walked: DataFrame) -> DataFrame:
+    """path, manifest, label, depth (0 the newest; null if nothing that it comes from names it), signer, signed, intact.
+
+    signed: whether the manifest's own key signed it; intact: whether its assertions have their digests, and it has
+    the one that each later manifest recorded of it.
     """
-    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if now is None else now
-    chain = chains(signatures)
-    kind = lambda df, k: df.select("path", F.lit(k).alias("kind"), "ok")
-    checks = (
-        kind(provenance.assertion_checks(boxes), "assertion").union(kind(provenance.ingredient_checks(boxes), "history")).union(kind(provenance.content_checks(files, boxes), "content"))
-        .union(kind(signature_checks(signatures, chain), "signature")).union(kind(chain_checks(chain), "chain"))
+    return tested(walked).select("path", F.explode(_versions()).alias("m")).select("path", "m.*")
+
+
+def _versions() -> Column:
+    fine = lambda m, i: _all(F.transform(F.filter("facts", lambda f: ((f["kind"] == "assertion") & (f["manifest"] == i)) | ((f["kind"] == "ingredient") & (f["label"] == m["label"]))), provenance.fact_ok))
+    name = lambda c: F.coalesce(c["subject_name"], c["subject_org"])
+    return F.transform(
+        "manifests", lambda m, i: F.struct(i.alias("manifest"), m["label"].alias("label"), m["depth"].alias("depth"), name(F.get(m["chain"], 0)).alias("signer"), F.get("own", i).alias("signed"), fine(m, i).alias("intact"))
     )
-    held = lambda k: F.count_if((F.col("kind") == k) & F.col("ok"))
-    g = checks.groupBy("path").agg(F.count_if(~F.col("ok")).alias("failed"), held("content").alias("content"), held("signature").alias("signature"))
-    leaf = chain.where("active AND place = 0").select("path", "cert")
-    last = signatures.where("active").select("path", "signed_at", F.col("error").alias("unsigned"))
-    bad = boxes.groupBy("path").agg((F.bool_or(F.col("box") == "error") | ~F.bool_or(F.col("box") == "claim")).alias("broken"))
-    j = bad.join(g, "path", "left").join(last, "path", "left").join(leaf, "path", "left").join(trusted(chain, anchors), "path", "left")
-    c, at = F.col, F.coalesce("signed_at", now)
-    outdated = ~at.between(c("cert.not_before"), c("cert.not_after"))
-    unreadable = c("broken") | c("unsigned").isNotNull() | c("cert").isNull() | c("cert.error").isNotNull()
-    status = (
-        F.when(unreadable, "unreadable").when((c("failed") > 0) | outdated, "invalid").when((c("content") == 0) | (c("signature") == 0), "partial")
-        .when(c("anchor").isNull(), "valid_untrusted").otherwise("valid")
+
+
+def trust(found: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The rows (path, leaf, top, whole) with ``trusted_by``: the first root (der binary) that is the signer or the top of a
+    whole chain, or that signed that top.  A chain with a link that failed or couldn't be checked is trusted by nobody."""
+    a = certificates(anchors.select("der").where("der IS NOT NULL").distinct()).select(F.col("der").alias("root"), F.col("cert").alias("anchor"))
+    key = lambda how, k: F.struct(F.lit(how).alias("how"), k.alias("key"))
+    a = a.select("anchor", F.explode(F.array(key("same", F.col("root")), key("name", F.col("anchor.subject_der")))).alias("k")).select("k.*", "anchor")
+    whole = lambda k: F.when(F.col("whole"), k)
+    keys = F.array(key("same", F.col("leaf.der")), whole(key("same", F.col("top.der"))), whole(key("name", F.col("top.issuer_der"))))
+    rows = found.select("*", F.explode_outer(F.array_distinct(F.array_compact(keys))).alias("k")).select("*", "k.*").join(a, ["how", "key"], "left")
+    fits = F.when(F.col("how") == "same", F.col("anchor").isNotNull()).otherwise(F.get(signatures_hold(F.array(_check(F.col("top"), F.col("anchor")))), 0))
+    name = F.when(fits, label(F.col("anchor.subject_name"), F.col("anchor.subject_org")))
+    rest = [c for c in found.columns if c not in ("path", "top", "whole")]
+    return rows.select("path", F.struct(*rest).alias("rest"), name.alias("name")).groupBy("path").agg(F.first("rest").alias("rest"), F.min("name").alias("trusted_by")).select("path", "rest.*", "trusted_by")
+
+
+def verdict(walked: DataFrame, anchors: DataFrame, now: Column | None = None, history: bool = False) -> DataFrame:
+    """path, status, signer, organization, issuer, signed_at, trusted_by, headline of every walked file.
+
+    status: unreadable (damaged, or without a certificate), invalid (a check failed, of the newest manifest or of one
+    that it comes from), partial (content, a signature or the chain couldn't be checked), valid_untrusted or valid.
+    Without a time stamp the certificate must be valid ``now`` (the current time).  history: adds the rows of ``history`` as
+    an array.
+    """
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if now is None else now
+    c, last = F.col, _last()
+    ok = F.transform("facts", lambda f: F.struct((f["kind"] == "content").alias("content"), provenance.fact_ok(f).alias("ok")))
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    # An earlier manifest that can't be read counts as altered.
+    lost = F.exists(F.slice("manifests", 1, F.greatest(F.size("manifests") - 1, F.lit(0))), lambda m: m["signature"]["error"].isNotNull() | m["claim"].isNull() | F.get(m["chain"], 0)["error"].isNotNull())
+    t = tested(walked).withColumn("whole", _all("links")).withColumn("signed", _all("own"))
+    found = t.select(
+        "path", "whole", F.get(last["chain"], 0).alias("leaf"), F.try_element_at(last["chain"], F.lit(-1)).alias("top"), last["signature"]["signed_at"].alias("signed_at"),
+        (yes(F.exists(ok, lambda x: ~x["ok"])) | ~yes(c("signed").isNull() | c("signed")) | ~yes(c("whole").isNull() | c("whole")) | yes(lost)).alias("failed"),
+        (~yes(F.exists(ok, lambda x: x["content"] & x["ok"])) | c("signed").isNull() | c("whole").isNull()).alias("open"),
+        (provenance.broken() | last["signature"]["error"].isNotNull()).alias("broken"), *([_versions().alias("history")] if history else []),
     )
-    signer = F.coalesce("cert.subject_name", "cert.subject_org", F.when(c("cert").isNotNull(), "Unknown"))
+    j = trust(found, anchors)
+    outdated = ~F.coalesce("signed_at", now).between(c("leaf.not_before"), c("leaf.not_after"))
+    unreadable = c("broken") | c("leaf").isNull() | c("leaf.error").isNotNull()
+    status = F.when(unreadable, "unreadable").when(c("failed") | outdated, "invalid").when(c("open"), "partial").when(c("trusted_by").isNull(), "valid_untrusted").otherwise("valid")
+    signer = F.coalesce("leaf.subject_name", "leaf.subject_org", F.when(c("leaf").isNotNull(), "Unknown"))
     out = j.select(
-        "path", status.alias("status"), signer.alias("signer"), c("cert.subject_org").alias("organization"), F.when(c("cert").isNotNull(), label(c("cert.issuer_name"), c("cert.issuer_org"))).alias("issuer"),
-        "signed_at", c("anchor").alias("trusted_by"),
+        "path", status.alias("status"), signer.alias("signer"), c("leaf.subject_org").alias("organization"), F.when(c("leaf").isNotNull(), label(c("leaf.issuer_name"), c("leaf.issuer_org"))).alias("issuer"),
+        "signed_at", "trusted_by", *(["history"] if history else []),
     )
     return out.withColumn("headline", headline(c("status"), c("signer")))
 

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..operators import media, provenance, signatures
 from ..registry import query, table
-from ..sources.certificates import signatures as signed_rows
 from ..sources.certificates import to_be_signed
 from ..sources.containers import boxes
 from ..sources.manifests import MANIFEST_UUID, manifest_boxes
+from ..sources.walk import walk
 from .files import box, picture
 
 RSA, SHA256_RSA = "2a864886f70d010101", "2a864886f70d01010b"
@@ -90,14 +90,19 @@ def jumb(label: str, *inner: bytes, kind: bytes = b"cbor") -> bytes:
     return box(b"jumb", box(b"jumd", kind + bytes(12) + b"\3" + label.encode() + b"\0"), *inner)
 
 
-def store(assertions: dict, leaf: Signer, chain: list[bytes]) -> bytes:
-    """A manifest store of one manifest, its claim signed by ``leaf``."""
+def manifest(name: str, assertions: dict, leaf: Signer, chain: list[bytes]) -> bytes:
+    """A manifest, its claim signed by ``leaf``."""
     made = {k: jumb(k, box(b"cbor", encode(v))) for k, v in assertions.items()}
     refs = [{"url": f"self#jumbf=c2pa.assertions/{k}", "hash": hashlib.sha256(b[8:]).digest()} for k, b in made.items()]
     claim = encode({"claim_generator": "maker/1", "alg": "sha256", "assertions": refs})
     protected = encode({1: -37, 33: chain})
     signature = encode([protected, {}, None, leaf.pss(to_be_signed(protected, claim))])
-    return jumb("c2pa", jumb("urn:new", jumb("c2pa.assertions", *made.values()), jumb("c2pa.claim", box(b"cbor", claim)), jumb("c2pa.signature", box(b"cbor", signature))), kind=b"c2pa")
+    return jumb(name, jumb("c2pa.assertions", *made.values()), jumb("c2pa.claim", box(b"cbor", claim)), jumb("c2pa.signature", box(b"cbor", signature)))
+
+
+def store(assertions: dict, leaf: Signer, chain: list[bytes], *earlier: bytes) -> bytes:
+    """A manifest store, earlier manifests first."""
+    return jumb("c2pa", *earlier, manifest("urn:new", assertions, leaf, chain), kind=b"c2pa")
 
 
 def settled(make) -> bytes:
@@ -143,6 +148,19 @@ def signed_film(key: int, name: str) -> bytes:
     return head + made + (box(b"free") if case == 2 else b"") + movie + (data[:-1] + b"\1" if case == 1 else data)
 
 
+def signed_versions(key: int, name: str) -> bytes:
+    """A picture signed three times.  By key: all of it good, the middle signature another's, the oldest changed after it."""
+    case, front, back, leaf = key % 3, picture(key, name)[:-12], picture(key, name)[-12:], signer("leaf")
+    by = lambda n: [certificate(f"{name} {n}", leaf, "root", signer("root"))]
+    of = lambda m, n: {"c2pa.ingredient": {"c2pa_manifest": {"url": f"self#jumbf=/c2pa/urn:{n}", "hash": hashlib.sha256(m[8:]).digest()}}}
+    first = manifest("urn:1", {"c2pa.actions": actions(name)}, leaf, by(1))
+    second = manifest("urn:2", {"c2pa.actions": actions(name), **of(first, 1)}, signer("other") if case == 1 else leaf, by(2))
+    first = first.replace(b"c2pa.edited", b"c2pa.edit3d") if case == 2 else first
+    bound = lambda n: {"c2pa.hash.data": {"exclusions": [{"start": len(front), "length": n}], "hash": hashlib.sha256(front + back).digest(), "alg": "sha256"}}
+    chunk = settled(lambda n: (lambda s: struct.pack(">I", len(s)) + b"caBX" + s + bytes(4))(store({**bound(n), **of(second, 2)}, leaf, by(3), first, second)))
+    return front + chunk + back
+
+
 def entry(tag: int, kind: int, n: int, value: bytes) -> bytes:
     return struct.pack("<HHI", tag, kind, n) + value.ljust(4, b"\0")
 
@@ -204,17 +222,14 @@ FROM (SELECT n_nationkey || '.png' AS path, CASE k WHEN 0 THEN 'valid' WHEN 2 TH
 {_ISSUER} AS issuer, CASE WHEN k IN (0, 1, 3) THEN 'root · Org' END AS trusted_by FROM (SELECT *, n_nationkey % 6 AS k FROM nation) n WHERE k < 5) v""")
 def provenance_verdict(spark, d):
     f = files(spark, d, "png", signed_picture)
-    return signatures.verdict(f, manifest_boxes(f), signed_rows(f), anchors(spark), F.lit("2026-01-01T00:00:00Z")).drop("signed_at")
+    return signatures.verdict(walk(f), anchors(spark), F.lit("2026-01-01T00:00:00Z")).drop("signed_at")
 
 
 @query("""SELECT n_nationkey || '.png' AS path, c.name AS "check", CASE WHEN c.name = 'content' THEN n_nationkey % 6 <> 1 ELSE true END AS ok FROM nation, (VALUES ('c2pa.hash.data'), ('c2pa.actions'), ('content'), ('signature')) AS c(name)
 WHERE n_nationkey % 6 < 4 OR (n_nationkey % 6 = 4 AND c.name <> 'signature')""")
 def provenance_checks(spark, d):
-    f = files(spark, d, "png", signed_picture)
-    b, s = manifest_boxes(f), signed_rows(f)
-    parts = provenance.assertion_checks(b).select("path", F.col("label").alias("check"), "ok")
-    parts = parts.union(provenance.content_checks(f, b).select("path", F.lit("content"), "ok"))
-    return parts.union(signatures.signature_checks(s, signatures.chains(s)).select("path", F.lit("signature"), "ok"))
+    found = signatures.checks(walk(files(spark, d, "png", signed_picture))).where("kind IN ('assertion', 'content', 'signature')")
+    return found.select("path", F.when(F.col("kind") == "assertion", F.col("label")).otherwise(F.col("kind")).alias("check"), "ok")
 
 
 @query("""SELECT n_nationkey || '.png' AS path, a.action, CASE WHEN a.ai THEN 'Painter of ' || n_name ELSE n_name END AS agent, CASE WHEN a.ai THEN 'trainedAlgorithmicMedia' END AS source, a.ai FROM nation, (VALUES ('c2pa.created', true), ('c2pa.edited', false)) AS a(action, ai) WHERE n_nationkey % 6 < 5""")
@@ -225,7 +240,16 @@ def provenance_actions(spark, d):
 @query("""SELECT n_nationkey || '.mp4' AS path, CASE n_nationkey % 4 WHEN 0 THEN true WHEN 3 THEN NULL ELSE false END AS ok FROM nation""")
 def film_binding(spark, d):
     f = files(spark, d, "mp4", signed_film)
-    return provenance.content_checks(f, manifest_boxes(f))
+    return provenance.content_checks(walk(f))
+
+
+@query("""SELECT n_nationkey || '.png' AS path, m.i AS manifest, m.label, 2 - m.i AS depth, n_name || ' ' || (m.i + 1) AS signer, NOT (m.i = 1 AND n_nationkey % 3 = 1) AS signed, NOT (m.i = 0 AND n_nationkey % 3 = 2) AS intact,
+CASE WHEN n_nationkey % 3 = 0 THEN 'valid' ELSE 'invalid' END AS status FROM nation, (VALUES (0, 'urn:1'), (1, 'urn:2'), (2, 'urn:new')) AS m(i, label)""")
+def provenance_history(spark, d):
+    """The versions of a file, oldest first, and the verdict that they lead to."""
+    walked = walk(files(spark, d, "png", signed_versions))
+    kept = signatures.verdict(walked, anchors(spark), F.lit("2026-01-01T00:00:00Z"), history=True)
+    return kept.select("path", F.explode("history").alias("m"), "status").select("path", "m.*", "status")
 
 
 @query("""SELECT n_nationkey || '.jpeg' AS path, t.key, CASE t.key WHEN 'Make' THEN n_name WHEN 'ExposureTime' THEN '1/' || (10 + n_nationkey) || ' s' ELSE 'f/2.8' END AS value FROM nation, (VALUES ('Make'), ('ExposureTime'), ('FNumber')) AS t(key)""")

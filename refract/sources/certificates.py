@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .manifests import _boxes, _label, cbor, locate
+from .manifests import NO_STORE, Manifest, _boxes, cbor, opened
 
 # Name parts, signature algorithms and digests by object id, COSE algorithms by number.
 NAMES = {"550403": "CN", "55040a": "O", "55040b": "OU", "550406": "C", "550408": "ST", "550407": "L"}
@@ -49,31 +49,44 @@ def _signed_at(unprotected: dict) -> str | None:
     return "{}-{}-{}T{}:{}:{}Z".format(*(g.decode() for g in found.groups())) if found else None
 
 
+def _signed(store: bytes, parts: dict) -> tuple:
+    """alg, kind, digest, salt, message, signature, chain and time of a manifest's signature."""
+    body = lambda part: next((store[x:y] for kind, _, x, y in _boxes(store, part.body, part.end) if kind == "cbor"), b"")
+    claim = body(parts.get("c2pa.claim") or parts["c2pa.claim.v2"])
+    protected, unprotected, payload, signature = cbor(body(parts["c2pa.signature"]))[0]
+    protected = bytes.fromhex(protected)
+    header = cbor(protected)[0] if protected else {}
+    alg = header.get("1")
+    chain = header.get("33") or unprotected.get("33") or unprotected.get("x5chain") or header.get("x5chain") or []
+    chain = [bytes.fromhex(c) for c in ([chain] if isinstance(chain, str) else chain)]
+    kind, digest, salt = COSE.get(alg, (None, None, None))
+    signed = to_be_signed(protected, bytes.fromhex(payload) if payload else claim)
+    return alg, kind, digest, salt, signed, bytes.fromhex(signature), chain, _signed_at(unprotected)
+
+
+def signature_of(store: bytes, m: Manifest) -> tuple[dict, list[bytes]]:
+    """The signature of a manifest, or its error, and its certificates."""
+    try:
+        _, kind, digest, salt, message, signature, chain, at = _signed(store, m.parts)
+    except DAMAGE as e:
+        return {"error": f"{type(e).__name__}: {e}"}, []
+    return {"kind": kind, "digest": digest, "salt": salt, "message": message, "signature": signature, "signed_at": at, "error": None if chain else "no certificate in signature"}, chain
+
+
 def _signatures(content: bytes) -> Iterator[tuple]:
-    found = locate(content)
+    found = opened(content)
     if not found:
         return
-    store = found[0]
-    inner = lambda lo, hi: [(_label(store, x, y), x, y) for kind, _, x, y in _boxes(store, lo, hi) if kind == "jumb"]
-    body = lambda lo, hi: next((store[x:y] for kind, _, x, y in _boxes(store, lo, hi) if kind == "cbor"), b"")
-    root = next((r for r in inner(0, len(store)) if r[0] == "c2pa"), None)
-    manifests = inner(*root[1:]) if root else []
-    for i, (_, lo, hi) in enumerate(manifests):
-        last = i == len(manifests) - 1
+    _, store, manifests, error = found
+    if error and (manifests or error != NO_STORE):
+        raise ValueError(error)
+    for m in manifests:
+        last = m.number == len(manifests) - 1
         try:
-            parts = {label: body(x, y) for label, x, y in inner(lo, hi)}
-            claim = parts.get("c2pa.claim") or parts["c2pa.claim.v2"]
-            protected, unprotected, payload, signature = cbor(parts["c2pa.signature"])[0]
-            protected = bytes.fromhex(protected)
-            header = cbor(protected)[0] if protected else {}
-            alg = header.get("1")
-            chain = header.get("33") or unprotected.get("33") or unprotected.get("x5chain") or header.get("x5chain") or []
-            chain = [bytes.fromhex(c) for c in ([chain] if isinstance(chain, str) else chain)]
-            kind, digest, salt = COSE.get(alg, (None, None, None))
-            signed = to_be_signed(protected, bytes.fromhex(payload) if payload else claim)
-            yield i, last, alg, kind, digest, salt, signed, bytes.fromhex(signature), chain, _signed_at(unprotected), None if chain else "no certificate in signature"
+            *most, chain, at = _signed(store, m.parts)
+            yield m.number, last, *most, chain, at, None if chain else "no certificate in signature"
         except DAMAGE as e:
-            yield i, last, None, None, None, None, None, None, [], None, f"{type(e).__name__}: {e}"
+            yield m.number, last, None, None, None, None, None, None, [], None, f"{type(e).__name__}: {e}"
 
 
 def signatures(files: DataFrame) -> DataFrame:

@@ -9,11 +9,10 @@ import hashlib
 import json
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from .containers import jpeg, png
 
@@ -23,6 +22,7 @@ MANIFEST_UUID = bytes.fromhex("d8fec3d61b0e483c92975828877ec481")
 # Boxes of ISO media files that hold boxes; meta has four bytes before them.
 HOLDERS = frozenset("moov trak mdia minf stbl edts dinf udta moof traf mfra mvex sinf schi meta".split())
 
+NO_STORE = "no manifest store"
 ROWS = "path string, container string, manifests int, manifest int, manifest_label string, box string, label string, start bigint, end bigint, body_sha256 string, whole_sha256 string, content string, error string"
 
 
@@ -144,6 +144,60 @@ def _label(store: bytes, body: int, end: int) -> str:
     return ""
 
 
+class Part(NamedTuple):
+    """An assertion, claim or signature: where its box starts, its body and end, and the value that it holds."""
+
+    start: int
+    body: int
+    end: int
+    value: object
+
+
+class Manifest(NamedTuple):
+    number: int
+    label: str
+    start: int
+    body: int
+    end: int
+    claim: object
+    assertions: dict[str, Part]
+    parts: dict[str, Part]
+
+
+def _value(store: bytes, body: int, end: int):
+    text = _content(store, body, end)
+    try:
+        return None if text is None else json.loads(text)
+    except ValueError:
+        return None
+
+
+def opened(b: bytes) -> tuple[str, bytes, list[Manifest], str | None] | None:
+    """(container, store, manifests, error) of a file's store; None without one.
+
+    A damaged manifest ends the list and is told by the error.
+    """
+    found = locate(b)
+    if not found:
+        return None
+    store, container = found
+    inner = lambda lo, hi: [(_label(store, x, y), s, x, y) for kind, s, x, y in _boxes(store, lo, hi) if kind == "jumb"]
+    root = next((r for r in inner(0, len(store)) if r[0] == "c2pa"), None)
+    if root is None:
+        return container, store, [], NO_STORE
+    out: list[Manifest] = []
+    for i, (name, start, body, end) in enumerate(inner(*root[2:])):
+        try:
+            parts = {label: Part(s, x, y, _value(store, x, y) if label.startswith("c2pa.claim") else None) for label, s, x, y in inner(body, end)}
+            at = parts.get("c2pa.assertions")
+            assertions = {label: Part(s, x, y, _value(store, x, y)) for label, s, x, y in inner(at.body, at.end)} if at else {}
+        except (ValueError, IndexError, struct.error, TypeError, KeyError) as e:
+            return container, store, out, f"{type(e).__name__}: {e}"
+        claim = parts.get("c2pa.claim") or parts.get("c2pa.claim.v2")
+        out.append(Manifest(i, name, start, body, end, claim.value if claim else None, assertions, parts))
+    return container, store, out, None
+
+
 def _rows(path: str, b: bytes) -> Iterator[tuple]:
     found = locate(b)
     if not found:
@@ -153,7 +207,7 @@ def _rows(path: str, b: bytes) -> Iterator[tuple]:
     inner = lambda lo, hi: [(_label(store, x, y), s, x, y) for kind, s, x, y in _boxes(store, lo, hi) if kind == "jumb"]
     roots = [r for r in inner(0, len(store)) if r[0] == "c2pa"]
     if not roots:
-        yield path, container, 0, None, None, "error", None, None, None, None, None, None, "no manifest store"
+        yield path, container, 0, None, None, "error", None, None, None, None, None, None, NO_STORE
         return
     manifests = inner(roots[0][2], roots[0][3])
     for i, (name, start, body, end) in enumerate(manifests):
@@ -191,19 +245,9 @@ def manifest_boxes(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(walk, ROWS)
 
 
-def _places(b: bytes, lo: int, hi: int, above: str = "", depth: int = 0) -> Iterator[tuple[str, int, int, int, bool]]:
-    for kind, start, body, end in _boxes(b, lo, hi):
+def places(b: bytes, lo: int = 0, hi: int | None = None, above: str = "", depth: int = 0) -> Iterator[tuple[str, int, int, int, bool]]:
+    """Path, place, size and header length of every box of an ISO media file, and whether it is in no other."""
+    for kind, start, body, end in _boxes(b, lo, len(b) if hi is None else hi):
         yield f"{above}/{kind}", start, end - start, body - start, not depth
         if depth < 8 and kind in HOLDERS:
-            yield from _places(b, body + 4 * (kind == "meta"), end, f"{above}/{kind}", depth + 1)
-
-
-def box_places(content: Column) -> Column:
-    """Path, place, size and header length of every box of an ISO media file; ``outer`` are those in no other."""
-    names = ("xpath", "start", "size", "head", "outer")
-
-    @F.pandas_udf("array<struct<xpath:string,start:bigint,size:bigint,head:bigint,outer:boolean>>")
-    def walk(values: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else [dict(zip(names, p)) for p in _places(b, 0, len(b))] for b in values], dtype=object)
-
-    return walk(content)
+            yield from places(b, body + 4 * (kind == "meta"), end, f"{above}/{kind}", depth + 1)

@@ -6,10 +6,12 @@ import hashlib
 import struct
 
 import pytest
-from pyspark.sql import functions as F
 
 from refract.operators import provenance as P
+from refract.queries import QUERIES
+from refract.sources.binding import box_digest, data_digest
 from refract.sources.manifests import cbor, locate, manifest_boxes
+from refract.sources.walk import walk
 
 
 def encode(v) -> bytes:
@@ -85,17 +87,17 @@ def files(spark):
 
 
 def test_tamper_matrix(files):
-    got = {r.path: r.status for r in P.status(files, manifest_boxes(files)).collect()}
+    got = {r.path: r.status for r in P.status(walk(files)).collect()}
     assert got == {n: s for n, (_, s) in CASES.items()}
 
 
 def test_counts_and_actions(files):
     b = manifest_boxes(files).where("path = 'history'")
-    row = P.status(files.where("path = 'history'"), b).first()
+    row = P.status(walk(files.where("path = 'history'"))).first()
     assert (row.held, row.failed, row.unchecked) == (6, 0, 1)
     a = P.actions(b).first()
     assert (a.action, a.agent, a.source, a.ai) == ("c2pa.created", "Painter", "trainedAlgorithmicMedia", True)
-    lost = P.assertion_checks(manifest_boxes(files).where("path = 'missing'")).where("NOT ok").first()
+    lost = P.assertion_checks(walk(files).where("path = 'missing'")).where("NOT ok").first()
     assert lost.label == "c2pa.aktions"
 
 
@@ -117,6 +119,30 @@ def test_cbor_forms():
     assert cbor(bytes.fromhex("7f61616162ff"))[0] == "ab" and cbor(bytes.fromhex("d2820102"))[0] == [1, 2]
 
 
-def test_overlapping_spans(spark):
-    df = spark.createDataFrame([(bytearray(b"abcdefghij"), [(2, 3), (4, 2), (8, 1)])], "c binary, s array<struct<start:bigint,length:bigint>>")
-    assert bytes(df.select(P.without(F.col("c"), F.col("s")).alias("x")).first().x) == b"abghj"
+def test_overlapping_spans():
+    ranges = [{"start": s, "length": n} for s, n in ((8, 1), (2, 3), (4, 2))]
+    assert data_digest(b"abcdefghij", {"exclusions": ranges}) == hashlib.sha256(b"abghj").hexdigest()
+    assert data_digest(b"abc", {"exclusions": [{"start": 0, "length": 9}], "alg": "sha512"}) == hashlib.sha512().hexdigest()
+    assert data_digest(b"abc", {"alg": "md5"}) is None
+
+
+def test_boxes_that_are_left_out():
+    """By path, length, version, flags, what a box holds, and parts of it; offsets of what stays are marked."""
+    a, b, c = box(b"aaaa", b"\1\0\0\5 left"), box(b"bbbb", b"12345678"), box(b"cccc", b"xyz")
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    one = lambda e, marked=False: box_digest(a + b + c, {"exclusions": [e]}, marked)
+    at = lambda n: struct.pack(">Q", n)
+    assert one({"xpath": "/aaaa"}) == sha(b + c) == one({"xpath": "/aaaa", "version": 1, "flags": "000005", "length": len(a)})
+    assert one({"xpath": "/aaaa", "version": 2}) == one({"xpath": "/aaaa", "length": 3}) == one({"xpath": "/aaaa", "flags": "000004"}) == sha(a + b + c)
+    assert one({"xpath": "/aaaa", "flags": "000007", "exact": False}) == sha(b + c)
+    assert one({"xpath": "/bbbb", "data": [{"offset": 8, "value": "3132"}]}) == sha(a + c) != one({"xpath": "/bbbb", "data": [{"offset": 8, "value": "3133"}]})
+    assert one({"xpath": "/bbbb", "subset": [{"offset": 10, "length": 2}, {"offset": 14, "length": 0}]}) == sha(a + b[:10] + b[12:14] + c)
+    assert one({"xpath": "/bbbb"}, True) == sha(at(0) + a + at(len(a + b)) + c)
+    assert box_digest(a, {"merkle": [1]}, True) is None
+
+
+def test_checks_scan_their_files_once(spark):
+    """However many checks there are, the plan reads the files and walks them once."""
+    for name in ("provenance_verdict", "provenance_checks", "provenance_history", "film_binding"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1 and plan.count("MapInArrow") == 1, (name, plan)

@@ -1,7 +1,8 @@
-"""Whether a file says that an AI made it: evidence from its bytes, its tags and its credentials as rows, then one verdict.
+"""Whether a file says that an AI made it: evidence from its bytes, its tags and its credentials, then one verdict.
 
-Files come as (path, raw), raw being the text of the bytes that hold metadata, and tags as (path, ordinal, key,
-value).  Every test is a column expression on one row a file or a tag; only evidence rows are shuffled.
+A file is one row: raw, the text of the bytes that hold metadata, tags, its structs (ordinal, key, value), and the
+verified credentials where there are any (operators.signatures).  Evidence is an array of that row, so the verdict
+is a projection: nothing is joined or shuffled but tags and files that come as tables of their own.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ GENERATORS = (
 JOB = r"Job ID:\s*([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
 SETTINGS = r"Steps:\s*\d+,\s*Sampler:"
 REGION = (2048, 131_072)
+JOB_REGION = 1500
+PROMPT = r"([^\n\r]{8,600}?\s+--(?:v|ar|style|stylize|chaos|niji)\b[^\n\r]{0,80})"
+# What a verdict on credentials is called in a report.
+STATES = {"valid": "verified", "valid_untrusted": "signature valid, signer not on the trust list", "partial": "signature valid, file content not checked", "invalid": "FAILED verification"}
 
 _NODES = "map<string,struct<class_type:string,inputs:map<string,string>>>"
 
@@ -75,9 +80,26 @@ def graph(text: Column) -> Column:
     )
 
 
-def _facts(files: DataFrame, tags: DataFrame) -> DataFrame:
+#: Verified credentials of a file; null where it has none that could be read.
+CREDENTIALS_TYPE = "status string, marked boolean, edited boolean, algorithmic boolean, agent string, generator string, organization string"
+
+
+def with_tags(files: DataFrame, tags: DataFrame) -> DataFrame:
+    """Files with ``tags``, an array of their rows of (path, ordinal, key, value); other columns stay."""
+    own = tags.groupBy("path").agg(F.collect_list(F.struct("ordinal", "key", "value")).alias("tags"))
+    return files.join(own, "path", "left")
+
+
+def _first_of_key(tags: Column) -> Column:
+    """Sorted tags as a map; of equal keys the first counts."""
+    first = F.filter(tags, lambda t, i: ~F.exists(F.slice(tags, 1, i), lambda x: x["key"] == t["key"]))
+    return F.map_from_entries(F.transform(first, lambda t: F.struct(t["key"], t["value"])))
+
+
+def _facts(files: DataFrame) -> DataFrame:
     """One row a file: what its raw text and its single tags say."""
-    f = files.select("path", "raw").join(origin.tag_maps(tags), "path", "left")
+    empty = F.array().cast("array<struct<ordinal:int,key:string,value:string>>")
+    f = files.withColumn("sorted", F.array_sort(F.filter(F.coalesce("tags", empty), lambda t: t["key"].isNotNull()))).withColumn("tags", _first_of_key(F.col("sorted")))
     raw, tag = F.col("raw"), lambda k: F.try_element_at("tags", F.lit(k))
     at = F.regexp_instr(raw, F.lit("(?i)" + CREDENTIALS))
     region = F.when(at > 0, F.substring(raw, F.greatest(F.lit(1), at - REGION[0]), F.least(at - 1, F.lit(REGION[0])) + REGION[1]))
@@ -91,7 +113,7 @@ def _facts(files: DataFrame, tags: DataFrame) -> DataFrame:
             "by_software": raw.rlike(r"\balgorithmicMedia\b"),
             "google": raw.rlike("(?i)Made with Google AI|SynthID"),
             "meta": raw.rlike("(?i)Imagined with AI"),
-            "credentials": region.isNotNull(),
+            "told": region.isNotNull(),
             "generator": F.replace(F.nullif(F.regexp_extract(region, "(?i)" + GENERATORS, 1), F.lit("")), F.lit("_"), F.lit(" ")),
             "signed_at": F.nullif(F.regexp_extract(region, r"\b(20\d{2}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?)", 1), F.lit("")),
             "marked": F.coalesce(region.rlike(SOURCE_TYPES.replace("\\b", "")), F.lit(False)),
@@ -102,52 +124,81 @@ def _facts(files: DataFrame, tags: DataFrame) -> DataFrame:
             "novel": F.get(F.filter(shapes, novel), 0),
         }
     )
-    return f.withColumn("mj_prompt", F.when(F.col("job").isNotNull(), _pick(raw, r"([^\n\r]{8,600}?\s+--(?:v|ar|style|stylize|chaos|niji)\b[^\n\r]{0,80})")))
+    near = F.regexp_instr(raw, F.lit("(?i)" + JOB))
+    around = F.substring(raw, F.greatest(F.lit(1), near - JOB_REGION), F.least(near - 1, F.lit(JOB_REGION)) + JOB_REGION)
+    return f.withColumn("mj_prompt", F.when(F.col("job").isNotNull(), _pick(around, PROMPT)))
+
+
+def _with_products(files: DataFrame) -> DataFrame:
+    """Files with ``hits`` of catalog products: (rank, product, vendor, strength, source), by the first tag that names each,
+    and those that only its bytes name.  Each step is a column of its own, so that none is computed more than once."""
+    usable = F.filter("sorted", lambda t: ~t["key"].isin("xmp_history", "ai_parameters"))
+
+    def of_tag(t: Column) -> Column:
+        program = t["key"].rlike(f"(?i)^(?:{catalog.PROGRAM_KEYS})$")
+        strength = F.when(t["key"].rlike(f"(?i)^(?:{catalog.TOOL_KEYS})$"), "strong").otherwise("medium")
+        source = F.concat(F.lit('tag "'), t["key"], F.lit('"'))
+        named = [t["value"].rlike(rules.portable(r)) | (program & t["value"].rlike(rules.portable(p)) if p else F.lit(False)) for _, _, _, p, r, _ in catalog.PRODUCTS]
+        return F.array_compact(F.array(*(F.when(n, _hit(i, t["ordinal"], strength, source)) for i, n in enumerate(named))))
+
+    f = files.withColumn("every", F.array_sort(F.flatten(F.transform(usable, of_tag))))
+    f = f.withColumn("tagged", F.filter("every", lambda h, i: (i == 0) | (F.get("every", i - 1)["rank"] != h["rank"])))
+    raw = [F.when(F.col("raw").rlike(rules.portable(w)), _hit(i, F.lit(0), F.lit("medium"), F.lit("file data"))) for i, (*_, w) in enumerate(catalog.PRODUCTS) if w]
+    alone = F.filter(F.array_compact(F.array(*raw)), lambda h: ~F.exists("tagged", lambda t: t["product"] == h["product"]))
+    return f.withColumn("hits", F.concat("tagged", alone))
+
+
+def _hit(i: int, ordinal: Column, strength: Column, source: Column) -> Column:
+    name, vendor, *_ = catalog.PRODUCTS[i]
+    return F.struct(F.lit(i).alias("rank"), ordinal.cast("int").alias("ordinal"), F.lit(name).alias("product"), F.lit(vendor).alias("vendor"), strength.alias("strength"), source.alias("source"))
 
 
-def _evidence(facts: DataFrame) -> DataFrame:
-    """path, strength, source, detail of what raw text and single tags say."""
+def _evidence() -> Column:
+    """Distinct (strength, source, detail, edited, made) of what raw text, single tags, credentials and products say."""
     c = F.col
-    edited = c("source_type").startswith("composite")
-    row = lambda when, strength, source, detail: F.when(when, F.struct(strength.alias("strength"), F.lit(source).alias("source"), detail.alias("detail")))
-    strong, info = F.lit("strong"), F.lit("info")
+    edited, known = c("source_type").startswith("composite"), c("credentials.status") != "unreadable"
+    row = lambda when, strength, source, detail, edit=F.lit(False), make=F.lit(False): F.when(
+        when, F.struct(strength.alias("strength"), F.lit(source).alias("source"), detail.alias("detail"), edit.alias("edited"), make.alias("made"))
+    )
+    strong, info, verified = F.lit("strong"), F.lit("info"), F.coalesce(known, F.lit(False))
+    state = F.element_at(F.create_map(*(F.lit(x) for kv in STATES.items() for x in kv)), c("credentials.status"))
+    says = F.concat_ws(" ", F.when(c("credentials.edited"), "edited with AI").otherwise("created by AI"), F.concat(F.lit("("), c("credentials.agent"), F.lit(")")), F.concat(F.lit("["), state, F.lit("]")))
+    marked = F.coalesce("credentials.marked", F.lit(False))
     found = [
-        row(c("source_type").isNotNull(), strong, "IPTC / XMP label", F.concat(c("source_type"), F.when(edited, " (AI used to edit or composite)").otherwise(" (created by an AI model)"))),
+        row(c("source_type").isNotNull(), strong, "IPTC / XMP label", F.concat(c("source_type"), F.when(edited, " (AI used to edit or composite)").otherwise(" (created by an AI model)")), edited, ~edited),
         row(c("source_type").isNull() & c("by_software"), info, "IPTC / XMP label", F.lit("algorithmicMedia")),
         row(c("google"), strong, "Google label", F.lit("Made with Google AI / SynthID")),
         row(c("meta"), strong, "Meta label", F.lit("Imagined with AI")),
-        row(c("credentials"), F.when(c("marked"), "medium").otherwise("info"), "Content Credentials", F.concat_ws(" ", F.lit("not verified"), F.when(c("marked"), "their text says AI-made"), c("generator"))),
+        row(verified & marked, F.when(c("credentials.status") == "invalid", "medium").otherwise("strong"), "Content Credentials", says, c("credentials.edited"), ~c("credentials.edited")),
+        row(verified & ~marked, info, "Content Credentials", F.concat_ws(" ", F.concat(F.lit("present ["), state, F.lit("]")), c("credentials.generator"), F.when(c("credentials.algorithmic"), "algorithmicMedia"))),
+        row(~verified & c("told"), F.when(c("marked"), "medium").otherwise("info"), "Content Credentials", F.concat_ws(" ", F.lit("not verified"), F.when(c("marked"), "their text says AI-made"), c("generator"))),
         row(c("sd").isNotNull(), strong, "Generation settings", F.lit("Steps, Sampler, Seed, CFG scale")),
         row(c("comfy").isNotNull(), strong, "ComfyUI workflow", F.lit("node graph")),
         row(c("comfy").isNull() & c("invoke").isNotNull(), strong, "InvokeAI metadata", F.lit("generation metadata")),
         row(c("comfy").isNull() & c("invoke").isNull() & c("novel").isNotNull(), strong, "Comment JSON", F.lit("NovelAI-style settings")),
         row(c("job").isNotNull(), strong, "Midjourney metadata", c("job")),
     ]
-    return facts.select("path", F.explode(F.array_compact(F.array(*found))).alias("e")).select("path", "e.*")
+    no = F.lit(False)
+    products = F.transform("hits", lambda h: F.struct(h["strength"].alias("strength"), h["source"].alias("source"), h["product"].alias("detail"), no.alias("edited"), no.alias("made")))
+    return F.array_distinct(F.concat(F.array_compact(F.array(*found)), products))
 
 
-def analyse(files: DataFrame, tags: DataFrame) -> DataFrame:
-    """The verdict on every file: path, is_ai, confidence (confirmed, likely, none), label, tool, vendor, model, prompt, n_evidence.
+def judged(files: DataFrame) -> DataFrame:
+    """The verdict on files that have their tags with them: path, raw, tags, and credentials where known.
 
-    * a file without tags or with null raw text is judged by what it has; tags of other files count for nothing;
-    * repeated evidence counts once; of several products the first of strong, then of medium ones is named.
+    Columns: path, is_ai, confidence (confirmed, likely, none), label, tool, vendor, model, prompt, n_evidence, evidence.
+    Credentials that were verified count strong, those that failed medium; unread ones by their text alone.
     """
-    facts = _facts(files, tags)
-    tagged = rules.product_hits(tags)
-    raw = rules.raw_products(files).join(tagged.select("path", "product"), ["path", "product"], "left_anti")
-    hits = tagged.select("path", "rank", "product", "vendor", "strength", F.concat(F.lit('tag "'), "key", F.lit('"')).alias("source"))
-    hits = hits.unionByName(raw.select("path", "rank", "product", "vendor", "strength", F.lit("file data").alias("source")))
-    evidence = _evidence(facts).unionByName(hits.select("path", "strength", "source", F.col("product").alias("detail"))).distinct()
-    marks = rules.verdict(evidence)
-    editing = evidence.groupBy("path").agg(
-        F.bool_or(F.col("detail").contains("edit or composite")).alias("edited"), F.bool_or(F.col("detail").contains("created by an AI")).alias("made")
-    )
-    top = rules.headline(hits)
-    named = rules.match(facts.where("marked AND generator IS NOT NULL").select("path", "generator"), "generator", [(str(i), r) for i, (*_, r, _) in enumerate(catalog.PRODUCTS)])
-    known = F.create_map(*(F.lit(x) for i, (n, v, *_) in enumerate(catalog.PRODUCTS) for x in (f"{i}", f"{n}\n{v}")))
-    named = rules.first_hits(named, ["path"], [F.col("ordinal")]).select("path", F.split(F.try_element_at(known, F.col("rule")), "\n").alias("named"))
-    j = facts.join(marks, "path", "left").join(editing, "path", "left").join(top, "path", "left").join(named, "path", "left")
+    if "credentials" not in files.columns:
+        files = files.withColumn("credentials", F.lit(None).cast(f"struct<{CREDENTIALS_TYPE.replace(' ', ':').replace(',:', ',')}>"))
+    j = _with_products(_facts(files.select("path", "raw", "tags", "credentials"))).withColumn("evidence", _evidence())
     c = F.col
+    has = lambda k: F.exists("evidence", lambda e: e["strength"] == k)
+    confidence = F.when(has("strong"), "confirmed").when(has("medium"), "likely").otherwise("none")
+    top = F.array_min(F.transform("hits", lambda h: F.struct(F.when(h["strength"] == "strong", 0).otherwise(1).alias("weak"), h["rank"].alias("rank"), h["product"].alias("tool"), h["vendor"].alias("vendor"))))
+    told = F.coalesce(*(F.when(c("generator").rlike(rules.portable(r)), F.struct(F.lit(n).alias("tool"), F.lit(v).alias("vendor"))) for n, v, _, _, r, _ in catalog.PRODUCTS))
+    named = F.when(c("marked"), told)
+    sure = F.coalesce((c("credentials.status") != "unreadable") & c("credentials.marked"), F.lit(False))
     forge = c("sd")["version"].rlike(r"(?i)^f\d|forge")
     by = lambda when, tool, vendor: F.when(when, F.struct(tool.alias("t"), F.lit(vendor).alias("v")))
     made = F.coalesce(
@@ -155,16 +206,23 @@ def analyse(files: DataFrame, tags: DataFrame) -> DataFrame:
         by(c("comfy").isNotNull(), F.lit("ComfyUI"), "ComfyUI (open-source toolchain)"), by(c("invoke").isNotNull(), F.lit("InvokeAI"), "InvokeAI"), by(c("novel").isNotNull(), F.lit("NovelAI"), "NovelAI"),
     )
     midjourney = F.when(c("job").isNotNull(), "Midjourney")
-    confidence = F.coalesce("confidence", F.lit("none"))
-    is_ai = confidence != "none"
     corpus = F.concat_ws("\n", F.map_values("tags"), c("generator"))
-    model = F.coalesce(c("sd")["model"], c("comfy")["model"], F.get_json_object("invoke", "$.model.model_name"), F.get_json_object("invoke", "$.model.name"), F.when(is_ai, origin.model_name(corpus)))
-    edited = c("edited") & ~c("made")
-    label = F.when(confidence == "none", "No AI marks found").when(confidence == "likely", "Probably AI-generated").when(edited, "AI-assisted / AI-edited").otherwise("AI-generated")
-    return j.select(
-        "path", is_ai.alias("is_ai"), confidence.alias("confidence"), label.alias("label"),
-        F.coalesce(made["t"], midjourney, c("tool"), F.get("named", 0), F.when(c("marked"), c("generator"))).alias("tool"),
-        F.coalesce(midjourney, made["v"], c("vendor"), F.get("named", 1)).alias("vendor"),
+    model = F.coalesce(c("sd")["model"], c("comfy")["model"], F.get_json_object("invoke", "$.model.model_name"), F.get_json_object("invoke", "$.model.name"), F.when(c("confidence") != "none", origin.model_name(corpus)))
+    edited = F.exists("evidence", lambda e: e["edited"]) & ~F.exists("evidence", lambda e: e["made"])
+    label = F.when(c("confidence") == "none", "No AI marks found").when(c("confidence") == "likely", "Probably AI-generated").when(edited, "AI-assisted / AI-edited").otherwise("AI-generated")
+    return j.withColumn("confidence", confidence).withColumn("top", top).select(
+        "path", (c("confidence") != "none").alias("is_ai"), "confidence", label.alias("label"),
+        F.coalesce(F.when(sure, c("credentials.agent")), made["t"], midjourney, c("top.tool"), named["tool"], F.when(c("marked"), c("generator"))).alias("tool"),
+        F.coalesce(midjourney, F.when(sure, c("credentials.organization")), made["v"], c("top.vendor"), named["vendor"]).alias("vendor"),
         model.alias("model"), F.coalesce(c("sd")["prompt"], c("comfy")["prompt"], F.get_json_object("invoke", "$.positive_prompt"), F.get_json_object("novel", "$.prompt"), c("mj_prompt")).alias("prompt"),
-        F.coalesce("n_evidence", F.lit(0)).cast("bigint").alias("n_evidence"),
+        F.size("evidence").cast("bigint").alias("n_evidence"), F.transform("evidence", lambda e: F.struct(e["strength"].alias("strength"), e["source"].alias("source"), e["detail"].alias("detail"))).alias("evidence"),
     )
+
+
+def analyse(files: DataFrame, tags: DataFrame) -> DataFrame:
+    """``judged`` for files (path, raw) and their tags (path, ordinal, key, value) as tables of their own.
+
+    * a file without tags or with null raw text is judged by what it has; tags of other files count for nothing;
+    * repeated evidence counts once; of several products the first of strong, then of medium ones is named.
+    """
+    return judged(with_tags(files, tags)).drop("evidence")

@@ -63,10 +63,34 @@ def history(walked: DataFrame) -> DataFrame:
     signed: whether the manifest's own key signed it; intact: whether its assertions have their digests, and it has
     the one that each later manifest recorded of it.
     """
-    return tested(walked).select("path", F.explode(_versions()).alias("m")).select("path", "m.*")
+    return tested(walked).select("path", F.explode(versions()).alias("m")).select("path", "m.*")
+
+
+def said() -> Column:
+    """struct(marked, edited, algorithmic, agent, generator) of a walked file: what its newest manifest says of its making."""
+    last = _last()
+    kind = "actions array<struct<action:string,softwareAgent:string,digitalSourceType:string>>"
+    told = F.filter(last["assertions"], lambda a: a["label"].startswith("c2pa.actions"))
+    acts = F.coalesce(F.flatten(F.transform(told, lambda a: F.coalesce(F.from_json(a["content"], kind)["actions"], F.array().cast(kind.removeprefix("actions "))))), F.array().cast(kind.removeprefix("actions ")))
+    sources = F.transform(acts, lambda a: F.coalesce(F.substring_index(a["digitalSourceType"], "/", -1), F.lit("")))
+    ai = F.filter(sources, lambda x: x.isin(*provenance.AI_SOURCES))
+    agents = F.transform(F.filter(acts, lambda a: a["softwareAgent"].isNotNull()), lambda a: F.coalesce(F.get_json_object(a["softwareAgent"], "$.name"), a["softwareAgent"]))
+    claim = lambda k: F.get_json_object(last["claim"], f"$.{k}")
+    generator = F.concat_ws(" ", F.coalesce(claim("claim_generator_info[0].name"), claim("claim_generator_info.name"), claim("claim_generator")), F.coalesce(claim("claim_generator_info[0].version"), claim("claim_generator_info.version")))
+    return F.struct(
+        (F.size(ai) > 0).alias("marked"), F.exists(ai, lambda x: x.startswith("composite")).alias("edited"), F.array_contains(sources, "algorithmicMedia").alias("algorithmic"),
+        F.coalesce(F.get(agents, 0), F.nullif(generator, F.lit(""))).alias("agent"), F.nullif(generator, F.lit("")).alias("generator"),
+    )
+
+
+def credentials() -> Column:
+    """The struct that ai_origin.judged weighs, from a verdict with ``said``; null without provenance."""
+    c = F.col
+    whole = F.struct("status", "said.marked", "said.edited", "said.algorithmic", "said.agent", "said.generator", "organization")
+    return F.when(c("status").isNotNull(), whole)
 
 
-def _versions() -> Column:
+def versions() -> Column:
     fine = lambda m, i: _all(F.transform(F.filter("facts", lambda f: ((f["kind"] == "assertion") & (f["manifest"] == i)) | ((f["kind"] == "ingredient") & (f["label"] == m["label"]))), provenance.fact_ok))
     name = lambda c: F.coalesce(c["subject_name"], c["subject_org"])
     return F.transform(
@@ -89,13 +113,13 @@ def trust(found: DataFrame, anchors: DataFrame) -> DataFrame:
     return rows.select("path", F.struct(*rest).alias("rest"), name.alias("name")).groupBy("path").agg(F.first("rest").alias("rest"), F.min("name").alias("trusted_by")).select("path", "rest.*", "trusted_by")
 
 
-def verdict(walked: DataFrame, anchors: DataFrame, now: Column | None = None, history: bool = False) -> DataFrame:
+def verdict(walked: DataFrame, anchors: DataFrame, now: Column | None = None, **more: Column) -> DataFrame:
     """path, status, signer, organization, issuer, signed_at, trusted_by, headline of every walked file.
 
     status: unreadable (damaged, or without a certificate), invalid (a check failed, of the newest manifest or of one
     that it comes from), partial (content, a signature or the chain couldn't be checked), valid_untrusted or valid.
-    Without a time stamp the certificate must be valid ``now`` (the current time).  history: adds the rows of ``history`` as
-    an array.
+    Without a time stamp the certificate must be valid ``now`` (the current time).  Files without provenance that were walked
+    all the same have a null status.  more: further columns, as expressions over walked files (``versions``, ``said``).
     """
     now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if now is None else now
     c, last = F.col, _last()
@@ -108,16 +132,16 @@ def verdict(walked: DataFrame, anchors: DataFrame, now: Column | None = None, hi
         "path", "whole", F.get(last["chain"], 0).alias("leaf"), F.try_element_at(last["chain"], F.lit(-1)).alias("top"), last["signature"]["signed_at"].alias("signed_at"),
         (yes(F.exists(ok, lambda x: ~x["ok"])) | ~yes(c("signed").isNull() | c("signed")) | ~yes(c("whole").isNull() | c("whole")) | yes(lost)).alias("failed"),
         (~yes(F.exists(ok, lambda x: x["content"] & x["ok"])) | c("signed").isNull() | c("whole").isNull()).alias("open"),
-        (provenance.broken() | last["signature"]["error"].isNotNull()).alias("broken"), *([_versions().alias("history")] if history else []),
+        (provenance.broken() | last["signature"]["error"].isNotNull()).alias("broken"), (c("container").isNull() & c("error").isNull()).alias("none"), *(x.alias(k) for k, x in more.items()),
     )
     j = trust(found, anchors)
     outdated = ~F.coalesce("signed_at", now).between(c("leaf.not_before"), c("leaf.not_after"))
     unreadable = c("broken") | c("leaf").isNull() | c("leaf.error").isNotNull()
-    status = F.when(unreadable, "unreadable").when(c("failed") | outdated, "invalid").when(c("open"), "partial").when(c("trusted_by").isNull(), "valid_untrusted").otherwise("valid")
+    status = F.when(c("none"), None).when(unreadable, "unreadable").when(c("failed") | outdated, "invalid").when(c("open"), "partial").when(c("trusted_by").isNull(), "valid_untrusted").otherwise("valid")
     signer = F.coalesce("leaf.subject_name", "leaf.subject_org", F.when(c("leaf").isNotNull(), "Unknown"))
     out = j.select(
         "path", status.alias("status"), signer.alias("signer"), c("leaf.subject_org").alias("organization"), F.when(c("leaf").isNotNull(), label(c("leaf.issuer_name"), c("leaf.issuer_org"))).alias("issuer"),
-        "signed_at", "trusted_by", *(["history"] if history else []),
+        "signed_at", "trusted_by", *more,
     )
     return out.withColumn("headline", headline(c("status"), c("signer")))
 

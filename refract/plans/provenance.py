@@ -9,7 +9,7 @@ import struct
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import media, provenance, signatures
+from ..operators import ai_origin, media, provenance, signatures
 from ..registry import query, table
 from ..sources.certificates import to_be_signed
 from ..sources.containers import boxes
@@ -243,13 +243,26 @@ def film_binding(spark, d):
     return provenance.content_checks(walk(f))
 
 
+@query("""SELECT n_nationkey || '.png' AS path, k < 5 AS is_ai, CASE WHEN k < 5 THEN 'confirmed' ELSE 'none' END AS confidence, CASE WHEN k < 5 THEN 'AI-generated' ELSE 'No AI marks found' END AS label,
+CASE WHEN k IN (0, 2) THEN 'strong' WHEN k < 5 THEN 'medium' END AS strength, CASE WHEN k < 4 THEN 'Painter of ' || n_name END AS tool, CASE WHEN k < 4 THEN 'Org' END AS vendor, CASE k WHEN 0 THEN 'created by AI (Painter of ' || n_name || ') [verified]' WHEN 2 THEN 'created by AI (Painter of ' || n_name || ') [signature valid, signer not on the trust list]'
+WHEN 4 THEN 'not verified their text says AI-made' WHEN 5 THEN NULL ELSE 'created by AI (Painter of ' || n_name || ') [FAILED verification]' END AS detail FROM (SELECT *, n_nationkey % 6 AS k FROM nation) n""")
+def ai_credentials(spark, d):
+    """The AI verdict where credentials are weighed by what their verification gave; the files are read once."""
+    f = files(spark, d, "png", signed_picture).withColumn("raw", ai_origin.raw_text(F.col("content")))
+    v = signatures.verdict(walk(f, keep=("raw",), every=True), anchors(spark), F.lit("2026-01-01T00:00:00Z"), raw=F.col("raw"), said=signatures.said())
+    none = F.array().cast("array<struct<ordinal:int,key:string,value:string>>")
+    told = ai_origin.judged(v.select("path", "raw", none.alias("tags"), signatures.credentials().alias("credentials")))
+    weighed = F.get(F.filter("evidence", lambda e: e["source"] == "Content Credentials"), 0)
+    return told.select("path", "is_ai", "confidence", "label", "tool", "vendor", weighed["strength"].alias("strength"), weighed["detail"].alias("detail"))
+
+
 @query("""SELECT n_nationkey || '.png' AS path, m.i AS manifest, m.label, 2 - m.i AS depth, n_name || ' ' || (m.i + 1) AS signer, NOT (m.i = 1 AND n_nationkey % 3 = 1) AS signed, NOT (m.i = 0 AND n_nationkey % 3 = 2) AS intact,
 CASE WHEN n_nationkey % 3 = 0 THEN 'valid' ELSE 'invalid' END AS status FROM nation, (VALUES (0, 'urn:1'), (1, 'urn:2'), (2, 'urn:new')) AS m(i, label)""")
 def provenance_history(spark, d):
     """The versions of a file, oldest first, and the verdict that they lead to."""
     walked = walk(files(spark, d, "png", signed_versions))
-    kept = signatures.verdict(walked, anchors(spark), F.lit("2026-01-01T00:00:00Z"), history=True)
-    return kept.select("path", F.explode("history").alias("m"), "status").select("path", "m.*", "status")
+    kept = signatures.verdict(walked, anchors(spark), F.lit("2026-01-01T00:00:00Z"), versions=signatures.versions())
+    return kept.select("path", F.explode("versions").alias("m"), "status").select("path", "m.*", "status")
 
 
 @query("""SELECT n_nationkey || '.jpeg' AS path, t.key, CASE t.key WHEN 'Make' THEN n_name WHEN 'ExposureTime' THEN '1/' || (10 + n_nationkey) || ' s' ELSE 'f/2.8' END AS value FROM nation, (VALUES ('Make'), ('ExposureTime'), ('FNumber')) AS t(key)""")

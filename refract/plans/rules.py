@@ -107,7 +107,13 @@ FROM facts LEFT JOIN v USING (path) LEFT JOIN top USING (path)"""
 
 @query(_AI_SQL)
 def ai_verdict(spark, d):
-    return ai_origin.analyse(_raw(spark, d), _tags(spark, d)).drop("model", "prompt")
+    """One scan: the tags of a document are dealt beside its text."""
+    samples = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in _SAMPLES))
+    mark = F.get(F.array(*map(F.lit, _MARKS)), (F.col("doc_id") % len(_MARKS)).cast("int"))
+    dealt = F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda o: F.struct(o.alias("ordinal"), F.get(samples, ((F.col("doc_id") * 7 + o * 3) % len(_SAMPLES)).cast("int")).alias("s")))
+    tags = F.transform(dealt, lambda t: F.struct(t["ordinal"].alias("ordinal"), t["s"]["key"].alias("key"), t["s"]["value"].alias("value")))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), mark).alias("raw"), tags.alias("tags"))
+    return ai_origin.judged(rows).drop("model", "prompt", "evidence")
 
 
 _SETTINGS = ["(1, 'a castle, oil painting Negative prompt: blurry Steps: 28, Sampler: DPM++ 2M, CFG scale: 7, Seed: 1234567890, Size: 768x768, Model: sd_xl_base_1.0, Version: v1.6')", "(2, 'Steps: 30, Sampler: Euler a, Seed: 99, Model: dreamshaper_8')", "(3, 'no settings here')"]

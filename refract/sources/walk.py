@@ -113,22 +113,25 @@ def read(b: bytes) -> dict | None:
     return {"container": container, "error": error, "manifests": out, "facts": facts}
 
 
-def walk(files: DataFrame) -> DataFrame:
+def walk(files: DataFrame, keep: tuple[str, ...] = (), every: bool = False) -> DataFrame:
     """A row for each file (path, content) with provenance: container, error, manifests and facts.
 
-    * null or empty content, and files without a store, give no row; a damaged store gives one with its error;
-    * other columns are not read.
+    * null or empty content, and files without a store, give no row, or with ``every`` one without container and error;
+    * a damaged store gives a row with its error;
+    * of the other columns those in ``keep`` come along, others are not read.
     """
     kinds = to_arrow_schema(StructType.fromDDL(FACTS))
+    more = StructType([files.schema[k] for k in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            for i, (path, content) in enumerate(zip(batch.column("path").to_pylist(), batch.column("content"))):
                 try:
                     row = read(content.as_py() or b"")
                 except DAMAGE as e:
                     row = {"error": f"{type(e).__name__}: {e}", "manifests": [], "facts": []}
-                if row:
-                    yield pa.RecordBatch.from_pylist([{"path": path, **row}], kinds)
+                if row or every:
+                    told = pa.RecordBatch.from_pylist([{"path": path, **(row or {"manifests": [], "facts": []})}], kinds)
+                    yield pa.RecordBatch.from_arrays([*told.columns, *(batch.column(k).slice(i, 1) for k in keep)], [*told.schema.names, *keep])
 
-    return files.select("path", "content").mapInArrow(run, FACTS)
+    return files.select("path", "content", *keep).mapInArrow(run, StructType(StructType.fromDDL(FACTS).fields + more.fields))

@@ -144,3 +144,23 @@ def test_ai_verdict_of_the_known_cases(spark):
     assert got["i.jpg"].label == "AI-assisted / AI-edited" and got["k.png"].tool == "Midjourney" and got["k.png"].prompt.endswith("--ar 3:2")
     assert got["l.bin"].confidence == "likely"
     assert all(not got[p].is_ai for p in ("f.jpg", "j.jpg", "m.bin", "n.jpg"))
+
+
+def test_verified_credentials_are_weighed(spark):
+    """Valid ones are strong evidence, failed ones medium, unread ones count by their text; the prompt is looked for near the job."""
+    from refract.operators import ai_origin
+
+    job = "Job ID: 0f8fad5b-d9cb-469f-a165-70867728950e"
+    c = lambda status, marked=True, edited=False: (status, marked, edited, False, "Painter", "maker/1", "Org")
+    text = "c2pa.actions trainedAlgorithmicMedia"
+    rows = [
+        ("valid", "", c("valid")), ("edited", "", c("valid_untrusted", edited=True)), ("failed", "", c("invalid")), ("unmarked", "", c("valid", False)), ("unread", "c2pa.claim", c("unreadable")), ("none", "", None),
+        ("far", "another prompt --ar 1:1\n" + "x" * 3000 + job, None), ("near", "another prompt --ar 1:1\n" + "x" * 3000 + "\na fox in snow --v 6\n" + job, None), ("both", text, c("valid")),
+    ]
+    kind = ai_origin.CREDENTIALS_TYPE.replace(" ", ":").replace(",:", ",")
+    files = spark.createDataFrame(rows, f"path string, raw string, credentials struct<{kind}>").selectExpr("*", "cast(array() as array<struct<ordinal:int,key:string,value:string>>) AS tags")
+    got = {r.path: r for r in ai_origin.judged(files).collect()}
+    assert {p: r.confidence for p, r in got.items()} == {"valid": "confirmed", "edited": "confirmed", "failed": "likely", "unmarked": "none", "unread": "none", "none": "none", "far": "confirmed", "near": "confirmed", "both": "confirmed"}
+    assert got["edited"].label == "AI-assisted / AI-edited" and (got["valid"].tool, got["valid"].vendor) == ("Painter", "Org")
+    assert got["far"].prompt is None and got["near"].prompt == "a fox in snow --v 6"
+    assert [e.source for e in got["both"].evidence] == ["IPTC / XMP label", "Content Credentials"]

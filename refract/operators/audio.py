@@ -130,18 +130,47 @@ def _resynthesise(spectra: np.ndarray, weight: np.ndarray, r) -> np.ndarray:
     return out[:, lo - r.start : hi - r.start].T.astype(np.float32)
 
 
-def mix(segments: DataFrame, floors: DataFrame, gains: dict[str, float]) -> DataFrame:
-    """path, sample_rate, channels, seg, samples (interleaved) of the recording with a gain on each layer."""
-    g = np.array([gains.get(s, 1.0) for s in STEMS])
+MIXED = "path string, sample_rate int, channels int, seg int, samples array<float>"
+
+
+def mix(segments: DataFrame, floors: DataFrame, gains: dict[str, float] | None = None) -> DataFrame:
+    """path, sample_rate, channels, seg, samples (interleaved) of the recording with a gain on each layer.
+
+    gains: of all recordings by layer (1 where not named); without them each recording has its own in the array
+    ``gains`` of floors, in the order of STEMS.  A struct ``settings`` of floors comes along for the chain.
+    """
+    if gains is not None:
+        floors = floors.withColumn("gains", F.array(*(F.lit(float(gains.get(s, 1.0))) for s in STEMS)))
+    more = [c for c in ("settings",) if c in floors.columns]
+    kinds = MIXED + "".join(f", {c} {floors.schema[c].dataType.simpleString()}" for c in more)
+
+    def run(batches):
+        for part in batches:
+            for r in part.itertuples():
+                s = _spectra(r.samples, r.channels)
+                weight = np.einsum("s,fsk->fk", np.asarray(r.gains), masks(_middle(s), np.asarray(r.floor), r.sample_rate))
+                row = {"path": [r.path], "sample_rate": [r.sample_rate], "channels": [r.channels], "seg": [r.seg], "samples": [_resynthesise(s, weight, r).ravel()]}
+                yield pd.DataFrame(row | {c: [getattr(r, c)] for c in more})
+
+    return segments.join(floors.select("path", "floor", "gains", *more), "path").mapInPandas(run, kinds)
+
+
+def layers(segments: DataFrame, floors: DataFrame) -> DataFrame:
+    """path, sample_rate, channels, seg, n_segs, layers: the own samples (interleaved) of all nine layers, in the order of STEMS.
+
+    A segment is transformed and its masks are made once; the layers add up to the recording.
+    """
 
     def run(batches):
         for part in batches:
             for r in part.itertuples():
                 s = _spectra(r.samples, r.channels)
-                weight = np.einsum("s,fsk->fk", g, masks(_middle(s), np.asarray(r.floor), r.sample_rate))
-                yield pd.DataFrame({"path": [r.path], "sample_rate": [r.sample_rate], "channels": [r.channels], "seg": [r.seg], "samples": [_resynthesise(s, weight, r).ravel()]})
+                share = masks(_middle(s), np.asarray(r.floor), r.sample_rate)
+                made = [_resynthesise(s, share[:, k], r).ravel() for k in range(len(STEMS))]
+                n = max(1, -(-r.n_samples // (SEGMENT_FRAMES * HOP)))
+                yield pd.DataFrame({"path": [r.path], "sample_rate": [r.sample_rate], "channels": [r.channels], "seg": [r.seg], "n_segs": [n], "layers": [made]})
 
-    return segments.join(floors, "path").mapInPandas(run, "path string, sample_rate int, channels int, seg int, samples array<float>")
+    return segments.join(floors.select("path", "floor"), "path").mapInPandas(run, "path string, sample_rate int, channels int, seg int, n_segs int, layers array<array<float>>")
 
 
 def stem_energy(segments: DataFrame, floors: DataFrame) -> DataFrame:

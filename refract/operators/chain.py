@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.audio import HOP, SEGMENT_FRAMES
@@ -85,29 +85,55 @@ def soft_clip(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.where(a <= KNEE, a, KNEE + ROOM * np.tanh((a - KNEE) / ROOM))
 
 
-def master(mixed: DataFrame, volume_db: float = 0.0, compress: bool = True, **settings: float) -> DataFrame:
-    """The mix (path, sample_rate, channels, seg, samples) after filters, compressor, volume, limiter and soft clipping.
+#: Settings of a recording: filters in Hz, percent and dB, volume in dB, compressor in dB and seconds; what is null is the chain's own.
+SETTINGS = "high_pass double, hum_hz double, de_esser double, low double, mid double, high double, volume_db double, threshold double, ratio double, attack double, release double"
+_FILTERS = ("high_pass", "hum_hz", "de_esser", "low", "mid", "high")
+
 
-    ``settings``: high_pass and hum_hz in Hz, de_esser in percent, low, mid and high in dB.
+def _neighbours(mixed: DataFrame) -> DataFrame:
+    """Segments with ``before`` and ``after``: the end of the one before, and the start of the one after them.
+
+    A segment hands its ends to its neighbours in one exchange by recording and segment, so a recording is as many
+    tasks as it has segments.
     """
-    w = Window.partitionBy("path").orderBy("seg")
     reach = (F.col("sample_rate") * WARM_SECONDS + F.ceil(F.col("sample_rate") / STEPS_A_SECOND)) * F.col("channels")
-    own = F.col("samples")
+    own, seg = F.col("samples"), F.col("seg")
     tail = F.slice(own, F.greatest(F.lit(1), F.size(own) - reach + 1).cast("int"), reach.cast("int"))
     head = F.slice(own, 1, (F.ceil(F.col("sample_rate") / STEPS_A_SECOND) * F.col("channels")).cast("int"))
-    rows = mixed.withColumn("tail", tail).withColumn("head", head).withColumn("before", F.lag("tail").over(w)).withColumn("after", F.lead("head").over(w)).drop("tail", "head")
+    part = lambda at, role, x: F.struct(at.cast("int").alias("seg"), F.lit(role).alias("role"), x.alias("x"))
+    rest = [c for c in mixed.columns if c not in ("path", "seg", "samples")]
+    rows = mixed.select("path", *rest, F.explode(F.array(part(seg, 0, own), part(seg + 1, 1, tail), part(seg - 1, 2, head))).alias("p"))
+    of = lambda role, x: F.first(F.when(F.col("p.role") == role, x), ignorenulls=True)
+    held = rows.groupBy("path", F.col("p.seg").alias("seg")).agg(of(0, F.struct(*rest)).alias("rest"), *(of(k, F.col("p.x")).alias(n) for k, n in enumerate(("samples", "before", "after"))))
+    return held.where("samples IS NOT NULL").select("path", "seg", "rest.*", "samples", "before", "after")
+
+
+def master(mixed: DataFrame, volume_db: float = 0.0, compress: bool = True, **settings: float) -> DataFrame:
+    """The mix (path, sample_rate, channels, seg, samples) after filters, compressor, volume, limiter and soft clipping.
+
+    settings: high_pass and hum_hz in Hz, de_esser in percent, low, mid and high in dB, for all recordings; a column
+    ``settings`` (SETTINGS) holds each recording's own, which come first where they aren't null.
+    """
+    fixed = {**dict.fromkeys(_FILTERS, 0.0), "volume_db": volume_db, **COMPRESSOR, **settings}
+    names = [c.split()[0] for c in SETTINGS.split(", ")]
+    if "settings" in mixed.columns:
+        have = mixed.schema["settings"].dataType.names
+        own = F.struct(*((F.coalesce(F.col(f"settings.{n}").cast("double"), F.lit(float(fixed[n]))) if n in have else F.lit(float(fixed[n]))).alias(n) for n in names))
+    else:
+        own = F.struct(*(F.lit(float(fixed[n])).alias(n) for n in names))
 
     def run(batches):
         for part in batches:
             for r in part.itertuples():
-                rate, shape = r.sample_rate, (-1, r.channels)
+                rate, shape, s = r.sample_rate, (-1, r.channels), r.settings
                 block = lambda v: np.asarray(v if v is not None else [], float).reshape(shape)  # noqa: B023, E731
                 before, x, after = block(r.before), block(r.samples), block(r.after)
                 at = r.seg * SEGMENT_FRAMES * HOP - len(before)
                 before = before[-at % max(1, rate // STEPS_A_SECOND) :] if at > 0 else before  # steps lie alike in every segment
-                y = filtered(np.concatenate((before, x, after)), filters(rate, **settings), rate * WARM_SECONDS)
-                y = compressed(y, rate, COMPRESSOR) if compress else y
-                y = soft_clip(compressed(y * 10 ** (volume_db / 20), rate, LIMITER))
+                y = filtered(np.concatenate((before, x, after)), filters(rate, *(s[k] for k in _FILTERS)), rate * WARM_SECONDS)
+                y = compressed(y, rate, {**COMPRESSOR, **{k: s[k] for k in ("threshold", "ratio", "attack", "release")}}) if compress else y
+                y = soft_clip(compressed(y * 10 ** (s["volume_db"] / 20), rate, LIMITER))
                 yield pd.DataFrame({"path": [r.path], "sample_rate": [rate], "channels": [r.channels], "seg": [r.seg], "samples": [y[len(before) : len(before) + len(x)].astype(np.float32).ravel()]})
 
+    rows = _neighbours(mixed.select("path", "sample_rate", "channels", "seg", "samples", own.alias("settings")))
     return rows.mapInPandas(run, "path string, sample_rate int, channels int, seg int, samples array<float>")

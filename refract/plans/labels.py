@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.scalars import SAMPLE_RATE, band
-from ..operators import audio, chain, mixer, streams
+from ..operators import audio, chain, cleaning, mixer, streams
 from ..registry import query, table
 from ..sources.audio import segments, slow_windows, wav_bytes
 from .files import made
@@ -89,12 +89,66 @@ def mains_tones(spark, d):
 @query("""SELECT 'hum-' || n_nationkey || '.wav' AS path, CASE WHEN n_nationkey % 3 > 0 THEN true END AS quieter, true AS within FROM nation""")
 def de_hum(spark, d):
     """Whether the chain's notch takes the mains tone out (null: there was none), and samples stay within full scale."""
-    cut = segments(hums(spark, d))
-    s = audio.mix(cut, audio.noise_floor(cut), {})
-    key = F.regexp_extract("path", r"(\d+)", 1).cast("int") % 3
-    level = lambda df, name: df.groupBy("path").agg(F.avg(F.aggregate(F.slice("samples", RATE, RATE), F.lit(0.0), lambda a, v: a + v.cast("double") * v)).alias(name), F.max(F.array_max(F.transform("samples", F.abs))).alias(name + "_peak"))
-    plain = level(chain.master(s, compress=False), "plain")
-    parts = [level(chain.master(s.where(key == k), compress=False, hum_hz=hz), "cut") for k, hz in ((0, 50), (1, 50), (2, 60))]
-    cut = parts[0].union(parts[1]).union(parts[2])
-    told = F.when(F.regexp_extract("path", r"(\d+)", 1).cast("int") % 3 > 0, F.col("cut") < F.col("plain"))
-    return plain.join(cut, "path").select("path", told.alias("quieter"), (F.greatest("plain_peak", "cut_peak") <= 1).alias("within"))
+    files = hums(spark, d)
+    cut, key = segments(files), F.regexp_extract("path", r"(\d+)", 1).cast("int") % 3
+    hz = F.get(F.array(*map(F.lit, (50.0, 50.0, 60.0))), key)
+    # Each recording comes twice, with the notch at its own frequency and without.
+    named = audio.noise_floor(cut).withColumn("gains", F.array(*[F.lit(1.0)] * len(mixer.STEMS)))
+    both = audio.mix(cut, named).select("*", F.explode(F.array(F.lit(0.0), hz)).alias("hz")).withColumn("settings", F.struct(F.col("hz").alias("hum_hz"))).withColumn("path", F.concat_ws("|", "path", F.col("hz") > 0))
+    done = chain.master(both, compress=False)
+    power = F.aggregate(F.slice("samples", RATE, RATE), F.lit(0.0), lambda a, v: a + v.cast("double") * v)
+    level = done.groupBy("path").agg(F.avg(power).alias("level"), F.max(F.array_max(F.transform("samples", F.abs))).alias("peak"))
+    of = lambda k: F.max(F.when(F.substring_index("path", "|", -1) == k, F.col("level")))
+    name = F.substring_index("path", "|", 1).alias("path")
+    told = level.groupBy(name).agg(of("true").alias("cut"), of("false").alias("plain"), F.max("peak").alias("peak"))
+    quieter = F.when(F.regexp_extract("path", r"(\d+)", 1).cast("int") % 3 > 0, F.col("cut") < F.col("plain"))
+    return told.select("path", quieter.alias("quieter"), (F.col("peak") <= 1).alias("within"))
+
+
+def spoken(spark, d):
+    """Recordings of 10 seconds: bursts of a low voice over noise that grows with the key, mains hum by key as in ``hums``."""
+
+    def make(batches):
+        for part in batches:
+            rows = []
+            for key in map(int, part.n_nationkey):
+                t = np.arange(10 * RATE) / RATE
+                burst = np.sqrt(np.maximum(0, np.sin(2 * np.pi * 0.5 * t)))
+                x = 0.06 * burst * sum(np.sin(2 * np.pi * 140 * h * t) / h for h in range(1, 12))
+                x += np.random.Generator(np.random.PCG64(key)).normal(0, 0.0002 if key % 2 else 0.006, len(t))
+                for h in (1, 2, 3) if key % 3 else ():
+                    x += 0.02 / h * np.sin(2 * np.pi * (40 + 10 * (key % 3)) * h * t)
+                rows.append((f"voice-{key}.wav", "wav", wav_bytes(x[:, None], RATE)))
+            yield pd.DataFrame(rows, columns=["path", "format", "content"])
+
+    return table(spark, d, "nation").select("n_nationkey").mapInPandas(make, "path string, format string, content binary")
+
+
+@query("""SELECT 'voice-' || n_nationkey || '.wav' AS path, CASE n_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 50 ELSE 60 END AS hum_hz, n_nationkey % 2 = 0 OR n_nationkey % 3 > 0 AS harder, true AS voice_kept, CASE WHEN n_nationkey % 3 > 0 THEN true END AS pauses_quieter, CASE WHEN n_nationkey % 3 > 0 THEN true END AS hum_gone, true AS within FROM nation""")
+def auto_clean(spark, d):
+    """Each recording's own settings and what they did: the voice stays within 6 dB of the volume that was added, pauses
+    with hum lose 6 dB at least against the voice, the mains tone 15 dB, and peaks stay under the guard."""
+    files = spoken(spark, d)
+    own = cleaning.recommended(cleaning.measured(files, 2.0)).select("path", F.col("settings.hum_hz").cast("int").alias("hum_hz"), F.col("settings.volume_db").alias("volume"), (F.get("gains", mixer.STEMS.index("traffic")) < 0.2).alias("harder"))
+    wav = cleaning.automatic_wav(files, 2.0)
+
+    def heard(batches):
+        for part in batches:
+            rows = []
+            for path, content in zip(part.path, part.content):
+                x = np.frombuffer(content[44:], "<i2") / 32768
+                t = np.arange(len(x)) / RATE
+                e = np.sin(2 * np.pi * 0.5 * t)
+                hz = 40 + 10 * (int(path.split("-")[1][:-4]) % 3)
+                tone = lambda f: abs(np.exp(-2j * np.pi * f * t) @ x) / len(x)  # noqa: B023, E731
+                rows.append((path, float((x[e > 0.5] ** 2).mean()), float((x[(e < -0.3) & (t > 1)] ** 2).mean()), float(tone(hz)), float(np.abs(x).max())))
+            yield pd.DataFrame(rows, columns=["path", "voice", "pause", "tone", "peak"])
+
+    kinds = "path string, voice double, pause double, tone double, peak double"
+    before, after = files.select("path", "content").mapInPandas(heard, kinds), wav.select("path", "content").mapInPandas(heard, kinds)
+    db = lambda c, k=10: k * F.log10(F.col(f"a.{c}") / F.col(f"b.{c}"))
+    j = after.alias("a").join(before.alias("b"), "path").join(own, "path")
+    return j.select(
+        "path", "hum_hz", "harder", (F.abs(db("voice") - F.col("volume")) < 6).alias("voice_kept"), F.when(F.col("hum_hz") > 0, db("pause") - db("voice") < -6).alias("pauses_quieter"),
+        F.when(F.col("hum_hz") > 0, db("tone", 20) - F.col("volume") < -15).alias("hum_gone"), (F.col("a.peak") <= 0.99).alias("within"),
+    )

@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.scalars import gain
-from ..operators import audio, media, mixer
+from ..operators import audio, layers, media, mixer
 from ..registry import query, table
-from ..sources.audio import segments, slow_windows, wav_bytes
+from ..sources.audio import segments, wav_bytes
 from ..sources.containers import boxes
 
 RATE, SECONDS = 16_000, 3
@@ -63,13 +63,32 @@ def stem_energy(spark, d):
 def clean_mix(spark, d):
     """The recordings with the gains of a preset, as WAV segments."""
     s = segments(recordings(spark, d))
-    db = {k: mixer.PRESETS["voice_only"].get(k, 0.0) for k in mixer.STEMS}
-    gains = {r.stem: r.gain for r in spark.createDataFrame(list(db.items()), "stem string, db double").select("stem", gain(F.col("db")).alias("gain")).collect()}
-    out = audio.to_wav(audio.mix(s, audio.noise_floor(s), gains))
+    gains = F.array(*(gain(F.lit(mixer.PRESETS["voice_only"].get(k, 0.0))) for k in mixer.STEMS))
+    out = audio.to_wav(audio.mix(s, audio.noise_floor(s).withColumn("gains", gains)))
     return out.select("path", "seg", F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-@query()
-def mains_hum(spark, d):
-    """Recordings are made short; they are told without hum unless they last two windows."""
-    return audio.hum(slow_windows(recordings(spark, d), 1.0))
+@query("""SELECT path, level, CAST((n + c - 1) // c AS BIGINT) AS cells, true AS adds_up, true AS inside FROM (SELECT 'nation-' || n_nationkey || '.wav' AS path, 16000 * (3 + n_nationkey % 3) AS n FROM nation) r,
+(SELECT CAST(l AS INT) AS level, CAST(512 * pow(4, l) AS BIGINT) AS c FROM (SELECT unnest(range(0, 6)) AS l) x) s WHERE level = 0 OR c // 4 < n""")
+def layer_envelope(spark, d):
+    """Cells of the layers' envelopes by level; whether the layers add up to the recording where frames cover it whole, and
+    whether the mix of a preset stays inside its envelope."""
+    cut = segments(recordings(spark, d))
+    made = audio.layers(cut, audio.noise_floor(cut))
+    gains = F.array(*(F.lit(10.0 ** (mixer.PRESETS["dry_voice"].get(s, 0.0) / 20)) for s in mixer.STEMS))
+    cells = layers.envelope(layers.pyramid(made), gains)
+    per = cells.groupBy("path", "level").agg(F.count(F.lit(1)).alias("cells"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+    def compare(batches):
+        g = np.array([10.0 ** (mixer.PRESETS["dry_voice"].get(s, 0.0) / 20) for s in mixer.STEMS])
+        for part in batches:
+            rows = []
+            for r in part.itertuples():
+                x, y = np.stack([np.asarray(v) for v in r.layers]), np.asarray(r.samples)
+                whole = slice(2048 * r.channels, -2048 * r.channels)
+                mix = g @ x
+                rows.append((r.path, bool(np.abs(x.sum(axis=0)[whole] - y[: x.shape[1]][whole]).max() < 1e-4), float(mix.min()), float(mix.max())))
+            yield pd.DataFrame(rows, columns=["path", "adds_up", "least", "most"])
+
+    told = made.join(cut.select("path", "seg", "samples"), ["path", "seg"]).mapInPandas(compare, "path string, adds_up boolean, least double, most double")
+    return per.join(told, "path").select("path", "level", "cells", "adds_up", ((F.col("low") <= F.col("least") + 1e-6) & (F.col("high") >= F.col("most") - 1e-6)).alias("inside"))

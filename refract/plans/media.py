@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import gain
 from ..operators import audio, layers, media, mixer
 from ..registry import query, table
-from ..sources.audio import segments, wav_bytes
+from ..sources.audio import segments, slow_windows, wav_bytes
 from ..sources.containers import boxes
 
 RATE, SECONDS = 16_000, 3
@@ -92,3 +92,9 @@ def layer_envelope(spark, d):
 
     told = made.join(cut.select("path", "seg", "samples"), ["path", "seg"]).mapInPandas(compare, "path string, adds_up boolean, least double, most double")
     return per.join(told, "path").select("path", "level", "cells", "adds_up", ((F.col("low") <= F.col("least") + 1e-6) & (F.col("high") >= F.col("most") - 1e-6)).alias("inside"))
+
+
+@query("""SELECT 'nation-' || n_nationkey || '.wav' AS path, 0 AS hum_hz, 0.0::DOUBLE AS hum_db FROM nation""")
+def mains_hum(spark, d):
+    """These recordings have no mains tone (``mains_tones`` has recordings with one)."""
+    return audio.hum(slow_windows(recordings(spark, d), 1.0))

@@ -28,16 +28,20 @@ def _number80(b: bytes) -> float:
     return int.from_bytes(b[2:10], "big") * 2.0 ** ((int.from_bytes(b[:2], "big") & 0x7FFF) - 16383 - 63)
 
 
-def pcm_layout(b: bytes) -> tuple[int, int, int, bool, str, int, int] | None:
-    """(rate, channels, bits, is float, byte order, offset, bytes) of the samples; null for what isn't PCM."""
+def pcm_layout(b: bytes, length: int | None = None) -> tuple[int, int, int, bool, str, int, int] | None:
+    """(rate, channels, bits, is float, byte order, offset, bytes) of the samples; null for what isn't PCM.
+
+    b: the file, or its start where ``length`` tells how long it is.  A RIFF size of 0 or all ones means to the end.
+    """
     fmt = data = None
+    whole = len(b) if length is None else length
     if b[:4] == b"RIFF" and b[8:12] == b"WAVE":
         for name, at, size in _chunks(b, 12, "little"):
             if name == b"fmt ":
                 fmt = struct.unpack_from("<HHIIHH", b, at)
             elif name == b"data" and fmt and fmt[0] in (1, 3, 0xFFFE):
                 kind = struct.unpack_from("<H", b, b.find(b"fmt ") + 32)[0] if fmt[0] == 0xFFFE else fmt[0]
-                return fmt[2], fmt[1], fmt[5], kind == 3, "<", at, min(size, len(b) - at)
+                return fmt[2], fmt[1], fmt[5], kind == 3, "<", at, min(size if size not in (0, 0xFFFFFFFF) or length is None else whole, whole - at)
     elif b[:4] == b"FORM" and b[8:12] in (b"AIFF", b"AIFC"):
         kind = b"NONE"
         for name, at, size in _chunks(b, 12, "big"):
@@ -45,7 +49,7 @@ def pcm_layout(b: bytes) -> tuple[int, int, int, bool, str, int, int] | None:
                 fmt = (int(_number80(b[at + 8 : at + 18])), *struct.unpack_from(">H", b, at), *struct.unpack_from(">H", b, at + 6))
                 kind = b[at + 18 : at + 22] if b[8:12] == b"AIFC" else kind
             elif name == b"SSND":
-                data = (at + 8, min(size - 8, len(b) - at - 8))
+                data = (at + 8, min(size - 8, whole - at - 8))
         if fmt and data and kind in (b"NONE", b"twos", b"sowt", b"fl32", b"FL32", b"fl64", b"FL64", b"in24", b"in32"):
             return fmt[0], fmt[1], fmt[2], kind.lower() in (b"fl32", b"fl64"), "<" if kind == b"sowt" else ">", *data
     elif b[:4] == b"caff":
@@ -53,7 +57,7 @@ def pcm_layout(b: bytes) -> tuple[int, int, int, bool, str, int, int] | None:
             if name == b"desc":
                 fmt = struct.unpack_from(">d4sIIIII", b, at)
             elif name == b"data" and fmt and fmt[1] == b"lpcm":
-                return int(fmt[0]), fmt[5], fmt[6], bool(fmt[2] & 1), "<" if fmt[2] & 2 else ">", at + 4, len(b) - at - 4
+                return int(fmt[0]), fmt[5], fmt[6], bool(fmt[2] & 1), "<" if fmt[2] & 2 else ">", at + 4, whole - at - 4
     return None
 
 

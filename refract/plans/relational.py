@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
-from ..registry import inline_sql, literal, query, table
+from ..registry import dealt, dealt_sql, inline_sql, literal, query, table
 
 
 @query("""SELECT b.item_id FROM (SELECT item_id, sha256(text) AS h FROM benchmark) b WHERE h NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL)""")
@@ -55,18 +55,18 @@ _ANCHORS = ["(1, 'root a', 'a')", "(2, 'root b', 'b')", "(3, 'root a again', 'a'
 _CERTS = ["('leaf', 'b')", "('other', 'a')", "('alone', 'c')"]
 
 
-@query(f"""SELECT cert, arg_min(anchor, ordinal) AS anchor FROM (SELECT * FROM {inline_sql("cert, issuer", _CERTS)}) c LEFT JOIN (SELECT * FROM {inline_sql("ordinal, anchor, subject", _ANCHORS)}) a ON issuer = subject GROUP BY cert""")
+@query(f"""SELECT cert, arg_min(anchor, ordinal) AS anchor FROM (SELECT * FROM {dealt_sql("cert, issuer", _CERTS)}) c LEFT JOIN (SELECT * FROM {inline_sql("ordinal, anchor, subject", _ANCHORS)}) a ON issuer = subject GROUP BY cert""")
 def first_match_anchor(spark, d):
-    c, a = literal(spark, "cert, issuer", _CERTS), literal(spark, "ordinal, anchor, subject", _ANCHORS)
+    c, a = dealt(spark, d, "cert, issuer", _CERTS), literal(spark, "ordinal, anchor, subject", _ANCHORS)
     return c.join(F.broadcast(a), F.col("issuer") == F.col("subject"), "left").groupBy("cert").agg(F.min_by("anchor", "ordinal").alias("anchor"))
 
 
 _MAPS = ["('f', 'Make', 'Canon', 0)", "('f', 'Model', 'R5', 0)", "('f', 'Make', 'Canon Inc.', 1)", "('g', 'Make', 'Sony', 0)", "('g', 'Software', 'x', 1)"]
 
 
-@query(f"""SELECT path, key, arg_max(value, side) AS value FROM {inline_sql("path, key, value, side", _MAPS)} GROUP BY path, key""")
+@query(f"""SELECT path, key, arg_max(value, side) AS value FROM {dealt_sql("path, key, value, side", _MAPS)} GROUP BY path, key""")
 def map_union_last_wins(spark, d):
-    return R.last_wins(literal(spark, "path, key, value, side", _MAPS), ["path", "key"], "side").select("path", "key", "value")
+    return R.last_wins(dealt(spark, d, "path, key, value, side", _MAPS), ["path", "key"], "side").select("path", "key", "value")
 
 
 @query("""SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(greatest(0, least(n - 3, (turn // 3) * 3)) AS BIGINT) AS start, CAST(count(*) AS BIGINT) AS turns FROM (
@@ -85,12 +85,12 @@ def energy_share(spark, d):
 
 
 _PRIORITY = ["Make", "Model", "Software", "CreateDate"]
-_TAG_ROWS = ["('Zoom', '1')", "('Model', 'R5')", "('Artist', 'x')", "('Make', 'Canon')", "('xmp_history', '[]')", "('Software', '')"]
+_TAG_ROWS = ["('f', 'Zoom', '1')", "('f', 'Model', 'R5')", "('f', 'Artist', 'x')", "('f', 'Make', 'Canon')", "('f', 'xmp_history', '[]')", "('g', 'Software', '')", "('g', 'Software', 'x')", "('g', 'CreateDate', '2024')"]
 
 
-@query(f"""SELECT key, value, CAST(row_number() OVER (ORDER BY CASE key WHEN 'Make' THEN 1 WHEN 'Model' THEN 2 WHEN 'Software' THEN 3 WHEN 'CreateDate' THEN 4 ELSE 999 END, key) AS INTEGER) AS place
-FROM {inline_sql("key, value", _TAG_ROWS)} WHERE key NOT IN ('xmp_history') AND value <> ''""")
+@query(f"""SELECT path, key, value, CAST(row_number() OVER (PARTITION BY path ORDER BY CASE key WHEN 'Make' THEN 1 WHEN 'Model' THEN 2 WHEN 'Software' THEN 3 WHEN 'CreateDate' THEN 4 ELSE 999 END, key) AS INTEGER) AS place
+FROM {dealt_sql("path, key, value", _TAG_ROWS)} WHERE key NOT IN ('xmp_history') AND value <> ''""")
 def tag_priority_sort(spark, d):
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, _PRIORITY)), F.col("key")), F.lit(0)), F.lit(999))
-    t = literal(spark, "key, value", _TAG_ROWS).where("key <> 'xmp_history' AND value <> ''")
-    return t.select("key", "value", F.row_number().over(Window.orderBy(rank, "key")).alias("place"))
+    t = dealt(spark, d, "path, key, value", _TAG_ROWS).where("key <> 'xmp_history' AND value <> ''")
+    return t.select("path", "key", "value", F.row_number().over(Window.partitionBy("path").orderBy(rank, "key")).alias("place"))

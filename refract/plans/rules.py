@@ -1,4 +1,4 @@
-"""Rule catalogs and classifiers, over documents, over tags that are dealt to them, and over literal rows."""
+"""Rule catalogs and classifiers, over documents, and over tags and texts that are dealt to them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog
 from ..operators import ai_origin, classify, forensics, rules
-from ..registry import inline_sql, literal, query, table
+from ..registry import dealt, dealt_sql, inline_sql, query, table
 
 TEXT_RULES = [("license", r"\blicen[sc]ed?\b"), ("email", r"[a-z0-9._-]+@[a-z0-9-]+\.[a-z]{2,}"), ("ip_address", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"), ("secret", r"\b(?:token|password|api_key)\b"), ("card", r"\b\d{16}\b")]
 _RULE_SQL = inline_sql("ordinal, rule, pattern", [f"({i}, '{n}', '(?i){p}')" for i, (n, p) in enumerate(TEXT_RULES)])
@@ -121,10 +121,10 @@ _SETTINGS = ["(1, 'a castle, oil painting Negative prompt: blurry Steps: 28, Sam
 
 @query(f"""SELECT id, regexp_matches(s, 'Steps:\\s*\\d+,\\s*Sampler:') AS found, nullif(regexp_extract(s, 'Steps:\\s*(\\d+)', 1), '') AS steps, nullif(regexp_extract(s, 'Sampler:\\s*([^,]+)', 1), '') AS sampler,
 nullif(regexp_extract(s, 'Seed:\\s*([^,]+)', 1), '') AS seed, nullif(regexp_extract(s, ', Model:\\s*([^,]+)', 1), '') AS model, nullif(trim(regexp_extract(s, 'Negative prompt:\\s*(.*?)\\s*Steps:', 1)), '') AS negative
-FROM {inline_sql("id, s", _SETTINGS)}""")
+FROM {dealt_sql("id, s", _SETTINGS)}""")
 def sd_settings_parse(spark, d):
     pick = lambda p: F.nullif(F.trim(F.regexp_extract("s", p, 1)), F.lit(""))
-    return literal(spark, "id, s", _SETTINGS).select(
+    return dealt(spark, d, "id, s", _SETTINGS).select(
         "id", F.col("s").rlike(r"Steps:\s*\d+,\s*Sampler:").alias("found"), pick(r"Steps:\s*(\d+)").alias("steps"), pick(r"Sampler:\s*([^,]+)").alias("sampler"),
         pick(r"Seed:\s*([^,]+)").alias("seed"), pick(r", Model:\s*([^,]+)").alias("model"), pick(r"Negative prompt:\s*(.*?)\s*Steps:").alias("negative"),
     )
@@ -135,22 +135,24 @@ _JSON = ["""(1, '{"3": {"class_type": "KSampler", "inputs": {"seed": 7, "steps":
 
 @query(f"""SELECT id, coalesce(json_valid(j), false) AS is_json, CASE WHEN json_valid(j) THEN json_extract_string(j, '$."3".class_type') END AS sampler_class,
 regexp_replace(CASE WHEN json_valid(j) THEN json_extract_string(j, '$."4".inputs.ckpt_name') END, '(?i)\\.(safetensors|ckpt|gguf)$', '') AS model, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.prompt') END AS prompt
-FROM {inline_sql("id, j", _JSON)}""")
+FROM {dealt_sql("id, j", _JSON)}""")
 def comfy_graph(spark, d):
-    v = literal(spark, "id, j", _JSON).withColumn("v", F.try_parse_json("j"))
+    v = dealt(spark, d, "id, j", _JSON).withColumn("v", F.try_parse_json("j"))
     text = lambda p: F.try_variant_get("v", p, "string")
     model = F.regexp_replace(text('$["4"].inputs.ckpt_name'), r"(?i)\.(safetensors|ckpt|gguf)$", "")
     return v.select("id", F.col("v").isNotNull().alias("is_json"), text('$["3"].class_type').alias("sampler_class"), model.alias("model"), text("$.prompt").alias("prompt"))
 
 
-_MODELS = ["('iPhone15,2')", "('SM-S918B')", "('sm-s9280')", "('ILCE-1')", "('ILCE-7M4')", "('ILCE-1M2')", "('ILME-FX30')", "('Pixel 8')", "(' FC3582 ')"]
+_MODELS = ["(1, 'iPhone15,2')", "(2, 'SM-S918B')", "(3, 'sm-s9280')", "(4, 'ILCE-1')", "(5, 'ILCE-7M4')", "(6, 'ILCE-1M2')", "(7, 'ILME-FX30')", "(8, 'Pixel 8')", "(9, ' FC3582 ')"]
 _DEVICE_SQL = inline_sql("rank, code, product, maker, hardware", [f"({i}, {_Q(a)}, {_Q(b)}, {_Q(c)}, {_Q(h)})" for i, (a, b, c, h, _) in enumerate(catalog.DEVICES)])
 
 
-@query(f"""SELECT model, product, maker, hardware FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY CASE WHEN trim(model) = code THEN 0 ELSE 1 END, rank) AS n
-FROM (SELECT * FROM {inline_sql("model", _MODELS)}) m LEFT JOIN (SELECT * FROM {_DEVICE_SQL}) dv ON trim(model) = code OR starts_with(upper(trim(model)), upper(code))) x WHERE n = 1""")
+@query(f"""SELECT id, model, product, maker, hardware FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN trim(model) = code THEN 0 ELSE 1 END, rank) AS n
+FROM (SELECT * FROM {dealt_sql("id, model", _MODELS)}) m LEFT JOIN (SELECT * FROM {_DEVICE_SQL}) dv ON trim(model) = code OR starts_with(upper(trim(model)), upper(code))) x WHERE n = 1""")
 def model_prefix_lookup(spark, d):
-    return rules.device_products(literal(spark, "model", _MODELS))
+    """Each model code is looked up once, however many files have it."""
+    found = dealt(spark, d, "id, model", _MODELS)
+    return found.join(rules.device_products(found.select("model").distinct()), "model").select("id", "model", "product", "maker", "hardware")
 
 
 _FILES = [
@@ -177,10 +179,10 @@ def _case(i: int) -> str:
   WHEN originator IS NOT NULL THEN originator {_case(0)} ELSE {_Q(classify.UNTAGGED[0])} END AS device,
  CASE WHEN make IS NOT NULL OR model IS NOT NULL THEN make WHEN originator IS NOT NULL THEN split_part(originator, ' ', 1) {_case(1)} ELSE {_Q(classify.UNTAGGED[1])} END AS maker,
  CASE WHEN make IS NOT NULL OR model IS NOT NULL THEN 'Physical Hardware Device' WHEN originator IS NOT NULL THEN 'Studio Audio Hardware Recorder' {_case(2)} ELSE {_Q(classify.UNTAGGED[2])} END AS hardware
-FROM (SELECT *, lower(coalesce(software, '')) AS s FROM {inline_sql(_FILE_COLS, _FILES)}) f""")
+FROM (SELECT *, lower(coalesce(software, '')) AS s FROM {dealt_sql(_FILE_COLS, _FILES)}) f""")
 def device_rules(spark, d):
     c = F.col
-    return literal(spark, _FILE_COLS, _FILES).withColumn("d", classify.device(c("make"), c("model"), c("originator"), c("software"))).select("id", "d.device", "d.maker", "d.hardware")
+    return dealt(spark, d, _FILE_COLS, _FILES).withColumn("d", classify.device(c("make"), c("model"), c("originator"), c("software"))).select("id", "d.device", "d.maker", "d.hardware")
 
 
 _EDIT = " OR ".join(f"contains(s, '{w}')" for w in classify.EDITORS)
@@ -189,14 +191,14 @@ _TS = lambda c: f"epoch(try_cast(regexp_replace({c}, '^(\\d{{4}}):(\\d{{2}}):(\\
 
 
 @query(f"""WITH f AS (SELECT *, lower(coalesce(software, '')) AS s, CAST({_TS("modified")} - {_TS("created")} AS BIGINT) AS gap,
-  CASE WHEN modified IS NOT NULL AND modified IS DISTINCT FROM created THEN 2 ELSE 1 END AS events FROM {inline_sql(_FILE_COLS, _FILES)})
+  CASE WHEN modified IS NOT NULL AND modified IS DISTINCT FROM created THEN 2 ELSE 1 END AS events FROM {dealt_sql(_FILE_COLS, _FILES)})
 SELECT id, gap, CASE WHEN is_ai THEN 'AI_GENERATED' WHEN NOT is_document AND (({_EDIT}) OR (coalesce(gap > 60, false) AND events > 1)) THEN 'TAMPERED' WHEN is_document AND coalesce(gap > 60, false) THEN 'EDITED_LATER'
  WHEN ({_ENC}) OR coalesce(gap > 60, false) THEN 'RE_ENCODED' ELSE 'AUTHENTIC_ORIGINAL' END AS verdict,
  CASE WHEN gap > 60 THEN CASE WHEN gap // 86400 > 0 THEN (gap // 86400) || ' days, ' || ((gap % 86400) // 3600) || ' hours later' WHEN gap // 3600 > 0 THEN (gap // 3600) || ' hours, ' || ((gap % 3600) // 60) || ' minutes later' ELSE (gap // 60) || ' minutes later' END END AS later
 FROM f""")
 def tamper_verdict(spark, d):
     c = F.col
-    f = literal(spark, _FILE_COLS, _FILES).withColumn("gap", classify.elapsed(c("created"), c("modified")))
+    f = dealt(spark, d, _FILE_COLS, _FILES).withColumn("gap", classify.elapsed(c("created"), c("modified")))
     events = F.when(c("modified").isNotNull() & ~c("modified").eqNullSafe(c("created")), 2).otherwise(1)
     v = classify.tampering(c("is_document"), c("is_ai"), c("software"), c("created"), c("modified"), events, F.lit(False))
     return f.select("id", "gap", v.alias("verdict"), classify.elapsed_text(c("gap")).alias("later"))
@@ -217,10 +219,10 @@ _HEX = lambda s: s.encode().hex().upper()
  WHEN e IN ('webm', 'mkv') OR h[1:8] = '1A45DFA3' THEN 'webm' WHEN e IN ('jpg', 'jpeg') OR h[1:4] = 'FFD8' THEN 'jpeg' WHEN e = 'png' OR h[1:8] = '89504E47' THEN 'png'
  WHEN e = 'webp' OR (h[1:8] = '{_HEX("RIFF")}' AND h[17:24] = '{_HEX("WEBP")}') THEN 'webp' WHEN e = 'gif' OR h[1:6] = '474946' THEN 'gif' WHEN e = 'pdf' OR h[1:8] = '25504446' THEN 'pdf' ELSE 'generic' END AS format,
  CASE WHEN h[1:4] = 'FFD8' THEN 'image/jpeg' WHEN h[1:6] = '89504E' THEN 'image/png' WHEN h[1:8] = '{_HEX("RIFF")}' THEN 'audio/wav' WHEN h[9:16] = '{_HEX("ftyp")}' THEN 'video/mp4' WHEN h[1:6] = '494433' THEN 'audio/mpeg'
- WHEN h[1:8] = '25504446' THEN 'application/pdf' WHEN h[1:8] = '1A45DFA3' THEN 'video/webm' ELSE 'application/octet-stream' END AS mime FROM {inline_sql("id, h, e", _HEADS)}""")
+ WHEN h[1:8] = '25504446' THEN 'application/pdf' WHEN h[1:8] = '1A45DFA3' THEN 'video/webm' ELSE 'application/octet-stream' END AS mime FROM {dealt_sql("id, h, e", _HEADS)}""")
 def format_dispatch(spark, d):
     content = F.unhex("h")
-    return literal(spark, "id, h, e", _HEADS).select("id", forensics.format_of(content, F.col("e")).alias("format"), forensics.mime_magic(content).alias("mime"))
+    return dealt(spark, d, "id, h, e", _HEADS).select("id", forensics.format_of(content, F.col("e")).alias("format"), forensics.mime_magic(content).alias("mime"))
 
 
 @query("""SELECT source, CAST(count(*) AS BIGINT) AS n, max(n_chars) AS longest, arg_min(doc_id, (CASE WHEN lang = 'en' THEN 0 ELSE 1 END) * 1000000000 + doc_id) AS first_doc FROM documents GROUP BY source""")

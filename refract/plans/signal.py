@@ -104,7 +104,9 @@ def delta_spectrogram(spark, d):
     return e.join(after, "vec_id").select("vec_id", F.posexplode(diff).alias("i", "delta")).withColumn("i", F.col("i").cast("bigint"))
 
 
-@query(f"""SELECT k, round(k * 16000 / 2048.0, 6) AS hz FROM (SELECT unnest(range(0, 1024)) AS k) b WHERE {" OR ".join(f"abs(k * 16000 / 2048.0 - {t}) <= {G.HUM_WIDTH}" for t in G.HUM_HZ)}""")
+@query(f"""SELECT event_id, k, round(k * 16000 / 2048.0, 6) AS hz FROM (SELECT event_id, event_id % 1024 AS k FROM events) b WHERE {" OR ".join(f"abs(k * 16000 / 2048.0 - {t}) <= {G.HUM_WIDTH}" for t in G.HUM_HZ)}""")
 def hum_band_join(spark, d):
-    b = spark.range(1024).select(F.col("id").alias("k"), (F.col("id") * 16000 / 2048.0).alias("hz"))
-    return b.where(G.hum_bin(F.col("hz"))).select("k", F.round("hz", 6).alias("hz"))
+    """Events whose frequency bin (by their id) lies at a mains tone."""
+    k = F.col("event_id") % 1024
+    b = table(spark, d, "events").select("event_id", k.alias("k"), (k * 16000 / 2048.0).alias("hz"))
+    return b.where(G.hum_bin(F.col("hz"))).select("event_id", "k", F.round("hz", 6).alias("hz"))

@@ -3,8 +3,11 @@
 Test items are partitioned by their number of shingles into powers of two.  For each partition, documents
 are read as overlapping pieces of twice its size, so an item of q shingles meets a piece of fewer than 4 q
 and a contained item has a Jaccard similarity of at least 0.8 / 4.2 with it; one of HASHES minima agrees
-but for a chance of (1 - 0.19) ** 64, about 1e-6.  What agrees is verified exactly: the share of the item's
-shingles that the whole document has.  Documents are scanned where they lie, nothing is shuffled but hits.
+but for a chance of (1 - 0.19) ** 64, about 1e-6.  An item that is spread over a document is found as well: piece
+j, with a share c_j of its q shingles, has a similarity of c_j q / (q + 4 q) at least, these sum to 0.8 / 5 however
+the item is spread, and all pieces miss it with a chance under exp(-0.16 * 64), 4e-5.  What agrees is verified
+exactly: the share of the item's shingles that the whole document has.  Documents are scanned where they lie,
+nothing is shuffled but hits.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from pyspark.sql import functions as F
 from . import textscan as T
 
 SHINGLE, THRESHOLD, HASHES = 5, (4, 5), 64
-#: Items that one pass over the documents looks for; more of them take more passes.
-ITEMS_A_PASS = 50_000
+#: Items, and bytes of their texts, that one pass over the documents looks for; more of them take more passes.
+ITEMS_A_PASS, BYTES_A_PASS = 50_000, 64 << 20
 
 _SEEDS = T.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xB5297A4D3F84D5B5)) | np.uint64(1)
 
@@ -86,13 +89,13 @@ def _candidates(index: Index, h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _search(docs: DataFrame, index: Index, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most ITEMS_A_PASS items
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # about ITEMS_A_PASS items and BYTES_A_PASS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            out: list[tuple[int, int, int, int]] = []
+            ids, keys = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
+            out: list[tuple[int, ...]] = []
             for s in T.slices(batch.column("text")):
                 w = T.words(s)
                 h, doc = T.shingles(T.word_hashes(s, w), w.first, shingle)
@@ -105,35 +108,41 @@ def _search(docs: DataFrame, index: Index, shingle: int, threshold: tuple[int, i
                     at = np.minimum(np.searchsorted(own, q), len(own) - 1)
                     hits = int(np.count_nonzero(own[at] == q))
                     if threshold[1] * hits >= threshold[0] * len(q):
-                        out.append((int(ids[s.row + d]), index.ids[i], hits, len(q)))
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_hits", "n_shingles"])
+                        out.append((int(ids[s.row + d]), int(keys[s.row + d]), index.ids[i], hits, len(q)))
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "text_key", "item_id", "n_hits", "n_shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, n_hits long, n_shingles long")
+    return docs.mapInArrow(run, HITS)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+HITS = "doc_id long, text_key long, item_id long, n_hits long, n_shingles long"
+
+
+def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, by_text: bool = False) -> DataFrame:
     """Documents that contain four fifths at least of the five-word shingles of a test item.
 
     Rows: one for each such pair, with doc_id, item_id, n_hits (distinct shingles of the item that the whole
     document has), n_shingles (of the item) and containment.  Clean documents have no row.
 
     * items and documents under five words have no shingles of five words and match nothing;
-    * null texts and null ids match nothing; rows that repeat an id pair give one row, the best;
+    * null texts and null ids match nothing; rows that repeat an id pair give one row, the best, or with ``by_text``
+      one for each text (text_key, its xxhash64);
     * other columns are not read; empty tables give an empty result.
     """
-    own = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     wanted = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    passes = max(1, -(-wanted.count() // ITEMS_A_PASS))
+    n, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, -(-n // ITEMS_A_PASS), -(-size // BYTES_A_PASS))
     found = None
     for k in range(passes):
         rows = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect() if passes > 1 else wanted.collect()
         part = _search(own, Index([r.item_id for r in rows], [r.text for r in rows], shingle), shingle, threshold) if rows else None
         found = part if found is None else found if part is None else found.union(part)
     if found is None:
-        found = own.sparkSession.createDataFrame([], "doc_id long, item_id long, n_hits long, n_shingles long")
-    best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_hits", "n_shingles"), F.col("n_hits") / F.col("n_shingles")).alias("b"))
-    return best.select("doc_id", "item_id", "b.n_hits", "b.n_shingles", (F.col("b.n_hits") / F.col("b.n_shingles")).alias("containment"))
+        found = own.sparkSession.createDataFrame([], HITS)
+    keys = ["doc_id", "text_key", "item_id"] if by_text else ["doc_id", "item_id"]
+    best = found.groupBy(*keys).agg(F.max_by(F.struct("n_hits", "n_shingles"), F.col("n_hits") / F.col("n_shingles")).alias("b"))
+    return best.select(*keys, "b.n_hits", "b.n_shingles", (F.col("b.n_hits") / F.col("b.n_shingles")).alias("containment"))
 
 
 #: DuckDB form over the tables documents and benchmark.

@@ -24,6 +24,8 @@ PER_LANGUAGE, TRAIN_ROWS, LANDMARKS = 800, 4000, 256
 #: Parts that the ids of a language are ranked in before they meet.
 SALTS = 64
 RIDGE = 1e-3
+#: Share of a language's learned rows that score under Model.low.
+LOW = 0.02
 #: Bytes of text that one presence matrix covers.
 SCAN_BYTES = 1 << 20
 
@@ -60,10 +62,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Landmark presence bits, weights on landmark kernels, languages; least: the least score of a learned row."""
+    """Landmark presence bits, weights on landmark kernels, languages; low: by language, the score that LOW of its learned
+    rows don't reach, so that single odd rows don't move it."""
 
-    def __init__(self, bits: np.ndarray, weights: np.ndarray, languages: list[str], least: float = 0.0):
-        self.bits, self.weights, self.languages, self.least = bits, weights, languages, least
+    def __init__(self, bits: np.ndarray, weights: np.ndarray, languages: list[str], low: dict[str, float] | None = None):
+        self.bits, self.weights, self.languages, self.low = bits, weights, languages, low or {}
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         marks = unit(np.unpackbits(self.bits, axis=1, count=DIM))
@@ -112,7 +115,9 @@ def fit(docs: DataFrame) -> Model | None:
     left = phi.T @ (phi * weight[:, None]) + RIDGE * len(y) * np.eye(phi.shape[1])
     right = phi.T @ (goal * weight[:, None])
     solved = np.linalg.solve(left, right)
-    return Model(bits[:marks], (root @ solved).astype(np.float32), languages, float((phi @ solved).max(axis=1).min()))
+    own = (phi @ solved).max(axis=1)
+    low = {name: float(np.quantile(own[y == i], LOW)) for i, name in enumerate(languages)}
+    return Model(bits[:marks], (root @ solved).astype(np.float32), languages, low)
 
 
 def identify(docs: DataFrame, keep: tuple[str, ...] = (), model: Model | None = None) -> DataFrame:

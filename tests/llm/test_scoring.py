@@ -47,6 +47,34 @@ def test_contained_items_equal_brute_force(spark, corpus):
     assert got == want and len(want) > 30
 
 
+@pytest.mark.parametrize("places", [2, 5, 20, 50])
+def test_items_that_are_spread_over_a_document(spark, places):
+    """Parts of an item far apart: the item is found whenever the whole document has 4/5 of its shingles."""
+    r = random.Random(places)
+    rows, items = [], []
+    for i in range(12):
+        item = [f"t{i}_{r.randrange(10**6)}" for _ in range(30 * places + 10)]
+        cut = sorted(r.sample(range(1, len(item)), places - 1))
+        parts = [item[a:b] for a, b in zip([0, *cut], [*cut, len(item)])]
+        text = [f"f{r.randrange(3000)}" for _ in range(200)]
+        for part in parts:
+            text += part + [f"f{r.randrange(3000)}" for _ in range(len(item) // 2)]
+        rows.append((i, " ".join(text)))
+        items.append((i, " ".join(item)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {i for (i, t), (_, x) in zip(rows, items) if 5 * len(shingles(x) & shingles(t)) >= 4 * len(shingles(x))}
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench).collect()}
+    assert want and got == {(i, i) for i in want}
+
+
+def test_passes_by_bytes_of_items(spark, corpus, monkeypatch):
+    _, df = corpus
+    items = df.select(F.col("doc_id").alias("item_id"), "text").where("doc_id % 5 = 0")
+    whole = {tuple(x) for x in decontaminate.contaminated(df, items).collect()}
+    monkeypatch.setattr(decontaminate, "BYTES_A_PASS", 3000)
+    assert whole == {tuple(x) for x in decontaminate.contaminated(df, items).collect()}
+
+
 def test_no_items_no_rows(spark, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")

@@ -2,7 +2,8 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.
 Between stages the result is written as Parquet and read again, so when a stage starts, the scratch tables of
-the pipeline's stage before it are no longer needed and go; those of other queries aren't touched.
+the stage before it are no longer needed and go: run() owns those of its stages, and stages that are called on
+their own share an owner a thread.  Those of other queries aren't touched.  Stages run Spark jobs as they plan.
 
 Every stage: an empty table gives an empty result; columns other than those of documents are dropped; rows that
 repeat others are documents of their own unless the stage says otherwise.
@@ -11,6 +12,7 @@ repeat others are documents of their own unless the stage says otherwise.
 from __future__ import annotations
 
 import functools
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -25,17 +27,19 @@ from refract.llm.mixing import mix_sources
 from refract.llm.substring_dedup import dedup_substrings
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Share of the least score of a learned document below which a language isn't told.
+#: Share of the low score of a language's learned documents below which it isn't told.
 LEAST_SCORE = 0.5
 
-_scratch = Scratch()
+_threads = threading.local()
 
 
 def _stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _scratch.delete(spark)
-        with _scratch:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+        if scratch is None:
+            scratch = _threads.scratch = getattr(_threads, "scratch", None) or Scratch()
+        scratch.delete(spark)
+        with scratch:
             return f(spark, docs, sf_dir)
 
     return run_stage
@@ -45,8 +49,8 @@ def _stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told from their text.
 
-    Rejected: null and letterless texts, and texts that score under half of what the least certain document
-    scores that the model was learned from: they share next to no n-grams with any learned language.
+    Rejected: null and letterless texts, and texts that score under half of what the least certain fiftieth of a
+    language's learned documents score: they share next to no n-grams with it.
     * where nothing can be learned (no lang, no lettered text) all lettered texts stay;
     * null doc_id, lang or source: judged by the text like others; repeated rows are judged alike.
     """
@@ -55,7 +59,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         return own.where(F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     told = identify(own, ("text", "lang", "source", "n_chars"), model)
-    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE * model.least)).select(*COLUMNS)
+    low = F.create_map(*(F.lit(x) for name, score in model.low.items() for x in (name, LEAST_SCORE * score)))
+    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= F.try_element_at(low, "lang_pred"))).select(*COLUMNS)
 
 
 @_stage
@@ -97,10 +102,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item.
 
-    * null doc_id or text: kept; of rows that repeat an id, all go when the text of one contains an item.
+    * null doc_id or text: kept; rows that repeat an id are judged by their own text; repeated rows go alike.
     """
-    leaks = contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(*COLUMNS).join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    leaks = contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_text=True)
+    keyed = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64("text"))
+    return keyed.join(leaks.select("doc_id", "text_key").distinct(), ["doc_id", "text_key"], "left_anti").select(*COLUMNS)
 
 
 @_stage
@@ -121,14 +127,14 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; only the last stage's table is left when it returns."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
+    folder, before, scratch = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None, Scratch()
     for name, stage in STAGES:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        stage(spark, docs, sf_dir, scratch).write.parquet(path)
         if before:
             delete(spark, before)
         docs, before = spark.read.parquet(path), path
-    _scratch.delete(spark)
+    scratch.delete(spark)
     return docs
 
 

@@ -6,6 +6,8 @@ frames cover, so its own samples come out whole and segments are never merged.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -229,6 +231,86 @@ def analyse(segments: DataFrame, most: int = 600) -> DataFrame:
     )
 
 
+#: Rows of a spectrogram and the exponent that bends them towards low frequencies; decibels that a frame is kept above.
+SPECTRUM_ROWS, BEND, LEAST_DB = 256, 1.8, -120.0
+
+
+def spectrogram(segments: DataFrame, columns: int = 1000, rows: int = SPECTRUM_ROWS) -> DataFrame:
+    """path, col, row, db: the loudest of each cell of time and bent frequency, in decibels of the magnitude.
+
+    A recording's frames are dealt to at most ``columns`` columns of whole frames; row r starts at the bin
+    (r / rows) ** BEND of all.  Cells are maxima, so what segments tell of a column they share is merged by maximum.
+    """
+    edge = np.unique((HALF * (np.arange(rows) / rows) ** BEND).astype(int), return_index=True)
+
+    def run(batches):
+        for part in batches:
+            for r in part.itertuples():
+                m = _middle(_spectra(r.samples, r.channels))
+                frame = np.arange(len(m)) + r.start // HOP
+                own = (frame >= r.seg * SEGMENT_FRAMES) & (frame < (r.seg + 1) * SEGMENT_FRAMES)
+                if not own.any():
+                    continue
+                total = max(1, (r.n_samples - WINDOW) // HOP + 1)
+                col = frame[own] // max(1, -(-total // columns))
+                first = np.flatnonzero(np.diff(col, prepend=-1))
+                cells = np.maximum.reduceat(np.maximum.reduceat(m[own], edge[0], axis=1), first, axis=0)
+                db = np.maximum(LEAST_DB, 20 * np.log10(cells + 1e-12))
+                yield pd.DataFrame({"path": r.path, "col": np.repeat(col[first], len(edge[0])), "row": np.tile(edge[1], len(first)), "db": db.ravel()})
+
+    found = segments.mapInPandas(run, "path string, col int, row int, db double")
+    return found.groupBy("path", "col", "row").agg(F.max("db").alias("db"))
+
+
+#: Zero crossings of the resampling filter on each side, its Kaiser window's shape, and the share of the band that passes.
+CROSSINGS, SHAPE, PASS = 48, 12.0, 0.92
+#: Outputs whose filters are made together.
+OUTPUTS = 1 << 14
+
+
+def resampled(x: np.ndarray, start: int, lo: int, hi: int, rate: int, to: int) -> np.ndarray:
+    """Samples lo .. hi of the signal at the rate ``to``; x: input samples (n, channels) from ``start`` on, zeros beyond.
+
+    Each output is a windowed sinc over the inputs around it; the filters of equal phases are made once.
+    """
+    g = math.gcd(rate, to)
+    up, down = to // g, rate // g
+    band = PASS * min(1.0, to / rate)
+    reach = int(np.ceil(CROSSINGS / band))
+    out = np.zeros((hi - lo, x.shape[1]))
+    padded = np.concatenate((np.zeros((reach, x.shape[1])), x, np.zeros((reach + 1, x.shape[1]))))
+    for a in range(lo, hi, OUTPUTS):
+        n = np.arange(a, min(hi, a + OUTPUTS), dtype=np.int64)
+        at, phase = n * down // up, n * down % up
+        kinds, which = np.unique(phase, return_inverse=True)
+        t = np.arange(-reach, reach + 1)[None, :] - kinds[:, None] / up
+        taps = band * np.sinc(band * t) * np.i0(SHAPE * np.sqrt(np.maximum(0, 1 - (t / (reach + 1)) ** 2))) / np.i0(SHAPE)
+        first = at - start
+        inside = (first >= 0) & (first < len(x))
+        frames = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1, axis=0)[np.where(inside, first, 0)]
+        out[n - lo] = np.where(inside[:, None], np.einsum("nck,nk->nc", frames, taps[which]), 0)
+    return out
+
+
+def resample(segments: DataFrame, rate: int) -> DataFrame:
+    """path, sample_rate, channels, seg, samples of recordings at another rate: MIXED, by the segments of the input.
+
+    A segment owns the outputs whose moments lie in its own samples; its halo covers the filter at its edges, so pieces
+    equal one run.  Recordings of that rate pass as they are.
+    """
+
+    def run(batches):
+        for part in batches:
+            for r in part.itertuples():
+                lo, hi = _own(r)
+                x = np.asarray(r.samples, np.float32).reshape(-1, r.channels)
+                a, b = (-(-v * rate // r.sample_rate) for v in (lo, hi))
+                y = x[lo - r.start : hi - r.start] if r.sample_rate == rate else resampled(x.astype(float), r.start, a, b, r.sample_rate, rate)
+                yield pd.DataFrame({"path": [r.path], "sample_rate": [rate], "channels": [r.channels], "seg": [r.seg], "samples": [y.astype(np.float32).ravel()]})
+
+    return segments.mapInPandas(run, MIXED)
+
+
 # Mains frequencies, how many quiet windows are heard, and the least dB of a hum.
 MAINS, QUIET, HUM_SCORE, HUM_FIRST = (50, 60), 6, 7.0, 5.0
 

@@ -72,6 +72,7 @@ def format_of(content: Column, extension: Column) -> Column:
         .when((e == "webp") | ((four == "RIFF") & (_ascii_at(content, 8) == "WEBP")), "webp")
         .when((e == "gif") | _starts(content, "474946"), "gif")
         .when((e == "pdf") | _starts(content, "25504446"), "pdf")
+        .when(_starts(content, "49492A00") | _starts(content, "4D4D002A"), "tiff")
         .otherwise("generic")
     )
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.pdf import KEYS as PDF_KEYS
+
 # Names of RIFF INFO, ID3 and iTunes entries.
 INFO_TAGS = {"INAM": "title", "IART": "artist", "IPRD": "album", "ICRD": "date", "IGNR": "genre", "ICMT": "comment", "ISFT": "software", "IENG": "engineer"}
 ID3_TAGS = {"TIT2": "title", "TPE1": "artist", "TALB": "album", "TYER": "date", "TDRC": "date", "TCON": "genre", "TSSE": "encoder", "TENC": "encoded_by", "COMM": "comment", "TCOM": "composer", "TRCK": "track", "TCOP": "copyright"}
@@ -140,6 +142,9 @@ def tags(boxes: DataFrame) -> DataFrame:
         .when((kind == "mp4") & box.startswith("moov.udta.") & user.isNotNull(), row(user, F.trim(utf8(F.expr("substring(payload, 5)")))))
         .when((kind == "mp3") & frame.isNotNull(), row(frame, F.trim(F.replace(id3_text, F.lit("\0"), F.lit("")))))
         .when((kind == "jpeg") & (box == "FE"), row(F.lit("Comment"), latin(x)))
+        .when((kind == "pdf") & (box == "xmp"), row(F.lit("xmp"), utf8(x)))
+        .when((kind == "pdf") & box.startswith("info."), row(F.substring(box, 6, 40), utf8(x)))
+        .when((kind == "webp") & (box == "XMP "), row(F.lit("xmp"), utf8(x)))
         .when((kind == "jpeg") & (box == "E1") & text.contains("http://ns.adobe.com/xap/1.0/"), row(F.lit("xmp"), utf8(x)))
     )
     t = boxes.select("path", "ordinal", found.alias("t")).where("t IS NOT NULL AND t.value <> ''")
@@ -180,7 +185,7 @@ def iptc_tags(boxes: DataFrame) -> DataFrame:
 EXIF_TAGS = {
     "0000.010F": "Make", "0000.0110": "Model", "0000.0131": "Software", "0000.0132": "ModifyDate", "0000.013B": "Artist", "0000.8298": "Copyright", "0000.010E": "ImageDescription", "0000.0112": "Orientation",
     "8769.829A": "ExposureTime", "8769.829D": "FNumber", "8769.8827": "ISO", "8769.9003": "DateTimeOriginal", "8769.9209": "Flash", "8769.920A": "FocalLength", "8769.A002": "ExifImageWidth", "8769.A003": "ExifImageHeight",
-    "8769.A434": "LensModel", "8769.A431": "BodySerialNumber",
+    "8769.A434": "LensModel", "8769.A431": "BodySerialNumber", "8769.9286": "UserComment", "8769.9204": "ExposureBias", "8769.9004": "DateTimeDigitized", "8769.A433": "LensMake", "0000.013C": "HostComputer",
 }
 
 
@@ -189,11 +194,11 @@ def exif_tags(boxes: DataFrame) -> DataFrame:
     name = F.try_element_at(F.create_map(*(F.lit(x) for kv in EXIF_TAGS.items() for x in kv)), F.substring("box", 6, 9))
     rows = boxes.where("box LIKE 'exif.%'").select("path", "ordinal", name.alias("key"), F.trim(utf8(F.col("payload"))).alias("t")).where("key IS NOT NULL AND t <> ''")
     n, d = (F.try_element_at(F.split("t", "/"), F.lit(i)).cast("double") for i in (1, 2))
-    fraction = F.when(F.col("key").isin("ExposureTime", "FNumber", "FocalLength"), F.when(d == 0, 0.0).otherwise(n / d))
+    fraction = F.when(F.col("key").isin("ExposureTime", "FNumber", "FocalLength", "ExposureBias"), F.when(d == 0, 0.0).otherwise(n / d))
     speed = F.when((fraction > 0) & (fraction < 1), F.concat(F.lit("1/"), F.floor(1 / fraction + 0.5).cast("string"), F.lit(" s"))).otherwise(F.concat(fraction.cast("string"), F.lit(" s")))
     value = (
         F.when(F.col("key") == "ExposureTime", speed).when(F.col("key") == "FNumber", F.format_string("f/%.1f", fraction)).when(F.col("key") == "FocalLength", F.format_string("%.1f mm", fraction))
-        .when(F.col("key") == "Flash", F.when(F.col("t").cast("int").bitwiseAND(F.lit(1)) == 1, "Fired").otherwise("Did not fire")).otherwise(F.col("t"))
+        .when(F.col("key") == "ExposureBias", F.format_string("%+.1f EV", fraction)).when(F.col("key") == "Flash", F.when(F.col("t").cast("int").bitwiseAND(F.lit(1)) == 1, "Fired").otherwise("Did not fire")).otherwise(F.col("t"))
     )
     return rows.select("path", "ordinal", "key", value.alias("value"))
 
@@ -229,23 +234,39 @@ def xmp_history(rows: DataFrame) -> DataFrame:
     return h.select("path", "ordinal", "place", field("action").alias("action"), field("softwareAgent").alias("agent"), field("when").alias("at")).where("action IS NOT NULL")
 
 
-# Entries of a PDF's information dictionary.
-PDF_KEYS = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")
-
-
-def pdf_info(files: DataFrame) -> DataFrame:
-    """path, version and information entries of PDF files; the last occurrence of a key wins."""
-    head, tail = 2 * 1024 * 1024, 1024 * 1024
-    text = F.decode(F.concat(F.substring("content", 1, head), F.when(F.octet_length("content") > head, F.expr(f"substring(content, greatest({head} + 1, octet_length(content) - {tail} + 1))")).otherwise(F.lit(b""))), "ISO-8859-1")
-    p = files.where("format = 'pdf'").select("path", text.alias("t"))
-    last = lambda k: F.get(F.reverse(F.regexp_extract_all("t", F.lit(f"/{k}\\s*(\\((?:[^()\\\\]|\\\\.)*\\)|<[0-9A-Fa-f\\s]*>)"), F.lit(1))), 0)
-    return p.select("path", F.regexp_extract("t", r"%PDF-(\d\.\d)", 1).alias("version"), *(pdf_text(last(k)).alias(k) for k in PDF_KEYS))
+def pdf_info(boxes: DataFrame) -> DataFrame:
+    """path, version, information entries (the last one of a key), revisions and updates of PDF files.
 
-
-def pdf_text(raw: Column) -> Column:
-    """Text of a PDF string: hex strings (UTF-16 with a mark, else Latin-1) and literals with simple escapes."""
-    digits = F.regexp_replace(raw, r"[<>\s]", "")
-    data = F.unhex(F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits))
-    hexed = F.when(F.upper(digits).startswith("FEFF"), utf16(data)).otherwise(F.decode(data, "ISO-8859-1"))
-    plain = F.regexp_replace(F.substring(raw, F.lit(2), F.length(raw) - 2), r"\\([()\\])", "$1")
-    return F.when(raw.startswith("<"), hexed).otherwise(plain)
+    revisions: cross-reference sections along the chain of the file; updates: those that were appended after it was made
+    (a linearized file is made with two); lost: the chain leads nowhere.
+    """
+    x, box = utf8(F.col("payload")), F.col("box")
+    last = lambda k: F.nullif(F.max_by(x, F.when(box == f"info.{k}", F.col("offset"))), F.lit("")).alias(k)
+    g = boxes.where("format = 'pdf'").groupBy("path").agg(
+        F.min(F.when(box == "header", x)).alias("version"), *map(last, PDF_KEYS), F.count_if(box == "xref").cast("int").alias("revisions"),
+        F.count_if(box == "linearized").alias("first"), F.bool_or(box == "xref.lost").alias("lost"),
+    )
+    made = F.when(F.col("first") > 0, 2).otherwise(1)
+    return g.select("path", "version", *PDF_KEYS, "revisions", F.greatest(F.lit(0), F.col("revisions") - made).alias("updates"), "lost")
+
+
+def heif_pictures(boxes: DataFrame) -> DataFrame:
+    """path, width, height of HEIF and AVIF files: the size that the primary item's properties say.
+
+    The primary item (pitm) is joined with its associations (ipma), and those with the n-th property (ipco); sizes of
+    thumbnails and of the tiles of a grid belong to other items.
+    """
+    b, x = boxes.where("box LIKE 'meta.%'"), F.col("payload")
+    primary = b.where("box = 'meta.pitm'").select("path", F.when(be(x, 0, 1) > 0, be(x, 4, 4)).otherwise(be(x, 4, 2)).alias("item"))
+    numbers = F.transform(F.sequence(F.lit(0), F.shiftright(F.octet_length("payload"), 1) - 1), lambda i: F.conv(F.hex(F.substring(x, 2 * i + 1, F.lit(2))), 16, 10).cast("int"))
+    tied = b.where("box LIKE 'meta.iprp.ipma.%' AND octet_length(payload) > 0").select("path", F.substring_index("box", ".", -1).cast("bigint").alias("item"), F.explode(numbers).alias("place"))
+    placed = F.row_number().over(Window.partitionBy("path").orderBy("ordinal"))
+    sizes = b.where("box LIKE 'meta.iprp.ipco.%' AND box NOT LIKE 'meta.iprp.ipco.%.%'").withColumn("place", placed).where("box = 'meta.iprp.ipco.ispe'")
+    sizes = sizes.select("path", "place", be(x, 4, 4).alias("width"), be(x, 8, 4).alias("height"))
+    return primary.join(tied, ["path", "item"]).join(sizes, ["path", "place"]).select("path", "width", "height").dropDuplicates(["path"])
+
+
+def tiff_pictures(boxes: DataFrame) -> DataFrame:
+    """path, width, height of TIFF files, from their first directory."""
+    of = lambda t: F.min(F.when(F.col("box") == f"exif.0000.{t}", utf8(F.col("payload")).cast("bigint")))
+    return boxes.where("format = 'tiff' AND box IN ('exif.0000.0100', 'exif.0000.0101')").groupBy("path").agg(of("0100").alias("width"), of("0101").alias("height"))

@@ -98,3 +98,35 @@ def layer_envelope(spark, d):
 def mains_hum(spark, d):
     """These recordings have no mains tone (``mains_tones`` has recordings with one)."""
     return audio.hum(slow_windows(recordings(spark, d), 1.0))
+
+
+@query("""SELECT 'nation-' || n_nationkey || '.wav' AS path, r.rate, CAST(r.rate * (3 + n_nationkey % 3) AS BIGINT) AS n, 1 + n_nationkey % 2 AS channels, true AS same_tone, true AS same_level FROM nation, (VALUES (8000), (22050), (16000)) AS r(rate)""")
+def resampled_tones(spark, d):
+    """Recordings at other rates: how long they are, and whether their tone keeps its frequency and its level within 0.1 dB."""
+    cut = segments(recordings(spark, d))
+
+    def listen(batches):
+        for part in batches:
+            rows = []
+            for r in part.itertuples():
+                x = np.asarray(r.samples, float).reshape(-1, r.channels)[:, 0]
+                hz = 300 + 20 * int(r.path.split("-")[1][:-4])
+                t = np.arange(len(x)) / r.sample_rate
+                level = lambda f: 2 * abs(np.exp(-2j * np.pi * f * t) @ x) / len(x)  # noqa: B023, E731
+                rows.append((r.path, r.sample_rate, len(x), r.channels, level(hz) > 20 * max(level(hz - 7.3), level(hz + 7.3)), bool(abs(20 * np.log10(level(hz) / 0.2)) < 0.1)))
+            yield pd.DataFrame(rows, columns=["path", "rate", "n", "channels", "same_tone", "same_level"])
+
+    kinds = "path string, rate int, n bigint, channels int, same_tone boolean, same_level boolean"
+    made = [audio.resample(cut, rate).mapInPandas(listen, kinds) for rate in (8000, 22050, 16000)]
+    return made[0].union(made[1]).union(made[2])
+
+
+@query("""SELECT 'nation-' || n_nationkey || '.wav' AS path, CAST((16000 * (3 + n_nationkey % 3) - 2048) // 512 + 1 AS BIGINT) AS cols, true AS at_tone FROM nation""")
+def spectrogram_peaks(spark, d):
+    """Columns of each recording's spectrogram, and whether its loudest row is the one that holds its tone."""
+    s = audio.spectrogram(segments(recordings(spark, d)), 10_000)
+    g = s.groupBy("path").agg(F.count_distinct("col").alias("cols"), F.max_by("row", "db").alias("row"))
+    hz = 300 + 20 * F.regexp_extract("path", r"(\d+)", 1).cast("int")
+    first = lambda r: F.floor(F.lit(audio.HALF) * F.pow(r / F.lit(float(audio.SPECTRUM_ROWS)), F.lit(audio.BEND)))
+    at = F.floor(hz * 2048 / 16000 + 0.5)
+    return g.select("path", "cols", ((first(F.col("row")) <= at + 1) & (first(F.col("row") + 3) >= at - 1)).alias("at_tone"))

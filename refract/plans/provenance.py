@@ -197,6 +197,59 @@ def paper(key: int, name: str) -> bytes:
     return f"%PDF-1.{key % 8}\n/Title (Old)\n/Title ({name} \\({key}\\))\n/Producer <{(chr(0xFEFF) + name).encode('utf-16-be').hex()}>\n".encode()
 
 
+def saved_paper(key: int, name: str) -> bytes:
+    """A PDF saved again key % 4 times: each save appends an information dictionary, a table and a trailer that points back.
+
+    By key its title is written in octal escapes, in UTF-8 or in UTF-16 digits; the text after it is a decoy.
+    """
+    b, prev = b"%PDF-1.6\n", None
+    for i in range(key % 4 + 1):
+        title = f"{name} \u00e9 {i}"
+        how = (key + i) % 3
+        octal = "".join(f"\\{v:03o}" for v in title.encode("latin-1"))
+        told = f"({octal})".encode() if how == 0 else b"(\xef\xbb\xbf" + title.encode() + b")" if how == 1 else f"<{(chr(0xFEFF) + title).encode('utf-16-be').hex()}>".encode()
+        b += b"1 0 obj\n<< /Title " + told + b" /Creator (a\\\nb \\(c (d)) >>\nendobj\n"
+        at = len(b)
+        b += b"xref\n0 1\n0000000000 65535 f \ntrailer\n<< /Size 2 /Info 1 0 R " + (b"/Prev %d " % prev if prev else b"") + b">>\nstartxref\n%d\n%%%%EOF\n" % at
+        prev = at
+    xmp = f'<x:xmpmeta><rdf:Description xmp:CreatorTool="{name} tool"/></x:xmpmeta>'.encode() if key % 2 else b""
+    return b + xmp
+
+
+def still(key: int, name: str) -> bytes:
+    """A HEIF file whose primary item is the second one; the first is its thumbnail, the third a tile of a grid."""
+    size = lambda w, h: box(b"ispe", struct.pack(">III", 0, w, h))
+    pitm = box(b"pitm", struct.pack(">IH", 0, 2)) if key % 2 else box(b"pitm", struct.pack(">II", 1 << 24, 2))
+    props = box(b"ipco", size(160, 120), box(b"pixi", bytes(8)), size(512, 512), size(1000 + key, 700 + key))
+    entry = lambda item, *p: struct.pack(">HB", item, len(p)) + bytes(p)
+    tied = box(b"ipma", struct.pack(">II", 0, 3), entry(1, 1, 2), entry(2, 0x82, 4), entry(3, 3))
+    return box(b"ftyp", b"heic\0\0\0\0mif1") + box(b"meta", bytes(4), pitm, box(b"iprp", props, tied)) + box(b"mdat", bytes(50), b"Exif\0\0 no block here ", name.encode())
+
+
+def hidden(key: int, name: str) -> bytes:
+    """A file of no known format with two decoys before an EXIF block whose comment is in a character set by key."""
+    mark, coded = [(b"ASCII\0\0\0", "ascii"), (b"UNICODE\0", "utf-16-be"), (b"UNICODE\0", "utf-16-le"), (b"JIS\0\0\0\0\0", "iso2022_jp"), (bytes(8), "utf-8")][key % 5]
+    text = f"{name} \u6771\u4eac" if key % 5 > 2 else f"{name} note"
+    comment = mark + text.encode(coded)
+    short, word = (lambda v: struct.pack(">H", v)), (lambda v: struct.pack(">I", v))
+    field = lambda tag, kind, n, v: struct.pack(">HHI", tag, kind, n) + v.ljust(4, b"\0")
+    maker = name.encode() + b"\0"
+    at = 8 + 2 + 2 * 12 + 4
+    first = short(2) + field(0x010F, 2, len(maker), word(at)) + field(0x8769, 4, 1, word(at + len(maker))) + word(0) + maker
+    second = short(2) + field(0x9204, 10, 1, word(at + len(maker) + 2 + 24 + 4)) + field(0x9286, 7, len(comment), word(at + len(maker) + 2 + 24 + 4 + 8)) + word(0) + struct.pack(">ii", key - 12, 3) + comment
+    block = b"Exif\0\0MM\0*" + word(8) + first + second
+    return b"\1\2" + bytes(37 * key) + b"Exif\0\0II" + b"Exif\0\0II*\0\xff\xff\xff\x7f" + bytes(key) + block + bytes(9)
+
+
+def scan(key: int, name: str) -> bytes:
+    """A TIFF file that says its size and maker."""
+    order, c = (b"II", "<") if key % 2 else (b"MM", ">")
+    maker = name.encode() + b"\0"
+    field = lambda tag, kind, n, v: struct.pack(c + "HHI", tag, kind, n) + v.ljust(4, b"\0")
+    rows = field(0x0100, 3, 1, struct.pack(c + "H", 300 + key)) + field(0x0101, 4, 1, struct.pack(c + "I", 200 + key)) + field(0x010F, 2, len(maker), struct.pack(c + "I", 50))
+    return order + struct.pack(c + "HIH", 42, 8, 3) + rows + struct.pack(c + "I", 0) + maker
+
+
 def files(spark, d, kind: str, make):
     """path, format, content of one file a nation."""
 
@@ -291,4 +344,30 @@ def lossless_streams(spark, d):
 
 @query("""SELECT n_nationkey || '.pdf' AS path, '1.' || (n_nationkey % 8) AS version, n_name || ' (' || n_nationkey || ')' AS title, n_name AS producer FROM nation""")
 def paper_info(spark, d):
-    return media.pdf_info(files(spark, d, "pdf", paper)).select("path", "version", F.col("Title").alias("title"), F.col("Producer").alias("producer"))
+    return media.pdf_info(boxes(files(spark, d, "pdf", paper))).select("path", "version", F.col("Title").alias("title"), F.col("Producer").alias("producer"))
+
+
+@query("""SELECT n_nationkey || '.pdf' AS path, n_name || ' é ' || (n_nationkey % 4) AS title, 'ab (c (d)' AS creator, CAST(n_nationkey % 4 + 1 AS INT) AS revisions, CAST(n_nationkey % 4 AS INT) AS updates, false AS lost, CASE WHEN n_nationkey % 2 = 1 THEN n_name || ' tool' END AS tool FROM nation""")
+def paper_updates(spark, d):
+    """Titles in three encodings, the updates that the chain of cross-reference sections tells, and the tool that XMP names."""
+    b = boxes(files(spark, d, "pdf", saved_paper))
+    xmp = media.xmp_tags(media.tags(b)).where("key = 'CreatorTool'").select("path", F.col("value").alias("tool"))
+    return media.pdf_info(b).select("path", F.col("Title").alias("title"), F.col("Creator").alias("creator"), "revisions", "updates", "lost").join(xmp, "path", "left")
+
+
+@query("""SELECT n_nationkey || '.heif' AS path, CAST(1000 + n_nationkey AS BIGINT) AS width, CAST(700 + n_nationkey AS BIGINT) AS height FROM nation""")
+def still_sizes(spark, d):
+    return media.heif_pictures(boxes(files(spark, d, "heif", still)))
+
+
+@query("""SELECT n_nationkey || '.generic' AS path, t.key, CASE t.key WHEN 'Make' THEN n_name WHEN 'UserComment' THEN n_name || CASE WHEN n_nationkey % 5 > 2 THEN ' 東京' ELSE ' note' END
+ELSE printf('%+.1f EV', (n_nationkey - 12) / 3.0) END AS value FROM nation, (VALUES ('Make'), ('UserComment'), ('ExposureBias')) AS t(key)""")
+def hidden_exif(spark, d):
+    """EXIF blocks in files that don't say where they are, with comments whose encoding is told by how they read."""
+    return media.exif_tags(boxes(files(spark, d, "generic", hidden))).select("path", "key", "value")
+
+
+@query("""SELECT n_nationkey || '.tiff' AS path, CAST(300 + n_nationkey AS BIGINT) AS width, CAST(200 + n_nationkey AS BIGINT) AS height, n_name AS make FROM nation""")
+def scan_sizes(spark, d):
+    b = boxes(files(spark, d, "tiff", scan))
+    return media.tiff_pictures(b).join(media.exif_tags(b).where("key = 'Make'").select("path", F.col("value").alias("make")), "path")

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .pdf import pdf
+
 #: Boxes of pixels, samples and pictures, of which only a head travels; every other payload is whole.
 BULK = frozenset(("data", "IDAT", "fdAT", "mdat", "VP8 ", "VP8L", "ALPH", "ANMF", "PICTURE", "APIC", "moov.udta.meta.ilst.covr.data"))
 HEAD_BYTES = 4096
@@ -53,6 +55,51 @@ def riff(b: bytes) -> Iterator[Box]:
         at += 8 + size + size % 2
 
 
+# Marks of the character sets of a user comment, with the encodings that they are found to mean.
+CHARSETS = {b"ASCII": ("ascii", "utf-8", "latin-1"), b"UNICODE": ("utf-16-be", "utf-16-le", "utf-8"), b"JIS": ("iso2022_jp", "shift_jis", "euc_jp"), b"": ("utf-8", "utf-16-be", "utf-16-le", "latin-1")}
+
+
+def _doubt(text: str) -> tuple[bool, float]:
+    """How little a text reads like a comment: whether it has controls or undecodable characters, and then how few of its
+    characters are printable ASCII (others that are printable count half)."""
+    bad = any(c == "\ufffd" or not (c.isprintable() or c in "\r\n\t") for c in text)
+    return bad, -sum(1.0 if c <= "~" else 0.5 for c in text) / max(1, len(text))
+
+
+def user_comment(raw: bytes, big_endian: bool) -> str:
+    """Text of an EXIF user comment: of the encodings that its mark allows, the one that reads best; the file's byte order
+    comes first where two read alike."""
+    mark, body = raw[:8].rstrip(b"\0 "), raw[8:]
+    names = CHARSETS.get(mark.upper(), CHARSETS[b""])
+    if not big_endian:
+        names = sorted(names, key=lambda n: n == "utf-16-be")
+    found = []
+    for i, name in enumerate(names):
+        text = body[: len(body) - len(body) % 2 if name.startswith("utf-16") else None].decode(name, "replace").rstrip("\0")
+        found.append((_doubt(text), i, text.replace("\0", "")))
+    return min(found)[2].strip() if body else ""
+
+
+#: Bytes before a TIFF block where no container says that there is one.
+EXIF_MARK = b"Exif\0\0"
+
+
+def exif_anywhere(b: bytes, base: int = 0, until: int | None = None) -> Iterator[Box]:
+    """Entries of the first EXIF block that its mark and a directory with entries show, wherever it is (before ``until``)."""
+    at = b.find(EXIF_MARK)
+    while 0 <= at < (len(b) if until is None else until):
+        found = []
+        try:
+            for row in exif(b[at + 6 :], base + at + 6):
+                found.append(row)
+        except (struct.error, IndexError):
+            pass  # a directory that breaks off keeps what was read
+        if found:
+            yield from found
+            return
+        at = b.find(EXIF_MARK, at + 1)
+
+
 def exif(b: bytes, base: int) -> Iterator[Box]:
     """Entries of the image, camera and place directories of a TIFF block, values as text.
 
@@ -73,7 +120,7 @@ def exif(b: bytes, base: int) -> Iterator[Box]:
             if entry + 12 > len(b):
                 break
             tag, kind, n = struct.unpack_from(order + "HHI", b, entry)
-            code = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 7: "s", 9: "i", 10: "ii"}.get(kind)
+            code = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "s", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I"}.get(kind)
             if not code:
                 continue
             width = struct.calcsize("<" + code) * n
@@ -81,7 +128,9 @@ def exif(b: bytes, base: int) -> Iterator[Box]:
             raw = b[place : place + width]
             if len(raw) < width:
                 continue
-            if code == "s":
+            if (directory, tag) == (0x8769, 0x9286):
+                text = user_comment(raw, order == ">").encode()
+            elif code == "s":
                 text = raw if kind == 7 else raw.split(b"\0")[0]
             else:
                 numbers = [v for v in struct.iter_unpack(order + code, raw)]
@@ -159,7 +208,7 @@ def iptc(b: bytes, base: int) -> Iterator[Box]:
 
 
 # Boxes that hold boxes.
-BMFF_CONTAINERS = frozenset("moov trak mdia minf stbl udta ilst edts dinf mvex moof traf meta".split())
+BMFF_CONTAINERS = frozenset("moov trak mdia minf stbl udta ilst edts dinf mvex moof traf meta iprp ipco".split())
 
 
 def bmff(b: bytes, lo: int = 0, hi: int | None = None, prefix: str = "", depth: int = 0) -> Iterator[Box]:
@@ -176,11 +225,24 @@ def bmff(b: bytes, lo: int = 0, hi: int | None = None, prefix: str = "", depth:
         end = min(hi, lo + size)
         inner = (kind in BMFF_CONTAINERS or prefix.endswith("ilst.")) and depth < 12
         yield prefix + kind, lo, size, b"" if inner else cut(prefix + kind, b, lo + head, end)
+        if kind == "ipma":
+            yield from associations(b[lo + head : end], prefix + kind, lo)
         if inner:
             yield from bmff(b, lo + head + 4 * (kind == "meta"), end, prefix + kind + ".", depth + 1)
         lo += size
 
 
+def associations(x: bytes, name: str, base: int) -> Iterator[Box]:
+    """Items of a property association box, named by their ids: the numbers of their properties, two bytes each."""
+    wide, long, at = x[0] > 0, x[3] & 1, 8
+    for _ in range(int.from_bytes(x[4:8], "big")):
+        item, at = int.from_bytes(x[at : at + 2 + 2 * wide], "big"), at + 2 + 2 * wide
+        n, at = x[at], at + 1
+        found = [int.from_bytes(x[at + i * (1 + long) : at + (i + 1) * (1 + long)], "big") & (0x7FFF if long else 0x7F) for i in range(n)]
+        at += n * (1 + long)
+        yield f"{name}.{item}", base, 0, b"".join(v.to_bytes(2, "big") for v in found)
+
+
 def flac(b: bytes) -> Iterator[Box]:
     at, last = 4, False
     while not last and at + 4 <= len(b):
@@ -341,15 +403,42 @@ def whole(b: bytes) -> Iterator[Box]:
 
 
 def inflate(data: bytes, bits: int = 15) -> bytes:
-    z = zlib.decompressobj(bits)
+    """What a compressed text grows to; what was read of one that is damaged, cut or too large is a head."""
+    z, out, left = zlib.decompressobj(bits), [], INFLATE_BYTES
     try:
-        out = z.decompress(data, INFLATE_BYTES)
-        return Head(out) if z.unconsumed_tail else out
+        for at in range(0, len(data), 4096):
+            out.append(z.decompress(data[at : at + 4096], left))
+            left -= len(out[-1])
+            if z.unconsumed_tail or left <= 0:
+                return Head(b"".join(out))
     except zlib.error:
-        return b""
+        return Head(b"".join(out))
+    whole = b"".join(out) + z.flush()
+    return whole if z.eof else Head(whole)
+
+
+def tiff(b: bytes) -> Iterator[Box]:
+    yield from whole(b)
+    yield from exif(b, 0)
+
+
+def pdf_file(b: bytes) -> Iterator[Box]:
+    yield "file", 0, len(b), Head(b[:HEAD_BYTES])
+    yield from pdf(b)
+
+
+def walked(kind: str, b: bytes) -> Iterator[Box]:
+    """The boxes of a file, and the EXIF entries that none of them told."""
+    told = False
+    for box in WALKERS.get(kind, whole)(b):
+        told = told or box[0].startswith("exif.")
+        yield box
+    if not told and kind != "tiff":
+        yield from exif_anywhere(b)
+
 
+WALKERS = {"wav": riff, "webp": riff, "png": png, "jpeg": jpeg, "mp4": bmff, "heif": bmff, "flac": flac, "ogg": ogg, "mp3": id3, "zip": zip_entries, "webm": ebml, "pdf": pdf_file, "tiff": tiff}
 
-WALKERS = {"wav": riff, "webp": riff, "png": png, "jpeg": jpeg, "mp4": bmff, "heif": bmff, "flac": flac, "ogg": ogg, "mp3": id3, "zip": zip_entries, "webm": ebml}
 
 
 def boxes(files: DataFrame) -> DataFrame:
@@ -364,7 +453,7 @@ def boxes(files: DataFrame) -> DataFrame:
             for path, kind, content in zip(*(batch.column(c).to_pylist() for c in ("path", "format", "content"))):
                 rows, error = [], None
                 try:
-                    rows.extend((path, kind, i, *box, None, not isinstance(box[3], Head)) for i, box in enumerate(WALKERS.get(kind, whole)(content or b"")) if content)
+                    rows.extend((path, kind, i, *box, None, not isinstance(box[3], Head)) for i, box in enumerate(walked(kind, content or b"")) if content)
                 except (IndexError, struct.error, ValueError) as e:
                     error = f"{type(e).__name__}: {e}"
                 if error:

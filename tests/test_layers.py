@@ -96,3 +96,63 @@ def test_automatic_cleaning_of_anything(spark, files):
     tone = lambda x: abs(np.exp(-2j * np.pi * 50 * t) @ x)
     assert tone(np.array(done["c", 0].samples)) < 0.1 * tone(before)
     assert cleaning.automatic_wav(files.limit(0)).count() == 0
+
+
+def whole(df, channels):
+    return np.concatenate([np.array(r.samples) for r in df.orderBy("seg").collect()]).reshape(-1, channels)
+
+
+@pytest.mark.parametrize("to", [16_000, 5_000, 7_999, 44_100])
+def test_resampled_pieces_equal_one_run(spark, to):
+    """Segments against the whole recording; a tone keeps its frequency and level, and images stay under -80 dB."""
+    n = 2 * SEGMENT_FRAMES * HOP // 32 + 777  # segments of 32 frames
+    t = np.arange(n) / RATE
+    x = np.stack([0.5 * np.sin(2 * np.pi * 1000 * t), 0.25 * np.sin(2 * np.pi * 333 * t)], axis=1)
+    df = spark.createDataFrame([("a", bytearray(wav_bytes(x, RATE, 24)))], "path string, content binary")
+    frames = SEGMENT_FRAMES // 32
+    cut = segments(df, frames)
+    pieces = []
+    for r in cut.orderBy("seg").collect():
+        lo, hi = r.seg * frames * HOP, min(r.n_samples, (r.seg + 1) * frames * HOP)
+        y = np.asarray(r.samples, float).reshape(-1, 2)
+        pieces.append(audio.resampled(y, r.start, -(-lo * to // RATE), -(-hi * to // RATE), RATE, to))
+    got = np.concatenate(pieces)
+    assert np.abs(got - audio.resampled(x, 0, 0, -(-n * to // RATE), RATE, to)).max() < 1e-6
+    assert len(got) == -(-n * to // RATE)
+    inner = got[to // 2 : -to // 2, 0]
+    at = np.arange(len(inner)) / to
+    w = np.blackman(len(inner))
+    spectrum = 20 * np.log10(np.abs(np.fft.rfft(inner * w)) / (w.sum() / 2) + 1e-12)
+    hz = np.fft.rfftfreq(len(inner), 1 / to)
+    assert abs(spectrum[np.abs(hz - 1000).argmin()] - 20 * np.log10(0.5)) < 0.1
+    assert spectrum[np.abs(hz - 1000) > 20].max() < -80 + 20 * np.log10(0.5)
+    assert np.abs(at).max() > 1
+
+
+def test_resampling_of_files(spark, files):
+    cut = segments(files.where("path IN ('a', 'b')"))
+    got = {(r.path, r.seg): len(r.samples) // r.channels for r in audio.resample(cut, 4000).collect()}
+    assert got == {("a", 0): SEGMENT_FRAMES * HOP // 2, ("a", 1): (70 * RATE - SEGMENT_FRAMES * HOP) // 2, ("b", 0): 3 * RATE // 2}
+    same = audio.resample(cut.where("path = 'b'"), RATE)
+    assert np.allclose(whole(same, 2), np.frombuffer(wav(3, 2, 2)[44:], "<i2").reshape(-1, 2) / 32768, atol=1e-6)
+    assert audio.resample(cut.limit(0), 4000).count() == 0
+
+
+def test_spectrogram_equals_a_whole_run(spark, files):
+    """Columns and rows by maximum over all frames of the recording, whatever segments they lie in."""
+    row = files.where("path = 'a'").first()
+    x = np.frombuffer(bytes(row.content)[44:], "<i2").astype(np.float32) / 32768
+    frames = np.lib.stride_tricks.sliding_window_view(x, 2048)[::HOP]
+    m = np.abs(np.fft.rfft(frames * audio.HANN, axis=1))[:, : audio.HALF]
+    per = -(-len(m) // 100)
+    edge = np.unique((audio.HALF * (np.arange(audio.SPECTRUM_ROWS) / audio.SPECTRUM_ROWS) ** audio.BEND).astype(int))
+    got = audio.spectrogram(segments(files.where("path = 'a'")), 100).collect()
+    cols = sorted({r.col for r in got})
+    assert cols == list(range(-(-len(m) // per))) and len(got) == len(cols) * len(edge)
+    rows = sorted({r.row for r in got})
+    cells = {(r.col, r.row): r.db for r in got}
+    for c in cols[::9]:
+        part = m[c * per : (c + 1) * per]
+        for i in range(0, len(edge), 11):
+            hi = edge[i + 1] if i + 1 < len(edge) else audio.HALF
+            assert cells[c, rows[i]] == pytest.approx(max(-120, 20 * np.log10(part[:, edge[i] : hi].max() + 1e-12)), abs=1e-3)

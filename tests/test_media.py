@@ -145,7 +145,7 @@ def test_exif(spark, order):
 def test_archives_and_pdf(files):
     entries = boxes(files).where("format = 'zip'")
     assert rows(entries, "box", "size") == [("docProps/app.xml", len("<Properties><Application>Gamma</Application><Pages>3</Pages></Properties>")), ("word/media/a.png", 1)]
-    pdf = media.pdf_info(files).first()
+    pdf = media.pdf_info(boxes(files)).first()
     assert (pdf.version, pdf.Producer, pdf.Title, pdf.CreationDate) == ("1.7", "Libre", "A (b)", "D:20260511092633Z")
 
 

@@ -107,7 +107,7 @@ def digest(path: bytes, k: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def segments(rows: DataFrame) -> DataFrame:
+def segments(rows: DataFrame, segment: int = SEGMENT, run: int = RUN) -> DataFrame:
     """Segments (conv_id, k, path, chars) with one, two (prefix id), before (code points before it), next ids."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +118,10 @@ def segments(rows: DataFrame) -> DataFrame:
             columns = [batch.column("conv_id"), batch.column("k"), pa.array(paths, pa.binary()), pa.array(chars, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), pa.array([sum(x) for x in chars], pa.int64())], ["conv_id", "k", "path", "chars", "a", "b", "total"])
 
-    k = F.expr(f"(place - 1) div {SEGMENT}").alias("k")
+    k = F.expr(f"greatest(place - 1, 0) div {segment}").alias("k")
     packed = rows.groupBy("conv_id", k).agg(F.sort_array(F.collect_list(F.struct("place", "key", "chars"))).alias("turns"))
     named = materialise(packed.mapInArrow(name, "conv_id long, k long, path binary, chars array<long>, a long, b long, total long"), "segments")
-    named = named.withColumn("run", F.expr(f"k div {RUN}"))
+    named = named.withColumn("run", F.expr(f"k div {run}"))
     up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     runs, inside = Window.partitionBy("conv_id").orderBy("run"), Window.partitionBy("conv_id", "run").orderBy("k")
     sums = named.groupBy("conv_id", "run").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.sum("total").alias("total"), F.max("k").alias("k"))
@@ -168,7 +168,7 @@ def _common(a: bytes, b: bytes) -> int:
     return i // KEY
 
 
-def sweep(batches: Iterator[pa.RecordBatch], flush: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+def sweep(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT, flush: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """Nodes of the sorted segments of a range; those that may go on beyond it are open."""
     stack: list[_Interval] = []
     out: list[tuple] = []
@@ -190,7 +190,7 @@ def sweep(batches: Iterator[pa.RecordBatch], flush: int = 1 << 14) -> Iterator[p
                 a, b = digest(own[: KEY * j], k)
                 here = (one ^ a, two ^ b)
             c = chars[j - 1] if j else 0
-            out.append((*here, *(up if j or k else (None, None)), k * SEGMENT + j, *x.owner, x.n, x.ends if j == x.hi else 0, *x.sums, c, done, j <= open_to))
+            out.append((*here, *(up if j or k else (None, None)), k * segment + j, *x.owner, x.n, x.ends if j == x.hi else 0, *x.sums, c, done, j <= open_to))
             done += c
             at = here
 
@@ -232,18 +232,18 @@ def sweep(batches: Iterator[pa.RecordBatch], flush: int = 1 << 14) -> Iterator[p
             if len(out) >= flush:
                 yield batch_of(out)
                 out.clear()
-    left = SEGMENT
+    left = segment
     close(-1 if piece and not piece[0] else 0)
     if out:
         yield batch_of(out)
 
 
-def _swept(rows: DataFrame) -> DataFrame:
+def _swept(rows: DataFrame, segment: int) -> DataFrame:
     """The nodes of segments (with base, top, n_turns, owned, leaf of their conversations), each once."""
     order = ["k", "one", "two", "path", "conv_id"]
     columns = ["conv_id", "k", "one", "two", "path", "chars", "before", "last", "whole", "base", "top", "n_turns", "owned", "leaf"]
     spread = rows.select(*columns).repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
-    nodes = materialise(spread.mapInArrow(sweep, NODE), "nodes")
+    nodes = materialise(spread.mapInArrow(lambda batches: sweep(batches, segment), NODE), "nodes")
     owner = ["conv_id", "base", "top", "n_turns"]
     same = ["up_one", "up_two", "depth", "chars", "before"]
     sums = ["n_convs", "n_ends", "wholes", "owned", "leaves"]
@@ -292,20 +292,20 @@ def _ends(segs: DataFrame) -> DataFrame:
     return blocks.repartition(n, "one", "two").sortWithinPartitions("one", "two", "first").mapInArrow(hashed, "one long, two long, ends_sha256 string")
 
 
-def trie(rows: DataFrame) -> DataFrame:
+def trie(rows: DataFrame, segment: int = SEGMENT, run: int = RUN) -> DataFrame:
     """Nodes of the trie of conversations (conv_id, place, key, chars); a row of place 0 for each conversation.
 
     conv_id and depth name a node: its smallest member and the number of its turns.
     """
-    segs = materialise(segments(rows), "pieces")
+    segs = materialise(segments(rows, segment, run), "pieces")
     zero = F.lit(0).cast("long")
     turns = segs.groupBy("conv_id").agg(F.sum(F.size("chars")).cast("long").alias("n_turns"))
     bare = segs.select("*", *(zero.alias(c) for c in ("base", "top", "n_turns", "owned", "leaf")))
     leaf = F.when(F.col("n_ends") == F.col("n_convs"), 1).otherwise(0)
-    own = _swept(bare).groupBy("conv_id").agg(F.sum("chars").alias("owned"), F.min("depth").alias("top"), F.max(leaf).cast("long").alias("leaf"))
+    own = _swept(bare, segment).groupBy("conv_id").agg(F.sum("chars").alias("owned"), F.min("depth").alias("top"), F.max(leaf).cast("long").alias("leaf"))
     convs = turns.join(own, "conv_id", "left").select("conv_id", "n_turns", F.coalesce("owned", zero).alias("owned"), F.coalesce("top", F.col("n_turns") + 1).alias("top"), F.coalesce("leaf", zero).alias("leaf"))
     full = segs.join(convs, "conv_id").withColumn("base", F.col("whole") - F.col("owned"))
-    nodes = materialise(_swept(full), "summed")
+    nodes = materialise(_swept(full, segment), "summed")
     # Only the uppermost node of an owner has a parent of another owner.
     tops = nodes.where("depth = top AND depth > 0").select(F.col("up_one").alias("one"), F.col("up_two").alias("two"), "conv_id", "depth")
     forks = tops.groupBy("one", "two").agg(F.count(F.lit(1)).alias("forks"))
@@ -322,7 +322,7 @@ def trie(rows: DataFrame) -> DataFrame:
     return found.select("conv_id", "depth", parent.alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-def prefix_trie(turns: DataFrame, graft: bool = False) -> DataFrame:
+def prefix_trie(turns: DataFrame, graft: bool = False, segment: int = SEGMENT, run: int = RUN) -> DataFrame:
     """The prefix trie of conversations (conv_id, turn, role, text); graft: of the rebuilt ones (``grafted``).
 
     A node is a distinct sequence of first turns (role, text); the root has none.  Columns: conv_id (smallest
@@ -335,7 +335,7 @@ def prefix_trie(turns: DataFrame, graft: bool = False) -> DataFrame:
     * other columns are not read; an empty table has no nodes, not even a root.
     """
     rows = materialise(placed(turns), "placed")
-    return trie(grafted(rows) if graft else rows.union(starts(rows.select("conv_id").distinct())))
+    return trie(grafted(rows) if graft else rows.union(starts(rows.select("conv_id").distinct())), segment, run)
 
 
 def node_turns(nodes: DataFrame, turns: DataFrame) -> DataFrame:

@@ -82,11 +82,9 @@ def test_trie_equals_brute_force(spark, graft):
 
 
 @pytest.mark.parametrize("segment, run", [(1, 2), (3, 2), (4, 1024)])
-def test_short_segments_give_the_same_trie(spark, monkeypatch, segment, run):
-    monkeypatch.setattr(C, "SEGMENT", segment)
-    monkeypatch.setattr(C, "RUN", run)
+def test_short_segments_give_the_same_trie(spark, segment, run):
     rows = sample(segment)
-    assert found(C.prefix_trie(frame(spark, rows), True)) == brute(rows, True)
+    assert found(C.prefix_trie(frame(spark, rows), True, segment, run)) == brute(rows, True)
 
 
 def test_many_ranges_are_stitched(spark, monkeypatch):

@@ -6,6 +6,8 @@ compiled once in a task, and no pairs of values and rules are made but the hits.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,16 +18,59 @@ MAX_RULES = 1000
 STRENGTH = {"strong": 3, "medium": 2, "info": 1}
 
 
+_WORD = "[A-Za-z0-9_]"
+_BEFORE, _AFTER = f"(?<!{_WORD})", f"(?!{_WORD})"
+_EDGE = f"(?:{_BEFORE}(?={_WORD})|(?<={_WORD}){_AFTER})"
+
+
+def _alternatives(pattern: str, at: int, step: int) -> list[str] | None:
+    """The alternatives of the group that opens (step 1) or closes (step -1) at a place, if it holds no groups or classes."""
+    end = pattern.find(")", at) if step > 0 else at
+    start = at if step > 0 else pattern.rfind("(", 0, at)
+    inner = pattern[start + 1 : end].removeprefix("?:")
+    return None if min(start, end) < 0 or any(c in inner for c in "()[]\\?*") else inner.split("|")
+
+
+def _is_word(text: str) -> bool:
+    return bool(re.fullmatch(r"[A-Za-z0-9_]|\\[dw]", text))
+
+
+def _edge(pattern: str, at: int) -> str:
+    """What a word boundary at a place says: one look where the pattern's own edge is a word character, else both."""
+    rest, done = pattern[at + 2 :], pattern[:at]
+    starts = _alternatives(pattern, at + 2, 1) if rest.startswith("(?:") else None
+    optional = re.match(r"(?:\\.|.)[?*]|(?:\\.|.)\{0", rest)
+    if (_is_word(rest[:2] if rest[:1] == "\\" else rest[:1]) and not optional) or starts and all(_is_word(x[:1]) for x in starts):
+        return _BEFORE
+    ends = _alternatives(pattern, at - 1, -1) if done.endswith(")") else None
+    last = re.search(r"(\\.|.)(?:\{[1-9]\d*(?:,\d*)?\}|\+)?$", done)
+    if ends and all(_is_word(x[-1:]) for x in ends) or last and _is_word(last[1]) and not done.endswith(("?", "*")):
+        return _AFTER
+    return _EDGE
+
+
 def portable(pattern: str) -> str:
     """A pattern whose word boundaries are ASCII ones in Java's engine too."""
-    return "(?i)" + pattern.replace("\\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+    parts, at = [], 0
+    for m in re.finditer(r"\\\\|\\b", pattern):
+        if m[0] == "\\b":
+            parts += [pattern[at : m.start()], _edge(pattern, m.start())]
+            at = m.end()
+    return "(?i)" + "".join(parts) + pattern[at:]
+
+
+def _found(value: Column, pattern: str) -> Column:
+    """Whether a pattern is found; one that can't do without an at sign is tried only where there is one."""
+    plain = re.sub(r"\\.|\[[^\]]*\]", "", pattern)
+    hit = value.rlike(portable(pattern))
+    return value.contains("@") & hit if "@" in plain and not re.search(r"@[?*{]|[|()]", plain) else hit
 
 
 def match(values: DataFrame, value: str, rows: list[tuple[str, str]]) -> DataFrame:
     """Every pair of a value and a rule (name, pattern) that its pattern finds, with ordinal and rule."""
     if len(rows) > MAX_RULES:
         raise ValueError(f"{len(rows)} rules; at most {MAX_RULES} fit a plan")
-    found = [F.when(F.col(value).rlike(portable(p)), F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("rule"))) for i, (n, p) in enumerate(rows)]
+    found = [F.when(_found(F.col(value), p), F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("rule"))) for i, (n, p) in enumerate(rows)]
     return values.withColumn("__hit", F.explode(F.array_compact(F.array(*found)))).select(*values.columns, "__hit.ordinal", "__hit.rule")
 
 

@@ -9,7 +9,7 @@ import struct
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import ai_origin, media, provenance, signatures
+from ..operators import ai_origin, media, provenance, report, signatures
 from ..registry import query, table
 from ..sources.certificates import to_be_signed
 from ..sources.containers import boxes
@@ -371,3 +371,19 @@ def hidden_exif(spark, d):
 def scan_sizes(spark, d):
     b = boxes(files(spark, d, "tiff", scan))
     return media.tiff_pictures(b).join(media.exif_tags(b).where("key = 'Make'").select("path", F.col("value").alias("make")), "path")
+
+
+@query("""SELECT n_nationkey || '.jpeg' AS path, CAST(r.i AS INT) AS place, r.title, r.state, CASE r.i WHEN 0 THEN 'This is an image (' || (200 + n_nationkey) || ' × ' || (100 + n_nationkey) || ' pixels).' WHEN 1 THEN 'No AI labels were found, which proves nothing: they are often removed.'
+WHEN 2 THEN 'Made on ' || n_name || '.' ELSE 'No signs of editing were found.' END AS text FROM nation, (VALUES (0, 'What it is', 'info'), (1, 'Made by AI?', 'info'), (2, 'Where it came from', 'info'), (3, 'Has it been edited?', 'good')) AS r(i, title, state)""")
+def photo_report(spark, d):
+    """The composed report of photos; the size in bytes is left out of the first sentence."""
+    rows = report.pictures_report(files(spark, d, "jpeg", photo), anchors(spark), F.lit("2026-01-01T00:00:00Z"))
+    return rows.withColumn("text", F.regexp_replace("text", r" \([0-9.]+ K?B\)", ""))
+
+
+@query("""SELECT n_nationkey || '.png' AS path, r.title, CASE r.title WHEN 'Made by AI?' THEN CASE WHEN k < 5 THEN 'ai' ELSE 'info' END WHEN 'Has it been edited?' THEN CASE WHEN k < 5 THEN 'info' ELSE 'good' END
+ELSE CASE k WHEN 0 THEN 'good' WHEN 1 THEN 'bad' WHEN 3 THEN 'bad' ELSE 'warn' END END AS state FROM (SELECT *, n_nationkey % 6 AS k FROM nation) n, (VALUES ('Made by AI?'), ('Has it been edited?'), ('Content Credentials')) AS r(title) WHERE k < 5 OR r.title <> 'Content Credentials'""")
+def signed_report(spark, d):
+    """States of the report of signed pictures: credentials that hold, that failed, and none."""
+    rows = report.pictures_report(files(spark, d, "png", signed_picture), anchors(spark), F.lit("2026-01-01T00:00:00Z"))
+    return rows.where("title IN ('Made by AI?', 'Has it been edited?', 'Content Credentials')").select("path", "title", "state")

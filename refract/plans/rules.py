@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog
-from ..operators import ai_origin, classify, forensics, rules
+from ..operators import ai_origin, classify, forensics, report, rules
 from ..registry import dealt, dealt_sql, inline_sql, query, table
 
 TEXT_RULES = [("license", r"\blicen[sc]ed?\b"), ("email", r"[a-z0-9._-]+@[a-z0-9-]+\.[a-z]{2,}"), ("ip_address", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"), ("secret", r"\b(?:token|password|api_key)\b"), ("card", r"\b\d{16}\b")]
@@ -238,3 +238,20 @@ def audit_trail(spark, d):
     at = F.col("ts").cast("timestamp").cast("double")
     gap = at - F.lag(at).over(w)
     return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("step"), (gap > 60).alias("late"))
+
+
+_ENDINGS = ("png", "pdf", "mp3", "mp4", "bin", "m4a", "docx", "mov")
+_END = f"CASE doc_id % {len(_ENDINGS)} " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_ENDINGS)) + " END"
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_END} AS e, doc_id % 3 = 0 AS sound, doc_id % 5 < 2 AS film FROM documents),
+r AS (SELECT *, CASE WHEN sound THEN NULL WHEN e = 'png' THEN 'image' WHEN e IN ('pdf', 'docx') THEN 'document' WHEN film AND e IN ('mp3', 'm4a') THEN NULL WHEN film THEN 'silent' WHEN e IN ('mp3', 'm4a', 'mp4', 'mov') THEN NULL ELSE 'unknown' END AS reason FROM f)
+SELECT doc_id, reason IS NULL AS available, NOT sound AND reason IS NULL AS unsure, coalesce(reason = 'unknown', false) AS can_try, reason FROM r""")
+def cleaning_support(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.expr(_END).alias("e"), (F.col("doc_id") % 3 == 0).alias("sound"), (F.col("doc_id") % 5 < 2).alias("film"))
+    return t.select("doc_id", report.cleaning_support(F.col("sound"), F.col("film"), F.col("e"), F.lit(None).cast("string")).alias("s")).select("doc_id", "s.*")
+
+
+@query("""SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS sha256 FROM documents WHERE text IS NOT NULL""")
+def escaped_texts(spark, d):
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(report.escaped(F.col("text")), 256).alias("sha256"))

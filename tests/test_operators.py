@@ -164,3 +164,39 @@ def test_verified_credentials_are_weighed(spark):
     assert got["edited"].label == "AI-assisted / AI-edited" and (got["valid"].tool, got["valid"].vendor) == ("Painter", "Org")
     assert got["far"].prompt is None and got["near"].prompt == "a fox in snow --v 6"
     assert [e.source for e in got["both"].evidence] == ["IPTC / XMP label", "Content Credentials"]
+
+
+def test_word_edges_say_what_both_looks_say():
+    """The one-sided form of a boundary finds what the form with both sides finds, in every pattern of the catalogs."""
+    import random
+    import re
+
+    from refract.functions import catalog
+    from refract.operators.rules import _EDGE, portable
+    from refract.plans.rules import TEXT_RULES
+
+    known = [x for row in catalog.PRODUCTS for x in row[3:] if x] + catalog.MODEL_PATTERNS + [p for p, _ in catalog.SCRIPT_GENERATORS] + [p for _, p in TEXT_RULES]
+    r = random.Random(1)
+    words = re.findall(r"[A-Za-z0-9@.]+", " ".join(known)) + ["é", "_", "-", " ", ".", "x", "1", "@", "token", "licensed", "a@b.co", "10.0.0.1", "1234567890123456", "\\"]
+    for p in [*known, r"\bx*\b", r"\b[a.]\b", r"a\\\b", r"\b(?:a|-b)\b", r"\bé\b", r"\bx?-\b", r"\b\d{0,2}x\b"]:
+        both, one = re.compile("(?i)" + re.sub(r"(?<!\\)((?:\\\\)*)\\b", lambda m: m[1] + _EDGE, p)), re.compile(portable(p))
+        for _ in range(400):
+            t = "".join(r.choice(words) + r.choice(["", " ", "_", "é"]) for _ in range(r.randint(0, 6)))
+            assert bool(both.search(t)) == bool(one.search(t)), (p, t)
+    assert sum(_EDGE in portable(p) for p in known) < 20
+
+
+def test_report_of_what_isnt_known(spark):
+    from refract.operators import report
+
+    kinds = "path string, kind string, width int, height int, seconds double, has_sound boolean, size bigint, ai struct<is_ai:boolean,confidence:string,tool:string,model:string>, status string, headline string, created string, device string, tampering string"
+    rows = [
+        ("a", "video", None, None, 125.4, True, 3 << 20, (True, "likely", None, None), None, None, None, None, "TAMPERED"),
+        ("b", "audio", None, None, 7.0, True, 10, (True, "confirmed", "Suno", "v3"), "invalid", "FAILED", "2024", None, "RE_ENCODED"), ("c", None, None, None, None, None, 0, (False, "none", None, None), None, None, None, None, None),
+    ]
+    got = {(r.path, r.title): (r.state, r.text) for r in report.summary(spark.createDataFrame(rows, kinds)).collect()}
+    assert got["a", "What it is"] == ("info", "This is a 2 min 5 sec video with sound (3.00 MB).") and got["b", "What it is"][1] == "This is a 7 second audio recording (10 B)." and got["c", "What it is"][1] == "This is a file (0 B)."
+    assert got["a", "Made by AI?"] == ("ai", "Probably. The file carries AI marks.") and got["b", "Made by AI?"][1] == 'Yes. It was made with Suno, using the model "v3".'
+    assert got["b", "Content Credentials"] == ("bad", "FAILED") and ("a", "Content Credentials") not in got
+    assert got["b", "Where it came from"] == ("info", "Made on an unknown device, 2024.") and got["c", "Where it came from"][0] == "warn"
+    assert [got[p, "Has it been edited?"][0] for p in "abc"] == ["bad", "warn", "good"]

@@ -25,7 +25,7 @@ def test_whole_payloads_and_heads(spark):
     assert len(tags["a", "long"]) == len(tags["a", "packed"]) == len(LONG) and ("a", "bad") not in tags
     assert b.where("path = 'b' AND box LIKE 'exif.%'").count() == 700
     parts = {(r.path, r.box): (r.size, len(r.payload), r.whole) for r in b.where("NOT whole").collect()}
-    assert parts == {("a", "IDAT"): (len(LONG) + 12, HEAD_BYTES, False), ("d", "mdat"): (len(LONG) + 8, HEAD_BYTES, False)}
+    assert parts == {("a", "IDAT"): (len(LONG) + 12, HEAD_BYTES, False), ("a", "iTXt"): (27, 4, False), ("d", "mdat"): (len(LONG) + 8, HEAD_BYTES, False)}
     assert b.where("path IN ('e', 'f')").count() == 0
 
 

@@ -17,8 +17,7 @@ def _samples(spark, d):
 @query("""SELECT user_id, s[CAST(least(n - 1, floor(0.1 * n)) AS BIGINT) + 1] AS p10, s[CAST(least(n - 1, floor(0.7 * n)) AS BIGINT) + 1] AS p70, s[CAST(least(n - 1, floor(0.9 * n)) AS BIGINT) + 1] AS p90
 FROM (SELECT user_id, list(value ORDER BY value) AS s, count(*) AS n FROM events GROUP BY user_id) x""")
 def percentile_index(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return e.select("user_id", *(G.percentile_at(F.col("v"), p).alias(f"p{round(p * 100)}") for p in (0.1, 0.7, 0.9)))
+    return G.percentiles(table(spark, d, "events"), "user_id", "value", {"p10": 0.1, "p70": 0.7, "p90": 0.9})
 
 
 @query(f"""SELECT vec_id, CAST("window" AS BIGINT) AS "window", round(energy, 6) AS energy, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY energy, "window") AS rank FROM (

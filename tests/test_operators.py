@@ -59,6 +59,18 @@ def test_percentile_is_by_index(spark):
     assert df.select(signal.percentile_at(F.col("v"), 0.1).alias("p")).first().p == 1.0
 
 
+def test_percentile_places_are_exact(spark):
+    """0.7 of 90 values is place 63; nulls count and come last, a key's NaN just before them; keys may be null."""
+    rows = [("a", float(i)) for i in range(90)] + [("b", 1.0), ("b", None), ("b", 2.0), ("b", float("nan")), (None, None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.low, r.p, r.top) for r in signal.percentiles(df, "k", "v", {"low": 0.1, "p": 0.7, "top": 0.9}).collect()}
+    assert got["a"] == (9.0, 63.0, 81.0) and got[None] == (None, None, None)
+    assert got["b"][0] == 1.0 and math.isnan(got["b"][1]) and got["b"][2] is None
+    of = spark.createDataFrame([([float(i) for i in range(90)],), ([2.0, None, 1.0],)], "v array<double>").select(signal.percentile_at(F.col("v"), 0.7).alias("p"))
+    assert [r.p for r in of.collect()] == [63.0, None]
+
+
+
 def test_overlap_add_returns_the_input(spark):
     x = [math.sin(i / 3) for i in range(64)]
     df = spark.createDataFrame([(1, x)], "id int, x array<double>").select("id", F.posexplode(signal.frames(F.col("x"), 16, 4)).alias("f", "v"))

@@ -48,7 +48,7 @@ def range_cover(spark, d):
     p = e.crossJoin(F.broadcast(start)).select("event_id", F.floor(F.col("ts").cast("timestamp").cast("double") - F.col("t0")).cast("bigint").alias("at"))
     lo = (F.col("o_orderkey") * 7919) % 600000
     s = table(spark, d, "orders").select("o_orderkey", lo.alias("lo"), (lo + 100).alias("hi"))
-    return R.cover(p, "at", s, "lo", "hi", 1000).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return R.cover_counts(p, "at", s, "o_orderkey", "lo", "hi", 1000)
 
 
 _ANCHORS = ["(1, 'root a', 'a')", "(2, 'root b', 'b')", "(3, 'root a again', 'a')"]

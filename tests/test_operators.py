@@ -104,6 +104,36 @@ def test_gaps_of_nested_spans(spark):
     assert [tuple(r) for r in relational.gaps(s, "k", "lo", "hi").collect()] == [("a", 10, 15)]
 
 
+def test_cover_counts_equal_pairs(spark):
+    """Spans over many buckets, at their borders, turned round, repeated, of no length or of nulls; real numbers below 0."""
+    import random
+
+    r = random.Random(3)
+    at = [float(r.randint(-60, 60)) / 2 for _ in range(200)] + [None, 10.0, 10.0, -10.0]
+    spans = [(i % 90, float(x), x + r.choice([-1, 0, 0.5, 3, 10, 35])) for i, x in enumerate(r.randint(-70, 70) / 2 for _ in range(150))] + [(1, None, 2.0), (2, 1.0, None), (None, 0.0, 10.0), (95, 10.0, 10.0), (96, 500.0, 501.0)]
+    points, s = spark.createDataFrame([(x,) for x in at], "at double"), spark.createDataFrame(spans, "k int, lo double, hi double")
+    want = {}
+    for k, lo, hi in spans:
+        n = sum(x is not None and lo is not None and hi is not None and lo <= x <= hi for x in at)
+        want |= {k: want.get(k, 0) + n} if n else {}
+    counts = relational.cover_counts(points, "at", s, "k", "lo", "hi", 10)
+    assert {r.k: r.n for r in counts.collect()} == want
+    assert {r.k: r["count"] for r in relational.cover(points, "at", s, "lo", "hi", 10).groupBy("k").count().collect()} == want
+
+
+def test_cover_makes_no_pairs(spark, tmp_path):
+    """30,000 equal events within 3,000 spans would be 90 million pairs: no step of the query has more rows than both tables."""
+    from refract.plans.relational import range_cover
+
+    spark.range(30_000).selectExpr("id AS event_id", "timestamp'2024-01-01 00:00:00' AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(3000).selectExpr("id * 600000 AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    df = range_cover(spark, str(tmp_path))
+    assert df.selectExpr("min(n)", "max(n)", "count(*)").first() == (30_000, 30_000, 3000)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    joins = [x for x in plan.toString().splitlines() if " Join " in x or x.startswith("Join ")]
+    assert len(joins) == 2 and all("__b" not in x for x in joins)  # the least time, and the counts of spans
+
+
 def test_empty_inputs(spark):
     assert relational.gaps(spark.createDataFrame([], "k string, lo int, hi int"), "k", "lo", "hi").count() == 0
     assert rules.product_hits(spark.createDataFrame([], "path string, ordinal int, key string, value string")).count() == 0

@@ -1,15 +1,16 @@
 """Byte ranges of files as a data source: for files that a row of Spark's binary reader can't hold, and for parts of any.
 
 ``spark.read.format("byte_ranges").load(path)`` gives a row for each piece of each file under a path.  Files are listed
-with their lengths on the driver, as Spark's own readers do, and cut into partitions; filters on path, length,
-extension and start are pushed down, so that files and pieces that they exclude are never opened.
+with their lengths on the driver, as Spark's own readers do, and cut into pieces, of which a task reads as many as fit
+its share, so that there are no more tasks than bytes need; filters on path, length, extension and start are pushed down,
+so that files and pieces that they exclude are never opened.
 """
 
 from __future__ import annotations
 
 import fnmatch
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import numpy as np
@@ -24,6 +25,8 @@ from .audio import HOP, SEGMENT_FRAMES, SEGMENTS, WARM_UP, WINDOW, pcm_layout, u
 SCHEMA = "path string, length bigint, extension string, start bigint, stop bigint, content binary"
 #: Bytes of a piece, unless the option ``bytes`` says otherwise.
 PIECE = 8 << 20
+#: Bytes that a task reads, if pieces are smaller: a share of all, so that few bytes still go to as many tasks, and at most SHARE.
+SHARE, TASKS = 32 << 20, 64
 #: Pushing filters into Python sources must be switched on.
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
@@ -58,10 +61,31 @@ def extension(path: str) -> str:
 
 @dataclass
 class Piece(InputPartition):
+    """A piece of a file, or a run of pieces that follow each other, and the runs that the same task reads after it."""
+
     path: str
     length: int
     start: int
     stop: int
+    rest: list[Piece] = field(default_factory=list)
+
+
+def shares(pieces: list[Piece]) -> list[Piece]:
+    """Pieces in order of file and start, dealt to tasks; those that follow each other in a task are one run."""
+    most = min(SHARE, sum(p.stop - p.start for p in pieces) // TASKS)
+    out, held = [], 0
+    for p in pieces:
+        held += p.stop - p.start
+        if not out or held > most:
+            out.append(p)
+            held = p.stop - p.start
+            continue
+        run = out[-1].rest[-1] if out[-1].rest else out[-1]
+        if run.path == p.path and run.stop == p.start:
+            run.stop = p.stop
+        else:
+            out[-1].rest.append(p)
+    return out
 
 
 def _holds(f: Filter, value) -> bool:
@@ -101,13 +125,15 @@ class RangeReader(DataSourceReader):
                 end = min(length, self.last + 1)
                 out += [Piece(path, length, at, min(at + self.bytes, end)) for at in range(self.first, end, self.bytes) if fits("start", at)]
         # A source without partitions would be given one that means nothing.
-        return out or [Piece("", 0, 0, 0)]
+        return shares(out) or [Piece("", 0, 0, 0)]
 
     def read(self, piece: Piece) -> Iterator[tuple]:
-        if piece.path:
-            system, inner = _opened(piece.path)
+        for run in (piece, *piece.rest) if piece.path else ():
+            system, inner = _opened(run.path)
             with system.open_input_file(inner) as file:
-                yield piece.path, piece.length, extension(piece.path), piece.start, piece.stop, file.read_at(piece.stop - piece.start, piece.start)
+                for at in range(run.start, run.stop, self.bytes):
+                    stop = min(at + self.bytes, run.stop)
+                    yield run.path, run.length, extension(run.path), at, stop, file.read_at(stop - at, at)
 
 
 class ByteRanges(DataSource):

@@ -51,6 +51,24 @@ def test_filters_prune_pieces(spark, folder, monkeypatch):
     assert len(left) == 2 and [(p.length, p.start) for p in reader.partitions()] == [(1000, 0), (1000, 300), (2500, 0), (2500, 300)]
 
 
+def test_tasks_grow_with_bytes_not_with_pieces(spark, tmp_path, monkeypatch):
+    """Many small pieces, and many small files, share tasks; each piece comes once, also where a filter leaves gaps."""
+    data = bytes(i * 7 % 251 for i in range(100_003))
+    (tmp_path / "a.bin").write_bytes(data)
+    for i in range(300):
+        (tmp_path / f"b{i}.bin").write_bytes(data[: i + 1])
+    df = byte_ranges(spark, str(tmp_path), 64)
+    assert df.rdd.getNumPartitions() <= 2 * ranges.TASKS
+    rows = sorted(df.collect(), key=lambda r: (r.path, r.start))
+    assert all(r.stop - r.start == len(r.content) <= 64 and r.start % 64 == 0 and r.length == os.path.getsize(r.path) for r in rows)
+    assert b"".join(bytes(r.content) for r in rows if r.path.endswith("/a.bin")) == data and len(rows) == 1563 + sum(-(-(i + 1) // 64) for i in range(300))
+    few = df.where(F.col("start").isin(0, 64, 192, 99_968)).select("path", "start", F.octet_length("content").alias("n")).collect()
+    assert sorted((r.start, r.n) for r in few if r.path.endswith("/a.bin")) == [(0, 64), (64, 64), (192, 64), (99_968, 35)]
+    assert len(few) == 4 + 300 + 236 + 108
+    monkeypatch.setattr(ranges, "SHARE", 1000)
+    assert all(p.stop - p.start + sum(x.stop - x.start for x in p.rest) <= 1000 for p in ranges.RangeReader({"path": str(tmp_path), "bytes": "64"}).partitions())
+
+
 def test_missing_paths(folder):
     with pytest.raises(FileNotFoundError):
         listed(str(folder / "nothing"))

@@ -18,6 +18,8 @@ HEAD_BYTES, TAIL_BYTES = 4 << 20, 1 << 20
 
 # Markers of AI origin in raw text, and the names of generators near credentials.
 SOURCE_TYPES = r"\b(compositeWithTrainedAlgorithmicMedia|trainedAlgorithmicMedia|compositeSynthetic)\b"
+BY_SOFTWARE = r"\balgorithmicMedia\b"
+GOOGLE, META = "Made with Google AI|SynthID", "Imagined with AI"
 CREDENTIALS = r"c2pa\.(?:actions|hash|claim|assertions|created|opened|signature)|urn:c2pa|contentauth"
 GENERATORS = (
     r"(OpenAI|ChatGPT|DALL[-·. ]?E[ -]?\d?|GPT-?4o|GPT[- ]?Image|Sora|Adobe[ _]?Firefly|Firefly|Google[ _]?(?:AI|Imagen|Gemini)|Gemini|Imagen[ -]?\d?|Veo[ -]?\d?"
@@ -50,16 +52,21 @@ def _pick(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def settings(text: Column) -> Column:
-    """Generation settings after the first ``Steps: n, Sampler:`` of a text, with the prompts before it; null without one."""
-    at = F.regexp_instr(text, F.lit(SETTINGS))
-    before = F.substring(text, F.greatest(F.lit(1), at - 4000), F.least(at - 1, F.lit(4000)))
-    before = F.regexp_replace(before, r"(?s)^.*?(?:UNICODE|ASCII|JIS)", "")
-    line = F.regexp_extract(F.substring(text, at, F.lit(1200)), r"^[^\n]*", 0)
-    value = lambda k: _pick(line, f"(?:^|, ){k}:\\s*([^,]+)")
+    """Generation settings after the first ``Steps: n, Sampler:`` of a text, with the prompts before it; null without one.
+
+    The place and the two parts around it are elements of arrays, so that the text is searched once for all fields."""
+    at = F.filter(F.array(F.regexp_instr(text, F.lit(SETTINGS))), lambda a: a > 0)
+    before = lambda a: F.substring(text, F.greatest(F.lit(1), a - 4000), F.least(a - 1, F.lit(4000)))
+    line = lambda a: F.regexp_extract(F.substring(text, a, F.lit(1200)), r"^[^\n]*", 0)
+    parts = F.transform(at, lambda a: F.struct(F.regexp_replace(before(a), r"(?s)^.*?(?:UNICODE|ASCII|JIS)", "").alias("before"), line(a).alias("line")))
     fields = [("steps", "Steps"), ("sampler", "Sampler"), ("cfg", "CFG scale"), ("seed", "Seed"), ("size", "Size"), ("model_hash", "Model hash"), ("version", "Version"), ("model", "Model")]
-    prompt = _strip(F.regexp_replace(before, r"(?s)Negative prompt:.*$", ""))
-    negative = _pick(before, r"(?s)Negative prompt:\s*(.*)$")
-    return F.when(at > 0, F.struct(prompt.alias("prompt"), negative.alias("negative"), *(value(k).alias(n) for n, k in fields)))
+
+    def read(p: Column) -> Column:
+        prompt = _strip(F.regexp_replace(p["before"], r"(?s)Negative prompt:.*$", ""))
+        negative = _pick(p["before"], r"(?s)Negative prompt:\s*(.*)$")
+        return F.struct(prompt.alias("prompt"), negative.alias("negative"), *(_pick(p["line"], f"(?:^|, ){k}:\\s*([^,]+)").alias(n) for n, k in fields))
+
+    return F.get(F.transform(parts, read), 0)
 
 
 def graph(text: Column) -> Column:
@@ -100,50 +107,55 @@ def _facts(files: DataFrame) -> DataFrame:
     """One row a file: what its raw text and its single tags say."""
     empty = F.array().cast("array<struct<ordinal:int,key:string,value:string>>")
     f = files.withColumn("sorted", F.array_sort(F.filter(F.coalesce("tags", empty), lambda t: t["key"].isNotNull()))).withColumn("tags", _first_of_key(F.col("sorted")))
-    raw, tag = F.col("raw"), lambda k: F.try_element_at("tags", F.lit(k))
-    at = F.regexp_instr(raw, F.lit("(?i)" + CREDENTIALS))
-    region = F.when(at > 0, F.substring(raw, F.greatest(F.lit(1), at - REGION[0]), F.least(at - 1, F.lit(REGION[0])) + REGION[1]))
+    raw, low, tag = F.col("raw"), F.col("low"), lambda k: F.try_element_at("tags", F.lit(k))
+    there = lambda pattern, x: F.when(rules.may_hold(low, pattern), x)
+    f = f.withColumn("low", F.lower("raw")).withColumn("at", there(CREDENTIALS, F.regexp_instr(raw, F.lit("(?i)" + CREDENTIALS))))
+    at, region = F.col("at"), F.col("region")
+    f = f.withColumn("region", F.when(at > 0, F.substring(raw, F.greatest(F.lit(1), at - REGION[0]), F.least(at - 1, F.lit(REGION[0])) + REGION[1])))
     shapes = F.filter(F.array(*(tag(k) for k in ("prompt", "workflow", "ai_prompt", "invokeai_metadata", "Comment", "comment"))), lambda x: x.rlike(r"^\s*\{"))
     js = lambda x, p: F.get_json_object(x, p)
     invoke = lambda x: F.coalesce(js(x, "$.model.model_name"), js(x, "$.model.name")).isNotNull() & F.coalesce(js(x, "$.positive_prompt"), js(x, "$.generation_mode")).isNotNull()
     novel = lambda x: js(x, "$.prompt").isNotNull() & F.coalesce(*(js(x, f"$.{k}") for k in ("steps", "seed", "sampler", "uc"))).isNotNull()
     f = f.withColumns(
         {
-            "source_type": F.nullif(F.regexp_extract(raw, SOURCE_TYPES, 1), F.lit("")),
-            "by_software": raw.rlike(r"\balgorithmicMedia\b"),
-            "google": raw.rlike("(?i)Made with Google AI|SynthID"),
-            "meta": raw.rlike("(?i)Imagined with AI"),
+            "source_type": there(SOURCE_TYPES, F.nullif(F.regexp_extract(raw, SOURCE_TYPES, 1), F.lit(""))),
+            "by_software": there(BY_SOFTWARE, raw.rlike(BY_SOFTWARE)),
+            "google": there(GOOGLE, raw.rlike("(?i)" + GOOGLE)),
+            "meta": there(META, raw.rlike("(?i)" + META)),
             "told": region.isNotNull(),
             "generator": F.replace(F.nullif(F.regexp_extract(region, "(?i)" + GENERATORS, 1), F.lit("")), F.lit("_"), F.lit(" ")),
             "signed_at": F.nullif(F.regexp_extract(region, r"\b(20\d{2}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?)", 1), F.lit("")),
             "marked": F.coalesce(region.rlike(SOURCE_TYPES.replace("\\b", "")), F.lit(False)),
-            "job": F.nullif(F.regexp_extract(raw, "(?i)" + JOB, 1), F.lit("")),
-            "sd": F.coalesce(*(settings(x) for x in (tag("ai_prompt"), tag("parameters"), tag("UserComment"), raw))),
+            "job": there(JOB, F.nullif(F.regexp_extract(raw, "(?i)" + JOB, 1), F.lit(""))),
+            "sd": F.coalesce(*(settings(x) for x in (tag("ai_prompt"), tag("parameters"), tag("UserComment"))), there(SETTINGS, settings(raw))),
             "comfy": F.get(F.array_compact(F.transform(shapes, graph)), 0),
             "invoke": F.get(F.filter(shapes, invoke), 0),
             "novel": F.get(F.filter(shapes, novel), 0),
         }
     )
-    near = F.regexp_instr(raw, F.lit("(?i)" + JOB))
+    f = f.withColumn("near", F.when(F.col("job").isNotNull(), F.regexp_instr(raw, F.lit("(?i)" + JOB))))
+    near = F.col("near")
     around = F.substring(raw, F.greatest(F.lit(1), near - JOB_REGION), F.least(near - 1, F.lit(JOB_REGION)) + JOB_REGION)
-    return f.withColumn("mj_prompt", F.when(F.col("job").isNotNull(), _pick(around, PROMPT)))
+    return f.withColumn("mj_prompt", F.when(F.col("job").isNotNull() & around.contains("--"), _pick(around, PROMPT)))
 
 
 def _with_products(files: DataFrame) -> DataFrame:
     """Files with ``hits`` of catalog products: (rank, product, vendor, strength, source), by the first tag that names each,
     and those that only its bytes name.  Each step is a column of its own, so that none is computed more than once."""
     usable = F.filter("sorted", lambda t: ~t["key"].isin("xmp_history", "ai_parameters"))
+    usable = F.transform(usable, lambda t: F.struct(t["ordinal"].alias("ordinal"), t["key"].alias("key"), t["value"].alias("value"), F.lower(t["value"]).alias("low")))
 
     def of_tag(t: Column) -> Column:
         program = t["key"].rlike(f"(?i)^(?:{catalog.PROGRAM_KEYS})$")
         strength = F.when(t["key"].rlike(f"(?i)^(?:{catalog.TOOL_KEYS})$"), "strong").otherwise("medium")
         source = F.concat(F.lit('tag "'), t["key"], F.lit('"'))
-        named = [t["value"].rlike(rules.portable(r)) | (program & t["value"].rlike(rules.portable(p)) if p else F.lit(False)) for _, _, _, p, r, _ in catalog.PRODUCTS]
+        found = lambda x: rules.found_in(t["value"], t["low"], x)
+        named = [found(r) | (found(p) & program if p else F.lit(False)) for _, _, _, p, r, _ in catalog.PRODUCTS]
         return F.array_compact(F.array(*(F.when(n, _hit(i, t["ordinal"], strength, source)) for i, n in enumerate(named))))
 
     f = files.withColumn("every", F.array_sort(F.flatten(F.transform(usable, of_tag))))
     f = f.withColumn("tagged", F.filter("every", lambda h, i: (i == 0) | (F.get("every", i - 1)["rank"] != h["rank"])))
-    raw = [F.when(F.col("raw").rlike(rules.portable(w)), _hit(i, F.lit(0), F.lit("medium"), F.lit("file data"))) for i, (*_, w) in enumerate(catalog.PRODUCTS) if w]
+    raw = [F.when(rules.found_in(F.col("raw"), F.col("low"), w), _hit(i, F.lit(0), F.lit("medium"), F.lit("file data"))) for i, (*_, w) in enumerate(catalog.PRODUCTS) if w]
     alone = F.filter(F.array_compact(F.array(*raw)), lambda h: ~F.exists("tagged", lambda t: t["product"] == h["product"]))
     return f.withColumn("hits", F.concat("tagged", alone))
 

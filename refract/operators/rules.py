@@ -59,6 +59,65 @@ def portable(pattern: str) -> str:
     return "(?i)" + "".join(parts) + pattern[at:]
 
 
+#: Shorter literals than this are found too often to spare a search.
+LEAST_NEEDLE = 4
+_TOKEN = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", re.S)
+_QUANTIFIER = re.compile(r"(?:[?*+]|\{\d+(?:,\d*)?\})[?+]?")
+
+
+def _closed(pattern: str, at: int) -> int:
+    """Where the group that opens at a place is closed."""
+    depth = 0
+    for m in _TOKEN.finditer(pattern, at):
+        depth += (m[0] == "(") - (m[0] == ")")
+        if depth == 0:
+            return m.start()
+    raise ValueError(pattern)
+
+
+def needles(pattern: str) -> list[str]:
+    """Lower-case ASCII literals, one for each alternative, of which the lower-cased text of every match has one.
+
+    Empty where an alternative has none of LEAST_NEEDLE characters: such a pattern must be tried everywhere.
+    """
+    pattern = re.sub(r"^\(\?[a-z]+\)", "", pattern)
+    out, at, runs, groups = [], 0, [""], []
+    while at <= len(pattern):
+        if at == len(pattern) or pattern[at] == "|":
+            best = max(runs, key=len).lower()
+            inner = [[best]] if len(best) >= LEAST_NEEDLE else [n for n in map(needles, groups) if n]
+            if not inner:
+                return []
+            out, runs, groups, at = out + inner[0], [""], [], at + 1
+            continue
+        token = pattern[at:_closed(pattern, at) + 1] if pattern[at] == "(" else _TOKEN.match(pattern, at)[0]
+        at += len(token)
+        times = _QUANTIFIER.match(pattern, at)
+        at = times.end() if times else at
+        char = token[1:] if re.fullmatch(r"\\[^A-Za-z0-9]", token) else token
+        if token.startswith("(") and not times and not re.match(r"\(\?[^:]", token):
+            groups.append(token[1:-1].removeprefix("?:"))
+        if len(char) > 1 or not char.isascii() or token in (".", "^", "$") or times and times[0][0] in "?*{":
+            runs.append("")
+        else:
+            runs[-1] += char
+            runs += [""] if times else []
+    return list(dict.fromkeys(out))
+
+
+def may_hold(low: Column, pattern: str) -> Column:
+    """Whether a lower-cased text has a literal that every match of a pattern has: much cheaper than the search itself."""
+    any_of = F.lit(False)
+    for x in needles(pattern):
+        any_of = any_of | low.contains(x)
+    return any_of if needles(pattern) else F.lit(True)
+
+
+def found_in(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a pattern is found in a text, given its lower-cased form too; the search runs only where it may succeed."""
+    return may_hold(low, pattern) & text.rlike(portable(pattern))
+
+
 def _found(value: Column, pattern: str) -> Column:
     """Whether a pattern is found; one that can't do without an at sign is tried only where there is one."""
     plain = re.sub(r"\\.|\[[^\]]*\]", "", pattern)
@@ -81,8 +140,8 @@ def _product(i: int) -> Column:
 
 def raw_products(files: DataFrame, raw: str = "raw", file: str = "path") -> DataFrame:
     """Products that the text of a file's bytes names, as medium evidence: file, rank, product, vendor, kind."""
-    found = [F.when(F.col(raw).rlike(portable(w)), _product(i)) for i, (*_, w) in enumerate(catalog.PRODUCTS) if w]
-    return files.select(file, F.explode(F.array_compact(F.array(*found))).alias("p")).select(file, "p.*", F.lit("medium").alias("strength"))
+    found = [F.when(found_in(F.col(raw), F.col("__low"), w), _product(i)) for i, (*_, w) in enumerate(catalog.PRODUCTS) if w]
+    return files.withColumn("__low", F.lower(raw)).select(file, F.explode(F.array_compact(F.array(*found))).alias("p")).select(file, "p.*", F.lit("medium").alias("strength"))
 
 
 def first_hits(hits: DataFrame, per: list[str], order: list[Column]) -> DataFrame:

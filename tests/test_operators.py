@@ -228,6 +228,43 @@ def test_word_edges_say_what_both_looks_say():
     assert sum(_EDGE in portable(p) for p in known) < 20
 
 
+def test_matches_have_a_needle():
+    """What a pattern finds has one of its needles, lower-cased: else a search would be left out wrongly."""
+    import random
+    import re
+
+    from refract.functions import catalog
+    from refract.operators import ai_origin as A
+
+    assert rules.needles(r"(?i)\bab[.c]defg\.h|x(?:one|two)+longer?|(?:left|right)z") == ["defg.h", "longe", "left", "right"]
+    assert rules.needles(r"abcd\.|a{3}efghij{2}k|(?:pqrs)?tuvw*xyz0+1|[a|b)]mn\|op") == ["abcd.", "efghi", "xyz0", "mn|op"]
+    assert rules.needles(r"abcdef|xy") == rules.needles(r"(?:abcd)?") == rules.needles(r"(?=abcd)\w+") == rules.needles("d·é") == []
+    known = [x for row in catalog.PRODUCTS for x in row[3:] if x] + [A.SOURCE_TYPES, A.BY_SOFTWARE, A.GOOGLE, A.META, A.CREDENTIALS, A.JOB, A.SETTINGS]
+    r, n = random.Random(2), 0
+    words = sorted({*re.findall(r"[A-Za-z0-9.:]+", " ".join(known)), "0f8fad5b-d9cb-469f-a165-70867728950e", "28,", "·", "İ", "K", "4", "3.5", "-", "_", "e", "ai", "image"})
+    for p in known:
+        own = [w for w in re.findall(r"[A-Za-z0-9.:]+", p.replace("\\b", " ").replace("\\", ""))] + [w for w in words if len(w) < 3 or w[0] in "·0İK"]
+        for _ in range(400):
+            t = "".join(r.choice(own if r.random() < 0.8 else words) + r.choice(["", " ", "-", "_", "."]) for _ in range(r.randint(1, 5)))
+            t = r.choice([t, t.upper(), t.title()])
+            if re.search("(?ai)" + p, t):
+                n += 1
+                assert not (x := rules.needles(p)) or any(w in t.lower() for w in x), (p, t)
+    assert n > 1000
+
+
+def test_ai_verdict_searches_long_texts_where_it_may_succeed(spark):
+    """Every search of the raw text in the query's plan stands behind literals, and settings are looked for once a text."""
+    import re
+
+    from refract.plans.rules import ai_verdict
+
+    plan = ai_verdict(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_instr(") < 10
+    searches = re.findall(r"(.{9})RLIKE\(raw#\d+, ", plan)
+    assert len(searches) > 15 and all(before.endswith((") AND ", " THEN ")) for before in searches), searches
+
+
 def test_report_of_what_isnt_known(spark):
     from refract.operators import report
 

@@ -98,6 +98,15 @@ def discard(*tables: DataFrame) -> None:
         delete(t.sparkSession, t.scratch_path)
 
 
+def unsent(table: DataFrame) -> DataFrame:
+    """table for a join that may not broadcast either side: both are shuffled and merged.
+
+    Spark sizes a table too low after an explode, which it counts as no growth, and by the compressed bytes of its
+    files; what it then takes for small is gathered by the driver and held by every executor.
+    """
+    return table.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

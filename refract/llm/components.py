@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unsent
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -20,11 +20,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # Large star: neighbours greater than a node go to the smallest of the node and its neighbours.
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
-        large = both.join(low, "x").where("y > x AND y <> m").select(F.col("y").alias("u"), F.col("m").alias("v"))
+        large = both.join(unsent(low), "x").where("y > x AND y <> m").select(F.col("y").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         # Small star: a node's smaller neighbours, and itself, go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = large.join(unsent(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = materialise(small.where("u <> v").distinct(), "edges")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:

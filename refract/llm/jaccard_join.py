@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import materialise, partitions, sorted_groups, squeezed, unsqueeze
+from .common import materialise, partitions, sorted_groups, squeezed, unsent, unsqueeze
 from .components import components
 
 SHINGLE, THRESHOLD = 5, (4, 5)
@@ -185,7 +185,7 @@ def _cells(firsts: DataFrame) -> DataFrame:
     # Map-side sums: full keys first, then the nodes above them.
     leaves = rows.groupBy("node", "key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("least"))
     nodes = leaves.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", F.struct("least"))).alias("most")).where("n > 1").select("node", F.col("most.col2.least").alias("hub"))
-    return joined(rows.join(nodes, "node").where("class <> hub").select("node", "key", "class", "hub"), firsts)
+    return joined(rows.join(unsent(nodes), "node").where("class <> hub").select("node", "key", "class", "hub"), firsts)
 
 
 def joined(met: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def joined(met: DataFrame, firsts: DataFrame) -> DataFrame:
     """
     n = partitions(firsts.sparkSession)
     met = materialise(met, "matches")
-    sigs = firsts.select(F.col("class").alias("of"), "sig")
+    sigs = unsent(firsts.select(F.col("class").alias("of"), "sig"))
     pairs = met.select("class", "hub").distinct()
     pairs = pairs.join(sigs.withColumnRenamed("sig", "a"), F.col("class") == F.col("of")).drop("of").join(sigs.withColumnRenamed("sig", "b"), F.col("hub") == F.col("of")).drop("of")
 
@@ -206,10 +206,10 @@ def joined(met: DataFrame, firsts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("hub"), pa.array(like)], ["class", "hub", "likeness"])
 
     known = materialise(pairs.mapInArrow(compare, "class long, hub long, likeness double"), "hubs")
-    far = met.join(known.where(f"likeness < {CLOSE}").select("class", "hub"), ["class", "hub"])
+    far = met.join(unsent(known.where(f"likeness < {CLOSE}").select("class", "hub")), ["class", "hub"])
     # A node with one class left has no other pair.
     more = far.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    far = far.join(more, "node").select("node", "key", "class").join(sigs, F.col("class") == F.col("of")).drop("of")
+    far = far.join(unsent(more), "node").select("node", "key", "class").join(sigs, F.col("class") == F.col("of")).drop("of")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, ["node"]):
@@ -268,13 +268,13 @@ def near_duplicates(
     sets = sets.drop("sig")
 
     # The texts of the cells, once; a cell's root, its hub here, goes to all parts of the cell.
-    members = cell.withColumnRenamed("node", "class").join(sets, "class")
+    members = cell.withColumnRenamed("node", "class").join(unsent(sets), "class")
     packed = squeezed(base.where("doc_id IS NOT NULL"), "doc_id", "text_key")
-    texts = packed.join(members, (packed.doc_id == members.owner) & (packed.text_key == members.owner_key)).dropDuplicates(["class"]).select("class", "docs", "root", "ztext")
+    texts = packed.join(unsent(members), (packed.doc_id == members.owner) & (packed.text_key == members.owner_key)).dropDuplicates(["class"]).select("class", "docs", "root", "ztext")
     texts = materialise(texts, "texts")
     sizes = texts.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("ztext")).alias("bytes"))
     sizes = sizes.select("root", F.greatest(F.ceil(F.col("m") / BLOCK), F.least("m", F.ceil(F.col("bytes") / BLOCK_BYTES))).cast("int").alias("blocks"))
-    texts = texts.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("class", F.lit(9)), F.col("blocks")).cast("int"))
+    texts = texts.join(unsent(sizes), "root").withColumn("block", F.pmod(F.xxhash64("class", F.lit(9)), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     hubs = texts.where("class = root").drop("block").withColumn("block", every).withColumn("hub", F.lit(1))
     parts = texts.withColumn("hub", F.lit(0)).unionByName(hubs)
@@ -339,11 +339,11 @@ def near_duplicates(
     )
     groups = components(verified.where("hub < class").select("class", "hub").distinct(), "class", "hub")
     counts = verified.groupBy("class").agg(F.sum("n_links").alias("n_links"), F.sum("n_text_links").alias("n_text_links"))
-    joined = groups.withColumnRenamed("node", "class").join(sets, "class")
+    joined = groups.withColumnRenamed("node", "class").join(unsent(sets), "class")
     heads = joined.groupBy("root").agg(F.min(F.struct("owner", "owner_key")).alias("head"))
-    heads = joined.join(heads, "root").select("class", "head")
-    classes = sets.join(counts, "class", "left").join(heads, "class", "left").withColumn("head", F.coalesce("head", F.struct("owner", "owner_key")))
-    found = rows.select("doc_id", "text_key", "n", "class").join(classes, "class", "left")
+    heads = joined.join(unsent(heads), "root").select("class", "head")
+    classes = sets.join(unsent(counts), "class", "left").join(unsent(heads), "class", "left").withColumn("head", F.coalesce("head", F.struct("owner", "owner_key")))
+    found = rows.select("doc_id", "text_key", "n", "class").join(unsent(classes), "class", "left")
     known = F.col("doc_id").isNotNull()
     zero = F.lit(0).cast("long")
     return found.select(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard_join as J
-from .common import materialise
+from .common import materialise, unsent
 
 SHINGLE, THRESHOLD = 3, (17, 20)
 COLLECTION, HALF = 13, 3
@@ -45,17 +45,17 @@ def _halves(classes: DataFrame, start: int) -> DataFrame:
     part = F.xxhash64("at", F.expr(f"substring(sig, at * {2 * HALF} + 1, {2 * HALF})"))
     rows = classes.select("class", "sig", at).select("class", part.alias("part"))
     shared = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
-    return rows.join(shared, "part").groupBy("class").agg(F.collect_list("part").alias("parts"))
+    return rows.join(unsent(shared), "part").groupBy("class").agg(F.collect_list("part").alias("parts"))
 
 
 def _cells(classes: DataFrame) -> DataFrame:
     """node, root: cells of the classes (class, sig) that meet in the tables."""
     left, right = _halves(classes, 0), _halves(classes, COLLECTION)
-    both = left.join(right.withColumnRenamed("parts", "others"), "class")
+    both = left.join(unsent(right.withColumnRenamed("parts", "others")), "class")
     rows = both.select("class", F.explode("parts").alias("one"), "others").select("class", "one", F.explode("others").alias("two"))
     rows = materialise(rows.select("class", F.xxhash64("one", "two").alias("node")), "tables")
     nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("hub")).where("n > 1").select("node", "hub")
-    return J.joined(rows.join(nodes, "node").where("class <> hub").select("node", F.lit(0).alias("key"), "class", "hub"), classes)
+    return J.joined(rows.join(unsent(nodes), "node").where("class <> hub").select("node", F.lit(0).alias("key"), "class", "hub"), classes)
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:

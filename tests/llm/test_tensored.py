@@ -83,5 +83,18 @@ def test_recall_at_the_threshold():
     assert both.shape == (2, 2 * B.COLLECTION, B.HALF) and met == 400
 
 
+def test_nothing_is_broadcast(spark, corpus):
+    """Spark takes exploded and compressed tables for small ones, here all of them: no step may broadcast its input."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(60_000)
+    before = store.executionsCount()
+    B.near_dedup(corpus[1]).count()
+    bus.waitUntilEmpty(60_000)
+    ran = store.executionsList(before, store.executionsCount() - before)
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size())]
+    assert sum("SortMergeJoin" in p for p in plans) > 5
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_empty_table(empty):
     assert B.near_dedup(empty).count() == 0

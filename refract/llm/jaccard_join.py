@@ -337,7 +337,7 @@ def near_duplicates(
     verified = materialise(
         dealt.repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(verify, "class long, n_links long, n_text_links long, hub long"), "links"
     )
-    groups = components(verified.where("hub < class").select("class", "hub").distinct(), "class", "hub")
+    groups = components(verified.where("hub <> class").select("class", "hub").distinct(), "class", "hub")
     counts = verified.groupBy("class").agg(F.sum("n_links").alias("n_links"), F.sum("n_text_links").alias("n_text_links"))
     joined = groups.withColumnRenamed("node", "class").join(unsent(sets), "class")
     heads = joined.groupBy("root").agg(F.min(F.struct("owner", "owner_key")).alias("head"))

@@ -83,6 +83,26 @@ def test_recall_at_the_threshold():
     assert both.shape == (2, 2 * B.COLLECTION, B.HALF) and met == 400
 
 
+def test_groups_whose_rows_come_in_any_order(spark):
+    """Pairs and small groups whose members are read from several partitions, as of a large table: no link is lost."""
+    r = random.Random(13)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{r.randrange(900)}" for _ in range(80)]
+        for k in range(2 + g % 4):
+            rows.append((len(rows), " ".join([*base[k:], f"own{k}"])))
+    coalesce, n = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(coalesce), spark.conf.get(n)
+    spark.conf.set(coalesce, "false")
+    spark.conf.set(n, "8")
+    try:
+        got = found(B.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)))
+    finally:
+        spark.conf.set(coalesce, before[0])
+        spark.conf.set(n, before[1])
+    assert got == brute(rows)
+
+
 def test_nothing_is_broadcast(spark, corpus):
     """Spark takes exploded and compressed tables for small ones, here all of them: no step may broadcast its input."""
     store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
